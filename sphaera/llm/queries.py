@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality_rules, url_filter
+from . import chat, mixing, quality_rules, simhash, url_filter
 
-_MODULES = (quality_rules, mixing, url_filter, chat)
+_MODULES = (quality_rules, mixing, url_filter, chat, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
