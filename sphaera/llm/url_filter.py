@@ -64,11 +64,16 @@ def symbols(url: Column) -> Column:
     return F.regexp_replace(folded, r"[^a-z0/.\-_:?=&#%]", "~")
 
 
+def _code(symbol: Column) -> Column:
+    return F.instr(F.lit(ALPHABET), symbol) - 1
+
+
 def _grams(text: Column) -> Column:
     """Array of the codes of the symbols with their two predecessors; the first ones follow "~~"."""
-    codes = F.transform(F.split(F.concat(F.lit("~~"), text), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    at = lambda i: F.get(codes, i)
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: (at(i) * A + at(i + 1)) * A + at(i + 2)))
+    codes = F.transform(F.split(F.concat(F.lit("~~"), text), ""), _code)
+    # Bound to a variable, for else the text would be split again at each place.
+    bound = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(2), F.size(c) - 1), lambda i: (F.get(c, i - 2) * A + F.get(c, i - 1)) * A + F.get(c, i)))
+    return F.when(F.length(text) > 0, F.get(bound, F.lit(0)))
 
 
 def train(urls: DataFrame) -> DataFrame:
@@ -97,9 +102,16 @@ def train(urls: DataFrame) -> DataFrame:
 
 
 def score(url: Column, ratio: Column) -> Column:
-    """Mean log-likelihood difference per symbol."""
-    grams = _grams(symbols(url))
-    return F.coalesce(F.aggregate(grams, F.lit(0).cast("long"), lambda s, g: s + F.coalesce(F.get(ratio, g), F.lit(0))) / F.size(grams) / UNIT, F.lit(0.0))
+    """Mean log-likelihood difference per symbol, in one pass that carries the context."""
+    text = symbols(url)
+    start = F.struct(F.lit((A - 1) * A + A - 1).alias("context"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        gram = s["context"] * A + _code(c)
+        return F.struct((gram % (A * A)).alias("context"), (s["sum"] + F.coalesce(F.get(ratio, gram), F.lit(0))).alias("sum"))
+
+    total = F.aggregate(F.split(text, ""), start, step, lambda s: s["sum"])
+    return F.when(F.length(text) > 0, total / F.length(text) / UNIT).otherwise(F.lit(0.0))
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
