@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, maxscore, mixing, packing, quality_model, quality_rules, simhash, url_filter
+from . import chat, line_dedup, maxscore, mixing, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
 
-_MODULES = (quality_rules, mixing, url_filter, chat, simhash, packing, maxscore, quality_model, line_dedup)
+_MODULES = (quality_rules, mixing, url_filter, chat, simhash, packing, maxscore, quality_model, line_dedup, secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
