@@ -15,6 +15,7 @@ own; other columns are not read; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,9 @@ from pyspark.sql import types as T
 from .common import read, stored, utf8
 
 CAPACITY, END, SHARD = 4096, 1, 30_000
-#: Words that a worker keeps the ids of, some 250 bytes each.
-CACHE = 400_000
+#: Words that a worker keeps the ids of, some 200 bytes each.
+CACHE = 1_000_000
+_TAIL = re.compile(rb"(.*[0-9a-z])([.,;:!?%$&*#|]+)", re.DOTALL)
 
 
 class _Ids(dict):
@@ -43,7 +45,10 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if cut := _TAIL.fullmatch(word):  # the tokenizer cuts there too
+            ids = self[cut[1]] + self[cut[2]]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
@@ -54,6 +59,8 @@ _CACHES: dict[str, _Ids] = {}
 def _ids(text: bytes, path: str) -> bytes:
     if path not in _CACHES:
         _CACHES[path] = _Ids(path)
+    if b"<|" not in text:  # special tokens are matched before letters are lowered
+        text = text.lower()
     return b"".join(map(_CACHES[path].__getitem__, text.split())) + END.to_bytes(4, "little")
 
 
