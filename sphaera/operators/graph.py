@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from ..tables import cut, drop
 
+#: Rounds of a frontier between two writings of the whole state; in between, the improved nodes are put over it lazily.
+EVERY = 4
+
+
+def _improved(best: DataFrame, front: DataFrame, keys: list[str], turn: int, name: str) -> DataFrame:
+    merged = best.join(front.select(*keys), keys, "left_anti").unionByName(front)
+    return merged if turn % EVERY else cut(merged, name)
+
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node), edges (src, dst) in any direction -> node, component: the smallest node that can be reached.
@@ -39,7 +47,7 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None) -
     smaller previous node."""
     edges = cut(edges.select("src", "dst", "w"), "edges")
     best = cut(sources.select("source", "node", F.lit(0).cast(edges.schema["w"].dataType).alias("dist"), F.lit(None).cast("long").alias("prev")), "best")
-    front = best
+    front, turn = best, 0
     while True:
         step = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").cast("long").alias("prev"))
         if limit is not None:
@@ -50,8 +58,8 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None) -
         front2 = cut(new.select("source", "node", "o.dist", "o.prev"), "front")
         if not front2.limit(1).count():
             return best
-        merged = best.join(front2.select("source", "node"), ["source", "node"], "left_anti").unionByName(front2)
-        best, front = cut(merged, "best"), front2
+        turn += 1
+        best, front = _improved(best, front2, ["source", "node"], turn, "best"), front2
 
 
 def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None) -> DataFrame:
@@ -61,7 +69,7 @@ def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None
     edges = cut(edges.select("src", "dst", "w"), "edges")
     zero = F.lit(0).cast(edges.schema["w"].dataType)
     best = cut(sources.groupBy("node").agg(F.min("source").alias("source")).select("node", zero.alias("dist"), "source"), "best")
-    front = best
+    front, turn = best, 0
     while True:
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "source")
         if limit is not None:
@@ -71,8 +79,8 @@ def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None
         front2 = cut(new.select("node", "o.dist", "o.source"), "front")
         if not front2.limit(1).count():
             return best
-        best = cut(best.join(front2.select("node"), "node", "left_anti").unionByName(front2), "best")
-        front = front2
+        turn += 1
+        best, front = _improved(best, front2, ["node"], turn, "best"), front2
 
 
 def path(reached: DataFrame, goals: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame) -> DataFrame:
     edges = cut(edges.select("src", "dst"), "edges")
     z = nodes.select("node", "z")
     best = cut(outlets.select("node").distinct().join(z, "node").select("node", F.col("z").alias("fill")), "fill")
-    front = best
+    front, turn = best, 0
     while True:
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), "fill").groupBy("node").agg(F.min("fill").alias("f"))
         offer = step.join(z, "node").select("node", F.greatest("f", "z").alias("f"))
@@ -146,8 +154,8 @@ def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame) -> DataFrame:
         front2 = cut(new, "front")
         if not front2.limit(1).count():
             return best
-        best = cut(best.join(front2.select("node"), "node", "left_anti").unionByName(front2), "fill")
-        front = front2
+        turn += 1
+        best, front = _improved(best, front2, ["node"], turn, "fill"), front2
 
 
 def receivers(nodes: DataFrame, edges: DataFrame, by: str = "z") -> DataFrame:

@@ -16,7 +16,7 @@ from .operators import fields, filters, graph, ledger, ranking, stats, store, te
 from .plans.nodes import run_graph
 from .sources import grid
 from .streaming.news import deliver_once
-from .tables import read
+from .tables import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -229,7 +229,7 @@ def flt_polygon_mask(spark, d):
 def jn_nearest_cell(spark, d):
     x, y, z = geo.direction(F.col("lon"), F.col("lat"))
     p = places(spark, d).select("place", x.alias("px"), y.alias("py"), z.alias("pz"))
-    c = grid.cells(spark, FREQ).select("cell", "x", "y", "z")
+    c = cut(grid.cells(spark, FREQ).select("cell", "x", "y", "z"), "cells")  # a grid is a table that is kept
     near = fields.nearest_cell(p, "place", c, FREQ).join(p, "place").join(c, "cell")
     close = F.acos(F.least(F.lit(1.0), F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z"))) < 1.2 / FREQ
     return near.agg(F.count("*").alias("places"), F.count_if(close).alias("found"))
