@@ -128,8 +128,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
             length = table.column("length").to_numpy()
             order = np.argsort(-length, kind="stable")
             sequence, offset = place(length[order], capacity)
