@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -46,11 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
+    happens to collect its garbage, and add up over the steps of a job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by stored() that no later plan reads."""
     sc = df.sparkSession.sparkContext

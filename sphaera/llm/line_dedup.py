@@ -6,15 +6,17 @@ a Jaccard similarity of THRESHOLD or more with it; lines of equal sets are the c
 For the others the words of each set are ordered by rarity, rarest first, and only a prefix of them is posted: two sets as
 similar as asked for share a word of their prefixes, at places from which enough of both is left (positional filter), and
 their sizes differ little (length filter). A set also carries 64 parities of its words' hashes; in how many of them two sets
-differ is a lower bound on the words they don't share. Postings are sorted by word, and within a word each set is held
-against the earlier ones until FIRST have passed all filters, so that a family of thousands of near copies costs each member
-a few looks and no list of all its pairs is ever made. Candidates are verified on the words themselves. A set whose first
-candidates all fail and that had more is looked at again, against all.
+differ is a lower bound on the words they don't share. Postings travel in blocks by hash of their word, are sorted by word,
+and within a word each set is held against the earlier ones until some (FIRST) have passed all filters, so that a family of
+thousands of near copies costs each member a few looks and no list of all its pairs is ever made. Candidates are verified
+on the hashes (64 bits) of all their words, for each set the likeliest one first. A set whose first candidates all fail and that had more is looked at again, against all. The lines
+themselves travel in the same blocks, by hash of their sets, once for each set and run of texts: the copies in a run are
+known to be copies without meeting the others.
 
 Rarity is a table of TABLE counts by hash, of fixed size whatever the corpus: any order that all tasks share gives the same
-result. A word whose count is 1 occurs nowhere else and needs no posting.
+result. A word whose count is 1 occurs nowhere else and needs no posting. Texts are hashed many at a time, by numpy.
 
-Nulls and edges: a null text has no lines; lines without words are never removed; a null doc_id comes first; of rows that
+Nulls and edges: doc_id is read as a long; a null text has no lines; lines without words are never removed; a null doc_id comes first; of rows that
 share doc_id, lines of equal number and words are the same place and don't remove each other; columns besides doc_id and text
 are carried through, n_chars is set anew where there is one; a text whose lines all go is empty; an empty table stays so.
 """
@@ -25,237 +27,412 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, read, stored, utf8
+from .common import read, stored, utf8
 
 #: The similarity asked for, as a fraction.
 THRESHOLD = (4, 5)
-TABLE, FIRST = 1 << 20, 16
+TABLE, PARTS = 1 << 22, 16
+#: Candidates of a set for a word: at most so many of which few parities differ (TELLING; of sets without a common word half do), and so many in all.
+FIRST = (4, 16)
+TELLING = 18
+#: Bytes hashed at once, and words of the corpus for each block of postings.
+CHUNK, BLOCK_WORDS = 1 << 18, 600_000
 #: Removed lines of at most so many documents are broadcast to rewrite them (under 100 bytes each on average); beyond, rows are shuffled by id.
 BROADCAST_DOCS = 100_000
-#: Bits of the filter of documents that are read again to verify candidates.
+#: Bits of the filters of documents and sets that are read again to verify candidates.
 FILTER = 1 << 23
-CACHE = 400_000
-
-
-class _Codes(dict):
-    """word -> its XXH64, eight bytes."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = xxhash.xxh64_digest(word)
-        return out
-
-
-_CODES = _Codes()
-
-
-def _codes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_CODES.__getitem__, words)), ">u8").astype(np.uint64)
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words over all docs, by hash. Few rows leave a task, so few tasks (four a core at most) add up the corpus."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_P = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.int64).min  # a null doc_id within postings; it comes first
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about CHUNK bytes, with the number of the first."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size > CHUNK:
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of texts, in order: the line they stand in, counted through all texts, and their hash; also each text's first line."""
+    a = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    word = ~_SPACE[a]
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    feeds = np.flatnonzero(a == 10)
+    line = np.searchsorted(feeds, begin)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    first = np.concatenate([[0], np.searchsorted(feeds, ends[:-1])])
+    if not len(begin):
+        return line, np.empty(0, np.uint64), first
+    size = end - begin
+    start = np.cumsum(size) - size
+    letters = a[word].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(letters)) - np.repeat(start, size)
+    powers = np.cumprod(np.full(int(size.max()), _P))
+    return line, _mix(np.add.reduceat(letters * powers[place], start)), first
+
+
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """A class of rarity for each hash slot of words (0: once in all docs; then in steps of a fourth of a power of two), and the number of words.
+
+    Few tasks (four a core at most) add up the corpus, so that few rows leave them, and a byte for each slot comes to the driver."""
+
+    part = TABLE // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.int64)
+        total = np.zeros(TABLE, np.uint32)
         for b in batches:
-            held, size = [], 0
-            for t in utf8(b.column(0)):
-                held.append(c := _codes(t.split()))
-                size += len(c)
-                if size > 1_000_000:
-                    total += np.bincount((np.concatenate(held) % TABLE).astype(np.int64), minlength=TABLE)
-                    held, size = [], 0
-            if held:
-                total += np.bincount((np.concatenate(held) % TABLE).astype(np.int64), minlength=TABLE)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 65_536].astype(np.int32)), pa.array(total[at[k : k + 65_536]])], names=["slot", "n"])
+            for _, texts in _chunks(utf8(b.column(0))):
+                np.add.at(total, (_hashes(texts)[1] % np.uint64(TABLE)).astype(np.int64), np.uint32(1))
+        at = [np.flatnonzero(total[k * part : (k + 1) * part]).astype(np.uint32) for k in range(PARTS)]
+        payload = [x.tobytes() + total[k * part : (k + 1) * part][x].tobytes() for k, x in enumerate(at)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
+
+    def add(t: pa.Table) -> pa.Table:
+        sums = np.zeros(part, np.int64)
+        for x in t.column("payload").to_pylist():
+            at, n = np.frombuffer(x, np.uint32).reshape(2, -1)
+            sums[at] += n
+        k = np.minimum(255, np.floor(4 * np.log2(np.maximum(sums, 1))) + (sums > 1)).astype(np.uint8)
+        return pa.table({"part": t.column("part")[:1], "classes": pa.array([k.tobytes()], pa.binary()), "n": pa.array([sums.sum()], pa.int64())})
 
     few = docs.select("text").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    sums = few.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TABLE, np.int64)
-    out[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
-
-
-def _signature(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(b" ".join(words))
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
-def lines(docs: DataFrame, table: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """A row for each line with words: doc_id, line, sa and sb (the set's hash), n (its size), parity, prefix (codes, rarest first; 0 for a word without a partner)."""
+    out = few.mapInArrow(run, "part int, payload binary").groupBy("part").applyInArrow(add, "part int, classes binary, n long").toArrow().sort_by("part")
+    if not out.num_rows:
+        return np.zeros(TABLE, np.uint8), 0
+    return np.frombuffer(b"".join(out.column("classes").to_pylist()), np.uint8), sum(out.column("n").to_pylist())
+
+
+class _Sets:
+    """The distinct words of each line of some texts: their hashes sorted by line, rarity and hash, and per line its number, start and size."""
+
+    def __init__(self, texts: list[bytes], rare: np.ndarray | None = None) -> None:
+        line, code, self.first = _hashes(texts)
+        k = rare[(code % np.uint64(TABLE)).astype(np.int64)].astype(np.uint64) if rare is not None else np.zeros(len(code), np.uint64)
+        key = (line.astype(np.uint64) << np.uint64(40)) | (k << np.uint64(32)) | (code >> np.uint64(32))
+        order = np.argsort(key)
+        key, sorted_code = key[order], code[order]
+        if ((key[1:] == key[:-1]) & (sorted_code[1:] != sorted_code[:-1])).any():  # half hashes that agree by chance
+            order = np.lexsort((code, k, line))
+            sorted_code = code[order]
+        at = line[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (at[1:] != at[:-1]) | (sorted_code[1:] != sorted_code[:-1])
+        order = order[new]
+        self.h, self.rare = code[order], k[order]
+        at = line[order]
+        self.start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(at)))
+        self.doc = np.searchsorted(self.first, at[self.start], "right") - 1
+        self.line = (at[self.start] - self.first[self.doc]).astype(np.int32)
+
+    def signature(self, kind: int) -> np.ndarray:
+        """Half (0 or 1) of a hash of the set."""
+        return np.add.reduceat(_mix(self.h * np.uint64(2 * kind + 1) + np.uint64(kind + 1)), self.start).view(np.int64) if len(self.start) else np.empty(0, np.int64)
+
+
+#: Blocks hold these columns one after the other: postings, and lines.
+_POSTING = (("code", np.uint32), ("sa", np.int64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("parity", np.uint64))
+_LINE = (("sa", np.int64), ("sb", np.int64), ("doc", np.int64), ("line", np.int32))
+_POSTINGS, _LINES, _COPIES = range(3)
+
+
+def _packed(kind: int, block: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each block: kind, block, n, payload."""
+    order = np.argsort(block, kind="stable")
+    ends = np.flatnonzero(np.diff(block[order], append=-1)) + 1
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    columns = [c[order] for c in columns]
+    payload = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), kind, np.int32)), pa.array(block[order][begins].astype(np.int32)), pa.array((ends - begins).astype(np.int32)), pa.array(payload, pa.binary())], names=["kind", "block", "n", "payload"])
+
+
+def _unpacked(t: pa.Table, kind: int, layout: tuple) -> dict[str, np.ndarray]:
+    parts = []
+    for k, n, payload in zip(t.column("kind").to_pylist(), t.column("n").to_pylist(), t.column("payload"), strict=True):
+        if k == kind:
+            columns, at = [], 0
+            for _, dtype in layout:
+                columns.append(np.frombuffer(payload.as_buffer(), dtype, n, at))
+                at += n * np.dtype(dtype).itemsize
+            parts.append(columns)
+    return {name: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype) for i, (name, dtype) in enumerate(layout)}
+
+
+def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int, int], only: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """kind, block, n, payload: postings of the lines' prefixes by block of words, and lines by block of sets. `only`: filters of documents,
+    lines and words, to post nothing else."""
     up, down = threshold
-    fields = [docs.schema["doc_id"], *(T.StructField(n, t, False) for n, t in (("line", T.IntegerType()), ("sa", T.LongType()), ("sb", T.LongType()), ("n", T.IntegerType()), ("parity", T.LongType()), ("prefix", T.ArrayType(T.LongType(), False))))]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def rows(doc: list[int], no: list[int], sets: list[list[bytes]], ids: pa.Array) -> pa.RecordBatch:
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        start = np.cumsum(size) - size
-        codes = _codes([w for s in sets for w in s])
-        count = shared.value[(codes % np.uint64(TABLE)).astype(np.int64)]
-        # Sorted by line, rarity (in steps of a fourth of a power of two) and code; words come sorted, which settles what ties remain alike everywhere.
-        rare = np.minimum(4 * np.log2(np.maximum(count, 1)), 255).astype(np.uint64)
-        of = np.repeat(np.arange(len(sets), dtype=np.uint64), size)
-        order = np.argsort((of << np.uint64(40)) | (rare << np.uint64(32)) | (codes >> np.uint64(32)), kind="stable")
-        posted = size - -(-up * size // down) + 1
-        place = np.arange(len(codes)) - np.repeat(start, size)
-        keep = place < np.repeat(posted, size)
-        best = np.where(count[order] > 1, codes[order], np.uint64(0))[keep].view(np.int64)
-        bits = np.unpackbits(np.left_shift(np.uint64(1), codes & np.uint64(63)).view(np.uint8).reshape(-1, 8), axis=1)
-        odd = np.packbits(np.bitwise_xor.reduceat(bits, start, axis=0), axis=1).reshape(-1).view(np.int64)
-        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(posted)]).astype(np.int32)), pa.array(best))
-        sa, sb = zip(*map(_signature, sets), strict=True)
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(doc, pa.int32())), pa.array(no, pa.int32()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(size.astype(np.int32)), pa.array(odd), prefix], names=[f.name for f in fields]
-        )
+    shared = docs.sparkSession.sparkContext.broadcast((rare, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, only = shared.value
+        posted: list[list[np.ndarray]] = []
+        lined: list[list[np.ndarray]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if any(len(p[0]) for p in posted):
+                block, *columns = (np.concatenate(c) for c in zip(*posted, strict=True))
+                yield _packed(_POSTINGS, block, columns)
+            if lined:
+                sa, sb, doc, line = (np.concatenate(c) for c in zip(*lined, strict=True))
+                order = np.lexsort((line, doc, sb, sa))
+                sa, sb, doc, line = sa[order], sb[order], doc[order], line[order]
+                first = np.ones(len(sa), bool)
+                first[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
+                yield _packed(_LINES, (sa[first] % blocks), [sa[first], sb[first], doc[first], line[first]])
+                of = np.flatnonzero(first)[np.cumsum(first) - 1]
+                copy = (doc != doc[of]) | (line != line[of])
+                if copy.any():
+                    yield _packed(_COPIES, np.arange(copy.sum()) % blocks, [sa[copy], sb[copy], doc[copy], line[copy]])
+
         for b in batches:
-            doc, no, sets, words = [], [], [], 0
-            for i, t in enumerate(utf8(b.column(1))):
-                for k, x in enumerate(t.split(b"\n")):
-                    if s := set(x.split()):
-                        doc.append(i)
-                        no.append(k)
-                        sets.append(sorted(s))
-                        words += len(s)
-                if words > 200_000:
-                    yield rows(doc, no, sets, b.column(0))
-                    doc, no, sets, words = [], [], [], 0
-            if sets:
-                yield rows(doc, no, sets, b.column(0))
-
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
-
-
-def _matches(threshold: tuple[int, int], first: int | None):
-    """Candidates within sorted postings: for an active row the earlier ones of its word that pass all filters, `first` of them at most."""
+            if only:
+                b = b.filter(pa.array(_has(only[0], b.column(0).fill_null(_NONE).to_numpy())))
+            ids, all_texts = b.column(0).fill_null(_NONE).to_numpy(), utf8(b.column(1))
+            if only:
+                all_texts = [b"\n".join(x if on else b"" for x, on in zip(t.split(b"\n"), _lines_in(only[1], d, t.count(b"\n") + 1), strict=True)) for d, t in zip(ids.tolist(), all_texts, strict=True)]
+            for at, texts in _chunks(all_texts):
+                s = _Sets(texts, rare)
+                if not len(s.start):
+                    continue
+                sa, doc = s.signature(0), ids[s.doc + at]
+                order = np.lexsort((s.line, doc, sa))
+                once = order[np.concatenate([[True], sa[order][1:] != sa[order][:-1]])]
+                prefix = np.zeros(len(sa), np.int64)
+                prefix[once] = s.size[once] - -(-up * s.size[once] // down) + 1
+                place = np.arange(len(s.rare)) - np.repeat(s.start, s.size)
+                keep = np.flatnonzero((place < np.repeat(prefix, s.size)) & (s.rare > 0))
+                if only:
+                    keep = keep[_has(only[2], (s.h[keep] >> np.uint64(32)).astype(np.int64))]
+                else:
+                    lined.append([sa, s.signature(1), doc, s.line])
+                of = np.repeat(np.arange(len(sa)), s.size)[keep]
+                odd = _parity(s)
+                code = s.h[keep]
+                row = (code >> np.uint64(32), sa[of], doc[of], s.line[of], s.size[of], place[keep], odd[of])
+                posted.append([(code % np.uint64(blocks)).astype(np.int64), *(c.astype(t) for c, (_, t) in zip(row, _POSTING, strict=True))])
+                count += len(keep)
+                if count > 300_000:
+                    yield from flush()
+                    posted, lined, count = [], [], 0
+        yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, block int, n int, payload binary")
+
+
+def _parity(s: _Sets) -> np.ndarray:
+    """Of each set, bit by bit, the parity of the number of words whose hash falls there."""
+    return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), s.h & np.uint64(63)), s.start)
+
+
+#: What blocks show: pairs, copies (x alone), and members of words whose lists weren't looked through (x alone).
+_PAIRS, _COPY, _MEMBERS = range(3)
+_FOUND = "what int, xa long, xd long, xl int, ya long, yd long, yl int, code long, odd int"
+
+
+def _met(code: np.ndarray) -> np.ndarray:
+    """Of sorted codes, those that are there more than once."""
+    same = np.zeros(len(code) + 1, bool)
+    same[1:-1] = code[1:] == code[:-1]
+    return same[1:] | same[:-1]
+
+
+_FOUND_TYPES = pa.schema([("what", pa.int32()), ("xa", pa.int64()), ("xd", pa.int64()), ("xl", pa.int32()), ("ya", pa.int64()), ("yd", pa.int64()), ("yl", pa.int32()), ("code", pa.int64()), ("odd", pa.int32())])
+
+
+def _matcher(threshold: tuple[int, int], first: tuple[int, int] | None, active: np.ndarray | None):
+    """What a block shows: copies of lines, and for a set the earlier ones of its word that pass all filters, at most as many as `first`
+    says. active: filter of the sets that look for candidates."""
     up, down = threshold
-    names = ["xa", "xb", "ya", "yb", "yd", "yl", "xd", "xl", "more"]
 
-    def group(t: pa.Table) -> pa.RecordBatch:
-        c = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("code", "line", "sa", "sb", "n", "parity", "pos", "active")}
-        code, n, pos, parity = c["code"], c["n"].astype(np.int64), c["pos"].astype(np.int64), c["parity"].view(np.uint64)
-        begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    def alone(what: int, sa: np.ndarray, doc: np.ndarray, line: np.ndarray, code: np.ndarray | None) -> pa.Table:
+        none = pa.nulls(len(sa), pa.int64())
+        return pa.table([pa.array(np.full(len(sa), what, np.int32)), sa, doc, line, none, none, none.cast(pa.int32()), none if code is None else pa.array(code), none.cast(pa.int32())], schema=_FOUND_TYPES)
+
+    def copies(t: pa.Table) -> pa.Table:
+        c, known = _unpacked(t, _LINES, _LINE), _unpacked(t, _COPIES, _LINE)
+        order = np.lexsort((c["line"], c["doc"], c["sb"], c["sa"]))
+        c = {k: v[order] for k, v in c.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (c["sa"][1:] != c["sa"][:-1]) | (c["sb"][1:] != c["sb"][:-1])
+        of = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
+        late = (c["doc"] != c["doc"][of]) | (c["line"] != c["line"][of])
+        sa, doc, line = (np.concatenate([c[k][late], known[k]]) for k in ("sa", "doc", "line"))
+        return alone(_COPY, sa, doc, line, None)
+
+    def match(t: pa.Table) -> pa.Table:
+        c = _unpacked(t, _POSTINGS, _POSTING)
+        # Words with one posting are of no use, and of a set's postings for a word the first stays.
+        order = np.argsort(c["code"])
+        order = order[_met(c["code"][order])]
+        order = order[np.lexsort((c["line"][order], c["doc"][order], c["sa"][order], c["code"][order]))]
+        code, sa = c["code"][order], c["sa"][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (code[1:] != code[:-1]) | (sa[1:] != sa[:-1])
+        order = order[new]
+        order = order[_met(c["code"][order])]
+        order = order[np.lexsort((c["line"][order], c["doc"][order], c["code"][order]))]
+        c = {k: v[order] for k, v in c.items()}
+        code, doc, line, parity = c["code"], c["doc"], c["line"], c["parity"]
+        n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
         rank = np.arange(len(code)) - np.repeat(begins, np.diff(np.append(begins, len(code))))
-        at, hits, xs, ys = np.flatnonzero((rank > 0) & c["active"]), np.zeros(len(code), np.int64), [], []
+        at, xs, ys, odds = np.flatnonzero(rank > 0), [], [], []
+        strong, hits = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        if active is not None:
+            at = at[_has(active, c["sa"][at])]
         d = 1
         while len(at):
             x, y = at, at - d
-            need = -(-up * (n[x] + n[y]) // (up + down))
-            ok = (down * np.minimum(n[x], n[y]) >= up * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
-            ok &= np.bitwise_count(parity[x] ^ parity[y]) <= n[x] + n[y] - 2 * need
-            xs.append(x[ok])
-            ys.append(y[ok])
-            hits[x[ok]] += 1
+            nx, ny = n[x], n[y]
+            need = -(-up * (nx + ny) // (up + down))
+            apart = nx + ny - 2 * need
+            odd = np.bitwise_count(parity[x] ^ parity[y]).astype(np.int64)
+            ok = (down * np.minimum(nx, ny) >= up * np.maximum(nx, ny)) & (np.minimum(nx - pos[x], ny - pos[y]) >= need) & (odd <= apart)
+            ok &= (doc[x] != doc[y]) | (line[x] != line[y])
+            if ok.any():
+                xs.append(x[ok])
+                ys.append(y[ok])
+                odds.append(1000 * odd[ok] // np.maximum(apart[ok], 1))
+                hits[x[ok]] += 1
+                strong[x[ok]] += odd[ok] <= TELLING
             d += 1
             at = at[rank[at] >= d]
             if first:
-                at = at[hits[at] < first]
-        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
-        doc = t.column("doc_id").combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c[k][v]) for v in (x, y) for k in ("sa", "sb")), doc.take(pa.array(y)), pa.array(c["line"][y]), doc.take(pa.array(x)), pa.array(c["line"][x]), pa.array(hits[x] >= first if first else np.zeros(len(x), bool))],
-            names=names,
-        )
+                at = at[(strong[at] < first[0]) & (hits[at] < first[1])]
+        x, y, odd = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys, odds))
+        pairs = pa.table([pa.array(np.zeros(len(x), np.int32)), c["sa"][x], doc[x], line[x], c["sa"][y], doc[y], line[y], code[x].astype(np.int64), pa.array(odd.astype(np.int32))], schema=_FOUND_TYPES)
+        if not first:
+            return pairs
+        # The postings of a word in which a set has stopped early: that set may have to look again.
+        stopped = ((strong >= first[0]) | (hits >= first[1])) & (rank > hits)
+        group = np.cumsum(rank == 0) - 1
+        rows = np.flatnonzero(np.isin(group, group[stopped]))
+        return pa.concat_tables([pairs, alone(_MEMBERS, c["sa"][rows], doc[rows], line[rows], np.where(stopped[rows], code[rows].astype(np.int64), -1 - code[rows].astype(np.int64)))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the last word's postings wait for the rest of theirs
-        for b in batches:
-            if not b.num_rows:
-                continue
-            last = b.column("code")[b.num_rows - 1].as_py()
-            same = int(np.searchsorted(b.column("code").to_numpy(), last))
-            if same or (held and held[-1].column("code")[0].as_py() != last):
-                yield group(pa.Table.from_batches([*held, b.slice(0, same)]))
-                held = []
-            held.append(b.slice(same))
-        if held:
-            yield group(pa.Table.from_batches(held))
-
-    return run
-
-
-def _candidates(sets: DataFrame, threshold: tuple[int, int], first: int | None, doc_type: str) -> DataFrame:
-    posted = sets.select("at.doc_id", "at.line", "sa", "sb", "n", "parity", "active", F.posexplode("prefix").alias("pos", "code")).where("code != 0")
-    dealt = posted.repartition("code").sortWithinPartitions("code", "doc_id", "line", "sa", "sb")
-    found = dealt.select("code", "doc_id", "line", "sa", "sb", "n", "parity", "pos", "active").mapInArrow(
-        _matches(threshold, first), f"xa long, xb long, ya long, yb long, yd {doc_type}, yl int, xd {doc_type}, xl int, more boolean"
-    )
-    earlier = ~(F.col("xd").eqNullSafe(F.col("yd")) & (F.col("xl") == F.col("yl")))
-    return found.where(earlier).groupBy("xa", "xb", "ya", "yb").agg(F.first("xd").alias("xd"), F.first("yd").alias("yd"), F.max("more").alias("more"))
+    return lambda t: pa.concat_tables([copies(t), match(t)])
+
+
+def _filter(values: DataFrame) -> np.ndarray:
+    """A bit for each slot that a value of the (long) column v falls into: a filter of fixed size."""
+    slots = values.select(F.pmod("v", F.lit(FILTER)).alias("s"))
+    bits = slots.groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
+    return out
+
+
+def _has(filtered: np.ndarray, v: np.ndarray) -> np.ndarray:
+    s = v % FILTER
+    return (filtered[s >> 6] >> (s & 63)) & 1 == 1
+
+
+def _place(d: str, l: str) -> str:
+    """SQL: a number for a line of a document."""
+    return f"CAST((CAST({d} AS DECIMAL(38)) * 31 + {l} * 1000003) % {FILTER} AS BIGINT)"
+
+
+def _lines_in(filtered: np.ndarray, doc: int, n: int) -> np.ndarray:
+    """Which of a document's n lines may be in a filter of _place."""
+    first = int(np.fmod(doc * 31, FILTER)) if abs(doc) < 1 << 53 else int(np.sign(doc)) * (abs(doc) * 31 % FILTER)
+    v = first + np.arange(n, dtype=np.int64) * 1_000_003
+    return _has(filtered, v)
+
+
+def _where(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Filters of documents and lines for lines (d, l)."""
+    return _filter(lines.select(F.col("d").alias("v"))), _filter(lines.select(F.expr(_place("d", "l")).alias("v")))
 
 
 def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sa, sb, words of the sets in pairs, read from the documents again that may hold them. The filter of documents has a fixed size."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    both = pairs.select(slot("xd").alias("s")).union(pairs.select(slot("yd").alias("s")))
-    bits = both.groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("b")).toArrow()
-    table = np.zeros(FILTER // 64, np.int64)
-    table[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """sa, words (their hashes) of the sets in pairs, read again from the lines that hold them, which filters of fixed size find."""
+    ends = pairs.select(F.col("xa").alias("sa"), F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("ya", "yd", "yl")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_where(ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_docs, in_lines = shared.value
         for b in batches:
-            s = b.column(0).to_numpy()
-            on = (shared.value[s >> 6] >> (s & 63)) & 1 == 1
-            cut = b.filter(pa.array(on))
-            sets = [sorted(w) for t in utf8(cut.column(1)) for x in t.split(b"\n") if (w := set(x.split()))]
-            if sets:
-                sa, sb = zip(*map(_signature, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(sets, pa.list_(pa.binary()))], names=["sa", "sb", "words"])
+            cut = b.filter(pa.array(_has(in_docs, b.column(0).fill_null(_NONE).to_numpy())))
+            texts = []
+            for d, t in zip(cut.column(0).fill_null(_NONE).to_pylist(), utf8(cut.column(1)), strict=True):
+                parts = t.split(b"\n")
+                texts += [parts[k] for k in np.flatnonzero(_lines_in(in_lines, d, len(parts))).tolist()]
+            for _, some in _chunks(texts):
+                s = _Sets(some)
+                cuts = pa.array(np.append(s.start, len(s.h)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(s.signature(0)), pa.ListArray.from_arrays(cuts, pa.array(s.h.view(np.int64)))], names=["sa", "words"])
 
-    wanted = pairs.select(F.col("xa").alias("sa"), F.col("xb").alias("sb")).union(pairs.select("ya", "yb")).distinct()
-    found = docs.select(slot("doc_id").alias("s"), "text").mapInArrow(run, "sa long, sb long, words array<binary>")
-    return found.join(wanted, ["sa", "sb"], "left_semi").groupBy("sa", "sb").agg(F.first("words").alias("words"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sa long, words array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """sa, sb of the later sets of those pairs that are as similar as asked for."""
+    """xa, xd, xl of the later sets of those pairs that are as similar as asked for."""
     up, down = threshold
-    w = stored(_words(docs, pairs), "words")
-    x, y = w.toDF("xa", "xb", "wx"), w.toDF("ya", "yb", "wy")
+    w = _words(docs, pairs)  # read once: both joins take it from one shuffle
     both = F.size(F.array_intersect("wx", "wy"))
-    return pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).where(down * both >= up * (F.size("wx") + F.size("wy") - both)).select(F.col("xa").alias("sa"), F.col("xb").alias("sb")).distinct()
-
-
-def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All lines with words (doc_id, line), and those of them that go: doc_id, line, sa, sb."""
-    table = rarity(docs)
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    every = stored(lines(docs, table, threshold), "lines")
-    sets = every.groupBy("sa", "sb").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    pairs = stored(_candidates(sets.withColumn("active", F.lit(True)), threshold, FIRST, doc_type), "pairs")
-    similar = stored(_verified(docs, pairs, threshold), "similar")
-    again = stored(pairs.where("more").select(F.col("xa").alias("sa"), F.col("xb").alias("sb")).distinct().join(similar, ["sa", "sb"], "left_anti"), "again")
+    joined = pairs.join(w.toDF("xa", "wx"), "xa").join(w.toDF("ya", "wy"), "ya")
+    return stored(joined.where(down * both >= up * (F.size("wx") + F.size("wy") - both)).select("xa", "xd", "xl").distinct(), "similar")
+
+
+def _similar(docs: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """_verified() for the likeliest earlier set of each first, then for the others of those that it wasn't."""
+    pairs = found.where(F.col("what") == _PAIRS).drop("what", "code")
+    best = stored(pairs.groupBy("xa").agg(F.min(F.struct("odd", "ya", "yd", "yl", "xd", "xl")).alias("e")).select("xa", "e.*"), "pairs")
+    first = _verified(docs, best, threshold)
+    rest = pairs.join(first, "xa", "left_anti").join(best.select("xa", "ya"), ["xa", "ya"], "left_anti")
+    rest = stored(rest.dropDuplicates(["xa", "ya"]), "pairs")
+    return first.union(_verified(docs, rest, threshold)) if rest.limit(1).count() else first
+
+
+def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The lines that go: doc_id, line, sa (half of the set's hash, which tells rows of one doc_id apart)."""
+    rare, words = rarity(docs)
+    blocks = max(1, words // BLOCK_WORDS)
+    found = stored(_blocks(docs, rare, blocks, threshold).groupBy("block").applyInArrow(_matcher(threshold, FIRST, None), _FOUND), "found")
+    similar = _similar(docs, found, threshold)
+    members = found.where(F.col("what") == _MEMBERS)
+    again = stored(members.where("code >= 0").select("xa", "code").distinct().join(similar, "xa", "left_anti"), "again")
     if again.count():
-        # Those whose first candidates have all failed: now with all earlier ones.
-        rest = sets.join(again.withColumn("active", F.lit(True)), ["sa", "sb"], "left").fillna(False, ["active"])
-        more = stored(_candidates(rest, threshold, None, doc_type), "pairs")
-        similar = stored(similar.union(_verified(docs, more, threshold)), "similar")
-        forget(more)
-    first = sets.select("sa", "sb", "at", "copies").join(similar.withColumn("similar", F.lit(True)), ["sa", "sb"], "left").where("similar OR copies > 1")
-    here = F.struct("doc_id", "line")
-    gone = every.select("doc_id", "line", "sa", "sb").join(first.select("sa", "sb", "at", "similar"), ["sa", "sb"]).where(F.col("similar").isNotNull() | ~here.eqNullSafe(F.col("at")))
-    return every.select("doc_id", "line"), gone.select("doc_id", "line", "sa", "sb")
+        # Those whose first candidates have all failed: now with all earlier ones of the words in which there are more.
+        words_ = again.select("code").distinct()
+        held = members.select(F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("code"), F.col("xd").alias("d"), F.col("xl").alias("l")).join(words_, "code", "left_semi")
+        held = stored(held.union(members.join(again.select("xa").distinct(), "xa", "left_semi").select(F.lit(0).cast("long"), "xd", "xl")), "members")
+        active = _filter(again.select(F.col("xa").alias("v")))
+        only = (*_where(held), _filter(again.select(F.col("code").alias("v"))))
+        rest = _blocks(docs, rare, blocks, threshold, only).groupBy("block").applyInArrow(_matcher(threshold, None, active), _FOUND).join(again.select("xa").distinct(), "xa", "left_semi")
+        similar = similar.union(_similar(docs, stored(rest, "found"), threshold))
+    gone = found.where(F.col("what") == _COPY).select("xa", "xd", "xl").union(similar.select("xa", "xd", "xl"))
+    return gone.select(F.when(F.col("xd") != _NONE, F.col("xd")).alias("doc_id"), F.col("xl").alias("line"), F.col("xa").alias("sa"))
 
 
 def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs, with docs' columns, without the lines that repeated() names."""
-    gone = repeated(docs, threshold)[1].groupBy("doc_id").agg(F.collect_set(F.struct("line", "sa", "sb")).alias("__gone"))
+    gone = repeated(docs, threshold).groupBy("doc_id").agg(F.collect_set(F.struct("line", "sa")).alias("__gone"))
     gone = stored(gone.withColumnRenamed("doc_id", "__id"), "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
     columns = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    rows = docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left").select(*[docs[f"`{c}`"].alias(x) for c, x in columns.items()], "__gone")
+    rows = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__id"]), "left").select(*[docs[f"`{c}`"].alias(x) for c, x in columns.items()], "__gone")
     schema = T.StructType([T.StructField(x, docs.schema[c].dataType) for c, x in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +440,11 @@ def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
             kept = []
             for t, cut in zip(b.column(text_at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
                 if t is not None and cut:
-                    named = {x["line"]: (x["sa"], x["sb"]) for x in cut}
-                    parts = t.encode().split(b"\n")
-                    t = b"\n".join(p for k, p in enumerate(parts) if k not in named or _signature(sorted(set(p.split()))) not in {named[k]}).decode()
+                    named = {(x["line"], x["sa"]) for x in cut}
+                    s = _Sets([t.encode()])
+                    drop = {k for k in zip(s.line.tolist(), s.signature(0).tolist(), strict=True) if k in named}
+                    drop = {k for k, _ in drop}
+                    t = "\n".join(p for k, p in enumerate(t.split("\n")) if k not in drop)
                 kept.append(t)
             out = list(b.columns[: len(columns)])
             out[text_at] = pa.array(kept, b.schema.field(text_at).type)
@@ -278,11 +457,9 @@ def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    every, gone = repeated(docs)
-    n = every.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    g = gone.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.array_join(F.array_sort(F.collect_set("line")), ",").alias("removed_lines"))
-    out = docs.select("doc_id").join(n, "doc_id", "left").join(g, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+    g = repeated(docs).groupBy("doc_id").agg(F.countDistinct("line").alias("n_removed"), F.array_join(F.array_sort(F.collect_set("line")), ",").alias("removed_lines"))
+    out = docs.select(F.col("doc_id").cast("long")).join(g, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}
