@@ -9,7 +9,7 @@ their sizes differ little (length filter). A set also carries 64 parities of its
 differ is a lower bound on the words they don't share. Postings travel in blocks by hash of their word, are sorted by word,
 and within a word each set is held against the earlier ones until some (FIRST) have passed all filters, so that a family of
 thousands of near copies costs each member a few looks and no list of all its pairs is ever made. Candidates are verified
-on the hashes (64 bits) of all their words, for each set the likeliest one first. A set whose first candidates all fail and that had more is looked at again, against all. The lines
+on the hashes (64 bits) of all their words; of large sets, 1024 parities are compared before. A set whose first candidates all fail and that had more is looked at again, against all. The lines
 themselves travel in the same blocks, by hash of their sets, once for each set and run of texts: the copies in a run are
 known to be copies without meeting the others.
 
@@ -39,6 +39,8 @@ TABLE, PARTS = 1 << 22, 16
 #: Candidates of a set for a word: at most so many of which few parities differ (TELLING; of sets without a common word half do), and so many in all.
 FIRST = (4, 16)
 TELLING = 18
+#: Sets of more words are verified by parities first.
+SHORT = 96
 #: Bytes hashed at once, and words of the corpus for each block of postings.
 CHUNK, BLOCK_WORDS = 1 << 18, 600_000
 #: Removed lines of at most so many documents are broadcast to rewrite them (under 100 bytes each on average); beyond, rows are shuffled by id.
@@ -177,14 +179,12 @@ def _unpacked(t: pa.Table, kind: int, layout: tuple) -> dict[str, np.ndarray]:
     return {name: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype) for i, (name, dtype) in enumerate(layout)}
 
 
-def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int, int], only: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """kind, block, n, payload: postings of the lines' prefixes by block of words, and lines by block of sets. `only`: filters of documents,
-    lines and words, to post nothing else."""
+def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int, int]) -> DataFrame:
+    """kind, block, n, payload: postings of the lines' prefixes by block of words, and lines by block of sets."""
     up, down = threshold
-    shared = docs.sparkSession.sparkContext.broadcast((rare, only))
+    shared = docs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, only = shared.value
         posted: list[list[np.ndarray]] = []
         lined: list[list[np.ndarray]] = []
         count = 0
@@ -206,13 +206,9 @@ def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int
                     yield _packed(_COPIES, np.arange(copy.sum()) % blocks, [sa[copy], sb[copy], doc[copy], line[copy]])
 
         for b in batches:
-            if only:
-                b = b.filter(pa.array(_has(only[0], b.column(0).fill_null(_NONE).to_numpy())))
-            ids, all_texts = b.column(0).fill_null(_NONE).to_numpy(), utf8(b.column(1))
-            if only:
-                all_texts = [b"\n".join(x if on else b"" for x, on in zip(t.split(b"\n"), _lines_in(only[1], d, t.count(b"\n") + 1), strict=True)) for d, t in zip(ids.tolist(), all_texts, strict=True)]
-            for at, texts in _chunks(all_texts):
-                s = _Sets(texts, rare)
+            ids = b.column(0).fill_null(_NONE).to_numpy()
+            for at, texts in _chunks(utf8(b.column(1))):
+                s = _Sets(texts, shared.value)
                 if not len(s.start):
                     continue
                 sa, doc = s.signature(0), ids[s.doc + at]
@@ -222,10 +218,7 @@ def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int
                 prefix[once] = s.size[once] - -(-up * s.size[once] // down) + 1
                 place = np.arange(len(s.rare)) - np.repeat(s.start, s.size)
                 keep = np.flatnonzero((place < np.repeat(prefix, s.size)) & (s.rare > 0))
-                if only:
-                    keep = keep[_has(only[2], (s.h[keep] >> np.uint64(32)).astype(np.int64))]
-                else:
-                    lined.append([sa, s.signature(1), doc, s.line])
+                lined.append([sa, s.signature(1), doc, s.line])
                 of = np.repeat(np.arange(len(sa)), s.size)[keep]
                 odd = _parity(s)
                 code = s.h[keep]
@@ -247,7 +240,7 @@ def _parity(s: _Sets) -> np.ndarray:
 
 #: What blocks show: pairs, copies (x alone), and members of words whose lists weren't looked through (x alone).
 _PAIRS, _COPY, _MEMBERS = range(3)
-_FOUND = "what int, xa long, xd long, xl int, ya long, yd long, yl int, code long, odd int"
+_FOUND = "what int, xa long, xd long, xl int, ya long, yd long, yl int, code long, n int, parity long"
 
 
 def _met(code: np.ndarray) -> np.ndarray:
@@ -257,17 +250,17 @@ def _met(code: np.ndarray) -> np.ndarray:
     return same[1:] | same[:-1]
 
 
-_FOUND_TYPES = pa.schema([("what", pa.int32()), ("xa", pa.int64()), ("xd", pa.int64()), ("xl", pa.int32()), ("ya", pa.int64()), ("yd", pa.int64()), ("yl", pa.int32()), ("code", pa.int64()), ("odd", pa.int32())])
+_FOUND_TYPES = pa.schema([("what", pa.int32()), ("xa", pa.int64()), ("xd", pa.int64()), ("xl", pa.int32()), ("ya", pa.int64()), ("yd", pa.int64()), ("yl", pa.int32()), ("code", pa.int64()), ("n", pa.int32()), ("parity", pa.int64())])
 
 
-def _matcher(threshold: tuple[int, int], first: tuple[int, int] | None, active: np.ndarray | None):
-    """What a block shows: copies of lines, and for a set the earlier ones of its word that pass all filters, at most as many as `first`
-    says. active: filter of the sets that look for candidates."""
+def _matcher(threshold: tuple[int, int], first: tuple[int, int]):
+    """What a block shows: copies of lines, and for a set the earlier ones of its word that pass all filters, at most as many as `first` says."""
     up, down = threshold
 
-    def alone(what: int, sa: np.ndarray, doc: np.ndarray, line: np.ndarray, code: np.ndarray | None) -> pa.Table:
+    def alone(what: int, sa: np.ndarray, doc: np.ndarray, line: np.ndarray, code=None, n=None, parity=None) -> pa.Table:
         none = pa.nulls(len(sa), pa.int64())
-        return pa.table([pa.array(np.full(len(sa), what, np.int32)), sa, doc, line, none, none, none.cast(pa.int32()), none if code is None else pa.array(code), none.cast(pa.int32())], schema=_FOUND_TYPES)
+        more = [none if x is None else pa.array(x) for x in (code, n, parity)]
+        return pa.table([pa.array(np.full(len(sa), what, np.int32)), sa, doc, line, none, none, none.cast(pa.int32()), more[0], more[1].cast(pa.int32()), more[2]], schema=_FOUND_TYPES)
 
     def copies(t: pa.Table) -> pa.Table:
         c, known = _unpacked(t, _LINES, _LINE), _unpacked(t, _COPIES, _LINE)
@@ -278,7 +271,7 @@ def _matcher(threshold: tuple[int, int], first: tuple[int, int] | None, active:
         of = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
         late = (c["doc"] != c["doc"][of]) | (c["line"] != c["line"][of])
         sa, doc, line = (np.concatenate([c[k][late], known[k]]) for k in ("sa", "doc", "line"))
-        return alone(_COPY, sa, doc, line, None)
+        return alone(_COPY, sa, doc, line)
 
     def match(t: pa.Table) -> pa.Table:
         c = _unpacked(t, _POSTINGS, _POSTING)
@@ -297,10 +290,8 @@ def _matcher(threshold: tuple[int, int], first: tuple[int, int] | None, active:
         n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
         begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
         rank = np.arange(len(code)) - np.repeat(begins, np.diff(np.append(begins, len(code))))
-        at, xs, ys, odds = np.flatnonzero(rank > 0), [], [], []
+        at, xs, ys = np.flatnonzero(rank > 0), [], []
         strong, hits = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        if active is not None:
-            at = at[_has(active, c["sa"][at])]
         d = 1
         while len(at):
             x, y = at, at - d
@@ -313,22 +304,20 @@ def _matcher(threshold: tuple[int, int], first: tuple[int, int] | None, active:
             if ok.any():
                 xs.append(x[ok])
                 ys.append(y[ok])
-                odds.append(1000 * odd[ok] // np.maximum(apart[ok], 1))
                 hits[x[ok]] += 1
                 strong[x[ok]] += odd[ok] <= TELLING
             d += 1
             at = at[rank[at] >= d]
-            if first:
-                at = at[(strong[at] < first[0]) & (hits[at] < first[1])]
-        x, y, odd = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys, odds))
-        pairs = pa.table([pa.array(np.zeros(len(x), np.int32)), c["sa"][x], doc[x], line[x], c["sa"][y], doc[y], line[y], code[x].astype(np.int64), pa.array(odd.astype(np.int32))], schema=_FOUND_TYPES)
-        if not first:
-            return pairs
-        # The postings of a word in which a set has stopped early: that set may have to look again.
+            at = at[(strong[at] < first[0]) & (hits[at] < first[1])]
+        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
+        none = pa.nulls(len(x), pa.int64())
+        pairs = pa.table([pa.array(np.zeros(len(x), np.int32)), c["sa"][x], doc[x], line[x], c["sa"][y], doc[y], line[y], none, none.cast(pa.int32()), none], schema=_FOUND_TYPES)
+        # The postings of a word in which a set has stopped early: that set may have to look again. Its own have the code as it is, the others -1 less it.
         stopped = ((strong >= first[0]) | (hits >= first[1])) & (rank > hits)
         group = np.cumsum(rank == 0) - 1
         rows = np.flatnonzero(np.isin(group, group[stopped]))
-        return pa.concat_tables([pairs, alone(_MEMBERS, c["sa"][rows], doc[rows], line[rows], np.where(stopped[rows], code[rows].astype(np.int64), -1 - code[rows].astype(np.int64)))])
+        own = code[rows].astype(np.int64)
+        return pa.concat_tables([pairs, alone(_MEMBERS, c["sa"][rows], doc[rows], line[rows], np.where(stopped[rows], own, -1 - own), n[rows].astype(np.int32), parity[rows].view(np.int64))])
 
     return lambda t: pa.concat_tables([copies(t), match(t)])
 
@@ -364,9 +353,10 @@ def _where(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _filter(lines.select(F.col("d").alias("v"))), _filter(lines.select(F.expr(_place("d", "l")).alias("v")))
 
 
-def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sa, words (their hashes) of the sets in pairs, read again from the lines that hold them, which filters of fixed size find."""
-    ends = pairs.select(F.col("xa").alias("sa"), F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("ya", "yd", "yl")).distinct()
+def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+    """sa, n, words (their hashes) and bits (1024 parities of them) of the sets in pairs, read again from the lines that hold them, which
+    filters of fixed size find. Unless asked for whole, sets of more than SHORT words have bits and no words, the others words alone."""
+    ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(_where(ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,48 +369,61 @@ def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 texts += [parts[k] for k in np.flatnonzero(_lines_in(in_lines, d, len(parts))).tolist()]
             for _, some in _chunks(texts):
                 s = _Sets(some)
-                cuts = pa.array(np.append(s.start, len(s.h)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(s.signature(0)), pa.ListArray.from_arrays(cuts, pa.array(s.h.view(np.int64)))], names=["sa", "words"])
+                if not len(s.start):
+                    continue
+                long_ = (s.size > SHORT) & (not whole)
+                kept = np.where(long_, 0, s.size)
+                words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)).astype(np.int32)), pa.array(s.h[~np.repeat(long_, s.size)].view(np.int64)))
+                rows = np.cumsum(long_) - 1
+                of = np.repeat(np.arange(len(s.size)), s.size)
+                odd = np.bincount(rows[of[long_[of]]] * 1024 + (s.h[long_[of]] & np.uint64(1023)).astype(np.int64), minlength=1024 * int(long_.sum())) & 1
+                bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(long_, 16, 0))).astype(np.int32)), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(s.signature(0)), pa.array(s.size.astype(np.int32)), words, bits], names=["sa", "n", "words", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sa long, words array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sa long, n int, words array<long>, bits array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """xa, xd, xl of the later sets of those pairs that are as similar as asked for."""
     up, down = threshold
-    w = _words(docs, pairs)  # read once: both joins take it from one shuffle
-    both = F.size(F.array_intersect("wx", "wy"))
-    joined = pairs.join(w.toDF("xa", "wx"), "xa").join(w.toDF("ya", "wy"), "ya")
-    return stored(joined.where(down * both >= up * (F.size("wx") + F.size("wy") - both)).select("xa", "xd", "xl").distinct(), "similar")
 
+    def joined(pairs: DataFrame, whole: bool) -> DataFrame:
+        w = _sets_of(docs, pairs, whole)  # read once: both joins take it from one shuffle
+        return pairs.join(w.toDF("xa", "nx", "wx", "bx"), "xa").join(w.toDF("ya", "ny", "wy", "by"), "ya")
 
-def _similar(docs: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """_verified() for the likeliest earlier set of each first, then for the others of those that it wasn't."""
-    pairs = found.where(F.col("what") == _PAIRS).drop("what", "code")
-    best = stored(pairs.groupBy("xa").agg(F.min(F.struct("odd", "ya", "yd", "yl", "xd", "xl")).alias("e")).select("xa", "e.*"), "pairs")
-    first = _verified(docs, best, threshold)
-    rest = pairs.join(first, "xa", "left_anti").join(best.select("xa", "ya"), ["xa", "ya"], "left_anti")
-    rest = stored(rest.dropDuplicates(["xa", "ya"]), "pairs")
-    return first.union(_verified(docs, rest, threshold)) if rest.limit(1).count() else first
+    similar = F.expr(f"{down} * size(array_intersect(wx, wy)) >= {up} * (nx + ny - size(array_intersect(wx, wy)))")
+    apart = F.expr(f"aggregate(zip_with(bx, by, (a, b) -> bit_count(a ^ b)), 0, (s, x) -> s + x) <= nx + ny - 2 * ceil({up} * (nx + ny) / {up + down})")
+    both_long = (F.size("wx") == 0) & (F.size("wy") == 0)
+    either_long = (F.size("wx") == 0) | (F.size("wy") == 0)
+    # One long and one short set of similar sizes are looked at whole.
+    seen = joined(pairs, False).withColumn("sure", ~either_long).where(F.when(both_long, apart).when(either_long, F.lit(True)).otherwise(similar))
+    seen = stored(seen.select("xa", "xd", "xl", "ya", "yd", "yl", "sure").distinct(), "seen")
+    sure = seen.where("sure").select("xa", "xd", "xl").distinct()
+    open_ = seen.where("NOT sure").drop("sure").join(sure.select("xa"), "xa", "left_anti")
+    if not open_.limit(1).count():
+        return sure
+    return stored(sure.union(joined(open_, True).where(similar).select("xa", "xd", "xl")).distinct(), "similar")
 
 
 def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The lines that go: doc_id, line, sa (half of the set's hash, which tells rows of one doc_id apart)."""
+    up, down = threshold
     rare, words = rarity(docs)
     blocks = max(1, words // BLOCK_WORDS)
-    found = stored(_blocks(docs, rare, blocks, threshold).groupBy("block").applyInArrow(_matcher(threshold, FIRST, None), _FOUND), "found")
-    similar = _similar(docs, found, threshold)
-    members = found.where(F.col("what") == _MEMBERS)
-    again = stored(members.where("code >= 0").select("xa", "code").distinct().join(similar, "xa", "left_anti"), "again")
-    if again.count():
+    found = stored(_blocks(docs, rare, blocks, threshold).groupBy("block").applyInArrow(_matcher(threshold, FIRST), _FOUND), "found")
+    place = ("xa", "ya", "xd", "xl", "yd", "yl")
+    pairs = found.where(F.col("what") == _PAIRS).select(*place).dropDuplicates(["xa", "ya"])
+    similar = _verified(docs, stored(pairs, "pairs"), threshold)
+    members = found.where(F.col("what") == _MEMBERS).select("xa", "xd", "xl", "code", "n", "parity")
+    again = stored(members.where("code >= 0").join(similar.select("xa"), "xa", "left_anti"), "again")
+    if again.limit(1).count():
         # Those whose first candidates have all failed: now with all earlier ones of the words in which there are more.
-        words_ = again.select("code").distinct()
-        held = members.select(F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("code"), F.col("xd").alias("d"), F.col("xl").alias("l")).join(words_, "code", "left_semi")
-        held = stored(held.union(members.join(again.select("xa").distinct(), "xa", "left_semi").select(F.lit(0).cast("long"), "xd", "xl")), "members")
-        active = _filter(again.select(F.col("xa").alias("v")))
-        only = (*_where(held), _filter(again.select(F.col("code").alias("v"))))
-        rest = _blocks(docs, rare, blocks, threshold, only).groupBy("block").applyInArrow(_matcher(threshold, None, active), _FOUND).join(again.select("xa").distinct(), "xa", "left_semi")
-        similar = similar.union(_similar(docs, stored(rest, "found"), threshold))
+        others = members.select(F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("code"), *(F.col(a).alias(b) for a, b in (("xa", "ya"), ("xd", "yd"), ("xl", "yl"), ("n", "m"), ("parity", "odd"))))
+        earlier = "(yd < xd OR (yd = xd AND yl < xl))"
+        near = f"{down} * least(n, m) >= {up} * greatest(n, m) AND bit_count(parity ^ odd) <= n + m - 2 * ceil({up} * (n + m) / {up + down})"
+        rest = again.join(others, "code").where(f"{earlier} AND {near}").select(*place).dropDuplicates(["xa", "ya"]).join(pairs.select("xa", "ya"), ["xa", "ya"], "left_anti")
+        similar = similar.union(_verified(docs, stored(rest, "pairs"), threshold))
     gone = found.where(F.col("what") == _COPY).select("xa", "xd", "xl").union(similar.select("xa", "xd", "xl"))
     return gone.select(F.when(F.col("xd") != _NONE, F.col("xd")).alias("doc_id"), F.col("xl").alias("line"), F.col("xa").alias("sa"))
 
@@ -457,7 +460,8 @@ def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    g = repeated(docs).groupBy("doc_id").agg(F.countDistinct("line").alias("n_removed"), F.array_join(F.array_sort(F.collect_set("line")), ",").alias("removed_lines"))
+    g = repeated(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    g = g.select("doc_id", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"))
     out = docs.select(F.col("doc_id").cast("long")).join(g, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
