@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +29,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The column's texts as UTF-8 bytes; null is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+def utf8(column: pa.Array) -> Iterator[bytes]:
+    """The column's texts as UTF-8 bytes, some at a time so that a batch isn't held twice; null is empty."""
+    for at in range(0, len(column), 256):
+        for x in column.slice(at, 256).cast(pa.large_binary()).to_pylist():
+            yield b"" if x is None else x
+
+
+_SCRATCH: dict[str, dict] = {}
+
+
+def scratch(operator: str) -> dict:
+    """What tasks of an operator keep from one to the next in a Python worker. Workers go from one operator to another: what others
+    have kept is let go."""
+    for other in [k for k in _SCRATCH if k != operator]:
+        del _SCRATCH[other]
+    return _SCRATCH.setdefault(operator, {})
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -23,15 +23,16 @@ are carried through, n_chars is set anew where there is one; a text whose lines
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stored, utf8
+from .common import read, scratch, stored, utf8
 
 #: The similarity asked for, as a fraction.
 THRESHOLD = (4, 5)
@@ -50,6 +51,8 @@ FILTER = 1 << 23
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 4096
 _NONE = np.iinfo(np.int64).min  # a null doc_id within postings; it comes first
 
 
@@ -60,21 +63,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about CHUNK bytes, with the number of the first."""
+    held: list[bytes] = []
     at = size = 0
-    for i, t in enumerate(texts):
+    for t in texts:
+        held.append(t)
         size += len(t) + 1
         if size > CHUNK:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+            yield at, held
+            at, held, size = at + len(held), [], 0
+    if held:
+        yield at, held
 
 
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of texts, in order: the line they stand in, counted through all texts, and their hash; also each text's first line."""
-    a = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    buffer = b"\n".join(texts) + b"\n" + bytes(8)
+    a = np.frombuffer(buffer, np.uint8, len(buffer) - 8)
     word = ~_SPACE[a]
     edge = np.diff(word.view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -82,14 +88,18 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.searchsorted(feeds, begin)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     first = np.concatenate([[0], np.searchsorted(feeds, ends[:-1])])
-    if not len(begin):
-        return line, np.empty(0, np.uint64), first
+    # Eight bytes of every word at a time, those behind its end masked; its length counts too.
+    eight = np.ndarray((len(a),), "<u8", buffer, strides=(1,))
     size = end - begin
-    start = np.cumsum(size) - size
-    letters = a[word].astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(letters)) - np.repeat(start, size)
-    powers = np.cumprod(np.full(int(size.max()), _P))
-    return line, _mix(np.add.reduceat(letters * powers[place], start)), first
+    h = _mix((eight[begin] & _MASK[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _P))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG_WORD:
+        h[more] = _mix(h[more] * _P + (eight[begin[more] + at] & _MASK[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        h[i] = np.uint64(xxhash.xxh64_intdigest(buffer[begin[i] : end[i]]))
+    return line, h, first
 
 
 def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -100,6 +110,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     part = TABLE // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch("line_dedup")
         total = np.zeros(TABLE, np.uint32)
         for b in batches:
             for _, texts in _chunks(utf8(b.column(0))):
@@ -278,13 +289,13 @@ def _matcher(threshold: tuple[int, int], first: tuple[int, int]):
         # Words with one posting are of no use, and of a set's postings for a word the first stays.
         order = np.argsort(c["code"])
         order = order[_met(c["code"][order])]
-        order = order[np.lexsort((c["line"][order], c["doc"][order], c["sa"][order], c["code"][order]))]
-        code, sa = c["code"][order], c["sa"][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (code[1:] != code[:-1]) | (sa[1:] != sa[:-1])
-        order = order[new]
-        order = order[_met(c["code"][order])]
         order = order[np.lexsort((c["line"][order], c["doc"][order], c["code"][order]))]
+        again = order[np.argsort((c["code"][order].astype(np.uint64) << np.uint64(32)) | (c["sa"][order].view(np.uint64) >> np.uint64(32)), kind="stable")]
+        code, sa = c["code"][again], c["sa"][again]
+        twin = np.zeros(len(c["code"]), bool)
+        twin[again[1:]] = (code[1:] == code[:-1]) & (sa[1:] == sa[:-1])
+        order = order[~twin[order]]
+        order = order[_met(c["code"][order])]
         c = {k: v[order] for k, v in c.items()}
         code, doc, line, parity = c["code"], c["doc"], c["line"], c["parity"]
         n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
@@ -359,15 +370,18 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
     ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(_where(ends))
 
+    def named(ids: list[int], texts: Iterator[bytes], in_lines: np.ndarray) -> Iterator[bytes]:
+        for d, t in zip(ids, texts, strict=True):
+            parts = t.split(b"\n")
+            for k in np.flatnonzero(_lines_in(in_lines, d, len(parts))).tolist():
+                yield parts[k]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_docs, in_lines = shared.value
         for b in batches:
             cut = b.filter(pa.array(_has(in_docs, b.column(0).fill_null(_NONE).to_numpy())))
-            texts = []
-            for d, t in zip(cut.column(0).fill_null(_NONE).to_pylist(), utf8(cut.column(1)), strict=True):
-                parts = t.split(b"\n")
-                texts += [parts[k] for k in np.flatnonzero(_lines_in(in_lines, d, len(parts))).tolist()]
-            for _, some in _chunks(texts):
+            ids = cut.column(0).fill_null(_NONE).to_pylist()
+            for _, some in _chunks(named(ids, utf8(cut.column(1)), in_lines)):
                 s = _Sets(some)
                 if not len(s.start):
                     continue

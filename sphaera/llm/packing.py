@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stored, utf8
+from .common import read, scratch, stored, utf8
 
 CAPACITY, END, SHARD = 4096, 1, 30_000
 #: Words that a worker keeps the ids of, some 200 bytes each.
@@ -53,15 +53,17 @@ class _Ids(dict):
         return ids
 
 
-_CACHES: dict[str, _Ids] = {}
+def _words(path: str) -> _Ids:
+    kept = scratch("packing")
+    if path not in kept:
+        kept[path] = _Ids(path)
+    return kept[path]
 
 
-def _ids(text: bytes, path: str) -> bytes:
-    if path not in _CACHES:
-        _CACHES[path] = _Ids(path)
+def _ids(text: bytes, words: _Ids) -> bytes:
     if b"<|" not in text:  # special tokens are matched before letters are lowered
         text = text.lower()
-    return b"".join(map(_CACHES[path].__getitem__, text.split())) + END.to_bytes(4, "little")
+    return b"".join(map(words.__getitem__, text.split())) + END.to_bytes(4, "little")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,10 +80,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         fields.append(T.StructField("ids", T.BinaryType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(path)
         for b in batches:
             row, out = [], []
             for i, text in enumerate(utf8(b.column(1))):
-                ids = _ids(text, path)
+                ids = _ids(text, words)
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     row.append(i)

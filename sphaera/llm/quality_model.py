@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, utf8
+from .common import read, scratch, utf8
 
 BUCKETS, DIM, SIGNS, WINDOW, BLOCK = 1 << 15, 64, 2, 2, 1 << 8
 FEATURES = 3 * DIM
@@ -50,11 +50,15 @@ class _Parts(dict):
         return out
 
 
-_CACHE = _Parts()
+def _parts() -> _Parts:
+    kept = scratch("quality_model")
+    if "parts" not in kept:
+        kept["parts"] = _Parts()
+    return kept["parts"]
 
 
-def _buckets(text: bytes) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_CACHE.__getitem__, text.split())), "<i4")
+def _buckets(text: bytes, parts: _Parts) -> np.ndarray:
+    return np.frombuffer(b"".join(map(parts.__getitem__, text.split())), "<i4")
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +85,10 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for j in range(SIGNS):
                     sums[:] += np.bincount(x * DIM + places[y, j], weights=signs[y, j], minlength=BUCKETS * DIM)
 
-    held, size = [], 0
+    held, size, parts = [], 0, _parts()
     for b in batches:
         for t in utf8(b.column(0)):
-            held.append(_buckets(t))
+            held.append(_buckets(t, parts))
             size += len(held[-1])
             if size > 2_000_000:
                 add(held)
@@ -120,9 +124,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def _features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    out, parts = np.zeros((len(texts), FEATURES), np.float32), _parts()
     for i, t in enumerate(texts):
-        if len(ids := _buckets(t)):
+        if len(ids := _buckets(t, parts)):
             v = vectors[ids]
             out[i, :DIM] = mean = np.add.reduce(v, axis=0) / len(ids)
             out[i, DIM : 2 * DIM] = np.sqrt(np.maximum(np.einsum("ij,ij->j", v, v) / len(ids) - mean * mean, 0))
@@ -199,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _features(utf8(b.column(1)), shared.value)
+            x = _features(list(utf8(b.column(1))), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("label", T.DoubleType()), T.StructField("x", T.BinaryType())])
@@ -217,7 +221,9 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.scores(_features(utf8(b.column(1)), vectors).astype(np.float64)))], names=["doc_id", "score"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(net.scores(_features(list(utf8(part.column(1))), vectors).astype(np.float64)))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

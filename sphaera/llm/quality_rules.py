@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, read, utf8
+from .common import WORD, read, scratch, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_stutter")
 SYMBOLS, SPACE, WINDOW = b"#*$%&|<>", b" \t\n\v\f\r", 8
@@ -92,6 +92,7 @@ def measure(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(m, T.LongType(), False) for m in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch("quality_rules")
         for b in batches:
             rows = np.array([_measure(t) for t in utf8(b.column(text_at))], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:text_at], *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], names=[*keep, *MEASURES])

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def dictionary(docs: DataFrame) -> np.ndarray:
         total = np.zeros(TABLE, np.int64)
         for b in batches:
             held, size = [], 0
-            for t in [*utf8(b.column(0)), None]:
+            for t in chain(utf8(b.column(0)), [None]):
                 if t is not None:
                     held.append(t)
                     size += len(t)
