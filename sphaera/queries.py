@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import astro, calendar, geo
-from .operators import fields, filters, graph, ledger, ranking, stats, store, temporal
+from .operators import exports, fields, filters, graph, ledger, ranking, stats, store, temporal
 from .plans.nodes import run_graph
 from .sources import grid
 from .streaming.news import deliver_once
@@ -657,3 +657,114 @@ def ss_news_delivery(spark, d):
         return raw.selectExpr("o_custkey % 20 AS seat", "o_orderkey AS item", "o_orderkey % 300 AS arrives_day", "(o_custkey % 20) * 12 AS clock")
 
     return deliver_once(spark, f"{d}/orders*.parquet", schema, messages).select("seat", "item", "arrives_day")
+
+
+# --- exports --------------------------------------------------------------------------------------------------------------------
+
+
+@query("WITH c AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS v FROM part), e AS (SELECT min(v) AS a, max(v) AS b FROM c) SELECT p_partkey, CAST(floor((v - a) / (b - a) * 65535 + 0.5) AS INTEGER) AS level, CASE WHEN v > 1000 THEN 255 ELSE 0 END AS mask FROM c, e")
+def sink_png16_norm(spark, d):
+    c = read(spark, d, "part").selectExpr("p_partkey", "CAST(p_retailprice AS DOUBLE) AS v")
+    return exports.unit16(c, "v").select("p_partkey", "level", exports.mask255(F.col("v") > 1000).alias("mask"))
+
+
+@query(f"SELECT CAST({20 * FREQ**2} AS BIGINT) AS triangles, CAST({10 * FREQ**2 + 2} AS BIGINT) AS corners")
+def sink_globe_mesh(spark, d):
+    t = exports.mesh(grid.adjacency(spark, FREQ))
+    return t.agg(F.count("*").alias("triangles")).join(t.select(F.explode(F.array("a", "b", "c")).alias("v")).agg(F.countDistinct("v").alias("corners")), F.lit(True))
+
+
+@query(f"SELECT b AS block, i, j FROM range(0, 10) x(b), range(0, {FREQ}) y(i), range(0, {FREQ}) z(j)")
+def sink_atlas_pack(spark, d):
+    return exports.atlas(grid.lattice(spark, FREQ), FREQ).select("block", "i", "j")
+
+
+@query(f"WITH {PLACES_SQL} SELECT place, lon, lat, 'Feature' AS kind FROM places")
+def sink_geojson(spark, d):
+    """Features written as JSON and read back."""
+    p = places(spark, d).select("place", exports.feature(F.lit("place"), F.col("lon"), F.col("lat"), F.struct("place")).alias("f"))
+    back = F.from_json("f", "type string, geometry struct<coordinates: array<double>>, properties struct<place: bigint>")
+    return p.select(back.alias("b")).selectExpr("b.properties.place AS place", "b.geometry.coordinates[0] AS lon", "b.geometry.coordinates[1] AS lat", "b.type AS kind")
+
+
+@query("SELECT conv_id AS scene, role AS seat, turn AS ord, length(text) AS chars FROM conversations")
+def sink_transcript_jsonl(spark, d):
+    """A transcript written as JSON lines and read back."""
+    import uuid
+
+    from .tables import shared_dir
+
+    path = f"{shared_dir(spark)}/transcript-{uuid.uuid4().hex}"
+    exports.transcript(_scenes(spark, d)).write.text(path)
+    return exports.load_transcript(spark, path, "scene long, seat string, layer string, ord long, text string").select("scene", "seat", "ord", F.length("text").alias("chars"))
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier")
+def sink_world_save(spark, d):
+    """A world of one table, saved twice and loaded."""
+    import uuid
+
+    from .tables import shared_dir
+
+    path, t = f"{shared_dir(spark)}/world-{uuid.uuid4().hex}", read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    exports.save_world({"places": t.limit(1)}, path)
+    exports.save_world({"places": t}, path)
+    return exports.load_world(spark, path, ["places"])["places"]
+
+
+@query("WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id FROM p WHERE i % greatest(1, n // 20) = 0")
+def path_thin(spark, d):
+    return exports.thinned(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
+
+
+@query(
+    f"WITH {RING_SQL}, m AS (SELECT src, {_RINGZ.format('src')} - 500 AS here, avg({_RINGZ.format('dst')} - 500) AS there FROM ring GROUP BY src), s AS (SELECT count(*) AS seams FROM ring WHERE {_RINGZ.format('src')} > 500 AND {_RINGZ.format('dst')} > 500 AND {_RINGZ.format('src')} - {_RINGZ.format('dst')} > 100) "
+    f"SELECT {r6('avg(abs(here - there))', 'roughness')}, first(seams) AS seams FROM m, s WHERE here > 0"
+)
+def agg_roughness_seams(spark, d):
+    c, e = _ring_cells(spark, d), ring(spark, d)
+    return exports.roughness(c, e).join(exports.seams(c, e, 100.0), F.lit(True)).selectExpr(r6("roughness", "roughness"), "seams")
+
+
+@query("SELECT user_id, event_id, CAST(sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS along FROM events")
+def win_cumdist(spark, d):
+    from pyspark.sql import Window
+
+    return read(spark, d, "events").select("user_id", "event_id", F.sum(F.col("event_id") % 7).over(Window.partitionBy("user_id").orderBy("event_id")).alias("along"))
+
+
+@query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id FROM r WHERE k <= 24")
+def win_log_tail(spark, d):
+    from pyspark.sql import Window
+
+    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
+    return read(spark, d, "events").select("user_id", "event_id", last.alias("k")).where("k <= 24").drop("k")
+
+
+@query(f"WITH {PLACES_SQL}, n AS (SELECT s_suppkey AS town, {LON.format('s_suppkey * 7')} AS x, {LAT.format('s_suppkey * 11')} AS y FROM supplier), d AS (SELECT place, town, sin(radians(lat)) * sin(radians(y)) + cos(radians(lat)) * cos(radians(y)) * cos(radians(lon - x)) AS c FROM places, n) SELECT place, arg_max(town, c) AS town, {r6('6371 * acos(least(1, max(c)))', 'km')} FROM d GROUP BY place")
+def jn_nearest_settlement(spark, d):
+    # Settlements are a bounded list of a world's author; each place meets all of them and keeps one.
+    n = read(spark, d, "supplier").selectExpr("s_suppkey AS town", f"{LON.format('s_suppkey * 7')} AS x", f"{LAT.format('s_suppkey * 11')} AS y")
+    c = F.expr("sin(radians(lat)) * sin(radians(y)) + cos(radians(lat)) * cos(radians(y)) * cos(radians(lon - x))")
+    near = places(spark, d).join(F.broadcast(n)).withColumn("c", c)
+    return near.groupBy("place").agg(F.max_by("town", "c").alias("town"), F.max("c").alias("c")).selectExpr("place", "town", r6("6371 * acos(least(1, c))", "km"))
+
+
+def _ramp_sql() -> str:
+    """The ramp as a join with its bands."""
+    bands = []
+    for name, stops in (("sea", exports.RAMP_SEA), ("land", exports.RAMP_LAND)):
+        for (a, ca), (b, cb) in zip(stops, stops[1:], strict=False):
+            bands.append(f"('{name}', {a}, {b}, " + ", ".join(f"{x}, {y}" for x, y in zip(ca, cb, strict=True)) + ")")
+    mix = lambda c: f"CAST(floor({c}a + ({c}b - {c}a) * least(1, greatest(0, (z - a) / (b - a))) + 0.5) AS INTEGER) AS {c}"
+    return (
+        f"WITH {GRID_SQL}, s AS (SELECT * FROM (VALUES {', '.join(bands)}) v(part, a, b, ra, rb, ga, gb, ba, bb)), "
+        "u AS (SELECT cell, CASE WHEN cell = 0 THEN 9999 WHEN cell = 1 THEN -9999 ELSE z END AS z FROM w), "
+        f"j AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY a DESC) AS k FROM u JOIN s ON part = CASE WHEN z < 0 THEN 'sea' ELSE 'land' END AND (z >= a OR a = -6000)) SELECT cell, {mix('r')}, {mix('g')}, {mix('b')} FROM j WHERE k = 1"
+    )
+
+
+@query(_ramp_sql())
+def sink_color_ramp(spark, d):
+    z = F.when(F.col("cell") == 0, 9999).when(F.col("cell") == 1, -9999).otherwise(F.col("z"))
+    return world(spark).select("cell", exports.color_ramp(z).alias("c")).selectExpr("cell", "c.r AS r", "c.g AS g", "c.b AS b")
