@@ -189,3 +189,52 @@ def news_days(horse: str = "horse", ship: str = "ship") -> str:
     cents = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
     a, b = cents(f"{horse} * 0.6D"), cents(f"{ship} + 0.5D")
     return f"CASE WHEN {horse} IS NOT NULL AND ({ship} IS NULL OR {a} <= {b}) THEN named_struct('days', {a}, 'by', 'courier') WHEN {ship} IS NOT NULL THEN named_struct('days', {b}, 'by', 'ship') END"
+
+
+def accumulate_shared(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """nodes (node, value), edges (src, dst, share) without cycles, shares of a src summing to at most 1 -> node, total: what a node has and
+    what flows to it from all above.
+
+    Waves: in each round every amount in motion moves one edge down; the rounds are as many as the longest way. Amounts that meet at
+    a node go on as one."""
+    edges = cut(edges.select("src", "dst", "share"), "edges")
+    moving = nodes.select("node", F.col(value).cast("double").alias("amount"))
+    total = cut(moving.withColumnRenamed("amount", "total"), "total")
+    turn = 0
+    while True:
+        step = moving.join(edges, moving.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("amount") * F.col("share")).alias("amount"))
+        moving = cut(step, "wave")
+        if not moving.limit(1).count():
+            return cut(total.groupBy("node").agg(F.sum("total").alias("total")), "total")
+        turn += 1
+        total = total.unionByName(moving.withColumnRenamed("amount", "total"))
+        if not turn % (4 * EVERY):
+            total = cut(total.groupBy("node").agg(F.sum("total").alias("total")), "total")
+
+
+def shares_by_slope(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node, z), edges (src, dst, km) -> src, dst, share: of all lower neighbours, in proportion to the slope."""
+    a, b = nodes.select(F.col("node").alias("src"), F.col("z").alias("za")), nodes.select(F.col("node").alias("dst"), F.col("z").alias("zb"))
+    lower = edges.join(a, "src").join(b, "dst").where("zb < za").withColumn("slope", (F.col("za") - F.col("zb")) / F.col("km"))
+    return lower.join(lower.groupBy("src").agg(F.sum("slope").alias("all")), "src").select("src", "dst", (F.col("slope") / F.col("all")).alias("share"))
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """edges (a, b, w) of an undirected graph -> a, b, w of its least spanning forest; ties in w to the smaller a, then b.
+
+    Boruvka's rounds: each component takes its lightest edge out, and components that have joined are relabelled; they halve at least
+    in each round."""
+    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a != b").distinct(), "edges")
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    label, tree = cut(nodes.select("node", F.col("node").alias("c")), "labels"), None
+    while True:
+        at = e.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca != cb")
+        edge = F.struct("w", "a", "b")
+        ends = at.select(F.col("ca").alias("c"), edge.alias("e"), F.col("cb").alias("to")).union(at.select(F.col("cb").alias("c"), edge.alias("e"), F.col("ca").alias("to")))
+        light = cut(ends.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.e.a", "m.e.b", "m.e.w", "m.to"), "light")
+        chosen = light.select("a", "b", "w").distinct()
+        if not chosen.limit(1).count():
+            return tree if tree is not None else chosen
+        tree = chosen if tree is None else tree.unionByName(chosen)
+        joined = components(label.select(F.col("c").alias("node")).distinct(), light.select(F.col("c").alias("src"), F.col("to").alias("dst")))
+        label = cut(label.join(joined.toDF("c", "root"), "c").select("node", F.col("root").alias("c")), "labels")

@@ -768,3 +768,23 @@ def _ramp_sql() -> str:
 def sink_color_ramp(spark, d):
     z = F.when(F.col("cell") == 0, 9999).when(F.col("cell") == 1, -9999).otherwise(F.col("z"))
     return world(spark).select("cell", exports.color_ramp(z).alias("c")).selectExpr("cell", "c.r AS r", "c.g AS g", "c.b AS b")
+
+
+@query(
+    f"WITH RECURSIVE {RING_SQL}, low AS (SELECT DISTINCT src, dst, w, ({_FLOODZ.format('src')} - {_FLOODZ.format('dst')}) / w AS s FROM ring WHERE {_FLOODZ.format('dst')} < {_FLOODZ.format('src')}), sh AS (SELECT src, dst, sum(s) / sum(sum(s)) OVER (PARTITION BY src) AS share FROM low GROUP BY src, dst), "
+    f"f(node, amount) AS (SELECT s, 1.0::DOUBLE FROM n, range(0, n) r(s) UNION ALL SELECT sh.dst, amount * share FROM f JOIN sh ON f.node = sh.src) SELECT node, {r6('sum(amount)', 'total')} FROM f GROUP BY node"
+)
+def gr_accum_mfd(spark, d):
+    n = read(spark, d, "supplier").count()
+    nodes = spark.range(n).selectExpr("id AS node", f"{_FLOODZ.format('id')} AS z", "1.0D AS v")
+    e = ring(spark, d).distinct().withColumnRenamed("w", "km")
+    return graph.accumulate_shared(nodes, graph.shares_by_slope(nodes, e), "v").selectExpr("node", r6("total", "total"))
+
+
+@query("SELECT (SELECT count(*) - 1 FROM supplier) AS edges, true AS spans")
+def mst_prim_angular(spark, d):
+    e = ring(spark, d).where("src < dst").selectExpr("src AS a", "dst AS b", "w * 1000 + (src * 7 + dst) % 1000 AS w")
+    t = graph.spanning_tree(e)
+    n = read(spark, d, "supplier").count()
+    c = graph.components(spark.range(n).withColumnRenamed("id", "node"), t.selectExpr("a AS src", "b AS dst"))
+    return t.agg(F.count("*").alias("edges")).join(c.agg((F.max("component") == 0).alias("spans")), F.lit(True))

@@ -65,6 +65,37 @@ def test_shortest_takes_ties_to_the_smaller_node_and_stops_at_its_limit(spark):
     assert {(r.node, r.dist, r.prev) for r in graph.shortest(e, s, 4).collect()} == {(0, 0, None), (1, 1, 0), (2, 1, 0), (3, 2, 1)}
 
 
+def test_spanning_tree_equals_kruskal(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = {(a, b): rng.randint(1, 9) for a, b in ((rng.randrange(12), rng.randrange(12, 25)) for _ in range(60))} | {(30, 31): 2}
+    root, want = list(range(32)), set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for w, a, b in sorted((w, a, b) for (a, b), w in edges.items()):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b, w))
+    got = graph.spanning_tree(spark.createDataFrame([(b, a, w) for (a, b), w in edges.items()], "a long, b long, w long"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_atlas_is_a_bijection_and_mesh_closes(spark):
+    from sphaera.operators import exports
+
+    for f in (1, 3):
+        a = exports.atlas(grid.lattice(spark, f), f)
+        assert a.count() == a.select("block", "i", "j").distinct().count() == 10 * f * f and a.where(f"i < 0 OR j < 0 OR i >= {f} OR j >= {f}").count() == 0
+    t = [tuple(r) for r in exports.mesh(grid.adjacency(spark, 3)).collect()]
+    sides = [frozenset(p) for a, b, c in t for p in ((a, b), (b, c), (c, a))]
+    assert len(t) == 180 and all(sides.count(s) == 2 for s in set(sides))
+
+
 def test_resolution_order(spark):
     r = [("e", "a", "gen", "gen", None, None, 9), ("e", "a", "user", "user", None, None, 1), ("e", "a", "old", "user", 5.0, 8.0, 2), ("e", "a", "new", "user", 6.0, None, 1)]
     t = spark.createDataFrame(r, "entity string, attr string, value string, source string, valid_from double, valid_to double, rev long")
