@@ -12,6 +12,17 @@ from ..tables import cut, drop
 
 #: Rounds of a frontier between two writings of the whole state; in between, the improved nodes are put over it lazily.
 EVERY = 4
+#: Edges that an improvement is carried along in one round, before what it offers is compared with the state.
+HOPS = 4
+
+
+def _carried(front: DataFrame, hop) -> DataFrame:
+    """The union of what 1 to HOPS applications of hop() make of a frontier."""
+    out = front = hop(front)
+    for _ in range(HOPS - 1):
+        front = hop(front)
+        out = out.unionByName(front)
+    return out
 
 
 def _improved(best: DataFrame, front: DataFrame, keys: list[str], turn: int, name: str) -> DataFrame:
@@ -46,13 +57,16 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None) -
     A frontier of improved nodes is relaxed in each round; with `limit`, costs above it are not followed. Ties in cost go to the
     smaller previous node."""
     edges = cut(edges.select("src", "dst", "w"), "edges")
+
+    def hop(front: DataFrame) -> DataFrame:
+        step = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").cast("long").alias("prev"))
+        step = step if limit is None else step.where(F.col("dist") <= limit)
+        return step.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("o")).select("source", "node", "o.dist", "o.prev")
+
     best = cut(sources.select("source", "node", F.lit(0).cast(edges.schema["w"].dataType).alias("dist"), F.lit(None).cast("long").alias("prev")), "best")
     front, turn = best, 0
     while True:
-        step = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").cast("long").alias("prev"))
-        if limit is not None:
-            step = step.where(F.col("dist") <= limit)
-        offer = step.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("o"))
+        offer = _carried(front.select("source", "node", "dist"), hop).groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("o"))
         known = best.select("source", "node", F.struct("dist", "prev").alias("b"))
         new = offer.join(known, ["source", "node"], "left").where("b IS NULL OR o.dist < b.dist OR (o.dist = b.dist AND o.prev < b.prev)")
         front2 = cut(new.select("source", "node", "o.dist", "o.prev"), "front")
@@ -68,13 +82,16 @@ def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None
     One label and cost is kept for each node, so the work doesn't grow with the number of sources."""
     edges = cut(edges.select("src", "dst", "w"), "edges")
     zero = F.lit(0).cast(edges.schema["w"].dataType)
+
+    def hop(front: DataFrame) -> DataFrame:
+        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "source")
+        step = step if limit is None else step.where(F.col("dist") <= limit)
+        return step.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("o")).select("node", "o.dist", "o.source")
+
     best = cut(sources.groupBy("node").agg(F.min("source").alias("source")).select("node", zero.alias("dist"), "source"), "best")
     front, turn = best, 0
     while True:
-        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "source")
-        if limit is not None:
-            step = step.where(F.col("dist") <= limit)
-        offer = step.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("o"))
+        offer = _carried(front.select("node", "dist", "source"), hop).groupBy("node").agg(F.min(F.struct("dist", "source")).alias("o"))
         new = offer.join(best.select("node", F.struct("dist", "source").alias("b")), "node", "left").where("b IS NULL OR o < b")
         front2 = cut(new.select("node", "o.dist", "o.source"), "front")
         if not front2.limit(1).count():
@@ -144,12 +161,16 @@ def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame) -> DataFrame:
 
     fill is the least over all paths to an outlet of the greatest z on the way; a frontier carries it inwards."""
     edges = cut(edges.select("src", "dst"), "edges")
-    z = nodes.select("node", "z")
+    z = cut(nodes.select("node", "z"), "heights")
+
+    def hop(front: DataFrame) -> DataFrame:
+        step = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("fill").alias("f"))
+        return step.join(z, "node").select("node", F.greatest("f", "z").alias("fill"))
+
     best = cut(outlets.select("node").distinct().join(z, "node").select("node", F.col("z").alias("fill")), "fill")
     front, turn = best, 0
     while True:
-        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), "fill").groupBy("node").agg(F.min("fill").alias("f"))
-        offer = step.join(z, "node").select("node", F.greatest("f", "z").alias("f"))
+        offer = _carried(front.select("node", "fill"), hop).groupBy("node").agg(F.min("fill").alias("f"))
         new = offer.join(best, "node", "left").where("fill IS NULL OR f < fill").select("node", F.col("f").alias("fill"))
         front2 = cut(new, "front")
         if not front2.limit(1).count():
