@@ -1,0 +1,51 @@
+"""Phases: steps with named inputs whose results are kept as tables and found again by what went into them."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..tables import shared_dir
+
+
+@dataclass(frozen=True)
+class Phase:
+    """make(inputs, params) -> DataFrame; version is raised when make changes what it computes."""
+
+    name: str
+    make: Callable[[dict[str, DataFrame], dict], DataFrame]
+    inputs: tuple[str, ...] = ()
+    params: Mapping = field(default_factory=dict)
+    version: int = 1
+
+
+def digest(phase: Phase, upstream: Mapping[str, str]) -> str:
+    """Of the phase, its parameters and the digests of its inputs."""
+    parts = [phase.name, phase.version, sorted(phase.params.items()), [(i, upstream[i]) for i in phase.inputs]]
+    return hashlib.blake2b(json.dumps(parts, default=str).encode(), digest_size=16).hexdigest()
+
+
+def run(spark: SparkSession, phases: list[Phase], folder: str | None = None, sources: Mapping[str, tuple[str, DataFrame]] | None = None) -> tuple[dict[str, DataFrame], list[str]]:
+    """The tables of all phases, and the names of those that had to be made. sources: name -> (digest of its content, table).
+
+    A phase whose table is there is read; only what depends on a change is made again."""
+    folder = folder or f"{shared_dir(spark)}/phases"
+    tables = {n: df for n, (_, df) in (sources or {}).items()}
+    digests = {n: d for n, (d, _) in (sources or {}).items()}
+    made = []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in phases:
+        if unknown := [i for i in p.inputs if i not in tables]:
+            raise ValueError(f"{p.name}: unknown inputs {', '.join(unknown)}")
+        digests[p.name] = digest(p, digests)
+        path = f"{folder}/{p.name}-{digests[p.name]}"
+        done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            p.make({i: tables[i] for i in p.inputs}, dict(p.params)).write.mode("overwrite").parquet(path)
+            made.append(p.name)
+        tables[p.name] = spark.read.parquet(path)
+    return tables, made

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import astro, calendar, geo
-from .operators import exports, fields, filters, graph, ledger, ranking, stats, store, temporal
+from .operators import exports, fields, filters, graph, ledger, ranking, stats, store, temporal, views
+from .plans import phases
 from .plans.nodes import run_graph
 from .sources import grid
 from .streaming.news import deliver_once
@@ -788,3 +789,47 @@ def mst_prim_angular(spark, d):
     n = read(spark, d, "supplier").count()
     c = graph.components(spark.range(n).withColumnRenamed("id", "node"), t.selectExpr("a AS src", "b AS dst"))
     return t.agg(F.count("*").alias("edges")).join(c.agg((F.max("component") == 0).alias("spans")), F.lit(True))
+
+
+# --- views and phases -------------------------------------------------------------------------------------------------------------
+
+_RAYS_SQL = "s AS (SELECT user_id AS ray, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 8.0 AS km, value * 40 AS z FROM events), t AS (SELECT ray, km, (greatest(0, z) - 10 - km * 1000 * km * 1000 / (2 * 6371000)) / (km * 1000) AS slope FROM s WHERE km <= 312)"
+
+
+@query(
+    f"WITH {_RAYS_SQL}, u AS (SELECT *, max(slope) OVER (PARTITION BY ray ORDER BY km ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM t) "
+    "SELECT ray, coalesce(min(CASE WHEN top > 0.002 AND slope < top - 0.004 THEN km END), 320)::DOUBLE AS km FROM u GROUP BY ray"
+)
+def gr_viewshed(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    s = read(spark, d, "events").select(F.col("user_id").alias("ray"), (place * 8).cast("double").alias("km"), (F.col("value") * 40).alias("z")).where("km <= 312")
+    return views.horizons(views.slopes(s, 10.0))
+
+
+@query(
+    "WITH a AS (SELECT user_id AS view, event_id AS azimuth, value AS angle, value > 10 AS up FROM events), g AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY azimuth) - row_number() OVER (PARTITION BY view, up ORDER BY azimuth) AS g FROM a) "
+    "SELECT view, min(azimuth) AS first, max(azimuth) AS last, count(*) AS n, max(angle) AS peak FROM g WHERE up GROUP BY view, g"
+)
+def gr_skyline(spark, d):
+    return views.skyline(read(spark, d, "events").selectExpr("user_id AS view", "event_id AS azimuth", "value AS angle"), 10.0)
+
+
+@query("SELECT o_custkey AS place, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(*) >= 2")
+def q_civ_phases(spark, d):
+    """A chain of two phases; run again it makes nothing, and with another parameter only what depends on it."""
+
+    def chain(least: int) -> list:
+        return [
+            phases.Phase("visits", lambda t, p: t["orders"].where(f"o_orderkey % {p['every']} = 0").groupBy("o_custkey").agg(F.count("*").alias("n")), ("orders",), {"every": 3}),
+            phases.Phase("towns", lambda t, p: t["visits"].where(f"n >= {p['least']}").selectExpr("o_custkey AS place", "n"), ("visits",), {"least": least}),
+        ]
+
+    orders = read(spark, d, "orders")
+    source = {"orders": (str(tuple(stats.digest(orders, "o_orderkey", "o_custkey").first())), orders)}
+    phases.run(spark, chain(3), sources=source)
+    tables, made = phases.run(spark, chain(2), sources=source)
+    if "visits" in made:
+        raise RuntimeError("a phase was made again though nothing that it depends on has changed")
+    return tables["towns"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,8 +52,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     from ..tables import shared_dir
 
-    base = tempfile.mktemp(prefix="stream-", dir="")
-    path = f"{shared_dir(spark)}/{base}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/ckpt").trigger(availableNow=True).start()
         q.awaitTermination()
