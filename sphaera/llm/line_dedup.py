@@ -44,8 +44,6 @@ TELLING = 18
 SHORT = 96
 #: Bytes hashed at once, and words of the corpus for each block of postings.
 CHUNK, BLOCK_WORDS = 1 << 18, 600_000
-#: Removed lines of at most so many documents are broadcast to rewrite them (under 100 bytes each on average); beyond, rows are shuffled by id.
-BROADCAST_DOCS = 100_000
 #: Bits of the filters of documents and sets that are read again to verify candidates.
 FILTER = 1 << 23
 _SPACE = np.zeros(256, bool)
@@ -445,8 +443,8 @@ def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFra
 def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs, with docs' columns, without the lines that repeated() names."""
     gone = repeated(docs, threshold).groupBy("doc_id").agg(F.collect_set(F.struct("line", "sa")).alias("__gone"))
-    gone = stored(gone.withColumnRenamed("doc_id", "__id"), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
+    # As many documents as a corpus has may lose lines, so rows are joined by id, at every size; Spark splits ids that many rows share.
+    side = stored(gone.withColumnRenamed("doc_id", "__id"), "gone")
     columns = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     rows = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__id"]), "left").select(*[docs[f"`{c}`"].alias(x) for c, x in columns.items()], "__gone")
