@@ -29,27 +29,35 @@ from .common import read, scratch, stored, utf8
 
 CAPACITY, END, SHARD = 4096, 1, 30_000
 #: Words that a worker keeps the ids of, some 200 bytes each.
-CACHE = 1_000_000
+CACHE, SEEN = 700_000, 1 << 22
 _TAIL = re.compile(rb"(.*[0-9a-z])([.,;:!?%$&*#|]+)", re.DOTALL)
 
 
 class _Ids(dict):
-    """word -> its ids, little-endian, four bytes each."""
+    """word -> its ids, little-endian, four bytes each. A word is kept from the second time it comes, so that those that come once, of
+    which there are the most, take no room."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.seen, self.marks = Tokenizer.from_file(path), bytearray(SEEN), 0
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         if cut := _TAIL.fullmatch(word):  # the tokenizer cuts there too
             ids = self[cut[1]] + self[cut[2]]
         else:
             ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        at = hash(word) % SEEN
+        if self.seen[at]:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        else:
+            self.seen[at] = 1
+            self.marks += 1
+            if self.marks > SEEN // 2:
+                self.seen, self.marks = bytearray(SEEN), 0
         return ids
 
 
