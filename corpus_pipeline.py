@@ -14,31 +14,38 @@ from sphaera.llm import mixing, packing, quality_rules, simhash
 from sphaera.llm.common import read, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of documents are long; so many go to a Python worker at once (Spark's default is 10,000).
+BATCH = 2000
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return docs.select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the policy go on."""
-    return quality_rules.kept_documents(docs.select(*COLUMNS))
+    return quality_rules.kept_documents(_columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line resembles at 0.8 or more are cut out of their texts; every document stays."""
-    return lines.drop_lines(docs.select(*COLUMNS))
+    return lines.drop_lines(_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (fingerprints of five-word shingles) stays; of the emptied ones, one."""
-    return simhash.near_dedup(docs.select(*COLUMNS))
+    return simhash.near_dedup(_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources come near their targets; a document taken k times is k rows."""
-    return mixing.mix(docs.select(*COLUMNS))
+    return mixing.mix(_columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenised documents with their places in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(_columns(docs))
 
 
 STAGES = [

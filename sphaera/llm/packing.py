@@ -29,7 +29,7 @@ from .common import read, scratch, stored, utf8
 
 CAPACITY, END, SHARD = 4096, 1, 30_000
 #: Words that a worker keeps the ids of, some 200 bytes each.
-CACHE, SEEN = 700_000, 1 << 22
+CACHE, SEEN = 600_000, 1 << 22
 _TAIL = re.compile(rb"(.*[0-9a-z])([.,;:!?%$&*#|]+)", re.DOTALL)
 
 
