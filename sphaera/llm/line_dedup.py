@@ -23,7 +23,7 @@ are carried through, n_chars is set anew where there is one; a text whose lines
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LONG_WORD = 4096
+View = Callable[[bytes], bytes]
 _NONE = np.iinfo(np.int64).min  # a null doc_id within postings; it comes first
 
 
@@ -100,7 +101,7 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line, h, first
 
 
-def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+def rarity(docs: DataFrame, view: View = bytes) -> tuple[np.ndarray, int]:
     """A class of rarity for each hash slot of words (0: once in all docs; then in steps of a fourth of a power of two), and the number of words.
 
     Few tasks (four a core at most) add up the corpus, so that few rows leave them, and a byte for each slot comes to the driver."""
@@ -111,7 +112,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
         scratch("line_dedup")
         total = np.zeros(TABLE, np.uint32)
         for b in batches:
-            for _, texts in _chunks(utf8(b.column(0))):
+            for _, texts in _chunks(map(view, utf8(b.column(0)))):
                 np.add.at(total, (_hashes(texts)[1] % np.uint64(TABLE)).astype(np.int64), np.uint32(1))
         at = [np.flatnonzero(total[k * part : (k + 1) * part]).astype(np.uint32) for k in range(PARTS)]
         payload = [x.tobytes() + total[k * part : (k + 1) * part][x].tobytes() for k, x in enumerate(at)]
@@ -188,7 +189,7 @@ def _unpacked(t: pa.Table, kind: int, layout: tuple) -> dict[str, np.ndarray]:
     return {name: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype) for i, (name, dtype) in enumerate(layout)}
 
 
-def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int, int]) -> DataFrame:
+def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int, int], view: View) -> DataFrame:
     """kind, block, n, payload: postings of the lines' prefixes by block of words, and lines by block of sets."""
     up, down = threshold
     shared = docs.sparkSession.sparkContext.broadcast(rare)
@@ -216,7 +217,7 @@ def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int
 
         for b in batches:
             ids = b.column(0).fill_null(_NONE).to_numpy()
-            for at, texts in _chunks(utf8(b.column(1))):
+            for at, texts in _chunks(map(view, utf8(b.column(1)))):
                 s = _Sets(texts, shared.value)
                 if not len(s.start):
                     continue
@@ -362,7 +363,7 @@ def _where(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _filter(lines.select(F.col("d").alias("v"))), _filter(lines.select(F.expr(_place("d", "l")).alias("v")))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool, view: View) -> DataFrame:
     """sa, n, words (their hashes) and bits (1024 parities of them) of the sets in pairs, read again from the lines that hold them, which
     filters of fixed size find. Unless asked for whole, sets of more than SHORT words have bits and no words, the others words alone."""
     ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
@@ -379,7 +380,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
         for b in batches:
             cut = b.filter(pa.array(_has(in_docs, b.column(0).fill_null(_NONE).to_numpy())))
             ids = cut.column(0).fill_null(_NONE).to_pylist()
-            for _, some in _chunks(named(ids, utf8(cut.column(1)), in_lines)):
+            for _, some in _chunks(named(ids, map(view, utf8(cut.column(1))), in_lines)):
                 s = _Sets(some)
                 if not len(s.start):
                     continue
@@ -396,12 +397,12 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sa long, n int, words array<long>, bits array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int], view: View) -> DataFrame:
     """xa, xd, xl of the later sets of those pairs that are as similar as asked for."""
     up, down = threshold
 
     def joined(pairs: DataFrame, whole: bool) -> DataFrame:
-        w = _sets_of(docs, pairs, whole)  # read once: both joins take it from one shuffle
+        w = _sets_of(docs, pairs, whole, view)  # read once: both joins take it from one shuffle
         return pairs.join(w.toDF("xa", "nx", "wx", "bx"), "xa").join(w.toDF("ya", "ny", "wy", "by"), "ya")
 
     similar = F.expr(f"{down} * size(array_intersect(wx, wy)) >= {up} * (nx + ny - size(array_intersect(wx, wy)))")
@@ -418,15 +419,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) ->
     return stored(sure.union(joined(open_, True).where(similar).select("xa", "xd", "xl")).distinct(), "similar")
 
 
-def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The lines that go: doc_id, line, sa (half of the set's hash, which tells rows of one doc_id apart)."""
+def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, view: View = bytes) -> DataFrame:
+    """The lines that go: doc_id, line, sa (half of the set's hash, which tells rows of one doc_id apart). view: what texts are read as."""
     up, down = threshold
-    rare, words = rarity(docs)
+    rare, words = rarity(docs, view)
     blocks = max(1, words // BLOCK_WORDS)
-    found = stored(_blocks(docs, rare, blocks, threshold).groupBy("block").applyInArrow(_matcher(threshold, FIRST), _FOUND), "found")
+    found = stored(_blocks(docs, rare, blocks, threshold, view).groupBy("block").applyInArrow(_matcher(threshold, FIRST), _FOUND), "found")
     place = ("xa", "ya", "xd", "xl", "yd", "yl")
     pairs = found.where(F.col("what") == _PAIRS).select(*place).dropDuplicates(["xa", "ya"])
-    similar = _verified(docs, stored(pairs, "pairs"), threshold)
+    similar = _verified(docs, stored(pairs, "pairs"), threshold, view)
     members = found.where(F.col("what") == _MEMBERS).select("xa", "xd", "xl", "code", "n", "parity")
     again = stored(members.where("code >= 0").join(similar.select("xa"), "xa", "left_anti"), "again")
     if again.limit(1).count():
@@ -435,7 +436,7 @@ def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFra
         earlier = "(yd < xd OR (yd = xd AND yl < xl))"
         near = f"{down} * least(n, m) >= {up} * greatest(n, m) AND bit_count(parity ^ odd) <= n + m - 2 * ceil({up} * (n + m) / {up + down})"
         rest = again.join(others, "code").where(f"{earlier} AND {near}").select(*place).dropDuplicates(["xa", "ya"]).join(pairs.select("xa", "ya"), ["xa", "ya"], "left_anti")
-        similar = similar.union(_verified(docs, stored(rest, "pairs"), threshold))
+        similar = similar.union(_verified(docs, stored(rest, "pairs"), threshold, view))
     gone = found.where(F.col("what") == _COPY).select("xa", "xd", "xl").union(similar.select("xa", "xd", "xl"))
     return gone.select(F.when(F.col("xd") != _NONE, F.col("xd")).alias("doc_id"), F.col("xl").alias("line"), F.col("xa").alias("sa"))
 

@@ -32,8 +32,11 @@ from pyspark.sql import types as T
 
 from .common import read, stored, utf8
 from .graphs import components
+from .line_dedup import repeated
 
 SHINGLE, SEED, RADIUS, CELL = 3, 42, 2, 64
+#: The similarity of near copies that fingerprints within RADIUS may miss, as a fraction.
+SIMILAR = (4, 5)
 #: Up to so many document ids are broadcast (8 bytes each) where rows are kept by id; beyond, the rows are shuffled by id.
 BROADCAST_IDS = 500_000
 _LOW = 0x5555555555555555
@@ -107,23 +110,43 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, cap: int = CELL) -> DataFram
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingled(text: bytes, shingle: int) -> bytes:
+    """A text whose words are the shingles of text, over which fingerprints are taken; theirs are joined by a byte that UTF-8 hasn't."""
+    words = text.lower().split()
+    joined, n = b"\xff".join(words), len(words) - shingle + 1
+    if n < 2:
+        return joined
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.append(0, ends[:-1] + 1)
+    return b" ".join([joined[a:b] for a, b in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, cap: int = CELL) -> DataFrame:
-    """docs with one row of each group, that of the group's id; of rows that share this id, the one with the smallest text.
+    """docs without near copies. Of each group of fingerprints one row stays, that of the group's id; of rows that share this id, the
+    one with the smallest text. Of these rows, one goes if an earlier one (by doc_id) has a Jaccard similarity of SIMILAR or more
+    with it, over their sets of shingles: an exact join, line_dedup's with a document as a line. A text without words has no shingles.
 
     A row without doc_id can't stand for a group and isn't judged: it stays."""
+    kept = stored(_one_of_each(docs, shingle, cap), "kept")
+    near = repeated(kept.where("doc_id IS NOT NULL"), SIMILAR, lambda t: shingled(t, shingle))
+    return _without_ids(kept, stored(near.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "gone"))
+
+
+def _one_of_each(docs: DataFrame, shingle: int, cap: int) -> DataFrame:
+    """near_dedup() by fingerprints alone."""
     found = stored(groups(docs.where("doc_id IS NOT NULL"), shingle, cap), "groups")
-    repeated = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    shared = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared")
     gone = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     out = _without_ids(docs, gone)
-    if not repeated.count():
+    if not shared.count():
         return out
     # Rows of one id can lie in different groups: they are told apart by their fingerprints.
     columns = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    odd = docs.join(repeated, "doc_id", "left_semi").select(*[F.col(f"`{c}`").alias(x) for c, x in columns.items()], "text")
+    odd = docs.join(shared, "doc_id", "left_semi").select(*[F.col(f"`{c}`").alias(x) for c, x in columns.items()], "text")
     at = found.where("doc_id = component_id").select(F.col("doc_id").alias(columns["doc_id"]), "fp").distinct()
     first = Window.partitionBy(columns["doc_id"]).orderBy(F.col(columns["text"]))
     one = fingerprints(odd, shingle, list(columns.values())).join(at, [columns["doc_id"], "fp"]).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(one.select(*columns.values()).toDF(*docs.columns))
+    return out.join(shared, "doc_id", "left_anti").select(*docs.columns).union(one.select(*columns.values()).toDF(*docs.columns))
 
 
 def _without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -435,3 +435,21 @@ def test_near_dedup_keeps_one_of_each_group(odd):
     kept = sorted((r.doc_id for r in out.collect()), key=repr)
     # 1 and 9 differ in text; 2, 3 and 4 have no words; 7 is there twice alike and once otherwise; rows without id stay.
     assert kept.count(None) == 2 and kept.count(7) == 1 and kept.count(2) == 1 and 3 not in kept and 4 not in kept and {1, 5, 6, 8, 9} <= set(kept)
+
+
+def test_near_dedup_equals_brute_force_jaccard(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts = []
+    for base in ([word() for _ in range(n)] for n in (30, 90, 300, 1200)):
+        for changes in (0, 1, 2, 4, 6, 12, 40):
+            w = list(base)
+            for i in rng.choice(len(w), min(changes, len(w) // 4), replace=False):
+                w[i] = word()
+            wide = 9 + changes  # the copies are wrapped otherwise
+            texts.append((len(texts) * 7 % 29, "\n".join(" ".join(w[i : i + wide]) for i in range(0, len(w), wide))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    by_print = {r.doc_id for r in simhash._one_of_each(df, 5, 64).collect()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, t in texts if (w := low(t).split())}
+    want = {d for d in by_print if not any(5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]) for e in by_print if e < d)}
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == want and len(want) < len(by_print)
