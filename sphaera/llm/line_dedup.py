@@ -471,12 +471,42 @@ def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
     return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 
+def _removed_by_row(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id and lines (those that go) of each row of docs, whose doc_id may be null or shared: rows are told apart by the words of their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in _chunks(utf8(b.column(2))):
+                s = _Sets(texts)
+                row = pa.array(np.append(s.doc, np.arange(len(texts))) + at)  # a row's last one has no line
+                line, sa = (pa.concat_arrays([pa.array(x), pa.nulls(len(texts), t)]) for x, t in ((s.line, pa.int32()), (s.signature(0), pa.int64())))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), line, sa], names=["row", "doc_id", "line", "sa"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, sa long")
+    named = gone.distinct().toDF("d", "l", "s")
+    here = rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")) & (F.col("sa") == F.col("s")), "left")
+    return here.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("l")).alias("lines")).select("doc_id", "lines")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    g = repeated(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
-    g = g.select("doc_id", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"))
-    out = docs.select(F.col("doc_id").cast("long")).join(g, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+    return removed(read(spark, sf_dir, "documents"))
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_removed and removed_lines of every row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = repeated(docs)
+    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "shared")
+    by_id = lambda g: g.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    if not shared.limit(1).count():
+        out = docs.select("doc_id").join(by_id(gone), "doc_id", "left")
+    else:
+        gone = stored(gone, "gone")
+        same = docs["doc_id"].eqNullSafe(shared["id"])
+        plain = docs.join(shared, same, "left_anti").select("doc_id").join(by_id(gone), "doc_id", "left")
+        out = plain.unionByName(_removed_by_row(docs.join(shared, same, "left_semi"), gone))
+    lines = F.coalesce("lines", F.array().cast("array<int>"))
+    return out.select("doc_id", F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}

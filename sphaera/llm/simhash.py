@@ -126,9 +126,22 @@ def near_dedup(docs: DataFrame, shingle: int = 5, cap: int = CELL) -> DataFrame:
     one with the smallest text. Of these rows, one goes if an earlier one (by doc_id) has a Jaccard similarity of SIMILAR or more
     with it, over their sets of shingles: an exact join, line_dedup's with a document as a line. A text without words has no shingles.
 
-    A row without doc_id can't stand for a group and isn't judged: it stays."""
+    Rows without doc_id can't stand for a row that has one, nor it for them: they are judged in the same way among themselves, by numbers
+    in the order of their texts' hashes."""
+    named, bare = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    out = _without_near(named, shingle, cap)
+    if not bare.limit(1).count():
+        return out
+    # Equal texts spread over ranges; the numbers are fixed by writing them.
+    salted = bare.withColumns({"__h": F.xxhash64("text"), "__salt": F.monotonically_increasing_id()}).repartitionByRange("__h", "__salt").sortWithinPartitions("__h", "__salt")
+    numbered = stored(salted.drop("__h", "__salt").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    return out.union(_without_near(numbered, shingle, cap).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+
+
+def _without_near(docs: DataFrame, shingle: int, cap: int) -> DataFrame:
+    """near_dedup() of rows that have ids."""
     kept = stored(_one_of_each(docs, shingle, cap), "kept")
-    near = repeated(kept.where("doc_id IS NOT NULL"), SIMILAR, lambda t: shingled(t, shingle))
+    near = repeated(kept, SIMILAR, lambda t: shingled(t, shingle))
     return _without_ids(kept, stored(near.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "gone"))
 
 

@@ -453,3 +453,16 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, t in texts if (w := low(t).split())}
     want = {d for d in by_print if not any(5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]) for e in by_print if e < d)}
     assert {r.doc_id for r in simhash.near_dedup(df).collect()} == want and len(want) < len(by_print)
+
+
+def test_rows_without_id_are_judged(spark):
+    line, other = "one two three four five six", "lots of other words stand here now"
+    long_ = " ".join(f"v{i}" for i in range(300))
+    near = long_.replace("v150 ", "x ").replace("v20 ", "y ")
+    df = spark.createDataFrame([(None, f"{line}\n{line}\n{other}"), (None, f"{other} too\nsome\nthing"), (1, line), (2, f"alone\n{line}"), (2, "apart\nfrom it")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in line_dedup.removed(df).collect()), key=repr)
+    # Null rows are one document, ordered by line number; what goes from one row stays in the other, whose words there are others.
+    assert got == sorted([(None, 2, "1,2"), (None, 0, ""), (1, 1, "0"), (2, 1, "1"), (2, 0, "")], key=repr)
+    copies = spark.createDataFrame([(None, long_), (None, long_), (None, near), (None, None), (None, ""), (None, other), (5, other)], "doc_id long, text string")
+    kept = [(r.doc_id, (r.text or "")[:4]) for r in simhash.near_dedup(copies).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, long_[:4]), (None, ""), (None, other[:4]), (5, other[:4])], key=repr)
