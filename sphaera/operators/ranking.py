@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ranked(rows: DataFrame, score: str, key: str, by: str | None = None) -> DataFrame:
@@ -52,12 +55,15 @@ def trunks(places: DataFrame, most: int = 14, within: float = 45.0) -> DataFrame
 
 
 def spaced(candidates: DataFrame, score: str, key: str, apart_deg: float, most: int) -> DataFrame:
-    """Greedy choice of up to `most` of at most 20 * most best candidates (lon, lat): each at least apart_deg from all chosen before.
+    """Greedy choice of up to `most` of all candidates (lon, lat), best first: each at least apart_deg from all chosen before.
 
-    The scan is sequential by definition; it is bounded by its cap and runs in one task."""
+    The best 20 * most are scanned in one task, as the choice is sequential by definition; then all candidates near the chosen ones (`most`
+    rows at most) are struck in a map, and the best of the others are scanned, until there are `most` or none is left. Each scan chooses
+    one at least. Candidates without a place (null or NaN) are not chosen."""
     import numpy as np
 
-    best = candidates.orderBy(F.desc(score), key).limit(20 * most)
+    spark, size, far = candidates.sparkSession, 20 * most, float(np.cos(np.radians(apart_deg)))
+    placed = candidates.where("NOT (isnan(lon) OR isnan(lat) OR lon IS NULL OR lat IS NULL)")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, key], ascending=[False, True])
@@ -65,8 +71,22 @@ def spaced(candidates: DataFrame, score: str, key: str, apart_deg: float, most:
         v = np.stack([np.cos(la) * np.cos(lo), np.sin(la), np.cos(la) * np.sin(lo)], axis=1)
         taken: list[int] = []
         for i in range(len(v)):
-            if len(taken) < most and (not taken or (v[taken] @ v[i]).max() <= np.cos(np.radians(apart_deg))):
+            if len(taken) < most and (not taken or (v[taken] @ v[i]).max() <= far):
                 taken.append(i)
-        return pdf.iloc[taken]
-
-    return best.groupBy(F.lit(0).alias("__one")).applyInPandas(choose, best.schema)
+        return pdf.iloc[taken].assign(__n=len(pdf))
+
+    schema = T.StructType([*candidates.schema.fields, T.StructField("__n", T.LongType())])
+    chosen: list = []
+    while len(chosen) < most:
+        open_ = placed
+        if chosen:
+            near = spark.createDataFrame([(math.radians(r["lon"]), math.radians(r["lat"])) for r in chosen], "__x double, __y double")
+            x, y = F.radians("lon"), F.radians("lat")
+            dot = F.cos(y) * F.cos("__y") * F.cos(x - F.col("__x")) + F.sin(y) * F.sin("__y")
+            open_ = placed.join(F.broadcast(near), dot > far, "left_anti")
+        best = open_.orderBy(F.desc(score), key).limit(size)
+        found = best.groupBy(F.lit(0).alias("__one")).applyInPandas(choose, schema).orderBy(F.desc(score), key).collect()
+        chosen += found
+        if not found or found[0]["__n"] < size:
+            break
+    return spark.createDataFrame([tuple(r)[:-1] for r in chosen[:most]], candidates.schema)

@@ -21,3 +21,15 @@ def test_spaced_places_keep_their_distance(spark, data):
     v = [(math.cos(math.radians(r.lat)) * math.cos(math.radians(r.lon)), math.sin(math.radians(r.lat)), math.cos(math.radians(r.lat)) * math.sin(math.radians(r.lon))) for r in got]
     assert 1 < len(got) <= 40
     assert all(sum(a * b for a, b in zip(p, q)) <= math.cos(math.radians(12)) + 1e-12 for i, p in enumerate(v) for q in v[:i])
+
+
+def test_spaced_places_are_found_behind_a_hot_place(spark):
+    from sphaera.operators import ranking
+
+    hot = [(i, 0.001 * (i % 50), 0.001 * (i // 50), 1000 - i % 7) for i in range(400)]
+    rest = [(1000 + i, 20.0 * i, -40.0, 10 - i) for i in range(8)]
+    df = spark.createDataFrame(hot + rest + [(2000, None, 1.0, 5000)], "place long, lon double, lat double, score long")
+    got = [r.place for r in ranking.spaced(df, "score", "place", 12.0, 5).orderBy("score", ascending=False).collect()]
+    assert got == [0, 1000, 1001, 1002, 1003]
+    assert ranking.spaced(df.limit(0), "score", "place", 12.0, 5).count() == 0
+    assert ranking.spaced(df, "score", "place", 12.0, 20).count() == 9
