@@ -5,11 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of code points other than space, \t, \n, \v, \f and \r. bytes.split() cuts UTF-8 at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,9 +50,11 @@ def scratch(operator: str) -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where it is unset (tests, a single machine) a new one is set."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset a new one is set on a single machine; a cluster has to name one."""
     have = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sphaera-"))
         have = spark.sparkContext.getCheckpointDir()
     return have
@@ -60,7 +64,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -68,7 +71,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
-    happens to collect its garbage, and add up over the steps of a job."""
+    happens to collect its garbage, and add up over the steps of a job. For steps that shuffle much."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -80,6 +83,89 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Steps:
+    """Tables of an operator's steps; those made within the block are deleted at its end, when the result has been stored outside it."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for t in self.tables:
+            forget(t)
+
+
+#: A key with more than one in so many rows is heavy; there are fewer such keys than that.
+HEAVY = 1000
+
+
+def join_unique(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row at most for each value of `on` (rows has nulls in it only where how is left).
+
+    Heavy keys of rows, fewer than HEAVY whatever the input, take their partners from a broadcast table; the others are shuffled."""
+    sizes = rows.groupBy(on).agg(F.count("*").alias("__n"))
+    # One pass finds the heavy ones: those above their share of the total, which is one row.
+    least = sizes.agg((F.sum("__n") / HEAVY).alias("__least"))
+    heavy = stored(sizes.crossJoin(F.broadcast(least)).where("__n > __least AND __n > 10000").select(on), "heavy")
+    if not heavy.limit(1).count():
+        return rows.join(side, on, how)
+    few = side.join(F.broadcast(heavy), on, "left_semi")
+    hot = rows.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(few), on, how)
+    rest = rows.join(F.broadcast(heavy), on, "left_anti").join(side, on, how)
+    return hot.unionByName(rest)
+
+
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """df as a table sorted into ranges over all tasks, with the number of each row's range (__p) and its place there from 0 (__i)."""
+    place = F.monotonically_increasing_id()
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place)
+    written = stored(ranges, "ranges")
+    return written.withColumns({"__p": F.shiftright("__at", 33).cast("int"), "__i": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+
+
+def before_ranges(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """in_ranges() with __before_x for each sum x: what it is over the ranges before a row's own. The window runs over one row for each range."""
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("__p").agg(*(e.alias(n) for n, e in sums.items()))
+    return rows.join(F.broadcast(ranges.select("__p", *(F.sum(n).over(before).alias(f"__before_{n}") for n in sums))), "__p")
+
+
+def sparse(counts: np.ndarray) -> bytes:
+    """Values (eight bytes each) and places (four) of the counts that aren't 0."""
+    at = np.flatnonzero(counts)
+    return counts[at].astype(np.int64).tobytes() + at.astype(np.int32).tobytes()
+
+
+def dense(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of sparse()."""
+    n = len(payload) // 12
+    return np.frombuffer(payload, np.int32, n, 8 * n), np.frombuffer(payload, np.int64, n)
+
+
+def tree_sum(parts: DataFrame, fold: Callable[[pa.Table], pa.Table], fan: int = 256) -> DataFrame:
+    """parts (part, task, payload, ...) of a pass over a corpus, written as a table and folded by `part`.
+
+    fold() makes one row of some rows of one part. Rows of more than `fan` tasks are folded in rounds, so that no group holds more
+    than `fan` rows, however many tasks there were; the rounds are the logarithm of their number."""
+    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    schema, names = parts.schema, parts.columns
+
+    def some(t: pa.Table) -> pa.Table:
+        task = pa.array([t.column("task")[0].as_py() // fan], pa.int32())
+        return fold(t.drop_columns("task")).append_column("task", task).select(names)
+
+    while tasks > fan:
+        parts = parts.groupBy("part", F.floor(F.col("task") / fan).alias("__some")).applyInArrow(some, schema)
+        tasks = -(-tasks // fan)
+    return parts.groupBy("part").applyInArrow(lambda t: fold(t.drop_columns("task")), T.StructType([f for f in schema if f.name != "task"]))
+
+
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     """df's columns but those whose names an operator gives to its own results (names compare without case)."""
     own = {n.lower() for n in names}

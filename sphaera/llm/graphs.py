@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, join_unique, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = e.select("u", "v").union(e.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return join_unique(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them. e holds (u, v) with v < u."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    return e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+    return join_unique(e, least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -14,10 +14,16 @@ themselves travel in the same blocks, by hash of their sets, once for each set a
 known to be copies without meeting the others.
 
 Rarity is a table of TABLE counts by hash, of fixed size whatever the corpus: any order that all tasks share gives the same
-result. A word whose count is 1 occurs nowhere else and needs no posting. Texts are hashed many at a time, by numpy.
+result. A word whose count is 1 occurs nowhere else and needs no posting, and sets too small to be similar to any
+but an equal one have none. Texts are hashed many at a time, by numpy.
 
-Nulls and edges: doc_id is read as a long; a null text has no lines; lines without words are never removed; a null doc_id comes first; of rows that
-share doc_id, lines of equal number and words are the same place and don't remove each other; columns besides doc_id and text
+Hot words: two sets whose rarest common word is hot (a count of HOT or more) have a second common word within their prefixes
+lengthened by one, as similar sets of four words or more share two at least. Hot words are therefore posted in pairs with each later word of
+the longer prefix, which parts a hot word's list by its companions, and never alone.
+
+Nulls and edges: doc_id may be of any type that sorts; ids that aren't integers are numbered in their order first. A null text has no
+lines; lines without words are never removed; a null doc_id comes first; of rows that share doc_id (null included), lines of equal
+number and words are the same place and don't remove each other, others do; columns besides doc_id and text
 are carried through, n_chars is set anew where there is one; a text whose lines all go is empty; an empty table stays so.
 """
 
@@ -32,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, scratch, stored, utf8
+from .common import Steps, dense, read, release, scratch, sparse, stored, tree_sum, utf8
 
 #: The similarity asked for, as a fraction.
 THRESHOLD = (4, 5)
-TABLE, PARTS = 1 << 22, 16
+TABLE, PARTS = 1 << 22, 32
+#: A word that occurs so often is posted in pairs.
+HOT = 1 << 16
 #: Candidates of a set for a word: at most so many of which few parities differ (TELLING; of sets without a common word half do), and so many in all.
 FIRST = (4, 16)
 TELLING = 18
@@ -104,35 +112,53 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def rarity(docs: DataFrame, view: View = bytes) -> tuple[np.ndarray, int]:
     """A class of rarity for each hash slot of words (0: once in all docs; then in steps of a fourth of a power of two), and the number of words.
 
-    Few tasks (four a core at most) add up the corpus, so that few rows leave them, and a byte for each slot comes to the driver."""
+    Each task sends on the slots that it has met; they are summed in a tree, and a byte for each slot comes to the driver."""
 
     part = TABLE // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         scratch("line_dedup")
         total = np.zeros(TABLE, np.uint32)
         for b in batches:
             for _, texts in _chunks(map(view, utf8(b.column(0)))):
                 np.add.at(total, (_hashes(texts)[1] % np.uint64(TABLE)).astype(np.int64), np.uint32(1))
-        at = [np.flatnonzero(total[k * part : (k + 1) * part]).astype(np.uint32) for k in range(PARTS)]
-        payload = [x.tobytes() + total[k * part : (k + 1) * part][x].tobytes() for k, x in enumerate(at)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
+        payload = [sparse(total[k * part : (k + 1) * part].astype(np.int64)) for k in range(PARTS)]
+        task = np.full(PARTS, TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(task), pa.array(payload, pa.binary())], names=["part", "task", "payload"])
 
     def add(t: pa.Table) -> pa.Table:
         sums = np.zeros(part, np.int64)
         for x in t.column("payload").to_pylist():
-            at, n = np.frombuffer(x, np.uint32).reshape(2, -1)
+            at, n = dense(x)
             sums[at] += n
-        k = np.minimum(255, np.floor(4 * np.log2(np.maximum(sums, 1))) + (sums > 1)).astype(np.uint8)
-        return pa.table({"part": t.column("part")[:1], "classes": pa.array([k.tobytes()], pa.binary()), "n": pa.array([sums.sum()], pa.int64())})
+        return pa.table({"part": t.column("part")[:1], "payload": pa.array([sparse(sums)], pa.binary())})
 
-    few = docs.select("text").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    out = few.mapInArrow(run, "part int, payload binary").groupBy("part").applyInArrow(add, "part int, classes binary, n long").toArrow().sort_by("part")
+    with Steps() as steps:
+        parts = steps.stored(docs.select("text").mapInArrow(run, "part int, task int, payload binary"), "counts")
+        out = tree_sum(parts, add).mapInArrow(_classes, "part int, classes binary, n long").toArrow().sort_by("part")
     if not out.num_rows:
         return np.zeros(TABLE, np.uint8), 0
     return np.frombuffer(b"".join(out.column("classes").to_pylist()), np.uint8), sum(out.column("n").to_pylist())
 
 
+def _class(count: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.floor(4 * np.log2(np.maximum(count, 1))) + (count > 1)).astype(np.uint8)
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for x in b.column("payload").to_pylist():
+            at, n = dense(x)
+            sums = np.zeros(TABLE // PARTS, np.int64)
+            sums[at] = n
+            rows.append((_class(sums).tobytes(), int(sums.sum())))
+        classes, n = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(classes, pa.binary()), pa.array(n, pa.int64())], names=["part", "classes", "n"])
+
+
 class _Sets:
     """The distinct words of each line of some texts: their hashes sorted by line, rarity and hash, and per line its number, start and size."""
 
@@ -193,6 +219,7 @@ def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int
     """kind, block, n, payload: postings of the lines' prefixes by block of words, and lines by block of sets."""
     up, down = threshold
     shared = docs.sparkSession.sparkContext.broadcast(rare)
+    hot, least = int(_class(np.array([HOT]))[0]), -(-up // (down - up)) if down > up else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posted: list[list[np.ndarray]] = []
@@ -227,11 +254,19 @@ def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int
                 prefix = np.zeros(len(sa), np.int64)
                 prefix[once] = s.size[once] - -(-up * s.size[once] // down) + 1
                 place = np.arange(len(s.rare)) - np.repeat(s.start, s.size)
-                keep = np.flatnonzero((place < np.repeat(prefix, s.size)) & (s.rare > 0))
+                posts = (place < np.repeat(prefix, s.size)) & (s.rare > 0) & (np.repeat(s.size, s.size) >= least)
                 lined.append([sa, s.signature(1), doc, s.line])
-                of = np.repeat(np.arange(len(sa)), s.size)[keep]
+                sets = np.repeat(np.arange(len(sa)), s.size)
                 odd = _parity(s)
-                code = s.h[keep]
+                single = np.repeat(-(-up * s.size // down) < 2, s.size)  # of which one common word may be enough
+                alone, first = np.flatnonzero(posts & ((s.rare < hot) | single)), np.flatnonzero(posts & (s.rare >= hot))
+                # A hot word with each one after it, up to the place behind the prefix.
+                ahead = np.minimum(prefix[sets[first]], s.size[sets[first]] - 1) - place[first]
+                one = np.repeat(first, ahead)
+                other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+                keep = np.concatenate([alone, one])
+                code = np.concatenate([s.h[alone], _mix(s.h[one] * _P + s.h[other])])
+                of = sets[keep]
                 row = (code >> np.uint64(32), sa[of], doc[of], s.line[of], s.size[of], place[keep], odd[of])
                 posted.append([(code % np.uint64(blocks)).astype(np.int64), *(c.astype(t) for c, (_, t) in zip(row, _POSTING, strict=True))])
                 count += len(keep)
@@ -397,7 +432,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool, view: View) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sa long, n int, words array<long>, bits array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int], view: View) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int], view: View, steps: Steps) -> DataFrame:
     """xa, xd, xl of the later sets of those pairs that are as similar as asked for."""
     up, down = threshold
 
@@ -411,102 +446,126 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int], vie
     either_long = (F.size("wx") == 0) | (F.size("wy") == 0)
     # One long and one short set of similar sizes are looked at whole.
     seen = joined(pairs, False).withColumn("sure", ~either_long).where(F.when(both_long, apart).when(either_long, F.lit(True)).otherwise(similar))
-    seen = stored(seen.select("xa", "xd", "xl", "ya", "yd", "yl", "sure").distinct(), "seen")
+    seen = steps.stored(seen.select("xa", "xd", "xl", "ya", "yd", "yl", "sure").distinct(), "seen")
     sure = seen.where("sure").select("xa", "xd", "xl").distinct()
     open_ = seen.where("NOT sure").drop("sure").join(sure.select("xa"), "xa", "left_anti")
     if not open_.limit(1).count():
         return sure
-    return stored(sure.union(joined(open_, True).where(similar).select("xa", "xd", "xl")).distinct(), "similar")
+    return steps.stored(sure.union(joined(open_, True).where(similar).select("xa", "xd", "xl")).distinct(), "similar")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id (a long) and text, and for ids that aren't integers the table (doc_id, number) of theirs, numbered in their order."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = stored(ids.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.col("number").alias("doc_id"), "text"), ids
 
 
 def repeated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, view: View = bytes) -> DataFrame:
-    """The lines that go: doc_id, line, sa (half of the set's hash, which tells rows of one doc_id apart). view: what texts are read as."""
+    """The lines that go: doc_id, line, sa (half of the set's hash, which tells rows of one doc_id apart), each once. view: what texts
+    are read as."""
     up, down = threshold
+    named = docs.schema["doc_id"]
+    docs, numbers = _numbered(docs)
     rare, words = rarity(docs, view)
     blocks = max(1, words // BLOCK_WORDS)
-    found = stored(_blocks(docs, rare, blocks, threshold, view).groupBy("block").applyInArrow(_matcher(threshold, FIRST), _FOUND), "found")
-    place = ("xa", "ya", "xd", "xl", "yd", "yl")
-    pairs = found.where(F.col("what") == _PAIRS).select(*place).dropDuplicates(["xa", "ya"])
-    similar = _verified(docs, stored(pairs, "pairs"), threshold, view)
-    members = found.where(F.col("what") == _MEMBERS).select("xa", "xd", "xl", "code", "n", "parity")
-    again = stored(members.where("code >= 0").join(similar.select("xa"), "xa", "left_anti"), "again")
-    if again.limit(1).count():
-        # Those whose first candidates have all failed: now with all earlier ones of the words in which there are more.
-        others = members.select(F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("code"), *(F.col(a).alias(b) for a, b in (("xa", "ya"), ("xd", "yd"), ("xl", "yl"), ("n", "m"), ("parity", "odd"))))
-        earlier = "(yd < xd OR (yd = xd AND yl < xl))"
-        near = f"{down} * least(n, m) >= {up} * greatest(n, m) AND bit_count(parity ^ odd) <= n + m - 2 * ceil({up} * (n + m) / {up + down})"
-        rest = again.join(others, "code").where(f"{earlier} AND {near}").select(*place).dropDuplicates(["xa", "ya"]).join(pairs.select("xa", "ya"), ["xa", "ya"], "left_anti")
-        similar = similar.union(_verified(docs, stored(rest, "pairs"), threshold, view))
-    gone = found.where(F.col("what") == _COPY).select("xa", "xd", "xl").union(similar.select("xa", "xd", "xl"))
-    return gone.select(F.when(F.col("xd") != _NONE, F.col("xd")).alias("doc_id"), F.col("xl").alias("line"), F.col("xa").alias("sa"))
+    with Steps() as steps:
+        found = steps.stored(_blocks(docs, rare, blocks, threshold, view).groupBy("block").applyInArrow(_matcher(threshold, FIRST), _FOUND), "found")
+        release(docs.sparkSession)
+        place = ("xa", "ya", "xd", "xl", "yd", "yl")
+        pairs = steps.stored(found.where(F.col("what") == _PAIRS).select(*place).dropDuplicates(["xa", "ya"]), "pairs")
+        similar = _verified(docs, pairs, threshold, view, steps)
+        members = found.where(F.col("what") == _MEMBERS).select("xa", "xd", "xl", "code", "n", "parity")
+        again = steps.stored(members.where("code >= 0").join(similar.select("xa"), "xa", "left_anti"), "again")
+        if again.limit(1).count():
+            # Those whose first candidates have all failed: now with all earlier ones of the words in which there are more. The conditions are
+            # part of the join, which makes no row of pairs that fail them.
+            others = members.select(F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("code"), *(F.col(a).alias(b) for a, b in (("xa", "ya"), ("xd", "yd"), ("xl", "yl"), ("n", "m"), ("parity", "odd"))))
+            earlier = "(yd < xd OR (yd = xd AND yl < xl))"
+            near = f"{down} * least(n, m) >= {up} * greatest(n, m) AND bit_count(parity ^ odd) <= n + m - 2 * ceil({up} * (n + m) / {up + down})"
+            rest = again.join(others, "code").where(f"{earlier} AND {near}").select(*place).dropDuplicates(["xa", "ya"]).join(pairs.select("xa", "ya"), ["xa", "ya"], "left_anti")
+            similar = similar.union(_verified(docs, steps.stored(rest, "pairs"), threshold, view, steps))
+        gone = found.where(F.col("what") == _COPY).select("xa", "xd", "xl").union(similar.select("xa", "xd", "xl"))
+        gone = gone.select(F.when(F.col("xd") != _NONE, F.col("xd")).alias("number"), F.col("xl").alias("line"), F.col("xa").alias("sa")).distinct()
+        out = stored(gone, "gone")
+    release(docs.sparkSession)
+    if numbers is None:
+        return out.select(F.col("number").cast(named.dataType).alias("doc_id"), "line", "sa")
+    return out.join(numbers, "number", "left").select("doc_id", "line", "sa")
+
+
+def _by_row(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs (__row, __doc, __text), of which many may share an id -> __row, __lines: those that go. Rows are told apart by the words of their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in _chunks(utf8(b.column(2))):
+                s = _Sets(texts)
+                row = pa.array(s.doc + at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(s.line), pa.array(s.signature(0))], names=["__row", "d", "l", "s"])
+
+    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("d", docs.schema["__doc"].dataType), T.StructField("l", T.IntegerType()), T.StructField("s", T.LongType())])
+    lines = docs.select("__row", "__doc", "__text").mapInArrow(run, schema)
+    here = lines.join(gone, F.col("d").eqNullSafe(gone["doc_id"]) & (F.col("l") == gone["line"]) & (F.col("s") == gone["sa"]), "left_semi")
+    return here.groupBy("__row").agg(F.array_sort(F.collect_set("l")).alias("__lines"))
+
+
+def with_gone(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of docs, and `__lines`: the numbers of a row's lines that go, in order, or null.
+
+    An id that one row alone has takes a list of its own few lines. Rows that share an id are named one by one and written first, so
+    that no list grows with their number."""
+    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "shared")
+    wanted = [f"__c{i}" for i in range(len(columns))]
+    docs = docs.select(*(F.col(f"`{c}`").alias(w) for c, w in zip(columns, wanted, strict=True)), F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))
+    one = gone.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__d")).agg(F.array_sort(F.collect_set("line")).alias("__lines"))
+    if not shared.limit(1).count():
+        return docs.join(one, F.col("__doc") == F.col("__d"), "left").select(*wanted, "__lines")
+    same = F.col("__doc").eqNullSafe(F.col("__id"))
+    few = one.join(shared, F.col("__d") == F.col("__id"), "left_anti")
+    plain = docs.join(shared, same, "left_anti").join(few, F.col("__doc") == F.col("__d"), "left").select(*wanted, "__lines")
+    odd = stored(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "sharing")
+    return plain.unionByName(odd.join(_by_row(odd, gone), "__row", "left").select(*wanted, "__lines"))
 
 
 def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """docs, with docs' columns, without the lines that repeated() names."""
-    gone = repeated(docs, threshold).groupBy("doc_id").agg(F.collect_set(F.struct("line", "sa")).alias("__gone"))
-    # As many documents as a corpus has may lose lines, so rows are joined by id, at every size; Spark splits ids that many rows share.
-    side = stored(gone.withColumnRenamed("doc_id", "__id"), "gone")
-    columns = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    """docs, with docs' columns, without the lines that repeated() names. Rows are joined by id, at every size: as many documents as a
+    corpus has may lose lines."""
+    gone = repeated(docs, threshold)
     text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    rows = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__id"]), "left").select(*[docs[f"`{c}`"].alias(x) for c, x in columns.items()], "__gone")
-    schema = T.StructType([T.StructField(x, docs.schema[c].dataType) for c, x in columns.items()])
+    rows = with_gone(docs, gone, docs.columns)
+    schema = T.StructType([T.StructField(f"__c{i}", docs.schema[c].dataType) for i, c in enumerate(docs.columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
-            for t, cut in zip(b.column(text_at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
+            for t, cut in zip(b.column(text_at).to_pylist(), b.column(len(schema)).to_pylist(), strict=True):
                 if t is not None and cut:
-                    named = {(x["line"], x["sa"]) for x in cut}
-                    s = _Sets([t.encode()])
-                    drop = {k for k in zip(s.line.tolist(), s.signature(0).tolist(), strict=True) if k in named}
-                    drop = {k for k, _ in drop}
+                    drop = set(cut)
                     t = "\n".join(p for k, p in enumerate(t.split("\n")) if k not in drop)
                 kept.append(t)
-            out = list(b.columns[: len(columns)])
+            out = list(b.columns[: len(schema)])
             out[text_at] = pa.array(kept, b.schema.field(text_at).type)
             if chars_at is not None:
                 out[chars_at] = pa.array([None if t is None else len(t) for t in kept], pa.int64()).cast(b.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(out, names=list(columns.values()))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 
-def _removed_by_row(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """doc_id and lines (those that go) of each row of docs, whose doc_id may be null or shared: rows are told apart by the words of their lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, texts in _chunks(utf8(b.column(2))):
-                s = _Sets(texts)
-                row = pa.array(np.append(s.doc, np.arange(len(texts))) + at)  # a row's last one has no line
-                line, sa = (pa.concat_arrays([pa.array(x), pa.nulls(len(texts), t)]) for x, t in ((s.line, pa.int32()), (s.signature(0), pa.int64())))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), line, sa], names=["row", "doc_id", "line", "sa"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, sa long")
-    named = gone.distinct().toDF("d", "l", "s")
-    here = rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")) & (F.col("sa") == F.col("s")), "left")
-    return here.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("l")).alias("lines")).select("doc_id", "lines")
-
-
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(read(spark, sf_dir, "documents"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed and removed_lines of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = repeated(docs)
-    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "shared")
-    by_id = lambda g: g.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    if not shared.limit(1).count():
-        out = docs.select("doc_id").join(by_id(gone), "doc_id", "left")
-    else:
-        gone = stored(gone, "gone")
-        same = docs["doc_id"].eqNullSafe(shared["id"])
-        plain = docs.join(shared, same, "left_anti").select("doc_id").join(by_id(gone), "doc_id", "left")
-        out = plain.unionByName(_removed_by_row(docs.join(shared, same, "left_semi"), gone))
-    lines = F.coalesce("lines", F.array().cast("array<int>"))
-    return out.select("doc_id", F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
+    docs = docs.select("doc_id", "text")
+    out = with_gone(docs, repeated(docs), ["doc_id"])
+    lines = F.coalesce("__lines", F.array().cast("array<int>"))
+    return out.select(F.col("__c0").alias("doc_id"), F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}

@@ -10,9 +10,12 @@ counts on two quarters, and each of the six choices of two is one grid. Pairs wi
 and the exact distance then. Counts are held in unary (0, 1, 2 as 00, 01, 11), which makes the Manhattan distance the bit
 count of an exclusive or.
 
-A cell with more than CELL members isn't paired out. Its members go an exact way that is linear in their number:
-fingerprints at distance 2 or less are those that have a point at distance 1 or less in common, so each emits its 65 points,
-and those that meet at a point (65 at most) are linked to the smallest of them.
+A cell with more than CELL members is cut again by the same rule: the two quarters that it leaves open fall into four eighths,
+two of which at least agree exactly, so its members go to the six choices of two. That is 36 bits of counts in place of 24, enough
+for tens of billions of fingerprints at a few to a cell. Only fingerprints of equal counts can crowd such a cell as well (those of one
+family, that is); they go an exact way that is linear in their number: fingerprints at distance 2 or less are those that have a point
+at distance 1 or less in common, so each emits its 65 points, and those that meet at a point (65 at most) are linked to the
+smallest of them.
 
 Nulls and edges: a null or empty text, or one of white space only, has fingerprint zero and links like any other; texts of
 one or two words have one shingle; doc_id null takes part, and a group's id is the smallest id that isn't null (null if
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stored, utf8
+from .common import Steps, join_unique, read, stored, utf8
 from .graphs import components
 from .line_dedup import repeated
 
@@ -76,38 +79,64 @@ def counts(fp: Column) -> Column:
     return fp.bitwiseOR(shifted).bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft(fp.bitwiseAND(shifted).bitwiseAND(F.lit(_LOW)), 1))
 
 
+#: The choices of two of four parts.
+_TWO = [(i, j) for i in range(4) for j in range(i)]
+
+
 def _cells(fps: DataFrame) -> DataFrame:
-    """fp and its cell on each of the six grids."""
+    """fp, its counts c and its cell on each of the six grids."""
     quarter = lambda i: F.shiftrightunsigned(F.col("c"), 16 * i).bitwiseAND(F.lit(0xFFFF))
-    grids = [(i, j) for i in range(4) for j in range(i)]
-    cells = [F.shiftleft(quarter(i), 16).bitwiseOR(quarter(j)).bitwiseOR(F.lit(k << 32)) for k, (i, j) in enumerate(grids)]
+    cells = [F.shiftleft(quarter(i), 16).bitwiseOR(quarter(j)).bitwiseOR(F.lit(k << 32)) for k, (i, j) in enumerate(_TWO)]
     return fps.select("fp", counts(F.col("fp")).alias("c")).select("fp", "c", F.explode(F.array(*cells)).alias("cell"))
 
 
-def links(fps: DataFrame, cap: int = CELL) -> DataFrame:
-    """fps (distinct fp) -> links (u, v): all pairs within RADIUS in cells of up to `cap` members, and stars with the same components in larger ones."""
-    cells = _cells(fps)
-    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    a = cells.join(sizes.where(F.col("n") <= cap).select("cell"), "cell")
-    b = a.select("cell", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+def _subcells(members: DataFrame) -> DataFrame:
+    """members (fp, c, cell) of crowded cells with `sub`: what two of the eighths hold that the cell leaves open, for each choice of two."""
+    quarter = lambda i: F.shiftrightunsigned(F.col("c"), 16 * i).bitwiseAND(F.lit(0xFFFF))
+    others = [tuple(q for q in range(4) if q not in pair) for pair in _TWO]
+    open_ = F.get(F.array(*(F.shiftleft(quarter(a), 16).bitwiseOR(quarter(b)) for a, b in others)), F.shiftrightunsigned("cell", 32).cast("int"))
+    eighth = lambda i: F.shiftrightunsigned(F.col("o"), 8 * i).bitwiseAND(F.lit(0xFF))
+    subs = [F.shiftleft(eighth(i), 8).bitwiseOR(eighth(j)).bitwiseOR(F.lit(k << 16)) for k, (i, j) in enumerate(_TWO)]
+    return members.withColumn("o", open_).select("fp", "c", "cell", F.explode(F.array(*subs)).alias("sub"))
+
+
+def _parted(members: DataFrame, keys: list[str], cap: int, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """The links within cells (named by keys) of up to `cap` members, and the members of larger cells."""
+    sizes = steps.stored(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    a = members.join(sizes.where(F.col("n") <= cap).select(*keys), keys)
+    b = a.select(*keys, F.col("fp").alias("fp2"), F.col("c").alias("c2"))
     near = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= RADIUS
     same = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
-    pairs = a.join(b, "cell").where((F.col("fp") < F.col("fp2")) & near & same).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
-    crowd = cells.join(sizes.where(F.col("n") > cap).select("cell"), "cell", "left_semi").select("fp").distinct()
-    points = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64))]
-    meets = crowd.select("fp", F.explode(F.array(*points)).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
-    stars = meets.select(F.explode("met").alias("u"), F.array_min("met").alias("v")).where("u != v")
-    return pairs.union(stars)
+    pairs = a.join(b, keys).where((F.col("fp") < F.col("fp2")) & near & same).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+    return pairs, members.join(sizes.where(F.col("n") > cap).select(*keys), keys, "left_semi")
+
+
+def links(fps: DataFrame, cap: int = CELL) -> DataFrame:
+    """fps (distinct fp) -> links (u, v): all pairs within RADIUS in cells of up to `cap` members, at the first or the second level, and
+    stars with the same components in still larger ones."""
+    with Steps() as steps:
+        pairs, crowd = _parted(_cells(fps), ["cell"], cap, steps)
+        crowd = steps.stored(crowd, "crowd")
+        if crowd.limit(1).count():
+            finer, crowd = _parted(_subcells(crowd), ["cell", "sub"], cap, steps)
+            points = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64))]
+            meets = crowd.select("fp").distinct().select("fp", F.explode(F.array(*points)).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
+            stars = meets.select(F.explode("met").alias("u"), F.array_min("met").alias("v")).where("u != v")
+            pairs = pairs.union(finer).union(stars)
+        return stored(pairs.distinct(), "links")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, cap: int = CELL) -> DataFrame:
     """doc_id, fp, component_id of every row of docs."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(fps.select("fp"), cap))
+    found = links(fps.select("fp"), cap)
+    comp = components(found)
     rooted = fps.join(comp, fps.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = stored(join_unique(rooted, ids, "root").select("fp", "component_id"), "components")
+    # A fingerprint that many rows have (that of empty texts, say) is joined by broadcast.
+    return join_unique(rows, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def shingled(text: bytes, shingle: int) -> bytes:
