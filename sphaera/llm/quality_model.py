@@ -3,15 +3,16 @@
 Words are split where letters and digits meet other characters, and each part is hashed into one of BUCKETS. A bucket has a
 sparse random index vector (a few signs at hashed places); its word vector is the sum of the index vectors seen within
 WINDOW places of it, over all documents, scaled to length 1. A document's features are the mean and the standard deviation of its
-parts' vectors and the root mean square of the steps from one to the next, rarer parts weighing more. Whatever the corpus, the vectors take BUCKETS * DIM floats (8 MB), so they
-can be broadcast; each task adds up its own and sends them on once, for blocks of buckets to be summed.
+parts' vectors and the root mean square of the steps from one to the next, rarer parts weighing more. Whatever the corpus, the
+vectors take BUCKETS * DIM floats (8 MB), so they can be broadcast; each task adds up its own in whole numbers, and blocks of
+buckets are summed in a tree, so that the sums are exact and the same in any order.
 
 The network is fitted on the driver, on the features of at most about TRAIN labelled documents (768 bytes each); the
 temperature that divides its logits is chosen on a part of them left out of the fitting.
 
 Nulls and edges: a null or empty text has all features 0 and is scored like any other; a label that is null, has no document
-or whose document has no id isn't learned; of several labels of a document the mean counts, rounded; repeated rows are scored
-each; with no labels of one of the two kinds every score is the share of label 1 (0.5 without any); other columns are not read.
+or whose document has no id isn't learned; of several labels of a document the mean counts, rounded; of rows that share a labelled id
+one is learned from, repeated rows are scored each; with no labels of one of the two kinds every score is the share of label 1 (0.5 without any); other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, scratch, utf8
+from .common import Steps, read, scratch, tree_sum, utf8
 
 BUCKETS, DIM, SIGNS, WINDOW, BLOCK = 1 << 15, 64, 2, 2, 1 << 8
 FEATURES = 3 * DIM
@@ -69,8 +70,10 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sums of neighbours' index vectors and its counts, by blocks of buckets."""
+    from pyspark import TaskContext
+
     places, signs = _index_vectors()
-    sums, counts = np.zeros(BUCKETS * DIM, np.float32), np.zeros(BUCKETS, np.int64)
+    sums, counts = np.zeros(BUCKETS * DIM, np.int64), np.zeros(BUCKETS, np.int64)
 
     def add(texts: list[np.ndarray]) -> None:
         # Texts are parted by WINDOW places without a word.
@@ -83,7 +86,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a, b = a[both].astype(np.int64), b[both].astype(np.int64)
             for x, y in ((a, b), (b, a)):
                 for j in range(SIGNS):
-                    sums[:] += np.bincount(x * DIM + places[y, j], weights=signs[y, j], minlength=BUCKETS * DIM)
+                    sums[:] += np.bincount(x * DIM + places[y, j], weights=signs[y, j], minlength=BUCKETS * DIM).astype(np.int64)
 
     held, size, parts = [], 0, _parts()
     for b in batches:
@@ -95,29 +98,37 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 held, size = [], 0
     if held:
         add(held)
-    rows = [(i, sums[i * BLOCK * DIM : (i + 1) * BLOCK * DIM].tobytes(), counts[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(BUCKETS // BLOCK)]
-    i, s, c = zip(*rows, strict=True)
-    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(s, pa.binary()), pa.array(c, pa.binary())], names=["block", "sums", "counts"])
+    width = BLOCK * DIM
+    payload = [_packed(sums[i * width : (i + 1) * width], counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(BUCKETS // BLOCK)]
+    task = np.full(len(payload), TaskContext.get().partitionId(), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(payload)), pa.int32()), pa.array(task), pa.array(payload, pa.binary())], names=["part", "task", "payload"])
+
+
+def _packed(sums: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sums and counts, four bytes for each sum where they are enough."""
+    small = not len(sums) or np.abs(sums).max() < 1 << 31
+    return counts.tobytes() + sums.astype(np.int32 if small else np.int64).tobytes()
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    small = len(payload) == BLOCK * (8 + 4 * DIM)
+    return np.frombuffer(payload, np.int32 if small else np.int64, BLOCK * DIM, 8 * BLOCK).astype(np.int64), np.frombuffer(payload, np.int64, BLOCK)
 
 
 def _add_blocks(block: pa.Table) -> pa.Table:
-    s = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in block.column("sums").to_pylist())
-    c = sum(np.frombuffer(x, np.int64) for x in block.column("counts").to_pylist())
-    return pa.table({"block": [block.column("block")[0].as_py()], "sums": [s.astype(np.float32).tobytes()], "counts": [c.tobytes()]}, schema=block.schema)
+    both = [_unpacked(x) for x in block.column("payload").to_pylist()]
+    return pa.table({"part": block.column("part")[:1], "payload": pa.array([_packed(sum(s for s, _ in both), sum(c for _, c in both))], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIM word vectors over all docs, times the weight of their words.
-
-    At most four tasks for each core add up the corpus, so that what is sent on is bounded too; a block is summed by one task."""
-    spark = docs.sparkSession
-    schema = "block int, sums binary, counts binary"
-    parts = docs.select("text").coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(_context_sums, schema)
-    total = parts.groupBy("block").applyInArrow(_add_blocks, schema).orderBy("block").toArrow()
+    """BUCKETS x DIM word vectors over all docs, times the weight of their words."""
+    with Steps() as steps:
+        parts = steps.stored(docs.select("text").mapInArrow(_context_sums, "part int, task int, payload binary"), "sums")
+        total = tree_sum(parts, _add_blocks).toArrow().sort_by("part")
     if not total.num_rows:
         return np.zeros((BUCKETS, DIM), np.float32)
-    sums = np.concatenate([np.frombuffer(x, np.float32) for x in total.column("sums").to_pylist()]).reshape(BUCKETS, DIM)
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in total.column("counts").to_pylist()])
+    both = [_unpacked(x) for x in total.column("payload").to_pylist()]
+    sums, counts = np.concatenate([s for s, _ in both]).reshape(BUCKETS, DIM).astype(np.float64), np.concatenate([c for _, c in both])
     unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     weight = SMOOTH / (SMOOTH + counts / max(1, counts.sum()))
     return (unit * weight[:, None]).astype(np.float32)
@@ -207,7 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = T
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("label", T.DoubleType()), T.StructField("x", T.BinaryType())])
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, schema).toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, schema)
+    # One row for each id, however many share it; 2 * most at the utmost.
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("label").alias("label")).toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
     left = np.array([zlib.crc32(f"{i}/left".encode()) % 8 == 0 for i in rows.column("doc_id").to_pylist()], bool)
     return fit(x, rows.column("label").to_numpy(), left)
