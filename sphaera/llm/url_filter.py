@@ -1,13 +1,19 @@
 """URL filters: host and path rules, and for the rest a ratio of two character language models.
 
-A variable-order Markov model is counted over the URLs that the rules accept, another over those that they reject: orders
-0 to 2 over a closed alphabet, each order smoothed with the next lower one by Witten and Bell's weights, down to a uniform
-distribution. The difference of the two log-probabilities of a symbol after its context is a table of fixed size
-(len(ALPHABET) ** 3 doubles, 440 KB), whatever the input. A URL's score is the mean of the table over its symbols, and the
-score at which accepted and rejected URLs are told apart best is read off a histogram of URLs the models haven't seen.
+A variable-order Markov model is counted over the URLs that the rules accept, another over those that they reject. Symbols are the
+URL's characters (A-Z lower-cased), contexts are up to `order` symbols long, and a gram of more than two symbols counts from LEAST
+occurrences on, so that contexts are as long as what has been seen allows: the models grow with the URLs. Each order is smoothed with
+the next lower one by Witten and Bell's weights, down to a uniform distribution over the symbols seen and one unseen. A URL's score is the mean over its symbols of
+the difference of the two log-probabilities, and the score at which accepted and rejected URLs are told apart best is read off a
+histogram of URLs the models haven't seen.
 
-All of it is DataFrame expressions. The table, in whole ten-thousandths, enters the scoring plan as a literal, which is safe
-as its size is fixed, so that judging URLs is a map over the table of pages: no join, no shuffle, no key that could be hot.
+The models are one table of grams. In the sum over a URL each gram that occurs in it counts by itself: with d (by how much the gram changes
+the log-ratio of its own suffix, less what b says of its context) and, where a symbol follows, b (the log-ratio of the backing-off
+weights of the gram as a context). A symbol's log-ratio by its longest known gram, with the backing off from all longer contexts, is the
+sum of these over the grams that end with it. So URLs are scored by a join of their grams with the table and a partial sum.
+
+All of it is DataFrame expressions. The table is broadcast up to BROADCAST_GRAMS rows (of a few dozen bytes); beyond, the most
+frequent HOT grams are broadcast, and the others are joined by a shuffle. URLs are scored once for each distinct one.
 
 Nulls and edges: a null URL, or one without "://", has an empty host and path, no rule, and is scored like any other text
 (a null as an empty one); a URL without symbols scores 0; with no accepted or no rejected URLs to learn from every score is
@@ -18,10 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read
+from .common import Steps, ascii_lower, join_unique, read, stored
 
 #: (host, path, verdict); a rule fits its host and the hosts below it, where the path begins with the rule's.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -31,12 +37,15 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Digits share a symbol; what isn't in the alphabet is its last symbol.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.-_:?=&#%~"
-A, ORDER = len(ALPHABET), 2
+#: Symbols of the longest context, and occurrences from which on a gram of more than two symbols is kept.
+ORDER, LEAST = 5, 2
+#: What stands before a URL's first symbol, as a context.
+START = "\x01"
+BROADCAST_GRAMS, HOT = 400_000, 5_000
 #: Scores fall into so many bins over [-SPAN, SPAN] for calibration.
 BINS, SPAN = 400, 4.0
-UNIT = 10_000
+#: Logarithms are summed in whole millionths, in any order alike.
+UNIT = 1_000_000
 
 
 def host(url: Column) -> Column:
@@ -59,65 +68,70 @@ def rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RUL
 
 
 def symbols(url: Column) -> Column:
-    """The URL over ALPHABET."""
-    folded = F.translate(ascii_lower(F.coalesce(url, F.lit(""))), "123456789", "000000000")
-    return F.regexp_replace(folded, r"[^a-z0/.\-_:?=&#%]", "~")
-
-
-def _code(symbol: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), symbol) - 1
+    """The URL as the models see it."""
+    return ascii_lower(F.coalesce(url, F.lit("")))
 
 
-def _grams(text: Column) -> Column:
-    """Array of the codes of the symbols with their two predecessors; the first ones follow "~~"."""
-    codes = F.transform(F.split(F.concat(F.lit("~~"), text), ""), _code)
+def _grams(text: Column, order: int) -> Column:
+    """array<struct<g, last, size>>: every run of up to order + 1 symbols, whether it ends the text, and the START alone; by where they end."""
+    chars = F.split(F.concat(F.lit(START), text), "")
+    gram = lambda c, i, n: F.struct(F.array_join(F.slice(c, i - n + 1, n), "").alias("g"), (i == F.size(c)).alias("last"), i.alias("at"))
     # Bound to a variable, for else the text would be split again at each place.
-    bound = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(2), F.size(c) - 1), lambda i: (F.get(c, i - 2) * A + F.get(c, i - 1)) * A + F.get(c, i)))
+    bound = F.transform(F.array(chars), lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.transform(F.sequence(F.lit(1), F.least(i, F.lit(order + 1))), lambda n: gram(c, i, n)))))
     return F.when(F.length(text) > 0, F.get(bound, F.lit(0)))
 
 
-def train(urls: DataFrame) -> DataFrame:
-    """urls (url, accepted boolean) -> one row (ratio array<int>, in 1 / UNIT): ln p(symbol | context) under acceptance less that under rejection.
-
-    Counts are kept per class and gram: 2 * A ** 3 groups at most, summed before any shuffle. Everything after them works on
-    that bounded table."""
-    counts = urls.select("accepted", F.explode(_grams(symbols(F.col("url")))).alias("g")).groupBy("accepted", "g").agg(F.count("*").alias("n"))
-    spark = urls.sparkSession
-    cells = spark.range(A**3).select(F.col("id").cast("int").alias("g")).join(F.broadcast(spark.range(2).select((F.col("id") == 1).alias("accepted"))), F.lit(True))
-    p = F.lit(1.0 / A)  # order -1: uniform
-    full = cells.join(counts, ["accepted", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    for order in range(ORDER + 1):
-        # The counts of this order: those of grams that agree in the symbol and its last `order` predecessors.
-        size = A ** (order + 1)
-        own = full.groupBy("accepted", (F.col("g") % size).alias(f"g{order}")).agg(F.sum("n").alias("n"))
-        ctx = own.groupBy("accepted", F.floor(F.col(f"g{order}") / A).alias("ctx")).agg(F.sum("n").alias("total"), F.sum((F.col("n") > 0).cast("int")).alias("kinds"))
-        here = own.withColumn("ctx", F.floor(F.col(f"g{order}") / A)).join(ctx, ["accepted", "ctx"])
-        if order:
-            here = here.withColumn("low", F.col(f"g{order}") % (size // A)).join(lower.withColumnRenamed(f"g{order - 1}", "low"), ["accepted", "low"])  # noqa: F821
-            p = F.col("p")
-        seen = F.col("total") + F.col("kinds")
-        lower = here.select("accepted", f"g{order}", F.when(seen > 0, (F.col("n") + F.col("kinds") * p) / seen).otherwise(p).alias("p"))
-    both = lower.groupBy(F.col(f"g{ORDER}").alias("g")).agg((F.sum(F.when(F.col("accepted"), F.ln("p"))) - F.sum(F.when(~F.col("accepted"), F.ln("p")))).alias("r"))
-    return both.agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "r"))), lambda x: F.round(x["r"] * UNIT).cast("int")).alias("ratio"))
-
-
-def score(url: Column, ratio: Column) -> Column:
-    """Mean log-likelihood difference per symbol, in one pass that carries the context."""
-    text = symbols(url)
-    start = F.struct(F.lit((A - 1) * A + A - 1).alias("context"), F.lit(0).cast("long").alias("sum"))
-
-    def step(s: Column, c: Column) -> Column:
-        gram = s["context"] * A + _code(c)
-        return F.struct((gram % (A * A)).alias("context"), (s["sum"] + F.coalesce(F.get(ratio, gram), F.lit(0))).alias("sum"))
-
-    total = F.aggregate(F.split(text, ""), start, step, lambda s: s["sum"])
-    return F.when(F.length(text) > 0, total / F.length(text) / UNIT).otherwise(F.lit(0.0))
+def train(urls: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+    """urls (url, accepted boolean) -> the table (g, d, b, n) in 1 / UNIT, and what each symbol adds in any case (the first backing off)."""
+    found = urls.select("accepted", F.explode(_grams(symbols(F.col("url")), order)).alias("x")).where("x.at > 1").select("accepted", "x.g")
+    counts = found.groupBy("g").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+    with Steps() as steps:
+        kept = steps.stored(counts.where((F.length("g") <= 2) | (F.col("a") + F.col("r") >= LEAST)), "grams")
+        front = lambda g: F.substring(g, F.lit(1), F.length(g) - 1)
+        contexts = kept.groupBy(front(F.col("g")).alias("c")).agg(F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"), F.count_if(F.col("r") > 0).alias("tr"))
+        back = lambda n, t: F.when(F.col(n) > 0, F.ln(F.col(t) / (F.col(n) + F.col(t)))).otherwise(0.0)
+        contexts = steps.stored(contexts.withColumn("back", back("na", "ta") - back("nr", "tr")), "contexts")
+        held = kept.join(contexts, front(F.col("g")) == F.col("c")).drop("c")
+        stats = steps.stored(held, "stats")
+        # A gram's probabilities, from those of its suffixes, the shortest first.
+        suffixes = F.transform(F.sequence(F.lit(1), F.length("g")), lambda n: F.substring(F.col("g"), F.length("g") - n + 1, n))
+        chain = stats.select(F.col("g").alias("of"), F.explode(suffixes).alias("g")).join(stats, "g")
+        steps_of = F.sort_array(F.collect_list(F.struct(F.length("g").alias("k"), "a", "r", "na", "ta", "nr", "tr", "back")))
+        known = kept.where("length(g) = 1").count() + 1
+        even = F.lit(1.0 / known)
+        start = F.struct(even.alias("pa"), even.alias("pr"), even.alias("qa"), even.alias("qr"))
+        smooth = lambda n, total, kinds, p: F.when(total > 0, (n + kinds * p) / (total + kinds)).otherwise(p)
+        step = lambda s, x: F.struct(smooth(x["a"], x["na"], x["ta"], s["pa"]).alias("pa"), smooth(x["r"], x["nr"], x["tr"], s["pr"]).alias("pr"), s["pa"].alias("qa"), s["pr"].alias("qr"))
+        folded = chain.groupBy("of").agg(steps_of.alias("s")).select("of", F.aggregate("s", start, step).alias("p"), F.element_at("s", -1).alias("own"))
+        change = F.ln(F.col("p.pa")) - F.ln(F.col("p.pr")) - F.ln(F.col("p.qa")) + F.ln(F.col("p.qr")) - F.col("own.back")
+        whole = lambda x: F.round(x * UNIT).cast("long")
+        grams = folded.select(F.col("of").alias("g"), whole(change).alias("d"), (F.col("own.a") + F.col("own.r")).alias("n"))
+        ends = contexts.select(F.col("c").alias("g"), whole(F.col("back")).alias("b"), (F.col("na") + F.col("nr")).alias("m"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        table = grams.join(ends.where("g != ''"), "g", "full").select("g", zero("d"), zero("b"), F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
+        out = stored(table, "model")
+        first = ends.where("g = ''").first()
+    return out, (first["b"] / UNIT if first else 0.0)
+
+
+def score(urls: DataFrame, model: tuple[DataFrame, float], order: int = ORDER) -> DataFrame:
+    """urls (url, distinct and not null) -> url, score: the mean log-likelihood difference per symbol."""
+    table, always = model
+    seen = urls.select("url", F.explode(_grams(symbols(F.col("url")), order)).alias("x")).select("url", "x.g", "x.last")
+    cells = table.select("g", "d", "b")
+    if table.count() <= BROADCAST_GRAMS:
+        met = seen.join(F.broadcast(cells), "g")
+    else:
+        hot = stored(table.orderBy(F.desc("n"), "g").limit(HOT).select("g", "d", "b"), "hot")
+        rest = seen.join(F.broadcast(hot.select("g")), "g", "left_anti").join(cells, "g")
+        met = seen.join(F.broadcast(hot), "g").unionByName(rest)
+    sums = met.groupBy("url").agg(F.sum(F.col("d") + F.when(F.col("last"), 0).otherwise(F.col("b"))).alias("s"))
+    n = F.length("url")
+    return urls.join(sums, "url", "left").select("url", F.when(n > 0, F.coalesce("s", F.lit(0)) / n / UNIT + F.lit(always)).otherwise(F.lit(0.0)).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
     """scored (accepted, score) -> one row (threshold): the score with the best balanced accuracy, the middle one of equals. Over BINS rows."""
-    from pyspark.sql import Window
-
     place = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS))).cast("int")
     hist = scored.groupBy(place.alias("b")).agg(F.sum(F.col("accepted").cast("int")).alias("yes"), F.sum((~F.col("accepted")).cast("int")).alias("no"))
     bins = scored.sparkSession.range(BINS).select(F.col("id").cast("int").alias("b")).join(hist, "b", "left").fillna(0)
@@ -128,22 +142,20 @@ def calibrate(scored: DataFrame) -> DataFrame:
     return best.select(F.when((F.col("y") > 0) & (F.col("n") > 0), F.col("b") / BINS * 2 * SPAN - SPAN).otherwise(F.lit(0.0)).alias("threshold"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, keep: Sequence[str] = ("page_id",), order: int = ORDER) -> DataFrame:
     """The columns in keep, host, path, rule, verdict and score of every row of pages."""
+    own = [f"__k{i}" for i in range(len(keep))]
+    rows = pages.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)), F.coalesce("url", F.lit("")).alias("url"))
     fits = lambda df: df.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("__fit", rule(F.col("host"), F.col("path"), rules))
-    known = fits(pages.select("url")).where("__fit IS NOT NULL").select("url", (F.col("__fit.verdict") == "allow").alias("accepted"))
+    known = fits(rows.select("url")).where("__fit IS NOT NULL").select("url", (F.col("__fit.verdict") == "allow").alias("accepted"))
     fold = F.pmod(F.xxhash64("url"), F.lit(5))
-    both = known.where(fold != 0).agg(F.count_if("accepted") * F.count_if(~F.col("accepted"))).first()[0]
-    ratio = _fixed(train(known.where(fold != 0))) if both else F.array(F.lit(0))
-    cut = calibrate(known.where(fold == 0).select("accepted", score(F.col("url"), ratio).alias("score"))).scalar()
-    out = fits(pages.select(*keep, F.col("url"))).withColumn("score", score(F.col("url"), ratio))
+    learned = known.where(fold != 0).agg(F.count_if("accepted") * F.count_if(~F.col("accepted"))).first()[0]
+    urls = rows.select("url").distinct()
+    scores = stored(score(urls, train(known.where(fold != 0), order), order) if learned else urls.withColumn("score", F.lit(0.0)), "scores")
+    cut = calibrate(join_unique(known.where(fold == 0), scores, "url").select("accepted", "score")).scalar()
+    out = fits(join_unique(rows, scores, "url"))
     verdict = F.coalesce(F.col("__fit.verdict"), F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return out.select(*keep, "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"), "score")
-
-
-def _fixed(model: DataFrame) -> Column:
-    """train()'s table as a literal, which the optimizer folds out of its text."""
-    return F.split(F.lit(",".join(map(str, model.first()["ratio"]))), ",").cast("array<int>")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
