@@ -6,9 +6,9 @@ two steps: first each message by itself (so that a long conversation is spread b
 its messages, which are then rendered. Only DataFrame expressions are used.
 
 The rendering of a message is <turn>role, a line feed, the text and </turn>. Inside roles and texts a backslash becomes
-\\b and a "<" becomes \\l, so that no text can open or close a turn, and unescape() gives back any text exactly. A
-conversation's output is its list of rendered turns, each with the place of the text that bears loss (assistants' texts);
-its string is their concatenation.
+\\b and a "<" becomes \\l, so that no text can open or close a turn, and in roles a line feed becomes \\n, so that the first one ends
+the role; unescape() gives back any text or role exactly. A conversation's output is its list of rendered turns, each with the
+place of the text that bears loss (assistants' texts); its string is their concatenation.
 
 Nulls and edges: a null text or delta is empty, a null role an empty role; conv_id may be null (one conversation of that
 id); rows of equal turn are turns of their own, ordered by role and text, null first, and repeated rows are repeated turns;
@@ -26,19 +26,36 @@ from .common import read
 OPEN, CLOSE = "<turn>", "</turn>"
 #: Event types: message opens (text optional), delta appends, edit replaces, regenerate empties and drops later messages.
 TYPES = ("message", "delta", "edit", "regenerate")
+#: Code points of a streamed delta.
+CHUNK = 1000
 
 
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    """Of texts and roles; no escaped text holds \\n, as its backslashes are followed by b or l."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """Finished turns as a log: each row opens a message of its own at its turn."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("type"), F.col("turn").alias("message"), "role", "text")
+def as_events(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Finished turns as a log: each row opens a message of its own at its turn; an assistant's is opened empty and its text streamed in
+    deltas of `chunk` code points. Rows of equal turn are numbered, so that each delta finds its message."""
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(same).alias("n"))
+    whole = F.struct(F.lit(0).alias("part"), F.lit("message").alias("type"), F.col("text").alias("text"))
+    opened = F.array(F.struct(F.lit(0).alias("part"), F.lit("message").alias("type"), F.lit("").alias("text")))
+    parts = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    deltas = F.transform(parts, lambda x, i: F.struct((i + 1).alias("part"), F.lit("delta").alias("type"), x.alias("text")))
+    events = F.when((F.col("role") == "assistant") & (F.length("text") > 0), F.concat(opened, deltas)).otherwise(F.array(whole))
+    e = rows.select("conv_id", "turn", "n", "role", F.inline(events))
+    message = F.struct("turn", "n")
+    return e.select("conv_id", F.struct("turn", "n", "part").alias("seq"), "type", message.alias("message"), F.when(F.col("type") == "message", F.col("role")).alias("role"), "text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -52,7 +69,9 @@ def fold(events: DataFrame) -> DataFrame:
     e = e.withColumn("copy", F.greatest(F.lit(1), F.sum(opens.cast("int")).over(of_message.rowsBetween(Window.unboundedPreceding, 0))))
     ordered = F.sort_array(F.collect_list(F.struct("seq", F.when(opens, 0).otherwise(1).alias("late"), "type", "role", "text")))
     m = e.groupBy("conv_id", "message", "copy").agg(ordered.alias("log"))
-    text = F.aggregate("log", F.lit(""), lambda t, x: F.when(x["type"] == "delta", F.concat(t, x["text"])).otherwise(F.when(x["type"] == "regenerate", F.lit("")).otherwise(x["text"])))
+    # What stands since the last event that isn't a delta; joined once, so that long texts aren't copied again for each delta.
+    since = F.greatest(F.lit(1), F.array_max(F.transform("log", lambda x, i: F.when(x["type"] != "delta", i + 1))))
+    text = F.array_join(F.transform(F.slice("log", since, F.size("log")), lambda x: F.when(x["type"] == "regenerate", "").otherwise(x["text"])), "")
     opened = F.filter("log", lambda x: x["type"] == "message")
     return m.select(
         "conv_id",
@@ -76,7 +95,7 @@ def render(messages: DataFrame) -> DataFrame:
     """messages (conv_id, message, copy, role, text) -> conv_id, turns array<struct<rendered, loss_start, loss_chars>>.
 
     loss_start counts code points of `rendered` from 0; a turn without loss has loss_chars null."""
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     turn = F.struct(
         "message",
@@ -140,7 +159,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(length('<turn></turn>') + 1 + length({_ESC.format("role")}) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<turn></turn>') + 1 + length(replace({_ESC.format("role")}, chr(10), '\n')) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
 
