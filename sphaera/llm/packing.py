@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences by the sum of squares.
 
 A document is its token ids and one END id; one longer than a sequence is cut into full pieces and a rest. Pieces are
-dealt evenly to shards of about SHARD pieces, and each shard packs its own, longest first: a piece goes where, after
+dealt evenly to shards of about SHARD pieces or SHARD_TOKENS tokens, and each shard packs its own, longest first: a piece goes where, after
 placing it, the sum over all residual gaps of (number of open sequences with that gap) ** 2 is smallest, be it an open
-sequence or a new one. A shard holds lengths and ids of documents, never texts, and its size doesn't grow with the input.
+sequence or a new one. A shard holds lengths, ids of documents and, if asked for, token ids, never texts, and its size doesn't grow with the input.
 
 The tokenizer lower-cases, drops white space and never joins what white space parts, so ids are looked up word by word in
 a cache of words already encoded; encoding a whole text gives the same ids.
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from .common import read, scratch, stored, utf8
 
-CAPACITY, END, SHARD = 4096, 1, 30_000
+#: A shard has about so many pieces at most, and so many tokens (four bytes each where pieces carry their ids).
+CAPACITY, END, SHARD, SHARD_TOKENS = 4096, 1, 30_000, 24_000_000
 #: Words that a worker keeps the ids of, some 200 bytes each.
 CACHE, SEEN = 600_000, 1 << 22
 _TAIL = re.compile(rb"(.*[0-9a-z])([.,;:!?%$&*#|]+)", re.DOTALL)
@@ -149,7 +150,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
             first = TaskContext.get().partitionId() << 32
             yield from table.append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset)).to_batches()
 
-    shards = max(1, -(-items.count() // shard))
+    n, tokens = items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    shards = max(1, -(-n // shard), -(-tokens // SHARD_TOKENS))
     return items.select(*names).repartition(shards).mapInArrow(run, schema)
 
 
