@@ -115,12 +115,39 @@ def test_mix_comes_near_its_targets_and_repeats_itself(docs):
 def test_mix_on_odd_rows(odd, empty, spark):
     plan = mixing.plan(odd)
     assert plan.count() == odd.count() and plan.where("copies > 3 OR copies < 0").count() == 0
-    assert plan.where("doc_id = 7 AND text LIKE 'üb%'").select("copies").distinct().count() == 1
     assert mixing.mix(empty).count() == 0
     given = spark.createDataFrame([("s", 1.0), (None, 1.0), ("t", 2.0), ("u", 1.0)], "source string, weight double")
     assert mixing.plan(odd, given).count() == odd.count()
 
 
+def test_repeated_rows_are_taken_in_number(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 60)
+    rows_ = [(1, "a b c d e", "s")] * 1000 + [(None, None, None)] * 50 + [(i, "w " * 20, "t") for i in range(2, 90)] + [(5, "w " * 20, "t")] * 3
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    given = spark.createDataFrame([("s", 1.0), (None, 1.0), ("t", 1.0)], "source string, weight double")
+    plan = mixing.plan(df, given)
+    got = plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    by = {r.source: r for r in got}
+    assert by["s"].n == 1000 and by[None].n == 50 and by["t"].n == 91
+    assert abs(by["s"].taken - by["s"].target) <= 5 and plan.where("source = 's'").select("copies").distinct().count() == 2
+    assert rows(plan) == rows(mixing.plan(df.repartition(7), given)) and mixing.mix(df, given).count() == plan.agg(F.sum("copies")).first()[0]
+
+
+def test_copies_by_brute_force(spark, data):
+    """sizes, targets and copies of the query, from its documents alone."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").collect()
+    got = {r.doc_id: r for r in queries()["op2_mixing"](spark, data).collect()}
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs}
+    sources = sorted({r.source for r in docs}, key=lambda x: (x is None, (x or "").encode("utf-16-be")))
+    total = [sum(size[r.doc_id] for r in docs if r.source == x) for x in sources]
+    aims = dict(zip(sources, water(total, [(5, 2, 1)[i % 3] for i in range(len(sources))])))
+    for r in docs:
+        g, n = got[r.doc_id], size[r.doc_id]
+        rate = aims[r.source] / total[sources.index(r.source)]
+        assert (g["size"], g.source_size) == (n, total[sources.index(r.source)]) and abs(g.target - aims[r.source]) < 1e-6 * max(1, g.target)
+        assert g.taken in ({n * int(rate), n * (int(rate) + 1)} if rate % 1 > 1e-9 else {n * round(rate)}) and g.taken <= 3 * n
+
+
 def test_many_sources_go_the_salted_way(odd, monkeypatch):
     wide = rows(mixing.plan(odd))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
@@ -164,6 +191,63 @@ def test_lines_of_odd_rows(odd, empty):
     assert line_dedup.drop_lines(empty).count() == 0
 
 
+def brute_removed(docs):
+    """The op3 query on rows (doc_id, text), whatever they hold: rows of one id with equal line numbers and words are one place."""
+    lines = sorted({(i is not None, i or 0, k, frozenset(x.encode().split())) for i, t in docs for k, x in enumerate((t or "").split("\n")) if x.encode().split()}, key=lambda r: r[:3])
+    gone = {a for i, a in enumerate(lines) for b in lines if b[:3] < a[:3] and 5 * len(a[3] & b[3]) >= 4 * len(a[3] | b[3])}
+    out = []
+    for i, t in docs:
+        cut = [k for k, x in enumerate((t or "").split("\n")) if x.encode().split() and (i is not None, i or 0, k, frozenset(x.encode().split())) in gone]
+        out.append((i, len(cut), ",".join(map(str, cut))))
+    return sorted(out, key=repr)
+
+
+def test_query_of_odd_rows_equals_brute_force(spark, odd, empty):
+    got = sorted((tuple(r) for r in line_dedup.removed(odd).collect()), key=repr)
+    assert got == brute_removed([(r.doc_id, r.text) for r in odd.collect()])
+    assert line_dedup.removed(empty).count() == 0
+    shared = [(5, "one two three four\nalpha beta"), (5, "six seven eight nine\none two three four"), (5, "gamma delta\nalpha beta"), (5, "gamma delta\nalpha beta"), (None, "alpha beta"), (None, "zeta\nalpha beta"), (6, None), (6, "zeta\n\n \ngamma delta")]
+    got = sorted((tuple(r) for r in line_dedup.removed(spark.createDataFrame(shared, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_removed(shared)
+
+
+def test_lines_of_documents_with_other_kinds_of_ids(spark):
+    texts = [("b", "one two three four five\nother words"), ("a", "x\none two three four five"), (None, "other words"), ("c", "one two three four six five"), ("c", "nothing of it")]
+    got = sorted((tuple(r) for r in line_dedup.removed(spark.createDataFrame(texts, "doc_id string, text string")).collect()), key=repr)
+    assert got == sorted([("a", 0, ""), ("b", 2, "0,1"), (None, 0, ""), ("c", 1, "0"), ("c", 0, "")], key=repr)
+    dropped = {(r.doc_id, r.text) for r in line_dedup.drop_lines(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    assert dropped == {("a", texts[1][1]), ("b", ""), (None, "other words"), ("c", ""), ("c", "nothing of it")}
+
+
+@pytest.mark.parametrize("threshold", [(4, 5), (1, 2)])
+def test_hot_words_are_posted_in_pairs(spark, monkeypatch, threshold):
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    rng = np.random.default_rng(9)
+    texts = [(d, "\n".join(" ".join(f"h{x}" for x in rng.choice(9, int(rng.integers(1, 8)), replace=False)) for _ in range(4))) for d in range(60)]
+    got = {(r.doc_id, r.line) for r in line_dedup.repeated(spark.createDataFrame(texts, "doc_id long, text string"), threshold).collect()}
+    lines = [(d, k, frozenset(x.split())) for d, t in texts for k, x in enumerate(t.split("\n"))]
+    up, down = threshold
+    assert got == {(d, k) for i, (d, k, a) in enumerate(lines) if any(down * len(a & b) >= up * len(a | b) for _, _, b in lines[:i])} and len(got) < len(lines)
+
+
+def test_sums_in_a_tree(spark):
+    from sphaera.llm import common
+
+    def fold(t):
+        import pyarrow as pa
+
+        n = np.zeros(4, np.int64)
+        for x in t.column("payload").to_pylist():
+            at, v = common.dense(x)
+            n[at] += v
+        return pa.table({"part": t.column("part")[:1], "payload": pa.array([common.sparse(n)], pa.binary())})
+
+    parts = spark.createDataFrame([(p, t, bytearray(common.sparse(np.array([t, 0, 1, p])))) for p in range(3) for t in range(20)], "part int, task int, payload binary")
+    for fan in (3, 256):
+        got = {r.part: common.dense(bytes(r.payload)) for r in common.tree_sum(parts, fold, fan).collect()}
+        assert {p: dict(zip(a.tolist(), v.tolist())) for p, (a, v) in got.items()} == {p: {0: 190, 2: 20} | ({3: 20 * p} if p else {}) for p in range(3)}
+
+
 # --- 4 MaxScore ---
 
 
@@ -178,11 +262,33 @@ def test_search_on_odd_vectors(spark):
 
 def test_search_in_many_blocks_and_shards(spark, data, monkeypatch):
     want = rows(queries()["op4_maxscore"](spark, data))
-    monkeypatch.setattr(maxscore, "QUERY_BYTES", 2000)
+    monkeypatch.setattr(maxscore, "GROUP_BYTES", 20_000)
     monkeypatch.setattr(maxscore, "SHARD", 50)
+    monkeypatch.setattr(maxscore, "SEED", 30)
     assert rows(queries()["op4_maxscore"](spark, data)) == want
 
 
+def test_search_skips_postings(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", maxscore.weights(F.col("embedding")).alias("weights"))
+    looked = spark.sparkContext.accumulator(0)
+    asked = e.where("vec_id % 20 = 0")
+    assert maxscore.top_k(e, asked, looked=looked).count() == 20 * asked.count()
+    assert 0 < looked.value < 0.8 * asked.count() * e.count() * 64
+
+
+def test_search_with_long_vectors_and_other_columns(spark):
+    rng = np.random.default_rng(2)
+    v = [(i, [float(x) for x in rng.normal(size=3000 if i % 2 else 2500)], "x", 1.0) for i in range(60)]
+    t = spark.createDataFrame(v, "vec_id long, embedding array<double>, rank string, score double").withColumn("weights", maxscore.weights(F.col("embedding")))
+    w = {i: np.pad(np.floor(64 * np.array(x)), (0, 3000 - len(x))) for i, x, _, _ in v}
+    got = {}
+    for r in maxscore.top_k(t, t.where("vec_id < 5"), 7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in range(5):
+        best = sorted(((-int(w[q] @ w[i]), i) for i in w if i != q))[:7]
+        assert [got[q][k] for k in range(1, 8)] == [(i, -x) for x, i in best]
+
+
 # --- 5 secrets ---
 
 
@@ -202,6 +308,71 @@ def test_scan_finds_tokens_and_leaves_words(spark):
     assert all(r.is_secret == bool(re.fullmatch("[0-9a-fA-F]{40}", r.v)) for r in found) and any(r.is_secret for r in found)
 
 
+def other_findings(n, seed):
+    """Findings of shapes that made_findings() has none of."""
+    rng = np.random.default_rng(seed)
+    pick = lambda s: s[int(rng.integers(len(s)))]
+    some = lambda chars, k: "".join(pick(chars) for _ in range(k))
+    up, low, dig = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    word = lambda: pick(("river", "window", "garden", "ledger", "planet", "copper", "morning", "signal"))
+    yes = (
+        lambda: (f"aws_access_key_id = ", "AKIA" + some(up + dig, 16)),
+        lambda: ("Authorization: Bearer ", "eyJ" + some(up + low + dig, 30) + "." + some(up + low + dig + "_-", 40)),
+        lambda: ("DB_PASSWORD=", some(up + low + dig + "!#%", 11)),
+        lambda: ("client_secret: ", f"{some(low + dig, 8)}-{some(low + dig, 4)}-{some(low + dig, 12)}"),
+        lambda: (f"mysql://{word()}:", some(low + up + dig, 9) + "@db.example.com"),
+    )
+    no = (
+        lambda: ("isbn ", f"978-{some(dig, 1)}-{some(dig, 4)}-{some(dig, 4)}-{some(dig, 1)}"),
+        lambda: ("img src=", f"images/{word()}_{word()}_{some(dig, 2)}.png"),
+        lambda: (f"{word()}: ", f"{word()}-{word()}"),
+        lambda: ("file ", f"{word()}_{some(dig, 4)}_{word()}.tar.gz"),
+        lambda: ("sha512: ", some("0123456789abcdef", 128)),
+        lambda: ("mail ", f"{word()}{some(dig, 2)}@{word()}.org"),
+        lambda: ("price=", f"EUR{some(dig, 4)}.{some(dig, 2)}"),
+    )
+    out = []
+    for _ in range(n):
+        label = int(rng.random() < 0.5)
+        head, value = pick(yes if label else no)()
+        head = f"{word()} {word()} " + head
+        text = f"{head}{value} {word()} {word()}"
+        at = [s for s in secret_scan.spans(text) if s[0] < len(head) + len(value) and s[1] > len(head)]
+        out.append((text, *max(at, key=lambda s: s[1] - s[0], default=(0, 0)), "", label))
+    return out
+
+
+def test_forest_on_other_shapes(spark, docs):
+    common = secret_scan.dictionary(docs)
+    model = secret_scan.train(spark, secret_scan.made_findings(), common)
+    from pyspark.ml.functions import array_to_vector
+
+    seen = [f for f in other_findings(1000, 3)]
+    df = spark.createDataFrame([(secret_scan.features(t, a, b, p, common), label) for t, a, b, p, label in seen if b > a], "features array<double>, label int").withColumn("features", array_to_vector("features"))
+    hit = model.transform(df).groupBy("label", "prediction").count().collect()
+    n = {(r.label, int(r.prediction)): r["count"] for r in hit}
+    recall, precision = n.get((1, 1), 0) / sum(f[4] for f in seen), n.get((1, 1), 0) / max(1, n.get((1, 1), 0) + n.get((0, 1), 0))
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.8 and precision >= 0.8
+
+
+def test_candidates_of_any_kind():
+    cases = {'password = "hunter22"': ["hunter22"], "pwd: a.b!c@d$e": ["a.b!c@d$e"], "ftp://joe:s3cr.t@host/": ["s3cr.t"], "my token is Zq9-x": ["Zq9-x"], "plain words only, nothing else": [], "x " + "f" * 20 + " y": ["f" * 20], "see 12ab34cd56.": ["12ab34cd56"], "abcdefgh ijklmnop": [], "key=" + "A1" * 15: ["A1" * 15]}
+    assert {t: [t[a:b] for a, b in secret_scan.spans(t)] for t in cases} == cases
+
+
+def test_scores_by_brute_force(spark, docs):
+    """Every row is a candidate of its text, with the forest's own probability of its features."""
+    findings = secret_scan.made_findings(400)
+    common = secret_scan.dictionary(docs)
+    model = secret_scan.train(spark, findings, common)
+    from pyspark.ml.linalg import Vectors
+
+    want = sorted((r.doc_id, a, b - a, round(float(np.mean([t.predictProbability(Vectors.dense(secret_scan.features(r.text, a, b, "", common)))[1] for t in model.trees])), 9)) for r in docs.collect() for a, b in secret_scan.spans(r.text or ""))
+    got = sorted((r.doc_id, r.start, r.length, round(r.score, 9)) for r in secret_scan.scan(docs, findings).collect())
+    assert got == want and want
+
+
 def test_scan_of_odd_rows(odd, empty):
     f = secret_scan.made_findings(200)
     got = secret_scan.scan(odd, f).collect()
@@ -220,6 +391,42 @@ def test_classifier_on_documents_held_out(spark):
     assert r[1] >= 0.9 * r[0] and r[2] >= 0.95 * r[3]
 
 
+def test_scores_of_the_classifier_by_brute_force(spark, docs):
+    """Context sums word by word, and the network's formula number by number."""
+    some = docs.where("doc_id < 25")
+    B, D = quality_model.BUCKETS, quality_model.DIM
+    places, signs = quality_model._index_vectors()
+    sums, counts, texts = np.zeros((B, D)), np.zeros(B), {}
+    for r in some.collect():
+        ids = [zlib.crc32(p) % B for w in (r.text or "").encode().split() for p in quality_model._PARTS.findall(w)]
+        texts[r.doc_id] = ids
+        for i, x in enumerate(ids):
+            counts[x] += 1
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if j != i:
+                    np.add.at(sums[x], places[ids[j]], signs[ids[j]])
+    v = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) * (1e-3 / (1e-3 + counts / counts.sum()))[:, None]
+    got = quality_model.word_vectors(some)
+    assert np.abs(got - v).max() < 1e-6
+    rng = np.random.default_rng(0)
+    net = quality_model.Network(rng.normal(size=3 * D), np.ones(3 * D), rng.normal(size=(3 * D, 4)), rng.normal(size=4), rng.normal(size=4), 0.1, 1.7)
+    for r in quality_model.score(some, got, net).collect():
+        x = np.zeros(3 * D)
+        if ids := texts[r.doc_id]:
+            w = got[ids].astype(float)
+            x = np.concatenate([w.mean(0), w.std(0), np.sqrt(((w[1:] - w[:-1]) ** 2).sum(0) / len(ids))])
+        z = np.tanh((x - net.mean) @ net.w1 + net.b1) @ net.w2 + 0.1
+        assert abs(r.score - 1 / (1 + np.exp(-z / 1.7))) < 1e-4
+
+
+def test_rows_that_share_a_labelled_id_are_one(odd, spark):
+    v = quality_model.word_vectors(odd)
+    labels = spark.createDataFrame([(7, 1), (5, 0)], "doc_id long, label int")
+    many = odd.where("doc_id = 7").crossJoin(spark.range(50)).drop("id").union(odd)
+    a, b = quality_model.train(odd, labels, v), quality_model.train(many, labels, v)
+    assert np.allclose(a.w1, b.w1)
+
+
 def test_classifier_on_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, None), (99, 1), (None, 0)], "doc_id long, label int")
     v = quality_model.word_vectors(odd)
@@ -279,6 +486,22 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_ties_and_shards_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 10_000)
+    df = spark.createDataFrame([(i // 2, "the cat sat") for i in range(60)] + [(99, "word " * 9000)], "doc_id long, text string")
+    got = packing.pack_documents(df).collect()
+    assert sum(r.length for r in got) > 9000 and len(got) == 60 + -(-9001 // 4096)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in by.values():
+        ends = [0]
+        for a, n in sorted(s):
+            assert a == ends[-1]
+            ends.append(a + n)
+        assert ends[-1] <= 4096
+
+
 def test_special_tokens_are_matched_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
@@ -310,30 +533,79 @@ def test_urls_parts_and_rules(spark):
         assert got[i].verdict == (best[1] or got[i].verdict) and got[i].verdict in ("allow", "block")
 
 
-def test_language_models_by_brute_force(spark):
-    urls = [("http://aa/b", True), ("http://ab/9", True), ("https://zz/?q", False), ("x_~ö", False)]
-    table = url_filter.train(spark.createDataFrame(urls, "url string, accepted boolean")).first()["ratio"]
-    A = url_filter.A
-
-    def p(accepted, gram, order):
-        if order < 0:
+def brute_scores(urls, judged, order):
+    """Interpolated Witten-Bell, symbol by symbol: grams of more than two symbols from LEAST occurrences on."""
+    count = {True: Counter(), False: Counter()}
+    for u, y in urls:
+        s = url_filter.START + low(u)
+        for i in range(1, len(s)):
+            for n in range(1, min(i + 1, order + 1) + 1):
+                count[y][s[i - n + 1 : i + 1]] += 1
+    kept = {g for y in count for g in count[y] if len(g) <= 2 or count[True][g] + count[False][g] >= url_filter.LEAST}
+    by_context = {}
+    for g in kept:
+        by_context.setdefault(g[:-1], []).append(g)
+    A = sum(len(g) == 1 for g in kept) + 1
+
+    def p(y, context, c):
+        if context is None:
             return 1 / A
-        n, total, kinds = Counter(), 0, set()
-        ctx = gram[2 - order : 2]
-        for u, y in urls:
-            s = "~~" + re.sub(r"[^a-z0/.\-_:?=&#%]", "~", low(u).translate(str.maketrans("123456789", "0" * 9)))
-            for i in range(2, len(s)):
-                if y == accepted and s[i - order : i] == ctx:
-                    n[s[i]] += 1
-                    total += 1
-                    kinds.add(s[i])
-        lower = p(accepted, gram, order - 1)
-        return (n[gram[2]] + len(kinds) * lower) / (total + len(kinds)) if total else lower
-
-    code = url_filter.ALPHABET.index
-    for gram in ("~~h", "htt", "//a", "zzz", "q~~", "ab/"):
-        want = np.log(p(True, gram, 2) / p(False, gram, 2)) * url_filter.UNIT
-        assert abs(table[(code(gram[0]) * A + code(gram[1])) * A + code(gram[2])] - want) <= 0.51
+        lower = p(y, context[1:] if context else None, c)
+        n = [count[y][g] for g in by_context.get(context, [])]
+        total, kinds = sum(n), sum(x > 0 for x in n)
+        own = count[y][context + c] if context + c in kept else 0
+        return (own + kinds * lower) / (total + kinds) if total else lower
+
+    out = {}
+    for u in judged:
+        s = url_filter.START + low(u)
+        terms = [np.log(p(True, s[max(0, i - order) : i], s[i])) - np.log(p(False, s[max(0, i - order) : i], s[i])) for i in range(1, len(s))]
+        out[u] = sum(terms) / len(terms) if terms else 0.0
+    return out
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_language_models_by_brute_force(spark, monkeypatch, hot):
+    if hot:  # the way of tables too large to broadcast
+        monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 10)
+        monkeypatch.setattr(url_filter, "HOT", hot)
+    urls = [("http://aa/b", True), ("http://ab/9", True), ("https://zz/?q", False), ("x_~ö", False), ("http://aa/bc", False), ("http://aa/bd", True)]
+    judged = ["", "http://aa/b", "http://ab/77", "ö", "zz", "https://Zz/?q=ü"]
+    for order in (2, 5):
+        model = url_filter.train(spark.createDataFrame(urls, "url string, accepted boolean"), order)
+        got = {r.url: r.score for r in url_filter.score(spark.createDataFrame([(u,) for u in judged], "url string"), model, order).collect()}
+        assert got == pytest.approx(brute_scores(urls, judged, order), abs=1e-4)
+
+
+def test_verdicts_by_brute_force(spark):
+    """The query's scores, threshold and verdicts from its pages alone."""
+    d = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(5)).alias("fold")).collect()
+    got = {r.page_id: r for r in url_filter.judge(spark.read.parquet(f"{d}/pages.parquet")).collect()}
+
+    def ruled(u):
+        h, p = parts(u)
+        fits = [(a + b, v) for a, b, v in url_filter.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        return max(fits, key=lambda r: len(r[0]), default=(None, None))[1]
+
+    known = [(r.url, ruled(r.url) == "allow", r.fold) for r in pages if ruled(r.url)]
+    want = brute_scores([(u, y) for u, y, f in known if f], {r.url for r in pages}, url_filter.ORDER)
+    bin_ = lambda s: min(url_filter.BINS - 1, max(0, int(np.floor((s + url_filter.SPAN) / (2 * url_filter.SPAN) * url_filter.BINS))))
+    yes, no = ([bin_(got_score) for u, y, f in known if f == 0 and y == kind for got_score in (want[u],)] for kind in (True, False))
+    gain = [sum(b < k for b in no) / max(1, len(no)) - sum(b < k for b in yes) / max(1, len(yes)) for k in range(url_filter.BINS)]
+    best = [k for k, g in enumerate(gain) if g == max(gain)]
+    cut = np.mean(best) / url_filter.BINS * 2 * url_filter.SPAN - url_filter.SPAN if yes and no else 0.0
+    for r in pages:
+        g = got[r.page_id]
+        assert abs(g.score - want[r.url]) < 1e-4
+        assert g.verdict == (ruled(r.url) or ("allow" if g.score >= cut else "block")) or abs(g.score - cut) < 1e-4
+
+
+def test_long_urls_ties_and_other_columns(spark):
+    long_ = "http://q.net/" + "abc/" * 5000
+    df = spark.createDataFrame([(1, long_, "h", "p"), (1, long_, "h", "p"), (2, None, "h", "p"), (3, "", None, None), (4, "http://a.org/x", "", ""), (5, "http://b.com/de/x", "", "")], "page_id long, url string, host string, score string")
+    got = sorted((r.page_id, r.host, r.verdict) for r in url_filter.judge(df, keep=("page_id", "score")).select("page_id", "host", "verdict").collect())
+    assert len(got) == 6 and got[0] == got[1] and got[0][1] == "q.net" and got[-1][2] == "block" and got[-2][2] == "allow"
 
 
 def test_urls_without_anything_to_learn_from(spark):
@@ -360,6 +632,21 @@ def test_escapes_come_back(spark):
     assert out.loss == "".join(t or "" for t in texts[::2])
 
 
+def test_roles_come_back(spark):
+    roles = ["us\ner", "\\n", "", None, "a\\nb\n<", "assistant"]
+    df = spark.createDataFrame([(1, i, r, "he\nllo" * 700) for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    out = chat.format_log(chat.as_events(df)).select(chat.parse(chat.formatted(F.col("turns"))).alias("t")).first()
+    assert [(t.role, t.text) for t in out.t] == [(r or "", "he\nllo" * 700) for r in roles]
+
+
+def test_very_long_turns_and_clashing_columns(spark):
+    long_ = "ö<\\ " * 100_000
+    df = spark.createDataFrame([(1, 0, "assistant", long_, "x", 1), (1, 0, "assistant", long_, "x", 1), (1, 0, "assistant", "b", "y", 2)], "conv_id long, turn long, role string, text string, type string, seq int")
+    out = chat.format_log(chat.as_events(df)).select(chat.parse(chat.formatted(F.col("turns"))).alias("t"), chat.loss_text(F.col("turns")).alias("loss")).first()
+    assert [t.text for t in out.t] == ["b", long_, long_] and out.loss == "b" + long_ + long_
+    assert chat.as_events(df).where("type = 'delta'").count() == 2 * 400 + 1
+
+
 def test_deltas_edits_and_regenerations_fold(spark):
     log = [(1, 1, "message", 1, "user", "hi"), (1, 2, "message", 2, "assistant", ""), (1, 3, "delta", 2, None, "he"), (1, 4, "delta", 2, None, "llo"), (1, 5, "message", 3, "user", "more"), (1, 6, "message", 4, "assistant", "ans"), (1, 7, "regenerate", 2, None, None), (1, 8, "delta", 2, None, "bye"), (1, 9, "message", 5, "user", "ok"), (1, 10, "edit", 1, None, "hey"), (None, 1, "delta", 1, None, "only"), (2, 1, "message", 1, None, None)]
     df = spark.createDataFrame(log, "conv_id long, seq long, type string, message long, role string, text string")
@@ -377,11 +664,11 @@ def test_repeated_turns_and_empty_logs(spark):
 # --- 10 SimHash ---
 
 
-def brute_groups(docs):
+def brute_groups(docs, shingle=3):
     fps = []
     for i, t in docs:
         w = WORD.findall(low(t or ""))
-        h = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in ([w[k : k + 3] for k in range(len(w) - 2)] or [w])] if w else []
+        h = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in ([w[k : k + shingle] for k in range(len(w) - shingle + 1)] or [w])] if w else []
         fps.append((i, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))))
     arr = np.array([f for _, f in fps], np.uint64)
     group = list(range(len(fps)))
