@@ -14,12 +14,9 @@ from sphaera.llm import mixing, packing, quality_rules, simhash
 from sphaera.llm.common import read, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of documents are long; so many go to a Python worker at once (Spark's default is 10,000).
-BATCH = 2000
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return docs.select(*COLUMNS)
 
 
@@ -44,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents with their places in sequences."""
-    return packing.pack_documents(_columns(docs))
+    """Pieces of tokenised documents with their token ids and their places in sequences; packing.sequences() puts the pieces together."""
+    return packing.pack_documents(_columns(docs), with_ids=True)
 
 
 STAGES = [
