@@ -304,7 +304,7 @@ def test_forest_on_findings_it_has_not_seen(spark, docs):
 
 def test_scan_finds_tokens_and_leaves_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = secret_scan.scan(docs, secret_scan.made_findings(1500)).join(docs.select("doc_id", "text"), "doc_id").selectExpr("substring(text, start + 1, length) AS v", "is_secret").collect()
+    found = secret_scan.scan(docs, secret_scan.made_findings()).join(docs.select("doc_id", "text"), "doc_id").selectExpr("substring(text, start + 1, length) AS v", "is_secret").collect()
     assert all(r.is_secret == bool(re.fullmatch("[0-9a-fA-F]{40}", r.v)) for r in found) and any(r.is_secret for r in found)
 
 
