@@ -58,22 +58,25 @@ def mesh(adjacency: DataFrame) -> DataFrame:
     return pairs.where("src < b AND src < c").withColumnRenamed("src", "a")
 
 
-def atlas(lattice: DataFrame, f: int) -> DataFrame:
-    """lattice (cell, row, col, sector, rem) -> cell, block, i, j: ten rhombi of f x f pixels, 0 to 4 north and 5 to 9 south; the poles have none.
-
-    The rows between the caps belong to a northern rhombus up to its diagonal and to a southern one beyond."""
-    r, k, c = F.col("row"), F.col("sector"), F.col("rem")
-    s, s2 = r - f, r - 2 * f
-    north = lambda i, j: F.struct(k.alias("block"), i.alias("i"), j.alias("j"))
-    south = lambda i, j: F.struct((k + 5).alias("block"), i.alias("i"), j.alias("j"))
-    place = (
-        F.when(r < f, north(r - c - 1, c))
-        .when((r < 2 * f) & (s + c <= f - 1), north(f - c - 1, s + c))
-        .when(r < 2 * f, south(2 * f - s - c - 1, c))
-        .when(r == 2 * f, south(f - c - 1, c))
-        .otherwise(south(f - s2 - c - 1, c))
-    )
-    return lattice.where((r > 0) & (r < 3 * f)).select("cell", place.alias("p")).select("cell", "p.block", "p.i", "p.j")
+#: The corners of the ten blocks, north 0 to 4 and south 5 to 9: a block is a rhombus of two faces, (x, y, z) and (y, z, w), that share the edge y z.
+BLOCKS = [(0, 1 + k, 1 + (k + 1) % 5, 6 + k) for k in range(5)] + [(11, 6 + k, 6 + (k + 1) % 5, 1 + (k + 1) % 5) for k in range(5)]
+
+
+def atlas(placed: DataFrame, f: int) -> DataFrame:
+    """placed (cell, on, of grid.placed()) -> cell, block, i, j: ten rhombi of f x f pixels; the poles have none.
+
+    In the affine frame of a block, x is at (0, 0), y at (f, 0), z at (0, f) and w at (f, f), so weights on its corners add up to a place:
+    those of y and w along i, those of z and w along j. A block owns its pixels but those of its sides at i = 0 and j = f."""
+    held = F.transform("on", lambda v: v["corner"])
+    at = lambda c: F.coalesce(F.get(F.filter("on", lambda v: v["corner"] == c), F.lit(0))["weight"], F.lit(0))
+    places = [F.when(F.size(F.array_except(held, F.array(*map(F.lit, b)))) == 0, F.struct(F.lit(k).cast("long").alias("block"), (at(b[1]) + at(b[3]) - 1).cast("long").alias("i"), (at(b[2]) + at(b[3])).cast("long").alias("j"))) for k, b in enumerate(BLOCKS)]
+    own = F.filter(F.array(*places), lambda p: p.isNotNull() & (p["i"] >= 0) & (p["i"] < f) & (p["j"] >= 0) & (p["j"] < f))
+    return placed.select("cell", F.explode(own).alias("p")).select("cell", "p.block", "p.i", "p.j")
+
+
+def from_atlas(pixels: DataFrame, placed: DataFrame, f: int) -> DataFrame:
+    """pixels (block, i, j, v) -> cell, v: the way back, by a join."""
+    return atlas(placed, f).join(pixels, ["block", "i", "j"]).select("cell", "v")
 
 
 def feature(kind: Column, lon: Column, lat: Column, properties: Column) -> Column:

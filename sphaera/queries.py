@@ -677,7 +677,7 @@ def sink_globe_mesh(spark, d):
 
 @query(f"SELECT b AS block, i, j FROM range(0, 10) x(b), range(0, {FREQ}) y(i), range(0, {FREQ}) z(j)")
 def sink_atlas_pack(spark, d):
-    return exports.atlas(grid.lattice(spark, FREQ), FREQ).select("block", "i", "j")
+    return exports.atlas(grid.placed(spark, FREQ), FREQ).select("block", "i", "j")
 
 
 @query(f"WITH {PLACES_SQL} SELECT place, lon, lat, 'Feature' AS kind FROM places")

@@ -1,14 +1,17 @@
 """Geodesic grids, rasters and point sets, generated as DataFrames by closed-form expressions.
 
-A grid of frequency F has 10 F**2 + 2 cells in rows 0..3F around a z-up icosahedron. The expressions are plain SQL text, so
-that an oracle can evaluate the same ones elsewhere.
+A grid of frequency F has 10 F**2 + 2 cells in rows 0..3F around a z-up icosahedron, whose corners are the pole 0, an upper ring 1 to 5, a
+lower ring 6 to 10 and the pole 11. A cell is a whole number of weights, F in all, on the corners of a face: on three of them within a face,
+on two along an edge, on one at a corner. That tells cells apart whatever face they are seen from, so neighbours need no cases: a neighbour has
+one weight moved to another corner of a face that holds both. Ids are counted by rows; their expressions are plain SQL text, so that an
+oracle can evaluate the same ones elsewhere.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the warp that evens out cell areas, and of the sphere.
@@ -41,52 +44,82 @@ def lattice(spark: SparkSession, f: int) -> DataFrame:
     return rows.selectExpr(f"{first(f)} + col AS cell", "row", "col", f"CAST(floor(col / {stride(f)}) AS BIGINT) AS sector", f"col % {stride(f)} AS rem")
 
 
+def _corners() -> list[tuple[float, float, float]]:
+    """Unit vectors of the icosahedron's corners, z-up."""
+    turn = [(math.cos(t), math.sin(t)) for t in (math.radians(36 * k) for k in range(10))]
+    h, d = 1 / math.sqrt(5), 2 / math.sqrt(5)  # height and radius of the rings
+    return [(0.0, 0.0, 1.0), *((d * x, d * y, h) for x, y in turn[0::2]), *((d * x, d * y, -h) for x, y in turn[1::2]), (0.0, 0.0, -1.0)]
+
+
+def _touching() -> list[list[int]]:
+    """The five corners next to each corner."""
+    c = _corners()
+    dot = lambda i, j: sum(x * y for x, y in zip(c[i], c[j], strict=True))
+    return [sorted((j for j in range(12) if j != i), key=lambda j: -round(dot(i, j), 9))[:5] for i in range(12)]
+
+
+def placed(spark: SparkSession, f: int) -> DataFrame:
+    """cell, row, col and `on`: an array of the corners that have weights, with their weights, by corner.
+
+    A row below the pole runs from edge to edge of the faces around it. One between the rings starts each of its five stretches at the edge from an
+    upper corner down to the lower one behind it, crosses the face that hangs between two upper corners, and then the one that stands on two lower ones."""
+    up, up2, low, low2 = "1 + sector", "1 + (sector + 1) % 5", "6 + sector", "6 + (sector + 1) % 5"
+    arr = lambda *pairs: "array(" + ", ".join(f"named_struct('corner', CAST({c} AS INT), 'weight', CAST({w} AS INT))" for c, w in pairs) + ")"
+    north = arr(("0", f"{f} - row"), (up, "row - rem"), (up2, "rem"))
+    hanging = arr((up, f"{2 * f} - row - rem"), (up2, "rem"), (low, f"row - {f}"))
+    standing = arr((up2, f"{2 * f} - row"), (low, f"{f} - rem"), (low2, f"row + rem - {2 * f}"))
+    south = arr(("11", f"row - {2 * f}"), (low, f"{3 * f} - row - rem"), (low2, "rem"))
+    on = f"CASE WHEN row <= {f} THEN {north} WHEN row <= {2 * f} AND row + rem <= {2 * f} THEN {hanging} WHEN row <= {2 * f} THEN {standing} ELSE {south} END"
+    g = lattice(spark, f).selectExpr("cell", "row", "col", "sector % 5 AS sector", "rem", "sector AS sector_", f"{on} AS w")
+    return g.select("cell", "row", "col", F.col("sector_").alias("sector"), "rem", F.array_sort(F.filter("w", lambda x: x["weight"] > 0)).alias("on"))
+
+
 def cells(spark: SparkSession, f: int) -> DataFrame:
     """lattice() with the unit centre x, y, z (z-up) and lon, lat in degrees of the y-up frame, and whether it is a pentagon."""
-    g = lattice(spark, f)
-    s, r = F.col("row") - f, F.col("rem")
-    top, lower, bottom = F.col("row") <= f, (F.col("row") <= 2 * f) & (s + r <= f), F.col("row") > 2 * f
-    n = float(f)
-    v = F.when(top, (F.col("row") - r) / n).when(lower, s / n).when(bottom, 1 - (F.col("row") - 2 * f) / n - r / n).otherwise(1 - r / n)
-    w = F.when(top | lower | bottom, r / n).otherwise(1 - s / n)
-    g = g.withColumn("v", v).withColumn("w", w).withColumn("u", 1 - F.col("v") - F.col("w"))
-    warp = lambda t: t + WARP_ALPHA * t * (1 - t) * (0.5 - t) + WARP_BETA * F.col("u") * F.col("v") * F.col("w")
-    g = g.withColumns({n: warp(F.col(t)) for n, t in zip("abc", "uvw", strict=True)})
-    ring = [(math.cos(t), math.sin(t)) for t in (math.radians(36 * k) for k in range(10))]
-    h, d = 1 / math.sqrt(5), 2 / math.sqrt(5)  # height and radius of the rings of corners
-    corners = [(0.0, 0.0, 1.0), *((d * x, d * y, h) for x, y in ring[0::2]), *((d * x, d * y, -h) for x, y in ring[1::2]), (0.0, 0.0, -1.0)]
-    k, k1 = F.col("sector") % 5, (F.col("sector") + 1) % 5
-    face = {
-        "ia": F.when(top, 0).when(lower, 1 + k).when(bottom, 11).otherwise(6 + k1),
-        "ib": F.when(top, 1 + k).otherwise(6 + k),
-        "ic": F.when(bottom, 6 + k1).otherwise(1 + k1),
-    }
-    g = g.withColumns({n: e.cast("int") for n, e in face.items()})
-    axis = lambda i: sum(F.col(t) * F.get(F.array(*(F.lit(c[i]) for c in corners)), F.col(n)) for t, n in zip("abc", ("ia", "ib", "ic"), strict=True))
-    g = g.select("cell", "row", "col", "sector", "rem", *(axis(i).alias(n) for i, n in enumerate("xyz")))
+    share = lambda x: x["weight"] / float(f)
+    joint = F.when(F.size("on") == 3, WARP_BETA * share(F.get("on", F.lit(0))) * share(F.get("on", F.lit(1))) * share(F.get("on", F.lit(2)))).otherwise(0.0)
+    warp = lambda x: share(x) + WARP_ALPHA * share(x) * (1 - share(x)) * (0.5 - share(x)) + F.col("joint")
+    at = _corners()
+    axis = lambda i: F.aggregate("on", F.lit(0.0), lambda s, x: s + warp(x) * F.get(F.array(*(F.lit(c[i]) for c in at)), x["corner"]))
+    g = placed(spark, f).withColumn("joint", joint).select("cell", "row", "col", "sector", "rem", (F.size("on") == 1).alias("pentagon"), *(axis(i).alias(n) for i, n in enumerate("xyz")))
     length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    g = g.withColumn("len", length).select("cell", "row", "col", "sector", "rem", *((F.col(n) / F.col("len")).alias(n) for n in "xyz"))
-    ends = F.col("row").isin(0, 3 * f) | (F.col("row").isin(f, 2 * f) & (F.col("rem") == 0))
-    return g.withColumns({"lon": F.degrees(F.atan2("z", "x")), "lat": F.degrees(F.asin("y")), "pentagon": ends})
+    g = g.withColumn("len", length).select("cell", "row", "col", "sector", "rem", *((F.col(n) / F.col("len")).alias(n) for n in "xyz"), "pentagon")
+    return g.select("cell", "row", "col", "sector", "rem", "x", "y", "z", F.degrees(F.atan2("z", "x")).alias("lon"), F.degrees(F.asin("y")).alias("lat"), "pentagon")
+
+
+def _key(on: Column) -> Column:
+    """What `on` holds as one comparable array of longs."""
+    return F.transform(on, lambda x: F.shiftleft(x["corner"].cast("long"), 32) + x["weight"])
 
 
 def adjacency(spark: SparkSession, f: int) -> DataFrame:
-    """src, slot, dst: the five or six neighbours of each cell, clockwise. A map over cells."""
-    shift = f"(CASE WHEN row < {f} THEN {{0}} WHEN row = {f} THEN {{1}} WHEN row < {2 * f} THEN 0 WHEN row = {2 * f} THEN {{2}} ELSE {{3}} END)"
-    g = lattice(spark, f).selectExpr("cell", "row", "col", "rem", f"col + {shift.format(-1, -1, 0, 1)} * sector AS north", f"col + {shift.format(1, 0, -1, -1)} * sector AS south")
-
-    at = lambda row, col: f"named_struct('row', {row}, 'col', {col})"
-    e, w = at("row", "col + 1"), at("row", "col - 1")
-    n, ne, nw = (at("row - 1", f"north + {k}") for k in (0, 1, -1))
-    s, se, sw = (at("row + 1", f"south + {k}") for k in (0, 1, -1))
-    ring = lambda row, order: "array(" + ", ".join(at(f"{row}L", f"{k}L") for k in order) + ")"
-    lists = f"""CASE WHEN row = 0 THEN {ring(1, (0, 4, 3, 2, 1))} WHEN row = {3 * f} THEN {ring(3 * f - 1, range(5))}
-      WHEN row < {f} AND rem > 0 THEN array({e}, {se}, {s}, {w}, {nw}, {n}) WHEN row < {f} THEN array({e}, {se}, {s}, {sw}, {w}, {n})
-      WHEN row = {f} AND rem > 0 THEN array({e}, {s}, {sw}, {w}, {nw}, {n}) WHEN row = {f} THEN array({e}, {s}, {sw}, {w}, {n})
-      WHEN row = {2 * f} AND rem = 0 THEN array({e}, {s}, {w}, {n}, {ne})
-      WHEN row > {2 * f} AND rem = 0 THEN array({e}, {s}, {w}, {nw}, {n}, {ne}) ELSE array({e}, {s}, {sw}, {w}, {n}, {ne}) END"""
-    to = g.selectExpr("cell AS src", f"posexplode({lists}) AS (slot, to)").selectExpr("src", "slot", "to.row AS row", "to.col AS col")
-    return to.selectExpr("src", "slot", f"CAST({first(f)} + (col % {width(f)} + {width(f)}) % {width(f)} AS BIGINT) AS dst")
+    """src, slot, dst: the five or six neighbours of each cell, clockwise as seen from outside, from the next one of its row on (at a pole, from
+    the first one of the next row).
+
+    One weight goes from a corner that has some to another one that shares a face with all that have some. Two joins by what cells hold and by id."""
+    near = F.array(*(F.array(*map(F.lit, n)) for n in _touching()))
+    p = placed(spark, f)
+    held = F.transform("on", lambda x: x["corner"])
+    beside = F.aggregate(held, F.sequence(F.lit(0), F.lit(11)), lambda s, c: F.array_intersect(s, F.concat(F.get(near, c), F.array(c))))
+    moves = p.select("cell", "row", "col", "on", F.explode("on").alias("from"), beside.alias("ends")).select("*", F.explode("ends").alias("to")).where("to != from.corner")
+    lower = F.transform("on", lambda x: F.struct(x["corner"].alias("corner"), (x["weight"] - (x["corner"] == F.col("from.corner")).cast("int") + (x["corner"] == F.col("to")).cast("int")).alias("weight")))
+    fresh = F.when(F.array_contains(F.transform("on", lambda x: x["corner"]), F.col("to")), lower).otherwise(F.concat(lower, F.array(F.struct(F.col("to").alias("corner"), F.lit(1).alias("weight")))))
+    moved = moves.select(F.col("cell").alias("src"), "row", "col", _key(F.array_sort(F.filter(fresh, lambda x: x["weight"] > 0))).alias("key"))
+    c = cells(spark, f).select("cell", "x", "y", "z")
+    there = p.select(_key(F.col("on")).alias("key"), F.col("cell").alias("dst"), F.col("row").alias("row2"), F.col("col").alias("col2"))
+    both = moved.join(there, "key").join(c.toDF("src", "x", "y", "z"), "src").join(c.toDF("dst", "a", "b", "c"), "dst")
+    # Angles in the tangent plane: east is (-y, x, 0), and at the poles (0, 1, 0).
+    pole = F.col("row").isin(0, 3 * f)
+    east = (F.when(pole, 0.0).otherwise(-F.col("y")), F.when(pole, 1.0).otherwise(F.col("x")))
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    e = F.col("a") * east[0] + F.col("b") * east[1]
+    n = (F.col("a") * -z * east[1] + F.col("b") * z * east[0] + F.col("c") * (x * east[1] - y * east[0]))
+    next_ = F.when(pole, F.col("col2") == 0).otherwise((F.col("row2") == F.col("row")) & (F.col("col2") == (F.col("col") + 1) % F.expr(width(f))))
+    turned = both.select("src", "dst", F.atan2(n, e).alias("angle"), next_.alias("next"))
+    start = F.max(F.when(F.col("next"), F.col("angle")))
+    ring = turned.groupBy("src").agg(start.alias("start"), F.collect_list(F.struct("angle", "dst")).alias("r"))
+    order = F.array_sort(F.transform("r", lambda v: F.struct(F.pmod(F.col("start") - v["angle"] + 1e-9, F.lit(2 * math.pi)).alias("turn"), v["dst"].alias("dst"))))
+    return ring.select("src", F.posexplode(F.transform(order, lambda v: v["dst"])).alias("slot", "dst"))
 
 
 def areas(spark: SparkSession, f: int) -> DataFrame:

@@ -89,7 +89,7 @@ def test_atlas_is_a_bijection_and_mesh_closes(spark):
     from sphaera.operators import exports
 
     for f in (1, 3):
-        a = exports.atlas(grid.lattice(spark, f), f)
+        a = exports.atlas(grid.placed(spark, f), f)
         assert a.count() == a.select("block", "i", "j").distinct().count() == 10 * f * f and a.where(f"i < 0 OR j < 0 OR i >= {f} OR j >= {f}").count() == 0
     t = [tuple(r) for r in exports.mesh(grid.adjacency(spark, 3)).collect()]
     sides = [frozenset(p) for a, b, c in t for p in ((a, b), (b, c), (c, a))]
