@@ -148,22 +148,25 @@ def dense(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(payload, np.int32, n, 8 * n), np.frombuffer(payload, np.int64, n)
 
 
-def tree_sum(parts: DataFrame, fold: Callable[[pa.Table], pa.Table], fan: int = 256) -> DataFrame:
+def tree_sum(parts: DataFrame, fold: Callable[[pa.Table], pa.Table], fan: int = 256, finish: Callable[[pa.Table], pa.Table] | None = None, schema: str | None = None) -> DataFrame:
     """parts (part, task, payload, ...) of a pass over a corpus, written as a table and folded by `part`.
 
     fold() makes one row of some rows of one part. Rows of more than `fan` tasks are folded in rounds, so that no group holds more
-    than `fan` rows, however many tasks there were; the rounds are the logarithm of their number."""
+    than `fan` rows, however many tasks there were; the rounds are the logarithm of their number. finish() turns the last row of a
+    part into one of `schema`, in the same task."""
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
-    schema, names = parts.schema, parts.columns
+    own, names = parts.schema, parts.columns
 
     def some(t: pa.Table) -> pa.Table:
         task = pa.array([t.column("task")[0].as_py() // fan], pa.int32())
         return fold(t.drop_columns("task")).append_column("task", task).select(names)
 
     while tasks > fan:
-        parts = parts.groupBy("part", F.floor(F.col("task") / fan).alias("__some")).applyInArrow(some, schema)
+        parts = parts.groupBy("part", F.floor(F.col("task") / fan).alias("__some")).applyInArrow(some, own)
         tasks = -(-tasks // fan)
-    return parts.groupBy("part").applyInArrow(lambda t: fold(t.drop_columns("task")), T.StructType([f for f in schema if f.name != "task"]))
+    last = (lambda t: finish(fold(t.drop_columns("task")))) if finish else (lambda t: fold(t.drop_columns("task")))
+    return parts.groupBy("part").applyInArrow(last, schema or T.StructType([f for f in own if f.name != "task"]))
+
 
 
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:

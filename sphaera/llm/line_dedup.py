@@ -137,7 +137,7 @@ def rarity(docs: DataFrame, view: View = bytes) -> tuple[np.ndarray, int]:
 
     with Steps() as steps:
         parts = steps.stored(docs.select("text").mapInArrow(run, "part int, task int, payload binary"), "counts")
-        out = tree_sum(parts, add).mapInArrow(_classes, "part int, classes binary, n long").toArrow().sort_by("part")
+        out = tree_sum(parts, add, finish=_classes, schema="part int, classes binary, n long").toArrow().sort_by("part")
     if not out.num_rows:
         return np.zeros(TABLE, np.uint8), 0
     return np.frombuffer(b"".join(out.column("classes").to_pylist()), np.uint8), sum(out.column("n").to_pylist())
@@ -147,16 +147,11 @@ def _class(count: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(4 * np.log2(np.maximum(count, 1))) + (count > 1)).astype(np.uint8)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for x in b.column("payload").to_pylist():
-            at, n = dense(x)
-            sums = np.zeros(TABLE // PARTS, np.int64)
-            sums[at] = n
-            rows.append((_class(sums).tobytes(), int(sums.sum())))
-        classes, n = zip(*rows, strict=True) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(classes, pa.binary()), pa.array(n, pa.int64())], names=["part", "classes", "n"])
+def _classes(row: pa.Table) -> pa.Table:
+    at, n = dense(row.column("payload")[0].as_py())
+    sums = np.zeros(TABLE // PARTS, np.int64)
+    sums[at] = n
+    return pa.table({"part": row.column("part"), "classes": pa.array([_class(sums).tobytes()], pa.binary()), "n": pa.array([int(n.sum())], pa.int64())})
 
 
 class _Sets:

@@ -70,6 +70,9 @@ class _Shard:
         tail = lambda x: np.concatenate([np.cumsum(np.take_along_axis(x, order_of, 1)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(x), 1))], axis=1)
         most, wide = tail(add_high), tail(add_high - add_low)  # what terms from here on can add, and by how much it can vary
         sure, looked = add_low.sum(axis=1), 0
+        index = self.index
+        if (np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.high))).max(initial=0) < 1 << 24:  # whole numbers that half the bytes hold exactly
+            index, queries = index.astype(np.float32), queries.astype(np.float32)
         for q in range(len(queries)):
             order = order_of[q]
             scores, ids = best[q]
@@ -80,7 +83,7 @@ class _Shard:
             short = wide[q] < floor - sure[q]
             essential = max(1, int(short.argmax())) if short.any() else len(order)
             terms = order[:essential]
-            part = queries[q, terms] @ self.index[terms]
+            part = queries[q, terms] @ index[terms]
             looked += essential * len(part)
             alive = np.flatnonzero(part + most[q, essential] >= floor)
             part = part[alive]
@@ -88,7 +91,7 @@ class _Shard:
                 if not len(alive):
                     break
                 terms = order[at : at + PROBE]
-                part = part + queries[q, terms] @ self.index[np.ix_(terms, alive)]
+                part = part + queries[q, terms] @ index[np.ix_(terms, alive)]
                 looked += len(terms) * len(alive)
                 on = part + most[q, min(at + PROBE, len(order))] >= floor
                 alive, part = alive[on], part[on]
@@ -99,7 +102,7 @@ class _Shard:
                 keep = part >= edge
                 alive, part = alive[keep], part[keep]
             if len(part):
-                s, i = np.concatenate([scores, part]), np.concatenate([ids, self.ids[alive]])
+                s, i = np.concatenate([scores, part.astype(np.float64)]), np.concatenate([ids, self.ids[alive]])
                 top = np.lexsort((i, -s))[:k]
                 best[q] = s[top], i[top]
         return looked
