@@ -14,9 +14,15 @@ from sphaera.llm import mixing, packing, quality_rules, simhash
 from sphaera.llm.common import read, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of documents are long; so many go to a Python worker at once, unless the session says otherwise (Spark's default is 10,000).
+BATCH, SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _columns(docs: DataFrame) -> DataFrame:
+    """Plans take the setting when they are run, after the stage has returned, so it can't be put back; a session's own value stays."""
+    conf = docs.sparkSession.conf
+    if conf.get(SETTING) == "10000":
+        conf.set(SETTING, BATCH)
     return docs.select(*COLUMNS)
 
 
