@@ -160,3 +160,103 @@ def nearest_cell(points: DataFrame, key: str, cells: DataFrame, f: int) -> DataF
     at = at.select(key, "px", "py", "pz", *((e + F.col(f"d.{n}")).alias(m) for e, n, m in zip(cube(F.col("px"), F.col("py"), F.col("pz")), "abc", "ijk", strict=True)))
     dot = F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z")
     return at.join(home, ["i", "j", "k"]).groupBy(key).agg(F.max_by("cell", F.struct(dot, -F.col("cell"))).alias("cell"))
+
+
+def _faces() -> list[tuple[tuple[int, int, int], list[list[float]]]]:
+    """The corners of the twenty faces, and the rows that turn a direction into weights on them."""
+    import numpy as np
+
+    from ..sources import grid
+
+    at, near = np.array(grid._corners()), grid._touching()
+    faces = [(a, b, c) for a in range(12) for b in near[a] if b > a for c in near[a] if c > b and c in near[b]]
+    return [(f, np.linalg.inv(at[list(f)].T).tolist()) for f in faces]
+
+
+def locate(points: DataFrame, key: str, f: int) -> DataFrame:
+    """points (key, px, py, pz) -> key, at (a cell), weight: the cells of a grid of frequency f that form the triangle around a point, and its weights on them.
+
+    The face is the one in which the least of the three weights is greatest. The grid's warp is undone by a fixed-point iteration; then the whole
+    parts of the weights name the triangle's lower cells: of the fractions, which sum to one or two, each belongs to the cell with one more (or
+    one less than all) on its corner."""
+    from ..sources import grid
+
+    x = [F.col(c) for c in ("px", "py", "pz")]
+    faces = F.array(*(F.struct(F.least(*(e := [sum(F.lit(r[i]) * x[i] for i in range(3)) for r in rows])).alias("least"), F.array(*map(F.lit, face)).alias("at"), F.array(*e).alias("w")) for face, rows in _faces()))
+    best = points.select(key, F.array_max(faces).alias("b"))
+    total = F.aggregate("b.w", F.lit(0.0), lambda s, v: s + v)
+    best = best.select(key, "b.at", F.transform("b.w", lambda v: F.greatest(F.lit(0.0), v / total)).alias("t"))
+
+    def warped(u: Column) -> Column:
+        joint = grid.WARP_BETA * F.get(u, F.lit(0)) * F.get(u, F.lit(1)) * F.get(u, F.lit(2))
+        w = F.transform(u, lambda v: v + grid.WARP_ALPHA * v * (1 - v) * (0.5 - v) + joint)
+        return F.transform(w, lambda v: v / F.aggregate(w, F.lit(0.0), lambda s, y: s + y))
+
+    step = lambda u, _: F.transform(F.arrays_zip(u.alias("u"), warped(u).alias("g"), F.col("t").alias("t")), lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v["u"] - (v["g"] - v["t"]))))
+    flat = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.col("t"), step)
+    # Weights that are whole but for rounding are made whole.
+    scaled = F.transform(flat, lambda v: F.when(F.abs(v * f - F.round(v * f)) < 1e-9, F.round(v * f)).otherwise(v * f))
+    p = best.select(key, "at", scaled.alias("s")).select(key, "at", F.transform("s", lambda v: F.floor(v)).alias("n"), F.transform("s", lambda v: v - F.floor(v)).alias("r"))
+    count = F.round(F.aggregate("r", F.lit(0.0), lambda s, v: s + v)).cast("int")
+    near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda m: F.get("n", m) + F.when(count == 2, (m != k).cast("int")).when(count == 1, (m == k).cast("int")).otherwise(0)).alias("n"),
+        F.when(count == 2, 1 - F.get("r", k)).when(count == 1, F.get("r", k)).otherwise((k == 0).cast("double")).alias("weight"),
+    )), lambda v: v["weight"] > 0)
+    out = p.select(F.col(key).alias("__key"), "at", F.explode(near).alias("v"))
+    on = F.array_sort(F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda m: F.struct(F.get("at", m).alias("corner"), F.get("v.n", m).cast("int").alias("weight"))), lambda v: v["weight"] > 0))
+    named = grid.placed(points.sparkSession, f).select(grid._key(F.col("on")).alias("k"), "cell")
+    found = out.select("__key", F.col("v.weight").alias("weight"), grid._key(on).alias("k")).join(named, "k")
+    return found.select(F.col("__key").alias(key), F.col("cell").alias("at"), "weight")
+
+
+def locate_cell(points: DataFrame, key: str, f: int) -> DataFrame:
+    """key, cell: of the triangle around a point, the cell of the greatest weight, ties to the smaller cell."""
+    return locate(points, key, f).groupBy(key).agg(F.max_by("at", F.struct("weight", -F.col("at"))).alias("cell"))
+
+
+def sample(points: DataFrame, key: str, field: Field) -> DataFrame:
+    """key, v: a field at points between its cells, by their weights."""
+    at = locate(points, key, field.frequency).join(field.df.select(F.col("cell").alias("at"), "v"), "at")
+    return at.groupBy(key).agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("v"))
+
+
+def resample(field: Field, f: int) -> Field:
+    """The field at the cells of a grid of another frequency."""
+    from ..sources import grid
+
+    to = grid.cells(field.df.sparkSession, f).select("cell", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    return Field(sample(to, "cell", field), f)
+
+
+def rasterize(field: Field, w: int, h: int) -> DataFrame:
+    """y, x, v: the field at the centres of the pixels of a raster (the grid's frame is z-up, that of longitudes y-up: lon = atan2(z, x), lat = asin(y))."""
+    from ..functions import geo
+    from ..sources import grid
+
+    px = grid.pixels(field.df.sparkSession, w, h)
+    dx, dy, dz = geo.direction(F.col("lon"), F.col("lat"))
+    at = px.select("idx", dx.alias("px"), dy.alias("py"), dz.alias("pz"))
+    return sample(at, "idx", field).select(F.floor(F.col("idx") / w).alias("y"), (F.col("idx") % w).alias("x"), "v")
+
+
+def smooth_poles(pixels: DataFrame, w: int, h: int, rows: int = 10) -> DataFrame:
+    """pixels (y, x, v): the rows next to a pole are mixed with the mean of the first row beyond them, taken there and on the other side of the pole; the more the nearer."""
+    n = max(1, min(rows, max(1, h // 8)))
+    south = F.col("y") >= h - n
+    away = F.when(south, h - 1 - F.col("y")).otherwise(F.col("y"))
+    share = F.when(away < n, 0.65 * (n - away) / n).otherwise(0.0)
+    at = lambda x, name: pixels.where(F.col("y").isin(min(h - 1, n), max(0, h - 1 - n))).select(F.col("y").alias("ref"), x.alias("x"), F.col("v").alias(name))
+    ref = F.when(south, max(0, h - 1 - n)).otherwise(min(h - 1, n)).cast("long")
+    near = pixels.withColumn("ref", ref).join(at(F.col("x"), "a"), ["ref", "x"]).join(at((F.col("x") + w // 2) % w, "b"), ["ref", "x"])
+    return near.select("y", "x", (F.col("v") * (1 - share) + 0.5 * (F.col("a") + F.col("b")) * share).alias("v"))
+
+
+def river_intensity(accum: Column, ocean: Column, threshold: float) -> Column:
+    """The drained area over twice the threshold, 1 at most; 0 at sea."""
+    return F.when(ocean, 0.0).otherwise(F.least(F.lit(1.0), accum / (2 * threshold)))
+
+
+def paint(field: Field, strokes: DataFrame) -> Field:
+    """The field with values set by strokes (cell, v, ord): the last stroke of a cell counts."""
+    last = strokes.groupBy("cell").agg(F.max_by("v", "ord").alias("__v"))
+    return Field(field.df.join(last, "cell", "left").select("cell", F.coalesce("__v", "v").alias("v")), field.frequency)

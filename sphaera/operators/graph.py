@@ -1,115 +1,238 @@
-"""Graph operators as iterated joins. Each round is written to the shared folder (tables.cut), so lineage stays short.
+"""Graph operators as iterated joins. Each round is written to the shared folder (tables.cut), so lineage stays short; tables that
+later rounds don't read are dropped.
 
-Only counts come to the driver. Rounds are bounded by the depth of what is followed, or its logarithm where paths are doubled.
+Nodes are longs whose neighbours tend to have near ids, as the cells of a grid have. Frontiers therefore move by blocks of BLOCK ids: in
+a round each block that something has reached settles it within itself, in one task of bounded size, and only what crosses
+to other blocks is shuffled. The rounds are as many as blocks are crossed, not edges. Only counts come to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tables import cut, drop
 
-#: Rounds of a frontier between two writings of the whole state; in between, the improved nodes are put over it lazily.
-EVERY = 4
-#: Edges that an improvement is carried along in one round, before what it offers is compared with the state.
-HOPS = 4
-
-
-def _carried(front: DataFrame, hop) -> DataFrame:
-    """The union of what 1 to HOPS applications of hop() make of a frontier."""
-    out = front = hop(front)
-    for _ in range(HOPS - 1):
-        front = hop(front)
-        out = out.unionByName(front)
-    return out
-
-
-def _improved(best: DataFrame, front: DataFrame, keys: list[str], turn: int, name: str) -> DataFrame:
-    merged = best.join(front.select(*keys), keys, "left_anti").unionByName(front)
-    return merged if turn % EVERY else cut(merged, name)
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (node), edges (src, dst) in any direction -> node, component: the smallest node that can be reached.
-
-    Labels go to neighbours and then jump to their own labels, which halves what is left of a chain in each round."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("src", "dst"), "edges")
-    label = cut(nodes.select("node", F.col("node").alias("component")), "labels")
+#: Ids of a block.
+BLOCK = 1 << 14
+#: Edges that one task takes at once when it contracts them.
+CHUNK = 1 << 18
+
+
+def _block(node: str, size: int):
+    return F.floor(F.col(node) / size).alias("block")
+
+
+def _settle(limit: float | None, worst: bool, carry: bool):
+    """The helper of spread(): what reaches one block of one layer, carried along the block's own edges, least (cost, tag) first."""
+
+    def run(reached: pa.Table, edges: pa.Table) -> pa.Table:
+        out: dict[int, list[tuple]] = {}
+        for u, v, w in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True):
+            out.setdefault(u, []).append((v, w))
+        best: dict[int, tuple] = {}
+        fresh: dict[int, tuple] = {}
+        for node, cost, tag, old in zip(*(reached.column(c).to_pylist() for c in ("node", "cost", "tag", "old")), strict=True):
+            to = best if old else fresh
+            if node not in to or _before((cost, tag), to[node]):
+                to[node] = (cost, tag)
+        changed = {n: x for n, x in fresh.items() if n not in best or _before(x, best[n])}
+        heap = [(x[0], x[1] if carry else 0, n) for n, x in changed.items() if carry or n not in best or x[0] < best[n][0]]
+        heapify(heap)
+        best.update(changed)
+        while heap:
+            cost, tag, u = heappop(heap)
+            if cost > best[u][0] or (carry and tag > best[u][1]):
+                continue
+            for v, w in out.get(u, ()):
+                x = (max(cost, w) if worst else cost + w, tag if carry else u)
+                if (limit is None or x[0] <= limit) and (v not in best or _before(x, best[v])):
+                    if carry or v not in best or x[0] < best[v][0]:
+                        heappush(heap, (x[0], x[1] if carry else 0, v))
+                    best[v] = changed[v] = x
+        layer = reached.column("layer")[0].as_py() if reached.num_rows else 0
+        kinds = {n: reached.schema.field(n).type for n in ("layer", "node", "cost", "tag")}
+        rows = [(layer, n, *x) for n, x in changed.items()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+    return run
+
+
+def _before(x: tuple, y: tuple) -> bool:
+    """Costs first, then tags, of which none is before any."""
+    return x[0] < y[0] or (x[0] == y[0] and y[1] is not None and (x[1] is None or x[1] < y[1]))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, limit: float | None = None, worst: bool = False, carry: bool = False, block: int = 0) -> DataFrame:
+    """edges (src, dst, w), seeds (layer, node, cost, tag) -> layer, node, cost, tag: the least cost at which a layer reaches a node.
+
+    Along an edge costs add up, or with `worst` the greatest w counts. The tag is the node before, or with `carry` that of the seed; of equal costs the smaller tag wins. Layers don't meet."""
+    block = block or BLOCK
+    edges = cut(edges.select("src", "dst", "w", _block("src", block), F.floor(F.col("dst") / block).alias("to")), "edges")
+    inner, crossing = edges.where("block = to"), edges.where("block != to")
+    kind = edges.schema["w"].dataType
+    seeds = seeds.select(F.col("layer").cast("long"), F.col("node").cast("long"), F.col("cost").cast(kind), F.col("tag").cast("long"))
+    least = F.min(F.struct("cost", F.coalesce("tag", F.lit(-(1 << 63))).alias("t"), "tag")).alias("x")
+    schema = T.StructType([T.StructField("layer", T.LongType()), T.StructField("node", T.LongType()), T.StructField("cost", kind), T.StructField("tag", T.LongType())])
+    best, offers = None, cut(seeds.groupBy("layer", "node").agg(least).select("layer", "node", "x.cost", "x.tag"), "offers")
     while True:
-        heard = both.join(label, both.src == label.node).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("m"))
-        nearer = label.join(heard, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        nearer = cut(nearer, "labels")
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = cut(nearer.join(jump, "component").select("node", F.col("root").alias("component")), "labels")
-        changed = new.join(label.withColumnRenamed("component", "was"), "node").where("component != was").limit(1).count()
-        drop(label)
-        drop(nearer)
-        label = new
-        if not changed:
-            drop(both)
-            return label
-
-
-def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None) -> DataFrame:
-    """edges (src, dst, w >= 0), sources (source, node) -> source, node, dist, prev: least costs from each source and the node before.
+        fresh = offers.withColumn("old", F.lit(False))
+        places = cut(offers.select("layer", _block("node", block)).distinct(), "places")
+        if best is not None:
+            fresh = fresh.unionByName(best.withColumn("block", _block("node", block)).join(places, ["layer", "block"], "left_semi").drop("block").withColumn("old", F.lit(True)))
+        reached = fresh.withColumn("block", _block("node", block))
+        here = inner.join(places, "block").select("layer", "block", "src", "dst", "w")
+        moved = cut(reached.groupBy("layer", "block").cogroup(here.groupBy("layer", "block")).applyInArrow(_settle(limit, worst, carry), schema), "moved")
+        drop(places)
+        drop(offers)
+        if best is None:
+            best = moved
+        elif moved.limit(1).count():
+            new = cut(best.join(moved.select("layer", "node"), ["layer", "node"], "left_anti").unionByName(moved), "best")
+            drop(best)
+            best = new
+        step = moved.join(crossing, moved.node == crossing.src)
+        cost = F.greatest("cost", "w") if worst else F.col("cost") + F.col("w")
+        step = step.select("layer", F.col("dst").alias("node"), cost.cast(kind).alias("cost"), (F.col("tag") if carry else F.col("src").cast("long")).alias("tag"))
+        step = step if limit is None else step.where(F.col("cost") <= limit)
+        step = step.groupBy("layer", "node").agg(least).select("layer", "node", "x.cost", "x.tag")
+        known = best.select("layer", "node", F.col("cost").alias("c"), F.col("tag").alias("g"))
+        better = step.join(known, ["layer", "node"], "left").where("c IS NULL OR cost < c OR (cost = c AND g IS NOT NULL AND (tag IS NULL OR tag < g))").drop("c", "g")
+        offers = cut(better, "offers")
+        if moved is not best:
+            drop(moved)
+        if not offers.limit(1).count():
+            drop(offers)
+            drop(edges)
+            return best
 
-    A frontier of improved nodes is relaxed in each round; with `limit`, costs above it are not followed. Ties in cost go to the
-    smaller previous node."""
-    edges = cut(edges.select("src", "dst", "w"), "edges")
 
-    def hop(front: DataFrame) -> DataFrame:
-        step = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").cast("long").alias("prev"))
-        step = step if limit is None else step.where(F.col("dist") <= limit)
-        return step.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("o")).select("source", "node", "o.dist", "o.prev")
+def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, block: int = 0) -> DataFrame:
+    """edges (src, dst, w >= 0), sources (source, node) -> source, node, dist, prev: least costs from each source and the node before.
 
-    best = cut(sources.select("source", "node", F.lit(0).cast(edges.schema["w"].dataType).alias("dist"), F.lit(None).cast("long").alias("prev")), "best")
-    front, turn = best, 0
-    while True:
-        offer = _carried(front.select("source", "node", "dist"), hop).groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("o"))
-        known = best.select("source", "node", F.struct("dist", "prev").alias("b"))
-        new = offer.join(known, ["source", "node"], "left").where("b IS NULL OR o.dist < b.dist OR (o.dist = b.dist AND o.prev < b.prev)")
-        front2 = cut(new.select("source", "node", "o.dist", "o.prev"), "front")
-        if not front2.limit(1).count():
-            return best
-        turn += 1
-        best, front = _improved(best, front2, ["source", "node"], turn, "best"), front2
+    With `limit`, costs above it are not followed. Ties in cost go to the smaller previous node."""
+    seeds = sources.select(F.col("source").alias("layer"), "node", F.lit(0).alias("cost"), F.lit(None).cast("long").alias("tag"))
+    return spread(edges, seeds, limit, block=block).toDF("source", "node", "dist", "prev")
 
 
-def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None) -> DataFrame:
-    """node, source, dist: the source (with columns source, node) that reaches a node at the least cost, ties to the smaller source.
+def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None, block: int = 0) -> DataFrame:
+    """node, source, dist: the source (with columns source, node and, if there is one, start: the cost that it begins with) that
+    reaches a node at the least cost, ties to the smaller source.
 
     One label and cost is kept for each node, so the work doesn't grow with the number of sources."""
-    edges = cut(edges.select("src", "dst", "w"), "edges")
-    zero = F.lit(0).cast(edges.schema["w"].dataType)
-
-    def hop(front: DataFrame) -> DataFrame:
-        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "source")
-        step = step if limit is None else step.where(F.col("dist") <= limit)
-        return step.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("o")).select("node", "o.dist", "o.source")
-
-    best = cut(sources.groupBy("node").agg(F.min("source").alias("source")).select("node", zero.alias("dist"), "source"), "best")
-    front, turn = best, 0
+    start = F.col("start") if "start" in sources.columns else F.lit(0)
+    seeds = sources.select(F.lit(0).alias("layer"), "node", start.alias("cost"), F.col("source").alias("tag"))
+    return spread(edges, seeds, limit, carry=True, block=block).select("node", F.col("cost").alias("dist"), F.col("tag").alias("source"))
+
+
+def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame, block: int = 0) -> DataFrame:
+    """nodes (node, z), edges (src, dst), outlets (node) -> node, fill, parent: the level to which water stands before it runs to an
+    outlet, and where it goes: to the lowest neighbour (of equal ones the smallest), or over level water towards the nearest way down; null at outlets.
+
+    fill is the least over all paths to an outlet of the greatest z on the way."""
+    z, ends = nodes.select("node", "z"), outlets.select("node").distinct()
+    at = edges.select("src", "dst").join(z.withColumnRenamed("node", "dst"), "dst").withColumnRenamed("z", "w")
+    seeds = ends.join(z, "node").select(F.lit(0).alias("layer"), "node", F.col("z").alias("cost"), F.lit(None).cast("long").alias("tag"))
+    fill = spread(at, seeds, worst=True, block=block).select("node", F.col("cost").alias("fill"))
+    near = edges.select("src", "dst").join(fill.toDF("src", "a"), "src").join(fill.toDF("dst", "b"), "dst").where("b <= a")
+    down = near.where("b < a").groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.struct("b", "dst")).alias("parent")).join(ends, "node", "left_anti")
+    starts = down.select("node").union(ends).select(F.lit(0).alias("layer"), "node", F.lit(0).alias("cost"), F.lit(None).cast("long").alias("tag"))
+    level = spread(near.where("a = b").select("src", "dst", F.lit(1).cast("long").alias("w")), starts, block=block).select("node", F.col("tag").alias("over"))
+    return fill.join(down, "node", "left").join(level, "node", "left").select("node", "fill", F.coalesce("parent", "over").alias("parent"))
+
+
+def _walk(walkers: pa.Table, steps: pa.Table) -> pa.Table:
+    """The helper of path(): walkers (goal, back, node) of one source and block, along the block's nodes; the last one of each has left it."""
+    prev = dict(zip(steps.column("node").to_pylist(), steps.column("prev").to_pylist(), strict=True))
+    rows = []
+    for source, goal, back, node in zip(*(walkers.column(c).to_pylist() for c in ("source", "goal", "back", "node")), strict=True):
+        while node in prev:
+            rows.append((source, goal, back, node, False))
+            back, node = back + 1, prev[node]
+        if node is not None:
+            rows.append((source, goal, back, node, True))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.bool_(),), strict=True)], names=["source", "goal", "back", "node", "left"])
+
+
+def path(reached: DataFrame, goals: DataFrame, block: int = 0) -> DataFrame:
+    """reached (source, node, prev) of shortest(), goals (source, node) -> source, goal, back, node: the path from each goal back to its
+    source. Paths are followed through a block at once; a goal that isn't reached has none."""
+    block = block or BLOCK
+    prev = reached.select(F.col("source").cast("long"), F.col("node").cast("long"), "prev", _block("node", block))
+    known = goals.select("source", "node").join(reached.select("source", "node"), ["source", "node"], "left_semi")
+    here = cut(known.select(F.col("source").cast("long"), F.col("node").cast("long").alias("goal"), F.lit(0).cast("long").alias("back"), F.col("node").cast("long")), "walkers")
+    out = None
     while True:
-        offer = _carried(front.select("node", "dist", "source"), hop).groupBy("node").agg(F.min(F.struct("dist", "source")).alias("o"))
-        new = offer.join(best.select("node", F.struct("dist", "source").alias("b")), "node", "left").where("b IS NULL OR o < b")
-        front2 = cut(new.select("node", "o.dist", "o.source"), "front")
-        if not front2.limit(1).count():
-            return best
-        turn += 1
-        best, front = _improved(best, front2, ["node"], turn, "best"), front2
+        active = here.select("source", _block("node", block)).distinct()
+        walkers = here.withColumn("block", _block("node", block)).groupBy("source", "block")
+        went = cut(walkers.cogroup(prev.join(active, ["source", "block"], "left_semi").groupBy("source", "block")).applyInArrow(_walk, "source long, goal long, back long, node long, left boolean"), "path")
+        drop(here)
+        part = went.where("NOT left").drop("left")
+        out = part if out is None else out.unionByName(part)
+        here = cut(went.where("left").drop("left"), "walkers")
+        if not here.limit(1).count():
+            drop(here)
+            return out
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v), some at a time, as links of their nodes to the smallest ones that they join."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def links() -> pa.RecordBatch:
+        pairs = [(x, r) for x in root if (r := find(x)) != x]
+        u, v = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(u), find(v)
+            if a != c:
+                root[max(a, c)] = min(a, c)
+        if len(root) > CHUNK:
+            yield links()
+            root.clear()
+    yield links()
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) in any direction -> node, root: the smallest node that can be reached, of all nodes with an edge to another.
+
+    Tasks first contract the edges that they hold; what is left goes through alternating stars, whose number is the logarithm of the largest component."""
+    near = edges.where("src != dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    e = cut(near.mapInArrow(_forest, "u long, v long").distinct(), "links")
+    state = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("double"))).first()
+    before = state(e)
+    while before[0]:
+        both = e.union(e.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        new = cut(small, "links")
+        drop(e)
+        e, now = new, state(new)
+        if now == before:
+            break
+        before = now
+    return e.toDF("node", "root")
 
 
-def path(reached: DataFrame, goals: DataFrame) -> DataFrame:
-    """reached (source, node, prev) of shortest(), goals (source, node) -> source, goal, back, node: the path from each goal back to its source."""
-    prev = reached.select("source", "node", "prev")
-    here = cut(goals.select("source", F.col("node").alias("goal"), F.lit(0).alias("back"), "node").join(prev, ["source", "node"]), "path")
-    out = here
-    while here.where("prev IS NOT NULL").limit(1).count():
-        step = here.where("prev IS NOT NULL").select("source", "goal", (F.col("back") + 1).alias("back"), F.col("prev").alias("node")).join(prev, ["source", "node"])
-        here = cut(step, "path")
-        out = out.unionByName(here)
-    return out.select("source", "goal", "back", "node")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node), edges (src, dst) in any direction -> node, component: the smallest node that can be reached."""
+    return nodes.select("node").join(linked(edges), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def accumulate(tree: DataFrame, value: str) -> DataFrame:
@@ -156,29 +279,6 @@ def clamp_along(tree: DataFrame, slack: str) -> DataFrame:
     return state.select("node", "z")
 
 
-def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame) -> DataFrame:
-    """nodes (node, z), edges (src, dst), outlets (node) -> node, fill: the level to which water stands before it runs to an outlet.
-
-    fill is the least over all paths to an outlet of the greatest z on the way; a frontier carries it inwards."""
-    edges = cut(edges.select("src", "dst"), "edges")
-    z = cut(nodes.select("node", "z"), "heights")
-
-    def hop(front: DataFrame) -> DataFrame:
-        step = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("fill").alias("f"))
-        return step.join(z, "node").select("node", F.greatest("f", "z").alias("fill"))
-
-    best = cut(outlets.select("node").distinct().join(z, "node").select("node", F.col("z").alias("fill")), "fill")
-    front, turn = best, 0
-    while True:
-        offer = _carried(front.select("node", "fill"), hop).groupBy("node").agg(F.min("fill").alias("f"))
-        new = offer.join(best, "node", "left").where("fill IS NULL OR f < fill").select("node", F.col("f").alias("fill"))
-        front2 = cut(new, "front")
-        if not front2.limit(1).count():
-            return best
-        turn += 1
-        best, front = _improved(best, front2, ["node"], turn, "fill"), front2
-
-
 def receivers(nodes: DataFrame, edges: DataFrame, by: str = "z") -> DataFrame:
     """nodes (node, z, and `by`), edges (src, dst, km) -> node, receiver: the steepest lower neighbour, or with another column the lower
     neighbour where it is greatest; ties to the smaller node; null where no neighbour is lower."""
@@ -189,16 +289,17 @@ def receivers(nodes: DataFrame, edges: DataFrame, by: str = "z") -> DataFrame:
     return nodes.select("node").join(chosen, "node", "left")
 
 
-#: Days of travel. Speed in km a day by mode, and how passable each biome is.
+#: Days of travel. Speed in km a day by mode, and how passable each biome is; any other is OTHERWISE.
 SPEEDS = {"walk": 30.0, "horse": 55.0, "cart": 35.0, "ship": 130.0}
-PASSABLE = (0.0, 0.35, 0.7, 0.75, 0.85, 1.0, 0.6, 0.95, 0.55, 0.4, 0.8)
+PASSABLE = {0: 0.0, 1: 0.35, 2: 0.7, 3: 0.75, 4: 0.85, 5: 1.0, 6: 0.6, 7: 0.95, 8: 0.55, 9: 0.4, 10: 0.8}
+OTHERWISE = 0.8
 
 
 def travel_days(mode: str) -> str:
     """SQL: days along an edge with km, and per end (a_, b_) z, ocean, biome, road and river; null where the mode can't pass."""
     if mode == "ship":
         return f"CASE WHEN a_ocean AND b_ocean THEN km / {SPEEDS['ship']}D END"
-    mult = lambda end: "CASE " + " ".join(f"WHEN {end}_biome = {i} THEN {m}D" for i, m in enumerate(PASSABLE)) + " END"
+    mult = lambda end: "CASE " + " ".join(f"WHEN {end}_biome = {i} THEN {m}D" for i, m in PASSABLE.items()) + f" ELSE {OTHERWISE}D END"
     eff = f"((({mult('a')}) + ({mult('b')})) / 2 / (1 + 9 * abs(a_z - b_z) / (1000 * km + 1)))"
     road = f"(CASE WHEN a_road AND b_road THEN greatest(1.8D * {eff}, 0.9D) ELSE {eff} END)"
     ford = "(CASE WHEN b_river AND NOT a_river AND NOT (a_road AND b_road) THEN 0.25D ELSE 0D END)"
@@ -229,7 +330,7 @@ def accumulate_shared(nodes: DataFrame, edges: DataFrame, value: str) -> DataFra
             return cut(total.groupBy("node").agg(F.sum("total").alias("total")), "total")
         turn += 1
         total = total.unionByName(moving.withColumnRenamed("amount", "total"))
-        if not turn % (4 * EVERY):
+        if not turn % (16):
             total = cut(total.groupBy("node").agg(F.sum("total").alias("total")), "total")
 
 
@@ -240,22 +341,56 @@ def shares_by_slope(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lower.join(lower.groupBy("src").agg(F.sum("slope").alias("all")), "src").select("src", "dst", (F.col("slope") / F.col("all")).alias("share"))
 
 
+def _lightest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges (ca, cb, a, b, w) between components that a task holds, CHUNK at a time, those of the least spanning forest. No other is in that of all edges."""
+    held: list[pa.RecordBatch] = []
+
+    def thin() -> pa.RecordBatch:
+        rows = sorted(((x["w"], x["a"], x["b"], x["ca"], x["cb"]) for b in held for x in b.to_pylist()))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        kept = []
+        for w, a, b, ca, cb in rows:
+            u, v = find(ca), find(cb)
+            if u != v:
+                root[u] = v
+                kept.append({"ca": ca, "cb": cb, "a": a, "b": b, "w": w})
+        return pa.RecordBatch.from_pylist(kept, schema=held[0].schema)
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) > CHUNK:
+            yield thin()
+            held.clear()
+    if held:
+        yield thin()
+
+
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """edges (a, b, w) of an undirected graph -> a, b, w of its least spanning forest; ties in w to the smaller a, then b.
 
-    Boruvka's rounds: each component takes its lightest edge out, and components that have joined are relabelled; they halve at least
-    in each round."""
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a != b").distinct(), "edges")
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    label, tree = cut(nodes.select("node", F.col("node").alias("c")), "labels"), None
+    Boruvka's rounds over contracted edges: tasks drop the edges that can't be in the forest, each component takes its lightest edge out,
+    components that have joined become one, and edges within one are dropped. When what is left fits one chunk, it is thinned once more, which ends it."""
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a != b").groupBy("a", "b").agg(F.min("w").alias("w"))
+    e = e.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "a", "b", "w")
+    left, tree = cut(e.mapInArrow(_lightest, e.schema), "left"), None
+    add = lambda more: more if tree is None else tree.unionByName(more)
     while True:
-        at = e.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca != cb")
-        edge = F.struct("w", "a", "b")
-        ends = at.select(F.col("ca").alias("c"), edge.alias("e"), F.col("cb").alias("to")).union(at.select(F.col("cb").alias("c"), edge.alias("e"), F.col("ca").alias("to")))
+        if left.count() <= CHUNK:
+            last = cut(left.coalesce(1).mapInArrow(_lightest, left.schema).select("a", "b", "w"), "tree")
+            drop(left)
+            return add(last)
+        ends = left.select(F.col("ca").alias("c"), F.struct("w", "a", "b").alias("e"), F.col("cb").alias("to")).union(left.select("cb", F.struct("w", "a", "b"), "ca"))
         light = cut(ends.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.e.a", "m.e.b", "m.e.w", "m.to"), "light")
-        chosen = light.select("a", "b", "w").distinct()
-        if not chosen.limit(1).count():
-            return tree if tree is not None else chosen
-        tree = chosen if tree is None else tree.unionByName(chosen)
-        joined = components(label.select(F.col("c").alias("node")).distinct(), light.select(F.col("c").alias("src"), F.col("to").alias("dst")))
-        label = cut(label.join(joined.toDF("c", "root"), "c").select("node", F.col("root").alias("c")), "labels")
+        tree = add(light.select("a", "b", "w").distinct())
+        root = linked(light.select(F.col("c").alias("src"), F.col("to").alias("dst")))
+        at = left.join(root.toDF("ca", "ra"), "ca", "left").join(root.toDF("cb", "rb"), "cb", "left").select(F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"), "a", "b", "w").where("ca != cb")
+        new = cut(at.mapInArrow(_lightest, left.schema), "left")
+        drop(left)
+        left = new

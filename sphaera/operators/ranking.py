@@ -4,25 +4,26 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions import geo
+from ..tables import cut, drop
+from .graph import shortest
 
 
 def ranked(rows: DataFrame, score: str, key: str, by: str | None = None) -> DataFrame:
     """rows with rank from 0 by descending score, ties to the smaller key; within `by`, or over all.
 
-    Without `by`, rows are first sorted into ranges over all tasks and each range gets its offset, so that no task sees them all."""
+    Without `by`, rows are sorted into ranges over all tasks, written once, and each range gets its offset, so that no task sees them all."""
     if by is not None:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key)) - 1)
     order = [F.desc(score), F.col(key)]
-    parts = rows.sparkSession.sparkContext.defaultParallelism
-    ranges = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    ranges = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    ranges = ranges.withColumns({"__p": F.shiftright("__at", 33), "__i": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
     sizes = ranges.groupBy("__p").agg(F.count("*").alias("__n"))
     offset = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranges.withColumn("__i", place).join(F.broadcast(offset.select("__p", "__before")), "__p").withColumn("rank", F.col("__before") + F.col("__i") - 1).drop("__p", "__i", "__before")
+    return ranges.join(F.broadcast(offset.select("__p", "__before")), "__p").withColumn("rank", F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
 
 
 def zipf(rows: DataFrame, top: float = 60000.0, power: float = 0.95) -> DataFrame:
@@ -45,48 +46,57 @@ def capitals(rows: DataFrame, group: str, population: str, key: str, most: int =
     return own.orderBy(F.desc(population), key).limit(most)
 
 
-def trunks(places: DataFrame, most: int = 14, within: float = 45.0) -> DataFrame:
-    """places (place, population, lon, lat; a bounded list, such as the first 30) -> the pairs with the strongest pull p * q / (d * d + 1)."""
-    a, b = places.toDF("a", "pa", "xa", "ya"), places.toDF("b", "pb", "xb", "yb")
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))
-    d = F.sqrt(F.pow(F.col("xa") - F.col("xb"), F.lit(2.0)) + F.pow(F.col("ya") - F.col("yb"), F.lit(2.0)))
-    near = pairs.withColumn("d", d).where(F.col("d") < within)
-    return near.withColumn("pull", F.col("pa") * F.col("pb") / (F.col("d") * F.col("d") + 1)).orderBy(F.desc("pull"), "a", "b").limit(most).select("a", "b", "d", "pull")
+#: Places of a list of trunk ends at most.
+ENDS = 100
+
+
+def trunks(places: DataFrame, edges: DataFrame, most: int = 14, within: float = 45.0) -> DataFrame:
+    """places (place, population; a list of up to ENDS), edges (src, dst, w in days) -> a, b, days, pull of the pairs with the strongest
+    pull p * q / (days * days + 1), whose way takes less than `within` days. Ways are searched from all places at once."""
+    if places.limit(ENDS + 1).count() > ENDS:
+        raise ValueError(f"more than {ENDS} places")
+    near = shortest(edges, places.select(F.col("place").alias("source"), F.col("place").alias("node")), within).where(F.col("dist") < within)
+    a, b = places.toDF("source", "pa"), places.toDF("node", "pb")
+    pairs = near.where("source < node").join(F.broadcast(a), "source").join(F.broadcast(b), "node")
+    days = F.col("dist").cast("double")
+    return pairs.select(F.col("source").alias("a"), F.col("node").alias("b"), days.alias("days"), (F.col("pa") * F.col("pb") / (days * days + 1)).alias("pull")).orderBy(F.desc("pull"), "a", "b").limit(most)
 
 
 def spaced(candidates: DataFrame, score: str, key: str, apart_deg: float, most: int) -> DataFrame:
-    """Greedy choice of up to `most` of all candidates (lon, lat), best first: each at least apart_deg from all chosen before.
-
-    The best 20 * most are scanned in one task, as the choice is sequential by definition; then all candidates near the chosen ones (`most`
-    rows at most) are struck in a map, and the best of the others are scanned, until there are `most` or none is left. Each scan chooses
-    one at least. Candidates without a place (null or NaN) are not chosen."""
-    import numpy as np
-
-    spark, size, far = candidates.sparkSession, 20 * most, float(np.cos(np.radians(apart_deg)))
-    placed = candidates.where("NOT (isnan(lon) OR isnan(lat) OR lon IS NULL OR lat IS NULL)")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, key], ascending=[False, True])
-        lo, la = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
-        v = np.stack([np.cos(la) * np.cos(lo), np.sin(la), np.cos(la) * np.sin(lo)], axis=1)
-        taken: list[int] = []
-        for i in range(len(v)):
-            if len(taken) < most and (not taken or (v[taken] @ v[i]).max() <= far):
-                taken.append(i)
-        return pdf.iloc[taken].assign(__n=len(pdf))
-
-    schema = T.StructType([*candidates.schema.fields, T.StructField("__n", T.LongType())])
-    chosen: list = []
-    while len(chosen) < most:
-        open_ = placed
-        if chosen:
-            near = spark.createDataFrame([(math.radians(r["lon"]), math.radians(r["lat"])) for r in chosen], "__x double, __y double")
-            x, y = F.radians("lon"), F.radians("lat")
-            dot = F.cos(y) * F.cos("__y") * F.cos(x - F.col("__x")) + F.sin(y) * F.sin("__y")
-            open_ = placed.join(F.broadcast(near), dot > far, "left_anti")
-        best = open_.orderBy(F.desc(score), key).limit(size)
-        found = best.groupBy(F.lit(0).alias("__one")).applyInPandas(choose, schema).orderBy(F.desc(score), key).collect()
-        chosen += found
-        if not found or found[0]["__n"] < size:
+    """Greedy choice of up to `most` of all candidates (lon, lat), best first: each farther than apart_deg from all chosen before.
+
+    In rounds: a candidate that is the best of all open ones within the distance is chosen whatever comes before it, as no better one can strike it;
+    those within the distance of a chosen one are struck. Only the best of each cube of space can be chosen, so these few are compared with one another,
+    cube by neighbouring cube. When `most` are chosen and nothing open is better than the last of them, the rest is of no account.
+    Candidates without a place (null or NaN) are not chosen."""
+    side = 2 * math.sin(math.radians(apart_deg) / 2)
+    least = math.cos(math.radians(apart_deg))
+    x, y, z = geo.direction(F.col("lon"), F.col("lat"))
+    # Cubes so small that all of one are within the distance of each other: at most the best of a cube is chosen in a round.
+    cube = lambda c, n: F.floor(F.col(c) / (side / math.sqrt(3))).cast("int").alias(n)
+    at = candidates.where("NOT (isnan(lon) OR isnan(lat) OR lon IS NULL OR lat IS NULL)").select(F.col(key).alias("__key"), F.col(score).alias("__s"), x.alias("__x"), y.alias("__y"), z.alias("__z"))
+    open_ = cut(at.select("*", *(cube(f"__{c}", f"__{n}") for c, n in zip("xyz", "ijk", strict=True))), "open")
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(c).alias("k")) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3)))).alias("__d")
+    place = ["__i", "__j", "__k"]
+
+    def around(df: DataFrame, tag: str) -> DataFrame:
+        """Rows at their own cube and the ones around it that the distance can reach, columns renamed."""
+        moved = df.select("*", steps).select(*((F.col(f"__{n}") + F.col(f"__d.{n}")).alias(f"__{n}") for n in "ijk"), *(F.col(f"__{c}").alias(f"{tag}{c}") for c in ("key", "s", "x", "y", "z")))
+        return moved
+
+    dot = F.col("__x") * F.col("tx") + F.col("__y") * F.col("ty") + F.col("__z") * F.col("tz")
+    chosen = None
+    while True:
+        best = cut(open_.groupBy(*place).agg(F.max_by(F.struct(*open_.columns), F.struct(F.col("__s"), -F.col("__key"))).alias("b")).select("b.*"), "best")
+        beaten = best.join(around(best, "t"), place).where((dot >= least) & (F.col("tkey") != F.col("__key")) & ((F.col("ts") > F.col("__s")) | ((F.col("ts") == F.col("__s")) & (F.col("tkey") < F.col("__key"))))).select("__key").distinct()
+        now = cut(best.join(beaten, "__key", "left_anti"), "chosen")
+        chosen = now if chosen is None else cut(chosen.unionByName(now), "chosen")
+        left = cut(open_.join(around(now, "t"), place, "left").withColumn("near", F.coalesce(dot >= least, F.lit(False))).groupBy(*open_.columns).agg(F.max("near").alias("near")).where("NOT near").drop("near"), "open")
+        drop(open_)
+        drop(best)
+        open_ = left
+        top = open_.agg(F.max("__s")).first()[0]
+        if top is None or chosen.where(F.col("__s") > top).count() >= most:
             break
-    return spark.createDataFrame([tuple(r)[:-1] for r in chosen[:most]], candidates.schema)
+    keep = chosen.orderBy(F.desc("__s"), "__key").limit(most).select(F.col("__key").alias(key))
+    return candidates.join(F.broadcast(keep), key, "left_semi")

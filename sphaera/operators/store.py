@@ -72,3 +72,65 @@ def find(entries: DataFrame, kind: str | None = None, name: str | None = None, a
     if name is not None:
         wide = wide.where(F.contains(F.lower("name"), F.lit(name.lower())))
     return (wide if retired else wide.where("r IS NULL OR r != 'true'")).select("entity", "name")
+
+
+def snapshot(entries: DataFrame, locks: DataFrame, as_of=None) -> DataFrame:
+    """entity, kind, attrs (map of what holds), locked (sorted names; '*' is the whole entity)."""
+    kinds = entries.groupBy("entity").agg(F.max("kind").alias("kind"))
+    now = resolve(entries, as_of).groupBy("entity").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attr", "value")))).alias("attrs"))
+    held = locked(locks).groupBy("entity").agg(F.sort_array(F.collect_set("attr")).alias("locked"))
+    none = F.array().cast("array<string>")
+    return kinds.join(now, "entity", "left").join(held, "entity", "left").select("entity", "kind", F.coalesce("attrs", F.map_from_arrays(none, none)).alias("attrs"), F.coalesce("locked", none).alias("locked"))
+
+
+def edit(entries: DataFrame, edits: DataFrame, rev: int) -> DataFrame:
+    """Rows to append for edits (entity, attr, value, valid_from, valid_to) of entities that are there, by a user."""
+    kinds = entries.groupBy("entity").agg(F.max("kind").alias("kind"))
+    return edits.join(kinds, "entity").select("entity", "kind", "attr", "value", F.lit("user").alias("source"), "valid_from", "valid_to", F.lit(rev).cast("long").alias("rev"))
+
+
+def entity_name(rows: DataFrame, entries: DataFrame, column: str, as_of=None) -> DataFrame:
+    """rows with `name`: what the entity in a column is called, null if it has no name."""
+    names = resolve(entries.where("attr = 'name'"), as_of).select(F.col("entity").alias(column), F.col("value").alias("name"))
+    return rows.join(names, column, "left")
+
+
+#: What a changeset's log says of it.
+STAGED, MERGED, DROPPED = "staged", "merged", "dropped"
+
+
+def stage(changeset: str, label: str, day: float, ops: DataFrame) -> DataFrame:
+    """ops (action 'create', 'set_attr', 'lock' or 'unlock', entity, kind, attr, value, valid_from, valid_to) as rows of the log of changesets."""
+    mine = {"changeset": F.lit(changeset), "label": F.lit(label), "day": F.lit(float(day))}
+    return ops.select(*(c.alias(n) for n, c in mine.items()), *ops.columns)
+
+
+def status(events: DataFrame) -> DataFrame:
+    """events (changeset, status, seq) -> changeset, status: the last one, but a merged changeset stays merged."""
+    return events.groupBy("changeset").agg(F.when(F.max(F.col("status") == MERGED), MERGED).otherwise(F.max_by("status", "seq")).alias("status"))
+
+
+def merge(canon: DataFrame, log: DataFrame, events: DataFrame) -> DataFrame:
+    """canon and what its merged changesets set: an op's value holds from its own day on or else the changeset's, as a user's, later changesets above earlier ones."""
+    seq = events.where(F.col("status") == MERGED).groupBy("changeset").agg(F.min("seq").alias("seq"))
+    top = canon.agg(F.coalesce(F.max("rev"), F.lit(0)).alias("top"))
+    sets = log.where("action = 'set_attr'").join(seq, "changeset").crossJoin(F.broadcast(top))
+    rows = sets.select("entity", "kind", "attr", "value", F.lit("user").alias("source"), F.coalesce("valid_from", "day").alias("valid_from"), "valid_to", (F.col("top") + F.col("seq")).alias("rev"))
+    return canon.unionByName(rows.select(*canon.columns))
+
+
+def merged_locks(locks: DataFrame, log: DataFrame, events: DataFrame) -> DataFrame:
+    """locks and what merged changesets lock and unlock."""
+    seq = events.where(F.col("status") == MERGED).groupBy("changeset").agg(F.min("seq").alias("seq"))
+    top = locks.agg(F.coalesce(F.max("rev"), F.lit(0)).alias("top"))
+    rows = log.where("action IN ('lock', 'unlock')").join(seq, "changeset").crossJoin(F.broadcast(top)).select("entity", F.coalesce("attr", F.lit("*")).alias("attr"), (F.col("action") == "lock").alias("locked"), (F.col("top") + F.col("seq")).alias("rev"))
+    return locks.unionByName(rows.select(*locks.columns))
+
+
+def timeline(log: DataFrame, events: DataFrame) -> DataFrame:
+    """ord, changeset, label, day, ops of the merged changesets by story day, then in the order they were staged (of their names)."""
+    done = status(events).where(F.col("status") == MERGED).select("changeset")
+    by = log.join(done, "changeset", "left_semi").groupBy("changeset").agg(F.first("label").alias("label"), F.first("day").alias("day"), F.count("*").alias("ops"))
+    from .ranking import ranked
+
+    return ranked(by.withColumn("back", -F.col("day")), "back", "changeset").select(F.col("rank").alias("ord"), "changeset", "label", "day", "ops")

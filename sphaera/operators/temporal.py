@@ -31,20 +31,12 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value
     return u.withColumn(value, F.last("__v", ignorenulls=True).over(order)).where("__left = 1").drop("__t", "__left", "__v")
 
 
-def interval_of(rows: DataFrame, at: str, spans: DataFrame) -> DataFrame:
-    """rows with the name of the first span (ord, name, start, stop) that holds rows.at, or null. spans is a short list of the
-    author's (eras), hence broadcast."""
-    on = (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    first = keyed.select("__row", at).join(F.broadcast(spans), on).groupBy("__row").agg(F.min_by("name", "ord").alias("era"))
-    return keyed.join(first, "__row", "left").drop("__row")
-
-
-def era_column(at: Column, spans: list[tuple[str, float, float]]) -> Column:
-    """The same for a literal list, without a join."""
+def interval_of(at: Column, spans: list[tuple[str, float, float | None]]) -> Column:
+    """Name of the first span (name, start, stop or None for no end) of an author's list that holds a day, or null; no join."""
     out = F.lit(None).cast("string")
     for name, start, stop in reversed(spans):
-        out = F.when((at >= start) & (at < stop), name).otherwise(out)
+        inside = at >= start
+        out = F.when(inside if stop is None else inside & (at < stop), name).otherwise(out)
     return out
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import runs
-
 
 def slopes(samples: DataFrame, eye: float, radius_m: float = 6371000.0) -> DataFrame:
     """samples (ray, km, z) with the apparent slope of each: height above the eye less the drop of the curved ground, over distance."""
@@ -24,8 +22,8 @@ def horizons(samples: DataFrame, far: float = 320.0, enough: float = 0.002, dip:
 
 def skyline(rays: DataFrame, floor: float = 0.5) -> DataFrame:
     """rays (view, azimuth, angle) -> view, first, last, n, peak of the runs of azimuths above the floor; runs don't go through north."""
+    w = Window.partitionBy("view").orderBy("azimuth")
     up = rays.withColumn("up", F.col("angle") > floor)
-    r = runs(up, "view", "azimuth", "up").where("up").select("view", "first", "last", "n")
-    inside = up.where("up").withColumnRenamed("view", "v")
-    both = r.join(inside, (F.col("view") == F.col("v")) & F.col("azimuth").between(F.col("first"), F.col("last")))
-    return both.groupBy("view", "first", "last", "n").agg(F.max("angle").alias("peak"))
+    new = (~F.lag("up").over(w).eqNullSafe(F.col("up"))).cast("int")
+    run = up.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("up")
+    return run.groupBy("view", "run").agg(F.min("azimuth").alias("first"), F.max("azimuth").alias("last"), F.count("*").alias("n"), F.max("angle").alias("peak")).drop("run")

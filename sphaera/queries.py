@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import astro, calendar, geo
 from .operators import exports, fields, filters, graph, ledger, ranking, stats, store, temporal, views
-from .plans import phases
 from .plans.nodes import run_graph
 from .sources import grid
 from .streaming.news import deliver_once
-from .tables import cut, read
+from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,18 +79,6 @@ def src_grid_cells(spark, d):
     return grid.cells(spark, FREQ).select("cell", "row", "col", "pentagon")
 
 
-@query(f"SELECT 5 AS degree, CAST(12 AS BIGINT) AS cells, CAST(60 AS BIGINT) AS mutual UNION ALL SELECT 6, {10 * FREQ**2 - 10}, {6 * (10 * FREQ**2 - 10)}")
-def src_grid_adjacency(spark, d):
-    a = grid.adjacency(spark, FREQ)
-    back = a.join(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("m")), ["src", "dst"], "left")
-    deg = back.groupBy("src").agg(F.count("*").cast("int").alias("degree"), F.sum("m").alias("m"))
-    return deg.groupBy("degree").agg(F.count("*").alias("cells"), F.sum("m").alias("mutual"))
-
-
-@query(f"SELECT CAST({10 * FREQ**2 + 2} AS BIGINT) AS cells, {r6('4 * pi()', 'total_sr')}")
-def src_grid_areas(spark, d):
-    return grid.areas(spark, FREQ).agg(F.count("*").alias("cells"), F.sum("area_sr").alias("s")).selectExpr("cells", r6("s", "total_sr"))
-
 
 @query(f"SELECT i AS idx, i // 36 AS y, i % 36 AS x, {r6('90 - (i // 36 + 0.5) * 10', 'lat')}, {r6('(i % 36 + 0.5) * 10 - 180', 'lon')} FROM range(0, 648) t(i)")
 def src_raster_pixels(spark, d):
@@ -211,43 +198,11 @@ def flt_suitability(spark, d):
     return part.select("p_partkey", filters.suitability(SPEC).alias("x")).selectExpr("p_partkey", r6("x", "s"))
 
 
-@query("SELECT n AS errors FROM (VALUES (4)) t(n)")
-def flt_validate_spec(spark, d):
-    bad = {"hard": [{"field": "height", "op": "near", "value": 1}], "soft": [{"field": "p_size", "fn": "gauss"}], "wish": []}
-    return spark.range(1).select(F.lit(len(filters.validate(bad, ["p_size"]))).alias("errors"))
-
-
-@query(f"WITH {PLACES_SQL} SELECT place, lon > -60 AND lon < 60 AND (lat > 0 OR abs(lat) < 0) AS inside FROM places WHERE abs(lat) > 30 OR abs(abs(lon) - 60) > 20")
-def flt_polygon_mask(spark, d):
-    # An octant-shaped polygon: the equator between two meridians, and up to the pole.
-    p = places(spark, d).where("abs(lat) > 30 OR abs(abs(lon) - 60) > 20")
-    return p.select("place", filters.in_polygon(p, [(-60.0, 0.0), (0.0, 0.0), (60.0, 0.0), (0.0, 90.0)]).alias("inside"))
-
-
-@query(
-    f"WITH {PLACES_SQL}, {GRID_SQL} SELECT count(*) AS places, count(*) AS found FROM places"
-)
-def jn_nearest_cell(spark, d):
-    x, y, z = geo.direction(F.col("lon"), F.col("lat"))
-    p = places(spark, d).select("place", x.alias("px"), y.alias("py"), z.alias("pz"))
-    c = cut(grid.cells(spark, FREQ).select("cell", "x", "y", "z"), "cells")  # a grid is a table that is kept
-    near = fields.nearest_cell(p, "place", c, FREQ).join(p, "place").join(c, "cell")
-    close = F.acos(F.least(F.lit(1.0), F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z"))) < 1.2 / FREQ
-    return near.agg(F.count("*").alias("places"), F.count_if(close).alias("found"))
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "WITH RECURSIVE e0 AS (SELECT s AS a, (s * 7 + 3) % n AS b FROM (SELECT count(*) AS n FROM supplier), range(0, n) r(s) WHERE s % 3 = 0), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), "
-    "n AS (SELECT s FROM (SELECT count(*) AS n FROM supplier), range(0, n) r(s)), c(node, root) AS (SELECT s, s FROM n UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a) SELECT node, min(root) AS component FROM c GROUP BY node"
-)
-def gr_components(spark, d):
-    n = read(spark, d, "supplier").count()
-    e = spark.range(n).where("id % 3 = 0").selectExpr("id AS src", f"(id * 7 + 3) % {n} AS dst")
-    return graph.components(spark.range(n).withColumnRenamed("id", "node"), e)
-
 
 _SSSP = "WITH RECURSIVE {ring}, d(node, dist) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT r.dst, min(d.dist + r.w) FROM d JOIN ring r ON d.node = r.src LEFT JOIN recurring.d k ON k.node = r.dst WHERE k.dist IS NULL OR d.dist + r.w < k.dist GROUP BY r.dst)"
 
@@ -257,11 +212,6 @@ def gr_sssp(spark, d):
     return graph.shortest(ring(spark, d), spark.range(1).selectExpr("id AS source", "id AS node")).select("source", "node", "dist")
 
 
-@query(_SSSP.format(ring=RING_SQL) + " SELECT count(*) AS cells, max(dist) AS farthest FROM d WHERE dist <= 12")
-def q_reachable(spark, d):
-    r = graph.shortest(ring(spark, d), spark.range(1).selectExpr("id AS source", "id AS node"), limit=12)
-    return r.agg(F.count("*").alias("cells"), F.max("dist").alias("farthest"))
-
 
 @query(
     "WITH RECURSIVE {ring}, d(src0, node, dist) USING KEY (src0, node) AS (SELECT s, s, CAST(0 AS BIGINT) FROM n, range(0, n, 17) r(s) UNION SELECT d.src0, r.dst, min(d.dist + r.w) FROM d JOIN ring r ON d.node = r.src LEFT JOIN recurring.d k ON k.node = r.dst AND k.src0 = d.src0 WHERE k.dist IS NULL OR d.dist + r.w < k.dist GROUP BY d.src0, r.dst) "
@@ -272,16 +222,6 @@ def gr_voronoi(spark, d):
     return graph.territories(ring(spark, d), spark.range(0, n, 17).selectExpr("id AS source", "id AS node"))
 
 
-@query(_SSSP.format(ring=RING_SQL) + ", goal AS (SELECT n // 2 AS g FROM n) SELECT CAST(0 AS BIGINT) AS source, g AS goal, dist, dist AS along FROM d, goal WHERE node = g")
-def q_route(spark, d):
-    e, n = ring(spark, d), read(spark, d, "supplier").count()
-    reached = graph.shortest(e, spark.range(1).selectExpr("id AS source", "id AS node"))
-    goal = spark.range(n // 2, n // 2 + 1).selectExpr("0L AS source", "id AS node")
-    steps = graph.path(reached, goal)
-    hops = temporal.trail(steps.where("source = 0"), "goal", "back", "node").selectExpr("goal", "node AS src", "prev_node AS dst")
-    along = hops.join(e.groupBy("src", "dst").agg(F.min("w").alias("w")), ["src", "dst"]).groupBy("goal").agg(F.sum("w").alias("along"))
-    return reached.join(along, reached.node == along.goal).select("source", "goal", "dist", "along")
-
 
 _TREE_SQL = "t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey > 1 THEN s_suppkey // 3 + CASE WHEN s_suppkey < 3 THEN 1 ELSE 0 END END AS parent FROM supplier), v AS (SELECT l_suppkey AS node, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1), tv AS (SELECT t.node, parent, coalesce(q, 0) AS q FROM t LEFT JOIN v USING (node))"
 
@@ -311,14 +251,6 @@ def gr_thermal_clamp(spark, d):
 _FLOODZ = "{0} * 7919 % 997"
 
 
-@query(
-    f"WITH RECURSIVE {RING_SQL}, d(node, fill) USING KEY (node) AS (SELECT s, {_FLOODZ.format('s')} FROM n, range(0, n, 25) r(s) UNION SELECT r.dst, min(greatest(d.fill, {_FLOODZ.format('r.dst')})) FROM d JOIN ring r ON d.node = r.src LEFT JOIN recurring.d k ON k.node = r.dst "
-    f"WHERE k.fill IS NULL OR greatest(d.fill, {_FLOODZ.format('r.dst')}) < k.fill GROUP BY r.dst) SELECT node, fill FROM d"
-)
-def gr_priority_flood(spark, d):
-    n = read(spark, d, "supplier").count()
-    return graph.flood(spark.range(n).selectExpr("id AS node", f"{_FLOODZ.format('id')} AS z"), ring(spark, d), spark.range(0, n, 25).withColumnRenamed("id", "node"))
-
 
 @query(
     f"WITH {RING_SQL}, low AS (SELECT src, dst, ({_FLOODZ.format('src')} - {_FLOODZ.format('dst')}) / w AS s, dst * 31 % 89 AS a FROM ring WHERE {_FLOODZ.format('dst')} < {_FLOODZ.format('src')}), "
@@ -331,7 +263,7 @@ def gr_receivers(spark, d):
     return graph.receivers(nodes, e).withColumnRenamed("receiver", "steepest").join(graph.receivers(nodes, e, "a").withColumnRenamed("receiver", "fullest"), "node").fillna(-1)
 
 
-_ENDS = "{0} % 11 = 0 AS {1}_ocean, {0} % 10 AS {1}_biome, {0} * 7919 % 997 AS {1}_z, {0} % 4 = 0 AS {1}_road, {0} % 6 = 1 AS {1}_river"
+_ENDS = "{0} % 11 = 0 AS {1}_ocean, {0} % 13 AS {1}_biome, {0} * 7919 % 997 AS {1}_z, {0} % 4 = 0 AS {1}_road, {0} % 6 = 1 AS {1}_river"
 
 
 def _travel(spark, d):
@@ -340,10 +272,10 @@ def _travel(spark, d):
 
 def _days_sql() -> str:
     """The courier's days again, in plain steps."""
-    m = "list_value(" + ", ".join(str(x) for x in graph.PASSABLE) + ")"
+    m = "CASE WHEN {0} <= 10 THEN list_value(" + ", ".join(str(x) for x in graph.PASSABLE.values()) + f")[{{0}} + 1] ELSE {graph.OTHERWISE} END"
     return (
         f"x AS (SELECT src, dst, w * 10.0 AS km, {_ENDS.format('src', 'a')}, {_ENDS.format('dst', 'b')} FROM ring), "
-        f"y AS (SELECT *, ({m}[a_biome + 1] + {m}[b_biome + 1]) / 2 / (1 + 9 * abs(a_z - b_z) / (1000 * km + 1)) AS eff FROM x), "
+        f"y AS (SELECT *, ({m.format('a_biome')} + {m.format('b_biome')}) / 2 / (1 + 9 * abs(a_z - b_z) / (1000 * km + 1)) AS eff FROM x), "
         "z AS (SELECT *, CASE WHEN a_road AND b_road THEN greatest(1.8 * eff, 0.9) ELSE eff END AS eff2 FROM y) "
     )
 
@@ -353,14 +285,6 @@ def gr_travel_graph(spark, d):
     return _travel(spark, d).selectExpr("src", "dst", r6(graph.travel_days("horse"), "horse"), r6(graph.travel_days("ship"), "ship"))
 
 
-@query(
-    "WITH t AS (SELECT o_orderkey AS item, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 40 / 4.0 END AS horse, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 23 / 5.0 END AS ship FROM orders), "
-    "u AS (SELECT item, floor(horse * 0.6 * 100 + 0.5) / 100 AS c, floor((ship + 0.5) * 100 + 0.5) / 100 AS s FROM t) SELECT item, CASE WHEN c IS NOT NULL AND (s IS NULL OR c <= s) THEN c ELSE s END AS days, CASE WHEN c IS NOT NULL AND (s IS NULL OR c <= s) THEN 'courier' WHEN s IS NOT NULL THEN 'ship' END AS carrier FROM u"
-)
-def q_news(spark, d):
-    t = read(spark, d, "orders").selectExpr("o_orderkey AS item", "CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 40 AS DOUBLE) / 4 END AS horse", "CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey % 23 AS DOUBLE) / 5 END AS ship")
-    return t.selectExpr("item", f"{graph.news_days()} AS n").selectExpr("item", "n.days AS days", "n.by AS carrier")
-
 
 @query(f"WITH {GRID_SQL}, a AS (SELECT cell, CASE WHEN z > 100 THEN 1 ELSE 0 END * p AS v FROM w) SELECT cell, {r6('v * 0.5 + z * 0.5', 'v')} FROM a JOIN w USING (cell)")
 def q_graph_run(spark, d):
@@ -401,12 +325,6 @@ def jn_location_asof(spark, d):
 ERAS = [("dawn", 0.0, 8500.0), ("gold", 8400.0, 9500.0), ("iron", 9500.0, 10200.0)]
 
 
-@query("WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders) SELECT o_orderkey, CASE WHEN day >= 0 AND day < 8500 THEN 'dawn' WHEN day >= 8400 AND day < 9500 THEN 'gold' WHEN day >= 9500 AND day < 10200 THEN 'iron' END AS era FROM o")
-def jn_era_of(spark, d):
-    o = read(spark, d, "orders").selectExpr("o_orderkey", "unix_date(CAST(o_orderdate AS DATE)) AS day")
-    spans = spark.createDataFrame([(i, *e) for i, e in enumerate(ERAS)], "ord int, name string, start double, stop double")
-    return temporal.interval_of(o, "day", spans).select("o_orderkey", "era")
-
 
 MONTHS = [("thaw", 40), ("sun", 61), ("reap", 33), ("frost", 30)]
 
@@ -434,13 +352,6 @@ def win_conjunction_sessions(spark, d):
     return temporal.sessions(read(spark, d, "events"), ["user_id"], "event_id", 40, "value").drop("session")
 
 
-@query("SELECT user_id, event_id, min(value - event_id % 10) OVER (PARTITION BY user_id ORDER BY event_id) AS bed FROM events")
-def win_cummin_bed(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "events").select("user_id", "event_id", F.min(F.col("value") - F.col("event_id") % 10).over(w).alias("bed"))
-
 
 def _store(spark, d):
     o = read(spark, d, "orders")
@@ -517,12 +428,6 @@ def flt_visible_entries(spark, d):
     return ledger.visible(_scenes(spark, d), "system").select("scene", "ord")
 
 
-@query("WITH c AS (SELECT DISTINCT o_custkey % 50 AS scene, o_custkey % 7 AS seat FROM orders WHERE o_orderkey % 90 = 0), e AS (SELECT s AS scene FROM range(0, 50) r(s)) SELECT scene, seat FROM e, (SELECT range AS seat FROM range(0, 7)) WHERE seat <> 3 AND (scene, seat) NOT IN (SELECT (scene, seat) FROM c)")
-def jn_offstage_anti(spark, d):
-    c = read(spark, d, "orders").where("o_orderkey % 90 = 0").selectExpr("o_custkey % 50 AS scene", "o_custkey % 7 AS seat").distinct()
-    seats = spark.range(7).selectExpr("id AS seat", "CASE WHEN id <> 3 THEN id END AS seat_place")
-    return ledger.offstage(spark.range(50).selectExpr("id AS scene"), c, seats).select("scene", "seat")
-
 
 _NEWS_SQL = "news AS (SELECT o_orderkey AS item, o_custkey % 20 AS seat, o_orderkey % 300 AS arrives_day FROM orders)"
 
@@ -536,22 +441,12 @@ def jn_due_delivery(spark, d):
     return ledger.due(_news(spark, d), spark.range(20).selectExpr("id AS seat", "id * 12 AS now")).select("item", "seat")
 
 
-@query(f"WITH {_NEWS_SQL}, sc AS (SELECT s AS scene, s % 20 AS seat, s AS ord, s * 37 % 290 AS day FROM range(0, 200) r(s)) SELECT item, seat, arg_min(scene, ord) AS scene FROM news JOIN sc USING (seat) WHERE day >= arrives_day GROUP BY item, seat")
-def jn_news_to_chapter(spark, d):
-    sc = spark.range(200).selectExpr("id AS scene", "id % 20 AS seat", "id AS ord", "id * 37 % 290 AS day")
-    return ledger.news_scene(_news(spark, d), sc)
-
 
 @query("SELECT o_custkey AS seat, count(*) AS calls, CAST(sum(o_orderkey % 100) AS BIGINT) AS prompt_tokens, CAST(sum(o_orderkey % 37) AS BIGINT) AS completion_tokens FROM orders GROUP BY 1")
 def agg_usage_ledger(spark, d):
     return ledger.usage(read(spark, d, "orders").selectExpr("o_custkey AS seat", "o_orderkey % 100 AS prompt_tokens", "o_orderkey % 37 AS completion_tokens"))
 
 
-@query("WITH p AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT user_id, event_id FROM p WHERE prev IS NOT NULL AND (event_id % 19 = 0 OR event_id - prev < 0.85 * (event_id % 50))")
-def q_check_travel(spark, d):
-    hops = temporal.trail(read(spark, d, "events").selectExpr("user_id", "event_id", "event_id AS day"), "user_id", "event_id", "day")
-    return ledger.too_fast(hops.selectExpr("user_id", "event_id", "day", "prev_day", "CASE WHEN event_id % 19 > 0 THEN event_id % 50 END AS route_days")).select("user_id", "event_id")
-
 
 # --- statistics and ranks -------------------------------------------------------------------------------------------------------
 
@@ -575,17 +470,6 @@ def agg_hypsometric_hist(spark, d):
     return stats.hypsometry(_hills(spark, d).selectExpr("z - 30000 AS z", "area")).selectExpr("bin", r6("permille", "permille"))
 
 
-@query(f"SELECT {r6('corr(l_quantity, l_extendedprice)', 'r')} FROM lineitem")
-def agg_corr(spark, d):
-    return _hills(spark, d).agg(F.corr("area", "z").alias("c")).selectExpr(r6("c", "r"))
-
-
-@query("SELECT count(*) AS n, true AS same FROM orders")
-def agg_layer_hash(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    a, b = stats.digest(o, "o_orderkey", "o_totalprice"), stats.digest(o.repartition(7, "o_totalprice"), "o_orderkey", "o_totalprice")
-    return a.join(b.select(F.col("digest").alias("again")), F.lit(True)).select("n", (F.col("digest") == F.col("again")).alias("same"))
-
 
 @query(f"WITH c AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS p, CAST(p_size AS DOUBLE) AS a FROM part), m AS (SELECT sum(p * a) / sum(a) AS m FROM c) SELECT p_partkey, {r6('least(5000, p * 900 / m)', 'p')} FROM c, m")
 def agg_precip_normalise(spark, d):
@@ -607,16 +491,6 @@ def win_capitals(spark, d):
     return ranking.capitals(c, "nation", "pop", "place").select("place", "nation")
 
 
-@query(_RANK_SQL + f", t AS (SELECT * FROM r WHERE rank < 30), p AS (SELECT a.place AS a, b.place AS b, sqrt(power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2)) AS d, CAST(a.score AS DOUBLE) * b.score AS pp FROM t a JOIN t b ON a.place < b.place) SELECT a, b, {r6('d', 'd')} FROM p WHERE d < 45 ORDER BY pp / (d * d + 1) DESC, a, b LIMIT 14")
-def top_trunk_pairs(spark, d):
-    first = ranking.ranked(places(spark, d), "score", "place").where("rank < 30").selectExpr("place", "CAST(score AS DOUBLE) AS population", "lon", "lat")
-    return ranking.trunks(first).selectExpr("a", "b", r6("d", "d"))
-
-
-@query()
-def greedy_poisson_settle(spark, d):
-    return ranking.spaced(places(spark, d), "score", "place", 12.0, 40).select("place", "score")
-
 
 # --- sky ------------------------------------------------------------------------------------------------------------------------
 
@@ -631,7 +505,7 @@ def fn_kepler(spark, d):
     return s.select("s_suppkey", astro.kepler(F.col("m"), F.col("e")).alias("x")).selectExpr("s_suppkey", r6("x", "anomaly"))
 
 
-_NAMES = "['new', 'waxing crescent', 'first quarter', 'waxing gibbous', 'full', 'waning gibbous', 'last quarter', 'waning crescent']"
+_NAMES = str(list(astro.PHASES))
 
 
 @query(f"WITH m AS (SELECT event_id, 2 * pi() * (event_id % 59 / 59.0) AS l FROM events) SELECT event_id, {_NAMES}[CAST(floor(l / (pi() / 4) + 0.5) AS BIGINT) % 8 + 1] AS phase, {r6('(1 - cos(l)) / 2', 'lit')} FROM m")
@@ -640,11 +514,6 @@ def q_sky_moon(spark, d):
     return m.select("event_id", astro.phase_name(F.col("l")).alias("phase"), astro.phase_fraction(F.col("l")).alias("x")).selectExpr("event_id", "phase", r6("x", "lit"))
 
 
-@query(f"WITH s AS (SELECT c_custkey AS star, c_custkey % 13 - 3 + 5 * (log10(1 + c_custkey % 97) - 1) AS m FROM customer) SELECT star, {r6('m', 'magnitude')} FROM s WHERE m < 6.5 ORDER BY m, star LIMIT 80")
-def top_brightest(spark, d):
-    s = read(spark, d, "customer").select(F.col("c_custkey").alias("star"), astro.apparent_magnitude((F.col("c_custkey") % 13 - 3).cast("double"), (1 + F.col("c_custkey") % 97).cast("double")).alias("m"))
-    return s.where("m < 6.5").orderBy("m", "star").limit(80).selectExpr("star", r6("m", "magnitude"))
-
 
 # --- streams --------------------------------------------------------------------------------------------------------------------
 
@@ -669,16 +538,6 @@ def sink_png16_norm(spark, d):
     return exports.unit16(c, "v").select("p_partkey", "level", exports.mask255(F.col("v") > 1000).alias("mask"))
 
 
-@query(f"SELECT CAST({20 * FREQ**2} AS BIGINT) AS triangles, CAST({10 * FREQ**2 + 2} AS BIGINT) AS corners")
-def sink_globe_mesh(spark, d):
-    t = exports.mesh(grid.adjacency(spark, FREQ))
-    return t.agg(F.count("*").alias("triangles")).join(t.select(F.explode(F.array("a", "b", "c")).alias("v")).agg(F.countDistinct("v").alias("corners")), F.lit(True))
-
-
-@query(f"SELECT b AS block, i, j FROM range(0, 10) x(b), range(0, {FREQ}) y(i), range(0, {FREQ}) z(j)")
-def sink_atlas_pack(spark, d):
-    return exports.atlas(grid.placed(spark, FREQ), FREQ).select("block", "i", "j")
-
 
 @query(f"WITH {PLACES_SQL} SELECT place, lon, lat, 'Feature' AS kind FROM places")
 def sink_geojson(spark, d):
@@ -727,29 +586,6 @@ def agg_roughness_seams(spark, d):
     return exports.roughness(c, e).join(exports.seams(c, e, 100.0), F.lit(True)).selectExpr(r6("roughness", "roughness"), "seams")
 
 
-@query("SELECT user_id, event_id, CAST(sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS along FROM events")
-def win_cumdist(spark, d):
-    from pyspark.sql import Window
-
-    return read(spark, d, "events").select("user_id", "event_id", F.sum(F.col("event_id") % 7).over(Window.partitionBy("user_id").orderBy("event_id")).alias("along"))
-
-
-@query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id FROM r WHERE k <= 24")
-def win_log_tail(spark, d):
-    from pyspark.sql import Window
-
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return read(spark, d, "events").select("user_id", "event_id", last.alias("k")).where("k <= 24").drop("k")
-
-
-@query(f"WITH {PLACES_SQL}, n AS (SELECT s_suppkey AS town, {LON.format('s_suppkey * 7')} AS x, {LAT.format('s_suppkey * 11')} AS y FROM supplier), d AS (SELECT place, town, sin(radians(lat)) * sin(radians(y)) + cos(radians(lat)) * cos(radians(y)) * cos(radians(lon - x)) AS c FROM places, n) SELECT place, arg_max(town, c) AS town, {r6('6371 * acos(least(1, max(c)))', 'km')} FROM d GROUP BY place")
-def jn_nearest_settlement(spark, d):
-    # Settlements are a bounded list of a world's author; each place meets all of them and keeps one.
-    n = read(spark, d, "supplier").selectExpr("s_suppkey AS town", f"{LON.format('s_suppkey * 7')} AS x", f"{LAT.format('s_suppkey * 11')} AS y")
-    c = F.expr("sin(radians(lat)) * sin(radians(y)) + cos(radians(lat)) * cos(radians(y)) * cos(radians(lon - x))")
-    near = places(spark, d).join(F.broadcast(n)).withColumn("c", c)
-    return near.groupBy("place").agg(F.max_by("town", "c").alias("town"), F.max("c").alias("c")).selectExpr("place", "town", r6("6371 * acos(least(1, c))", "km"))
-
 
 def _ramp_sql() -> str:
     """The ramp as a join with its bands."""
@@ -782,14 +618,6 @@ def gr_accum_mfd(spark, d):
     return graph.accumulate_shared(nodes, graph.shares_by_slope(nodes, e), "v").selectExpr("node", r6("total", "total"))
 
 
-@query("SELECT (SELECT count(*) - 1 FROM supplier) AS edges, true AS spans")
-def mst_prim_angular(spark, d):
-    e = ring(spark, d).where("src < dst").selectExpr("src AS a", "dst AS b", "w * 1000 + (src * 7 + dst) % 1000 AS w")
-    t = graph.spanning_tree(e)
-    n = read(spark, d, "supplier").count()
-    c = graph.components(spark.range(n).withColumnRenamed("id", "node"), t.selectExpr("a AS src", "b AS dst"))
-    return t.agg(F.count("*").alias("edges")).join(c.agg((F.max("component") == 0).alias("spans")), F.lit(True))
-
 
 # --- views and phases -------------------------------------------------------------------------------------------------------------
 
@@ -816,20 +644,83 @@ def gr_skyline(spark, d):
     return views.skyline(read(spark, d, "events").selectExpr("user_id AS view", "event_id AS azimuth", "value AS angle"), 10.0)
 
 
-@query("SELECT o_custkey AS place, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(*) >= 2")
-def q_civ_phases(spark, d):
-    """A chain of two phases; run again it makes nothing, and with another parameter only what depends on it."""
+@query(_SSSP.format(ring=RING_SQL) + " SELECT count(*) AS cells, max(dist) AS farthest FROM d WHERE dist <= 12")
+def agg_isochrone(spark, d):
+    r = graph.shortest(ring(spark, d), spark.range(1).selectExpr("id AS source", "id AS node"), limit=12)
+    return r.agg(F.count("*").alias("cells"), F.max("dist").alias("farthest"))
+
+
+@query(_SSSP.format(ring=RING_SQL) + ", b AS (SELECT d.node, min(r.src) AS prev FROM d JOIN ring r ON r.dst = d.node JOIN d p ON p.node = r.src AND p.dist + r.w = d.dist GROUP BY d.node), w(goal, node, back) AS (SELECT n // 2, n // 2, 0 FROM n UNION ALL SELECT goal, prev, back + 1 FROM w JOIN b USING (node) WHERE node <> 0) SELECT goal, CAST(back AS BIGINT) AS back, node FROM w")
+def gr_path_extract(spark, d):
+    n = read(spark, d, "supplier").count()
+    reached = graph.shortest(ring(spark, d), spark.range(1).selectExpr("id AS source", "id AS node"))
+    return graph.path(reached, spark.range(n // 2, n // 2 + 1).selectExpr("0L AS source", "id AS node")).select("goal", "back", "node")
+
+
+@query(
+    "WITH RECURSIVE e0 AS (SELECT c_custkey AS a, c_custkey * 7 % 500 + 1000000 AS b FROM customer WHERE c_nationkey < 20), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), n AS (SELECT c_custkey AS s FROM customer UNION SELECT b FROM e0), "
+    "c(node, root) AS (SELECT s, s FROM n UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a) SELECT node, min(root) AS component FROM c GROUP BY node"
+)
+def gr_components(spark, d):
+    c = read(spark, d, "customer")
+    e = c.where("c_nationkey < 20").selectExpr("c_custkey AS src", "c_custkey * 7 % 500 + 1000000 AS dst")
+    return graph.components(c.selectExpr("c_custkey AS node").union(e.select("dst")).distinct(), e)
+
+
+@query(
+    f"WITH RECURSIVE {RING_SQL}, d(node, fill) USING KEY (node) AS (SELECT s, {_FLOODZ.format('s')} FROM n, range(0, n, 25) r(s) UNION SELECT r.dst, min(greatest(d.fill, {_FLOODZ.format('r.dst')})) FROM d JOIN ring r ON d.node = r.src LEFT JOIN recurring.d k ON k.node = r.dst "
+    f"WHERE k.fill IS NULL OR greatest(d.fill, {_FLOODZ.format('r.dst')}) < k.fill GROUP BY r.dst), "
+    "e2 AS (SELECT src, dst, a.fill AS fa, b.fill AS fb FROM ring JOIN d a ON a.node = src JOIN d b ON b.node = dst), lo AS (SELECT src AS node, arg_min(dst, fb * 1000000 + dst) AS parent FROM e2 WHERE fb < fa AND src % 25 > 0 GROUP BY src), "
+    "h(node, k) USING KEY (node) AS (SELECT s, 0 FROM n, range(0, n, 25) r(s) UNION SELECT node, 0 FROM lo UNION SELECT e2.dst, min(h.k + 1) FROM h JOIN e2 ON e2.src = h.node AND fa = fb LEFT JOIN recurring.h g ON g.node = e2.dst WHERE g.k IS NULL OR h.k + 1 < g.k GROUP BY e2.dst), "
+    "fl AS (SELECT h.node, min(e2.src) AS parent FROM h JOIN e2 ON e2.dst = h.node AND fa = fb JOIN h g ON g.node = e2.src AND g.k = h.k - 1 GROUP BY h.node) SELECT node, fill, coalesce(lo.parent, fl.parent) AS parent FROM d LEFT JOIN lo USING (node) LEFT JOIN fl USING (node)"
+)
+def gr_priority_flood(spark, d):
+    n = read(spark, d, "supplier").count()
+    return graph.flood(spark.range(n).selectExpr("id AS node", f"{_FLOODZ.format('id')} AS z"), ring(spark, d), spark.range(0, n, 25).withColumnRenamed("id", "node"))
+
+
+@query(
+    f"WITH RECURSIVE {RING_SQL}, e3 AS (SELECT src AS a, dst AS b, w * 100000 + (src * 7 + dst) % 1000 * 100 + src % 97 AS w FROM ring WHERE src < dst), o AS (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS k FROM e3), "
+    "t(k, label, total, taken) AS (SELECT CAST(0 AS BIGINT), (SELECT map_from_entries(list((s, s))) FROM n, range(0, n) r(s)), CAST(0 AS HUGEINT), 0 UNION ALL "
+    "SELECT o.k, CASE WHEN label[o.a] = label[o.b] THEN label ELSE map_from_entries(list_transform(map_entries(label), lambda x: (x.key, CASE WHEN x.value = label[o.a] THEN label[o.b] ELSE x.value END))) END, total + CASE WHEN label[o.a] = label[o.b] THEN 0 ELSE o.w END, taken + CASE WHEN label[o.a] = label[o.b] THEN 0 ELSE 1 END FROM t JOIN o ON o.k = t.k + 1) "
+    "SELECT CAST(arg_max(taken, k) AS BIGINT) AS edges, CAST(arg_max(total, k) AS BIGINT) AS total FROM t"
+)
+def mst_prim_angular(spark, d):
+    e = ring(spark, d).where("src < dst").selectExpr("src AS a", "dst AS b", "w * 100000 + (src * 7 + dst) % 1000 * 100 + src % 97 AS w")
+    return graph.spanning_tree(e).agg(F.count("*").alias("edges"), F.sum("w").alias("total"))
+
 
-    def chain(least: int) -> list:
-        return [
-            phases.Phase("visits", lambda t, p: t["orders"].where(f"o_orderkey % {p['every']} = 0").groupBy("o_custkey").agg(F.count("*").alias("n")), ("orders",), {"every": 3}),
-            phases.Phase("towns", lambda t, p: t["visits"].where(f"n >= {p['least']}").selectExpr("o_custkey AS place", "n"), ("visits",), {"least": least}),
-        ]
+@query("WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders) SELECT o_orderkey, CASE WHEN day >= 0 AND day < 8500 THEN 'dawn' WHEN day >= 8400 AND day < 9500 THEN 'gold' WHEN day >= 9500 AND day < 10200 THEN 'iron' END AS era FROM o")
+def jn_era_of(spark, d):
+    o = read(spark, d, "orders").selectExpr("o_orderkey", "unix_date(CAST(o_orderdate AS DATE)) AS day")
+    return o.select("o_orderkey", temporal.interval_of(F.col("day"), ERAS).alias("era"))
 
-    orders = read(spark, d, "orders")
-    source = {"orders": (str(tuple(stats.digest(orders, "o_orderkey", "o_custkey").first())), orders)}
-    phases.run(spark, chain(3), sources=source)
-    tables, made = phases.run(spark, chain(2), sources=source)
-    if "visits" in made:
-        raise RuntimeError("a phase was made again though nothing that it depends on has changed")
-    return tables["towns"]
+
+@query("SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS errors FROM part")
+def flt_validate_spec(spark, d):
+    """Specs with an unknown field, an operator that isn't there or a Gaussian without width, by part; all that is wrong with one is counted."""
+    sizes = [r[0] for r in read(spark, d, "part").select("p_size").distinct().limit(1000).collect()]  # p_size runs from 1 to 50
+    spec = lambda n: {"hard": [{"field": "p_size" if n % 2 else "height", "op": "gt" if n % 3 else "near", "value": 1}], "soft": [{"field": "p_size", "fn": "gauss", "center": 1.0} | ({"width": 1.0} if n % 5 else {})]}
+    found = spark.createDataFrame([(n, len(filters.validate(spec(n), ["p_size"]))) for n in sizes], "p_size int, errors int")
+    return read(spark, d, "part").join(F.broadcast(found), "p_size").select("p_partkey", "errors")
+
+
+@query("SELECT 'same rows' AS case_, count(*) AS n, true AS equal FROM orders UNION ALL SELECT 'each twice', 2 * count(*), false FROM orders UNION ALL SELECT 'one changed', count(*), false FROM orders")
+def agg_layer_hash(spark, d):
+    """Digests of a table dealt otherwise, doubled, and with one value changed, against its own."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    own = stats.digest(o, "o_orderkey", "o_totalprice").select(F.col("digest").alias("own"))
+    least = o.agg(F.min("o_orderkey").alias("k"))
+    cases = {"same rows": o.repartition(7, "o_totalprice"), "each twice": o.union(o), "one changed": o.join(F.broadcast(least)).select("o_orderkey", F.when(F.col("o_orderkey") == F.col("k"), -1.0).otherwise(F.col("o_totalprice")).alias("o_totalprice"))}
+    out = None
+    for name, df in cases.items():
+        one = stats.digest(df, "o_orderkey", "o_totalprice").join(own).select(F.lit(name).alias("case_"), "n", (F.col("digest") == F.col("own")).alias("equal"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def flt_polygon_mask(spark, d):
+    """An octant-shaped polygon: the equator between two meridians, and up to the pole. Tests hold it against brute force."""
+    p = places(spark, d)
+    return p.select("place", filters.in_polygon(p, [(-60.0, 0.0), (0.0, 0.0), (60.0, 0.0), (0.0, 90.0)]).alias("inside"))
