@@ -98,30 +98,40 @@ def days(edges: DataFrame, mode: str) -> DataFrame:
     return edges.select("src", "dst", F.expr(graph.travel_days(mode)).alias("w")).where("w IS NOT NULL")
 
 
-def routes(trips: DataFrame, world: DataFrame, adjacency: DataFrame, f: int, mode: str = "horse", most: int = 120) -> DataFrame:
-    """trips (trip, lon, lat, to_lon, to_lat) -> trip, reachable, days, km, path (thinned, lon and lat), notes.
-
-    Ends are snapped to cells that the mode can stand on. The paths of trips with one start are found together; a start is a layer of the frontier."""
+def _reached(trips: DataFrame, world: DataFrame, adjacency: DataFrame, f: int, mode: str) -> tuple[DataFrame, DataFrame]:
+    """The ends of trips (trip, source, node), and what graph.shortest() makes of their starts."""
     want = "ocean" if mode == "ship" else "NOT ocean"
     ends = trips.select("trip", F.lit(0).alias("end"), "lon", "lat").union(trips.select("trip", F.lit(1), "to_lon", "to_lat"))
     ends = unit(ends).withColumn("key", F.struct("trip", "end"))
     at = cut(snap(ends, "key", world, f, want).select("key.trip", "key.end", "cell"), "ends")
     both = at.where("end = 0").select("trip", F.col("cell").alias("source")).join(at.where("end = 1").select("trip", F.col("cell").alias("node")), "trip")
-    edges = cut(travel(world, adjacency), "edges")
-    reached = graph.shortest(days(edges, mode), both.select("source", F.col("source").alias("node")).distinct())
+    return both, graph.shortest(days(travel(world, adjacency), mode), both.select("source", F.col("source").alias("node")).distinct())
+
+
+def travel_times(trips: DataFrame, world: DataFrame, adjacency: DataFrame, f: int, mode: str = "horse") -> DataFrame:
+    """trips (trip, lon, lat, to_lon, to_lat) -> trip, days; null where there is no way."""
+    both, reached = _reached(trips, world, adjacency, f, mode)
+    return both.join(reached.select("source", "node", "dist"), ["source", "node"], "left").select("trip", F.col("dist").alias("days"))
+
+
+def routes(trips: DataFrame, world: DataFrame, adjacency: DataFrame, f: int, mode: str = "horse", most: int = 120) -> DataFrame:
+    """trips (trip, lon, lat, to_lon, to_lat) -> trip, reachable, days, km, top_m (the highest cell), path (thinned, lon and lat), notes.
+
+    Ends are snapped to cells that the mode can stand on. The paths of trips with one start are found together; a start is a layer of the frontier."""
+    both, reached = _reached(trips, world, adjacency, f, mode)
     steps = cut(graph.path(reached, both.select("source", "node").distinct()), "steps")
     back = Window.partitionBy("source", "goal").orderBy(F.desc("back"))
     cells = world.select(F.col("cell").alias("node"), "x", "y", "z", "height", "biome", "river", "polity")
     path = steps.join(cells, "node").withColumns({c: F.lag(n).over(back) for c, n in (("ax", "x"), ("ay", "y"), ("az", "z"), ("was", "polity"), ("before", "biome"))})
     path = path.withColumn("step", F.sqrt(F.pow(F.col("x") - F.col("ax"), F.lit(2)) + F.pow(F.col("y") - F.col("ay"), F.lit(2)) + F.pow(F.col("z") - F.col("az"), F.lit(2))))
     path = cut(path.withColumn("run", F.sum((~F.col("biome").eqNullSafe(F.col("before"))).cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0))), "paths")
-    totals = path.groupBy("source", "goal").agg((F.coalesce(F.sum("step"), F.lit(0.0)) * geo.RADIUS_KM).alias("km"))
+    totals = path.groupBy("source", "goal").agg((F.coalesce(F.sum("step"), F.lit(0.0)) * geo.RADIUS_KM).alias("km"), F.max("height").alias("top_m"))
     thin = thinned(path.withColumn("pair", F.struct("source", "goal")).withColumn("along", -F.col("back")), "pair", "along", most)
     lon, lat = F.degrees(F.atan2("z", "x")), F.degrees(F.asin("y"))
     drawn = thin.groupBy("source", "goal").agg(F.transform(F.sort_array(F.collect_list(F.struct("along", lon.alias("lon"), lat.alias("lat")))), lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"))).alias("path"))
     known = both.join(reached.select("source", "node", "dist"), ["source", "node"], "left").withColumnRenamed("node", "goal")
     out = known.join(totals, ["source", "goal"], "left").join(drawn, ["source", "goal"], "left").join(notes(path, mode), ["source", "goal"], "left")
-    return out.select("trip", F.col("dist").isNotNull().alias("reachable"), F.col("dist").alias("days"), F.when(F.col("dist").isNotNull(), F.col("km")).alias("km"), "path", "notes")
+    return out.select("trip", F.col("dist").isNotNull().alias("reachable"), F.col("dist").alias("days"), "km", "top_m", "path", "notes")
 
 
 def notes(path: DataFrame, mode: str) -> DataFrame:
@@ -143,7 +153,7 @@ def notes(path: DataFrame, mode: str) -> DataFrame:
 
 def news(trips: DataFrame, world: DataFrame, adjacency: DataFrame, f: int) -> DataFrame:
     """trips -> trip, days, by: when news arrives at the earliest, by courier or ship; null if by neither."""
-    by = {m: routes(trips, world, adjacency, f, m).select("trip", F.col("days").alias(m)) for m in ("horse", "ship")}
+    by = {m: travel_times(trips, world, adjacency, f, m).select("trip", F.col("days").alias(m)) for m in ("horse", "ship")}
     return by["horse"].join(by["ship"], "trip").select("trip", F.expr(graph.news_days()).alias("n")).select("trip", "n.days", "n.by")
 
 

@@ -13,9 +13,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, a single machine) a new folder is set."""
+    """spark.checkpoint.dir; where it is unset a new folder is set on a single machine; a cluster has to name one."""
     have = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sphaera-"))
         have = spark.sparkContext.getCheckpointDir()
     return have
@@ -35,3 +37,13 @@ def drop(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_at)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """make() as a table that is written once in an application and read again by later plans, as long as its folder is there."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/kept-{sc.applicationId}-{name}"
+    done = sc._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

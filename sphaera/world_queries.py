@@ -15,7 +15,7 @@ from .operators import places as at
 from .queries import _FLOODZ, FREQ, LAT, LON, PLACES_SQL, RING_SQL, _store, places, query, r6, ring
 from .sources import grid
 from .streaming import news as streams
-from .tables import cut, read
+from .tables import cut, kept, read
 
 _F = FREQ
 _W = lambda *p: "[" + ", ".join(f"{{'k': {k}, 'w': {w}}}" for k, w in p) + "]"
@@ -70,14 +70,18 @@ def _snap_sql(name: str, source: str, want: str) -> str:
 
 
 def world(spark) -> DataFrame:
+    return kept(spark, f"world-{FREQ}", lambda: _world(spark))
+
+
+def _world(spark) -> DataFrame:
     c = grid.cells(spark, FREQ).select("cell", "x", "y", "z")
     whole = [f"CAST(floor(cell / {n}) AS BIGINT)" for n in (60, 100)]
     own = c.selectExpr("*", f"{_HEIGHT} AS height", f"{_HEIGHT} <= 0 AS ocean", f"CAST(CASE WHEN {_HEIGHT} <= 0 THEN 0 ELSE {_BIOME_} END AS INT) AS biome", "cell % 3 = 0 AS road", "cell % 7 = 1 AS river")
-    return cut(own.selectExpr("*", f"{_POLITY.format(whole[0], 'STRING')} AS polity", f"{_CULTURE.format(whole[1], 'STRING')} AS culture"), "world")
+    return own.selectExpr("*", f"{_POLITY.format(whole[0], 'STRING')} AS polity", f"{_CULTURE.format(whole[1], 'STRING')} AS culture")
 
 
 def _near(spark) -> DataFrame:
-    return cut(grid.adjacency(spark, FREQ).select("src", "dst"), "adjacency")
+    return kept(spark, f"adjacency-{FREQ}", lambda: grid.adjacency(spark, FREQ).select("src", "dst"))
 
 
 def trips(spark, d) -> DataFrame:
@@ -182,26 +186,12 @@ def q_route(spark, d):
     f"SELECT trip, CAST(count(*) AS BIGINT) AS cells, CAST(max(height) AS DOUBLE) AS top, CAST(count_if(river) AS BIGINT) AS fords, {r6('sum(coalesce(km, 0))', 'km')} FROM (SELECT way.trip, way.node, height, river, tr.km FROM way JOIN world ON cell = node LEFT JOIN way w2 ON w2.trip = way.trip AND w2.k = way.k + 1 LEFT JOIN tr ON tr.src = w2.node AND tr.dst = way.node) GROUP BY trip"
 )
 def agg_path_narrative(spark, d):
-    """Routes with their notes: the number of cells is that of the drawn path (shorter than 120 cells), the rest is read from the notes."""
+    """Routes with their notes: the number of cells is that of the drawn path (shorter than 120 cells), passes and fords are read from the notes."""
     r = at.routes(trips(spark, d), world(spark), _near(spark), FREQ).where("reachable")
     note = lambda start: F.get(F.filter("notes", lambda n: n.startswith(start)), F.lit(0))
     number = lambda start: F.regexp_extract(note(start), r"(\d+)", 1).cast("double")
-    full = r.select("trip", F.size("path").cast("long").alias("cells"), number("crosses").alias("top"), F.coalesce(number("fords").cast("long"), F.lit(0).cast("long")).alias("fords"), "km")
-    low = _highest(spark, d)
-    return full.join(low, "trip").select("trip", "cells", F.coalesce("top", "highest").alias("top"), "fords", F.expr(r6("km", "km")))
-
-
-def _highest(spark, d) -> DataFrame:
-    """The highest cell of each way, for those that cross no pass and so have no note of it."""
-    w, e = world(spark), _near(spark)
-    t = trips(spark, d)
-    ends = at.unit(t.select("trip", F.lit(0).alias("end"), "lon", "lat").union(t.select("trip", F.lit(1), "to_lon", "to_lat"))).withColumn("key", F.struct("trip", "end"))
-    s = cut(at.snap(ends, "key", w, FREQ, "NOT ocean").select("key.trip", "key.end", "cell"), "ends")
-    both = s.where("end = 0").select("trip", F.col("cell").alias("source")).join(s.where("end = 1").select("trip", F.col("cell").alias("goal")), "trip")
-    reached = graph.shortest(at.days(at.travel(w, e), "horse"), both.select("source", F.col("source").alias("node")).distinct())
-    p = graph.path(reached, both.select("source", F.col("goal").alias("node")).distinct())
-    top = p.join(w.select(F.col("cell").alias("node"), "height"), "node").groupBy("source", "goal").agg(F.max("height").alias("highest"))
-    return both.join(top, ["source", "goal"]).select("trip", "highest")
+    out = r.select("trip", F.size("path").cast("long").alias("cells"), F.coalesce(number("crosses"), "top_m").alias("top"), F.coalesce(number("fords").cast("long"), F.lit(0).cast("long")).alias("fords"), "km")
+    return out.selectExpr("trip", "cells", "top", "fords", r6("km", "km"))
 
 
 @query(f"WITH RECURSIVE {TRAVEL_SQL}, {_TRIPS_SQL}, {_reach_sql('horse', 'false')}, {_reach_sql('ship', 'true')}, n AS (SELECT trip, floor(h.days * 0.6 * 100 + 0.5) / 100 AS c, floor((s.days + 0.5) * 100 + 0.5) / 100 AS s FROM r_horse h JOIN r_ship s USING (trip)) SELECT trip, CASE WHEN c IS NOT NULL AND (s IS NULL OR c <= s) THEN c ELSE s END AS days, CASE WHEN c IS NOT NULL AND (s IS NULL OR c <= s) THEN 'courier' WHEN s IS NOT NULL THEN 'ship' END AS carrier FROM n")
@@ -257,7 +247,7 @@ def q_viewshed(spark, d):
 @query(f"WITH RECURSIVE {TRAVEL_SQL}, {_TRIPS_SQL}, {_reach_sql('horse', 'false')}, {_reach_sql('ship', 'true')}, m AS (SELECT trip, trip % 37 AS claimed, coalesce(h.days, s.days) AS need FROM r_horse h JOIN r_ship s USING (trip)) SELECT trip AS move, CASE WHEN need IS NULL OR claimed < need * 0.85 THEN 'reject' ELSE 'ok' END AS verdict, CASE WHEN need IS NULL THEN 'unreachable' WHEN claimed < need * 0.85 THEN 'too_fast' END AS reason FROM m")
 def q_move(spark, d):
     t, w, e = trips(spark, d), world(spark), _near(spark)
-    by = {m: at.routes(t, w, e, FREQ, m).select("trip", F.col("days").alias(f"{m}_days")) for m in ("horse", "ship")}
+    by = {m: at.travel_times(t, w, e, FREQ, m).select("trip", F.col("days").alias(f"{m}_days")) for m in ("horse", "ship")}
     moves = by["horse"].join(by["ship"], "trip").selectExpr("trip AS move", "CAST(trip % 37 AS DOUBLE) AS claimed_days", "horse_days AS route_days", "ship_days")
     return ledger.judged_moves(moves).select("move", "verdict", "reason")
 
@@ -265,7 +255,7 @@ def q_move(spark, d):
 @query(f"WITH RECURSIVE {TRAVEL_SQL}, {_TRIPS_SQL}, {_reach_sql('horse', 'false')}, {_reach_sql('ship', 'true')}, m AS (SELECT trip, coalesce(h.days, s.days) AS need FROM r_horse h JOIN r_ship s USING (trip)) SELECT trip, CASE WHEN need IS NULL THEN 'unreachable' ELSE 'too_fast' END AS type FROM m WHERE need IS NULL OR trip % 41 < need * 0.85")
 def q_check_travel(spark, d):
     t, w, e = trips(spark, d), world(spark), _near(spark)
-    by = {m: at.routes(t, w, e, FREQ, m).select("trip", F.col("days").alias(f"{m}_days")) for m in ("horse", "ship")}
+    by = {m: at.travel_times(t, w, e, FREQ, m).select("trip", F.col("days").alias(f"{m}_days")) for m in ("horse", "ship")}
     hops = by["horse"].join(by["ship"], "trip").selectExpr("trip", "trip * 2 + trip % 41 AS day", "trip * 2 AS prev_day", "horse_days AS route_days", "ship_days")
     return ledger.violations(hops).select("trip", "type")
 

@@ -130,3 +130,194 @@ def test_stream_of_news_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, "seat long, item long, arrives_day long, clock long").coalesce(1).write.parquet(str(tmp_path / "in"))
     got = deliver_once(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, lambda r: r)
     assert sorted((r.seat, r.item) for r in got.collect()) == [(1, 10), (1, 11), (1, 13)]
+
+
+def test_triangles_around_points_by_the_way_back(spark):
+    """Points made from known weights on cells of a face are located there again."""
+    import numpy as np
+
+    rng, f = np.random.default_rng(1), 7
+    at, faces = np.array(grid._corners()), [x for x, _ in fields._faces()]
+    assert len(faces) == 20
+    cell = {tuple((o.corner, o.weight) for o in r.on): r.cell for r in grid.placed(spark, f).collect()}
+    points, want = [], {}
+    for i in range(60):
+        face = faces[int(rng.integers(20))]
+        w = rng.dirichlet((1, 1, 1))
+        b = [x + grid.WARP_ALPHA * x * (1 - x) * (0.5 - x) + grid.WARP_BETA * w.prod() for x in w]
+        p = sum(x * at[c] for x, c in zip(b, face))
+        points.append((i, *(float(x) for x in p / np.linalg.norm(p))))
+        low, rest = np.floor(w * f).astype(int), w * f - np.floor(w * f)
+        up = round(rest.sum()) == 1
+        want[i] = {}
+        for k in range(3):
+            n = [int(x) + ((j == k) if up else (j != k)) for j, x in enumerate(low)]
+            want[i][cell[tuple(sorted((c, x) for c, x in zip(face, n) if x))]] = rest[k] if up else 1 - rest[k]
+    got = {}
+    for r in fields.locate(spark.createDataFrame(points, "id long, px double, py double, pz double"), "id", f).collect():
+        got.setdefault(r.id, {})[r["at"]] = r.weight
+    for i, w in want.items():
+        assert got[i].keys() == w.keys() and all(abs(got[i][c] - w[c]) < 1e-7 for c in w)
+
+
+def test_resampling_keeps_constants_and_cells(spark):
+    flat = fields.Field(grid.lattice(spark, 4).selectExpr("cell", "7.5D AS v"), 4)
+    assert fields.resample(flat, 8).df.where("abs(v - 7.5) > 1e-9").count() == 0 and fields.resample(flat, 8).df.count() == 642
+    own = fields.Field(grid.lattice(spark, 4).selectExpr("cell", "CAST(cell % 17 AS DOUBLE) AS v"), 4)
+    assert fields.resample(own, 4).df.join(own.df.withColumnRenamed("v", "was"), "cell").where("abs(v - was) > 1e-6").count() == 0
+    assert fields.rasterize(flat, 12, 6).where("abs(v - 7.5) < 1e-9").count() == 72
+
+
+@pytest.mark.parametrize("block", [3, 1 << 14])
+def test_frontiers_in_blocks_equal_bellman_ford(spark, block):
+    import random
+
+    rng = random.Random(2)
+    e = list({(rng.randrange(40), rng.randrange(40)): rng.randint(1, 9) for _ in range(120)}.items())
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in e], "src long, dst long, w long")
+    z = {n: n * 37 % 23 for n in range(40)}
+
+    def settle(start, cost):
+        best = dict(start)
+        for _ in range(60):
+            for (a, b), w in e:
+                if a in best and (b not in best or cost(best[a], a, b, w) < best[b]):
+                    best[b] = cost(best[a], a, b, w)
+        return best
+
+    reached = graph.shortest(df, spark.createDataFrame([(0, 0), (5, 5)], "source long, node long"), block=block)
+    got = {(r.source, r.node): (r.dist, r.prev) for r in reached.collect()}
+    for s in (0, 5):
+        want = settle({s: 0}, lambda d, a, b, w: d + w)
+        assert {n: d for (x, n), (d, _) in got.items() if x == s} == want
+        for n, d in want.items():
+            before = [a for (a, b), w in e if b == n and a in want and want[a] + w == d]
+            assert got[s, n][1] == (None if n == s else min(before))
+    near = {r.node: (r.dist, r.source) for r in graph.territories(df, spark.createDataFrame([(0, 0), (5, 5)], "source long, node long"), block=block).collect()}
+    assert near == settle({0: (0, 0), 5: (0, 5)}, lambda x, a, b, w: (x[0] + w, x[1]))
+    nodes = spark.createDataFrame(list(z.items()), "node long, z long")
+    filled = graph.flood(nodes, df.select("src", "dst"), spark.createDataFrame([(0,)], "node long"), block=block)
+    assert {r.node: r.fill for r in filled.collect()} == settle({0: z[0]}, lambda x, a, b, w: max(x, z[b]))
+    goals = spark.createDataFrame([(0, n) for (s, n) in got if s == 0], "source long, node long")
+    for r in graph.path(reached, goals, block).groupBy("goal").agg(F.sort_array(F.collect_list(F.struct("back", "node"))).alias("p")).collect():
+        nodes_ = [x.node for x in r.p]
+        assert nodes_[0] == r.goal and nodes_[-1] == 0 and all(got[0, a][1] == b for a, b in zip(nodes_, nodes_[1:]))
+
+
+def test_spanning_tree_in_many_chunks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(graph, "CHUNK", 8)
+    rng = random.Random(7)
+    edges = {(a, b): rng.randint(1, 30) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(150)) if a < b}
+    root, want = list(range(30)), set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for w, a, b in sorted((w, a, b) for (a, b), w in edges.items()):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b, w))
+    got = graph.spanning_tree(spark.createDataFrame([(b, a, w) for (a, b), w in edges.items()], "a long, b long, w long"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_atlas_comes_back_and_neighbours_are_near(spark):
+    from sphaera.operators import exports
+
+    for f in (2, 5):
+        p = grid.placed(spark, f)
+        a = {r.cell: (r.block, r.i, r.j) for r in exports.atlas(p, f).collect()}
+        near = {}
+        for r in grid.adjacency(spark, f).collect():
+            near.setdefault(r.src, set()).add(r.dst)
+        cell = {v: k for k, v in a.items()}
+        for c, (b, i, j) in a.items():
+            for di, dj in ((1, 0), (0, 1), (1, -1)):
+                if (b, i + di, j + dj) in cell:
+                    assert cell[b, i + di, j + dj] in near[c]
+        px = spark.createDataFrame([(b, i, j, float(c)) for c, (b, i, j) in a.items()], "block long, i long, j long, v double")
+        assert exports.from_atlas(px, p, f).where("cell != v").count() == 0
+
+
+def test_meanders_keep_ends_and_order(spark):
+    from sphaera.operators import rivers
+
+    rows = [(1, k, math.cos(0.01 * k), math.sin(0.01 * k), 0.0, 100.0) for k in range(6)]
+    out = rivers.meander(spark.createDataFrame(rows, "river long, ord long, x double, y double, z double, width_m double"), 20.0, 3).orderBy("ord").collect()
+    first, last = out[0], out[-1]
+    assert abs(first.x - rows[0][2]) < 1e-12 and abs(last.y - rows[-1][3]) < 1e-12 and len(out) > 40
+    assert [r.ord for r in out] == list(range(len(out))) and all(abs(r.x**2 + r.y**2 + r.z**2 - 1) < 1e-12 for r in out)
+    off = [abs(r.z) * 6371 for r in out]
+    assert 0 < max(off) <= 3 * 0.12 * 2.0 + 1e-6 and off[0] == off[-1] == 0
+
+
+def test_steepest_descent_on_planes(spark):
+    from sphaera.operators import rivers
+
+    for deg in (0, 20, 45, 80, 135, 200, 300, 350):
+        c, s = math.cos(math.radians(deg)), math.sin(math.radians(deg))
+        px = spark.range(81).selectExpr("CAST(id / 9 AS BIGINT) AS y", "id % 9 AS x").selectExpr("y", "x", f"100 - (x * {c!r}D - y * {s!r}D) AS z")
+        r = rivers.downhill_two(px, 9, 9, F.lit(1.0), 1.0).where("x = 4 AND y = 4").first()
+        assert abs((math.degrees(r.angle) - deg + 180) % 360 - 180) < 1e-6 and abs(r.w0 + r.w1 - 1) < 1e-12
+        assert r.a0 == int((deg + 1e-9) // 45) % 8 or r.w0 < 1e-6 or r.w1 > 1 - 1e-6
+
+
+def test_border_lines_hold_all_segments_corners(spark):
+    from sphaera import world_queries as w
+    from sphaera.operators import borders
+
+    s = borders.segments(w._regions(spark), w._near(spark), grid.cells(spark, w.FREQ).select("cell", "x", "y", "z")).collect()
+    lines = borders.polylines(spark.createDataFrame(s)).collect()
+    parts, seen = {}, {}
+    for r in s:
+        a, b = parts.setdefault(r.p, {r.p}), parts.setdefault(r.q, {r.q})
+        if a is not b:
+            a |= b
+            for x in b:
+                parts[x] = a
+    big = {frozenset(x) for x in parts.values() if len(x) >= 3}
+    assert {frozenset(tuple(v) for v in r["at"]) for r in lines} == {frozenset(tuple(v) for v in x) for x in big} and not seen
+
+
+def test_polygon_by_brute_force(spark):
+    import numpy as np
+
+    ring_ = [(-60.0, 0.0), (0.0, 0.0), (60.0, 0.0), (0.0, 90.0)]
+    pts = grid.fibonacci_sphere(spark, 600).selectExpr("id", "degrees(atan2(z, x)) AS lon", "degrees(asin(y)) AS lat")
+    got = {r.id: (r.lon, r.lat, r.inside) for r in pts.select("*", filters.in_polygon(pts, ring_).alias("inside")).collect()}
+    v = np.array([filters._unit_vector(*p) for p in ring_])
+    for lon, lat, inside in got.values():
+        p = np.array(filters._unit_vector(lon, lat))
+        sides = [p @ np.cross(a, b) for a, b in zip(v, np.roll(v, -1, axis=0))]
+        if min(map(abs, sides)) > 1e-9:  # a convex outline: within it if on one side of all its edges
+            assert inside == (all(x > 0 for x in sides) or all(x < 0 for x in sides)) or inside == all(x < 0 for x in sides)
+
+
+def test_greedy_choice_by_brute_force(spark):
+    import random
+
+    from sphaera.operators import ranking
+
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-180, 180), rng.uniform(-80, 80), rng.randint(0, 40)) for i in range(300)] + [(300 + i, 0.01 * i, 0.0, 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "place long, lon double, lat double, score long")
+    v = {r[0]: filters._unit_vector(r[1], r[2]) for r in rows}
+    for most in (5, 25, 400):
+        taken = []
+        for i, _, _, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+            if len(taken) < most and all(sum(a * b for a, b in zip(v[i], v[j])) < math.cos(math.radians(12)) for j in taken):
+                taken.append(i)
+        assert {r.place for r in ranking.spaced(df, "score", "place", 12.0, most).collect()} == set(taken)
+
+
+def test_notes_of_a_route(spark):
+    from sphaera.operators import places
+
+    rows = [(0, 9, 5 - k, run, b, h, r, p, was) for k, (run, b, h, r, p, was) in enumerate([(1, 5, 10.0, False, "A", None), (1, 5, 2500.0, True, "A", "A"), (1, 5, 9.0, False, "B", "A"), (2, 8, 9.0, False, None, "B"), (2, 8, 9.0, True, "B", None), (3, 4, 9.0, False, "C", "B")])]
+    df = spark.createDataFrame(rows, "source long, goal long, back long, run long, biome int, height double, river boolean, polity string, was string")
+    assert places.notes(df, "horse").first().notes == ["through grassland (3 leagues)", "crosses a high pass at 2500 m", "fords or bridges 2 river reaches", "enters B", "enters C"]
+    assert places.notes(df, "ship").first().notes == ["a sea voyage of 6 legs"]
