@@ -563,5 +563,20 @@ def removed(docs: DataFrame) -> DataFrame:
     return out.select(F.col("__c0").alias("doc_id"), F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
 
 
+#: A plain join of the rarest words of line sets, verified on the whole sets.
+_ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(a))) AS k, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+w AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
+s AS (SELECT ws, row_number() OVER () AS sid, len(ws) AS n, fst FROM (SELECT ws, min((doc_id, k)) AS fst FROM w WHERE len(ws) > 0 GROUP BY ws)),
+x AS (SELECT sid, n, unnest(ws) AS word FROM s), f AS (SELECT word, count(*) AS c FROM x GROUP BY word),
+p AS (SELECT sid, n, word, row_number() OVER (PARTITION BY sid ORDER BY c, word) AS i FROM x JOIN f USING (word)),
+pre AS (SELECT sid, n, word FROM p WHERE i <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.sid AS a, b.sid AS b FROM pre a JOIN pre b USING (word) WHERE a.sid <> b.sid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+sim AS (SELECT a, min(y.fst) AS fst FROM c JOIN s x ON x.sid = a JOIN s y ON y.sid = b WHERE 9 * len(list_intersect(x.ws, y.ws)) >= 4 * (x.n + y.n) GROUP BY a),
+gone AS (SELECT doc_id, w.k FROM w JOIN s ON s.ws = w.ws LEFT JOIN sim ON sim.a = s.sid WHERE s.fst < (doc_id, w.k) OR sim.fst < (doc_id, w.k))
+SELECT d.doc_id, count(g.k) AS n_removed, coalesce(string_agg(CAST(g.k AS VARCHAR), ',' ORDER BY g.k), '') AS removed_lines
+FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 QUERIES = {"op3_line_dedup": op3_line_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_line_dedup": _ORACLE}
