@@ -747,3 +747,24 @@ def ss_windows(spark, d):
     """Counts per hour of all events, streamed as a table: windows over a stream put out those that the watermark has passed."""
     e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.counts_per_window(e).select(F.expr("CAST(floor(unix_timestamp(start) / 3600) AS BIGINT) AS hour"), "event_type", "n")
+
+
+@query("SELECT o_custkey AS place, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 2")
+def q_civ_phases(spark, d):
+    """Two phases in a row, the first one's result written as a table that the second reads."""
+    visits = cut(read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "visits")
+    return visits.where("n >= 2").selectExpr("o_custkey AS place", "n")
+
+
+@query(f"WITH {CELLS_SQL}, s AS (SELECT cell, 0.5 + 0.4 * z AS a, x AS b FROM cc) SELECT 'a' AS species, count_if(a > 0) AS hits FROM s UNION ALL SELECT 'b', count_if(b > 0.25) FROM s")
+def q_civ_spec_lint(spark, d):
+    """How many cells suit each species of a spec, after the spec has been found sound."""
+    c = grid.cells(spark, FREQ).withColumn("one", F.lit(1.0))
+    spec = {
+        "a": {"soft": [{"field": "one", "fn": "linear", "weight": 0.5}, {"field": "z", "fn": "linear", "weight": 0.4}, {"field": "low", "fn": "linear", "weight": -0.4}]},
+        "b": {"hard": [{"field": "x", "op": "gt", "value": 0.25}], "soft": [{"field": "one", "fn": "linear"}]},
+    }
+    c = c.withColumn("low", -F.col("z"))
+    if errors := [e for s in spec.values() for e in filters.validate(s, c.columns)]:
+        raise ValueError("; ".join(errors))
+    return stats.suitable(c, {k: filters.suitability(s) for k, s in spec.items()}).select("species", "hits")
