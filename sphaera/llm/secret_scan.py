@@ -2,7 +2,8 @@
 
 Candidates are runs of LEAST or more letters, digits and "+/=_-"; what follows an assignment or a credential word, from ASSIGNED
 characters on; passwords within URLs, of any length; and runs of MIXED or more characters with letters and digits. Of those that overlap
-the longest counts, one that is named by what stands before it above all. Features are the length, the makeup and transitions of the characters, how much of them a dictionary covers, the path
+the longest counts, a password in a URL above all, then one that is named by what stands before it. A value ends at white space, in quotes too:
+of a quoted phrase of several words the first is the candidate. Features are the length, the makeup and transitions of the characters, how much of them a dictionary covers, the path
 and the words around. The dictionary is a table of counts of runs of four letters over all documents, hashed to TABLE slots (1 MB),
 so that its size doesn't grow with the corpus. The forest is trained from labelled findings with Spark's own trees, and applied as a map.
 
@@ -45,14 +46,13 @@ _TOKEN = re.compile(rf"\S{{{MIXED},}}")
 def spans(text: str) -> list[tuple[int, int]]:
     """Starts and ends of the candidates of a text, in order and apart from each other."""
     named, runs = [_ASSIGNMENT.finditer(text)], [_RUN.finditer(text)]
+    in_url = [_IN_URL.finditer(text)] if "://" in text else []
     low = text.lower()
     if any(c in low for c in CREDENTIAL):
         named.append(_NAMED.finditer(text))
-    if "://" in text:
-        named.append(_IN_URL.finditer(text))
     runs += [_MIXED.finditer(text, *t.span()) for t in _TOKEN.finditer(text) if not t[0].isalpha()]
     taken: list[tuple[int, int]] = []
-    for patterns in (named, runs):
+    for patterns in (in_url, named, runs):
         found = set()
         for m in chain.from_iterable(patterns):
             a, b = m.span(1)
@@ -60,7 +60,7 @@ def spans(text: str) -> list[tuple[int, int]]:
                 b -= 1
             if b > a:
                 found.add((a, b))
-        # The longest of those that overlap; a named one before any run.
+        # The longest of those that overlap; a password in a URL before anything else, a named one before any run.
         for a, b in sorted(found, key=lambda s: (s[0] - s[1], s)):
             at = bisect(taken, (a, b))
             if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
@@ -205,7 +205,7 @@ def made_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, str
         lambda: (pick(("commit ", "sha256: ", "md5 = ", 'checksum="', "digest: ", "integrity sha256-", "revision ", "etag: ", "hash = ")), digest()),
         lambda: (pick(("", "token = ", 'password = "', "secret: ", "api_key=")), pick((num(20, 60) * "x", num(20, 40) * "0", "=" * 30, "-" * 30, "_" * 30, "EXAMPLE" * 4, "your_password_here", "changeme", "xxxxxxxx", "********", "${PASSWORD}", "os.environ", "None", "null", "true"))),
         lambda: ("", pick(("_", "-")).join(word() for _ in range(9)) + some(low, LEAST)),
-        lambda: ("", f"{word()}.{num(0, 99)}@{pick(('mail', 'post', ''))}{num(0, 9)}.{host()}"),
+        lambda: ("", f"{word()}.{num(0, 99)}@{pick(('mail', 'post', ''))}{num(0, 9)}.{host()}{pick(('', '', '###', '$$$', '%%%', '&&&', '***', '|||'))}"),
         lambda: (pick(("", "date: ", "at ")), f"{num(1990, 2030)}-{num(10, 13)}-{num(10, 29)}T{num(10, 24)}:{num(10, 60)}:{num(10, 60)}Z"),
         lambda: (pick(("", "version = ", "v")), f"{num(0, 30)}.{num(0, 30)}.{num(0, 30)}-{pick(('rc', 'beta', 'build'))}{num(1, 99)}"),
         lambda: (pick(("https:", "see: ", "")), f"//{host()}/{word()}/{num(1, 9999)}.html?page={num(1, 99)}"),
