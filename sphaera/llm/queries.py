@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fill_middle, line_dedup, maxscore, mixing, packing, quality_model, quality_rules, secret_scan, simhash, token_count, url_filter
+from . import chat, fill_middle, line_dedup, maxscore, mixing, packing, phrases, quality_model, quality_rules, secret_scan, simhash, token_count, url_filter
 
-_MODULES = (quality_rules, mixing, url_filter, chat, simhash, packing, maxscore, quality_model, line_dedup, secret_scan, token_count, fill_middle)
+_MODULES = (quality_rules, mixing, url_filter, chat, simhash, packing, maxscore, quality_model, line_dedup, secret_scan, token_count, phrases, fill_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

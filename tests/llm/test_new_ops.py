@@ -8,12 +8,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from sphaera.llm import fill_middle, token_count
+from sphaera.llm import fill_middle, phrases, token_count
 from sphaera.llm.queries import oracle_sql, queries
 from test_ops import empty, odd  # noqa: F401  fixtures
 
 
-@pytest.mark.parametrize("name", ["op13_fill_middle"])
+@pytest.mark.parametrize("name", ["op12_phrases", "op13_fill_middle"])
 def test_query_against_sql(spark, data, duck, name):
     assert rows(queries()[name](spark, data)) == rows(duck.execute(oracle_sql()[name]).df())
 
@@ -81,6 +81,90 @@ def test_token_counts_odd_rows(odd, empty, library):  # noqa: F811
     assert token_count.count_tokens(empty).count() == 0
 
 
+# --- 12 phrases ---
+
+
+def mined(docs, least=30, most=2000, covered=80):
+    """The contract, word by word."""
+    f, n = {}, {}
+    for lang, text in docs:
+        lang, text = "und" if lang is None else lang, re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", text):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] = n.get(lang, 0) + len(words)
+            for m in range(1, 5):
+                for i in range(len(words) - m + 1):
+                    g = (lang, *words[i : i + m])
+                    f[g] = f.get(g, 0) + 1
+    found = {g: a for g, a in f.items() if a >= least and len(g) > 2}
+    out = {}
+    for g, a in found.items():
+        w = g[1:]
+        longer = (x for x in found if x[0] == g[0] and len(x) > len(g) and any(x[1 + i : 1 + i + len(w)] == w for i in range(len(x) - len(g) + 1)))
+        if any(100 * found[x] >= covered * a for x in longer):
+            continue
+        cuts = [(SCALE * a // (f[(g[0], *w[:k])] + f[(g[0], *w[k:])]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out.setdefault(g[0], []).append((-score, -a, " ".join(w).encode(), f[(g[0], *w[:k])], f[(g[0], *w[k:])]))
+    return sorted((lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, rows_ in out.items() for rank, (s, a, p, l, r) in enumerate(sorted(rows_)[:most], 1))
+
+
+SCALE = 2_000_000
+
+
+def some_docs(seed, n=60):
+    rng = random.Random(seed)
+    few = ["a", "b", "C", "\x01", "a\x01", "é", "ZU", "\u00a0", "\x0b", "..", "!", "\n", "\t"]
+    return [(rng.choice(["en", "de", None, "und", ""]), " ".join(rng.choice(few[: rng.randint(2, 13)]) for _ in range(rng.randint(0, 60)))) for _ in range(n)] + [("en", None), (None, "")]
+
+
+@pytest.mark.parametrize("seed,shard,slice_", [(1, 1 << 20, 1 << 22), (2, 7, 5), (3, 1, 1 << 22), (4, 2, 3), (5, 50, 20)])
+def test_phrases_by_hand(spark, monkeypatch, seed, shard, slice_):
+    """Shards as small as a word give what whole ones give."""
+    monkeypatch.setattr(phrases, "SLICE", slice_)
+    docs = some_docs(seed)
+    df = spark.createDataFrame(docs, "lang string, text string").withColumn("n", F.lit("clash")).repartition(3)
+    got = phrases.top_phrases(df, 6, 40, 80, shard)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = mined(docs, 6, 40)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+
+
+def test_radix_runs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for high in (1, 2, 300, 1 << 20, 1 << 63):
+        x = rng.integers(0, high, 5000, dtype=np.uint64)
+        codes, n = phrases.runs(x)
+        want = np.unique(x, return_counts=True)
+        assert (codes == want[0]).all() and (n == want[1]).all()
+    assert len(phrases.runs(np.empty(0, np.uint64))[0]) == 0
+
+
+def test_runs_across_batches(spark):
+    """A key with rows from many shards is added up over the batches of its task."""
+    made = spark.range(30_000).selectExpr("unhex(concat('0000000', CAST(id % 3 AS STRING), '000000000000000000000000')) AS key", "id AS shard", "id AS code", "1L AS n")
+    got = phrases._counted(made, 10_000).groupBy("key", "f").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("one")).collect()
+    assert len(got) == 3 and all((r.f, r.n, r.one) == (10_000, 10_000, 1) for r in got)
+    assert phrases._counted(made, 10_001).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    key = "unhex('{}')".format
+    word = spark.sql(f"SELECT {key('00000001' + '0' * 24)} AS key, 4000000000000000 AS f, 'en' AS lang")
+    pair = spark.sql(f"SELECT {key('0000000100000001' + '0' * 16)} AS key, 2 AS words, 3999999999999999 AS f")
+    assert phrases.scored(word, pair).first().score == 2_000_000 * 3999999999999999 // 8000000000000000
+
+
+def test_phrases_odd_rows(odd, empty):  # noqa: F811
+    got = sorted(map(tuple, phrases.top_phrases(odd, 2).collect()))
+    want = mined([(r.lang, r.text) for r in odd.select("lang", F.when(F.length("text") < 1000, F.col("text")).alias("text")).collect()], 2)
+    few = [(x[0], x[2], *x[3:6]) for x in want]
+    assert {x for x in few} <= {(x[0], x[2], *x[3:6]) for x in got} or len(got) == 2000
+    assert phrases.top_phrases(empty).count() == 0
+
+
 # --- 13 fill in the middle ---
 
 
