@@ -101,10 +101,10 @@ def encode(docs: DataFrame, shard: int) -> DataFrame:
                 for words in _slices(text) if text else ():
                     at = 0
                     while at < len(words):
-                        room = shard - held.size
+                        room = shard - (held.size - held.lead)
                         held.add(words[at : at + room], lang)
                         at += room
-                        if held.size >= shard:
+                        if held.size - held.lead >= shard:
                             tail = np.concatenate(held.numbers[-LONGEST:])[1 - LONGEST :]
                             tail = tail[len(tail) - np.argmin(np.append(tail[::-1], 0)) :]  # what follows the last break
                             lead = [held.words[k - 1] for k in tail.tolist()]
@@ -161,9 +161,12 @@ def pairs(numbers: np.ndarray, lead: int, words: int, codes: np.ndarray, keys: n
     at = np.minimum(np.searchsorted(codes, part), len(codes) - 1)
     frequent = codes[at] == part
     both = frequent[:-1] & frequent[1:]
-    both[: max(0, lead - words + 1)] = False  # within the lead
     base = np.uint64(len(codes))
-    pair, n = runs(at[:-1][both].astype(np.uint64) * base + at[1:][both].astype(np.uint64))
+    packed = at[:-1].astype(np.uint64) * base + at[1:].astype(np.uint64)
+    pair, n = runs(packed[both])
+    # Those within the lead were counted in the shard before; longer ones are still made of them here.
+    again = packed[: max(0, lead - words + 1)][both[: max(0, lead - words + 1)]]
+    np.subtract.at(n, np.searchsorted(pair, again), 1)
     a, b = (pair // base).astype(np.int64), (pair % base).astype(np.int64)
     whole = keys[a].copy()
     whole[:, words - 1] = keys[b, words - 2]

@@ -118,7 +118,7 @@ def some_docs(seed, n=60):
     return [(rng.choice(["en", "de", None, "und", ""]), " ".join(rng.choice(few[: rng.randint(2, 13)]) for _ in range(rng.randint(0, 60)))) for _ in range(n)] + [("en", None), (None, "")]
 
 
-@pytest.mark.parametrize("seed,shard,slice_", [(1, 1 << 20, 1 << 22), (2, 7, 5), (3, 1, 1 << 22), (4, 2, 3), (5, 50, 20)])
+@pytest.mark.parametrize("seed,shard,slice_", [(1, 1 << 20, 1 << 22), (2, 50, 5), (3, 2, 20)])
 def test_phrases_by_hand(spark, monkeypatch, seed, shard, slice_):
     """Shards as small as a word give what whole ones give."""
     monkeypatch.setattr(phrases, "SLICE", slice_)
