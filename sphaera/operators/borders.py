@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from ..tables import cut, drop
 
 
 def edges(regions: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -39,19 +39,38 @@ def segments(regions: DataFrame, adjacency: DataFrame, cells: DataFrame) -> Data
 
 
 def polylines(parts: DataFrame) -> DataFrame:
-    """segments (p, q) -> line, at: the connected lines that they form, and the corners of each in order of the way from one of its ends (or, of a
-    ring, from its smallest corner); where more than two segments meet, a line's corners are ordered by their distance in segments.
-
-    Lines are components, and the order is a search by breadth from one end."""
-    named = parts.select("p", "q").union(parts.select("q", "p")).toDF("p", "q").distinct()
-    key = lambda c: F.xxhash64(F.col(f"{c}.lon"), F.col(f"{c}.lat"))
-    e = named.select(key("p").alias("src"), key("q").alias("dst"), "p")
-    corners = e.groupBy("src").agg(F.first("p").alias("p"), F.count("*").alias("degree")).withColumnRenamed("src", "node")
-    line = graph.components(corners, e.select("src", "dst"))
-    start = corners.join(line, "node").groupBy("component").agg(F.min_by("node", F.struct((F.col("degree") != 1).cast("int"), "p.lon", "p.lat")).alias("node"))
-    way = graph.spread(e.select("src", "dst", F.lit(1).cast("long").alias("w")), start.select(F.col("component").alias("layer"), "node", F.lit(0).alias("cost"), F.lit(None).cast("long").alias("tag")), block=1 << 62)
-    at = way.join(corners, "node").groupBy(F.col("layer").alias("line")).agg(F.transform(F.sort_array(F.collect_list(F.struct("cost", "p.lon", "p.lat"))), lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"))).alias("at"))
-    return at.where(F.size("at") >= 3)
+    """segments (p, q) -> line, at: lines of corners, such that each different segment is in one line, and two corners that follow each other are a
+    segment's ends. Lines end where one segment or more than two meet; a ring begins and ends at its smallest corner.
+
+    Each segment is two half-edges, u to v and back. Where two segments meet, a half-edge follows another; ranks along a line come from pointer
+    doubling: in a round each half-edge joins the one that its pointer has reached and takes over its pointer, so the rounds are the logarithm of
+    the longest line. Half-edges that reach no start are on rings: they keep the smallest half-edge passed and how far back it is, until a
+    round changes none. Of a line's two directions the one that begins smaller stays. A null end is no segment, equal ends aren't one either."""
+    both = parts.select("p", "q").union(parts.select("q", "p")).toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct()
+    meet = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("one"), F.max("v").alias("two"))
+    before = F.when(F.col("n") == 2, F.when(F.col("v") == F.col("one"), F.col("two")).otherwise(F.col("one")))
+    own = F.struct("u", "v")
+    # at: the half-edge that the pointer has reached, hops back; null once the start of the line is reached, which top then is.
+    start = both.join(meet, "u").withColumn("w", before).withColumn("at", F.when(F.col("w").isNotNull(), F.struct(F.col("w").alias("u"), F.col("u").alias("v"))))
+    state = cut(start.select(own.alias("half"), "at", F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.when(F.col("at").isNull(), own).alias("top"), own.alias("least"), F.lit(0).cast("long").alias("back"), F.lit(True).alias("moved")))
+    open_, left = state.where("at IS NOT NULL").count(), -1
+    moved = True
+    while open_ and (open_ != left or moved):  # as long as a line is open, more of its half-edges reach the start in each round
+        o = state.select(F.col("half").alias("at"), F.col("at").alias("o_at"), F.col("hops").alias("o_hops"), F.col("top").alias("o_top"), F.col("least").alias("o_least"), F.col("back").alias("o_back"))
+        less = F.col("o_least") < F.col("least")
+        on = state.where("at IS NOT NULL").join(o, "at").select(
+            "half", F.col("o_at").alias("at"), (F.col("hops") + F.col("o_hops")).alias("hops"), F.col("o_top").alias("top"),
+            F.when(less, F.col("o_least")).otherwise(F.col("least")).alias("least"), F.when(less, F.col("hops") + F.col("o_back")).otherwise(F.col("back")).alias("back"), less.alias("moved"),
+        )
+        new = cut(state.where("at IS NULL").unionByName(on))
+        drop(state)
+        state, left = new, open_
+        open_, moved = state.where("at IS NOT NULL").agg(F.count("*"), F.coalesce(F.max("moved"), F.lit(False))).first()
+    ranked = state.select(F.coalesce("top", "least").alias("line"), F.when(F.col("at").isNull(), F.col("hops")).otherwise(F.col("back")).alias("rank"), "half")
+    corners = F.transform(F.sort_array(F.collect_list(F.struct("rank", "half"))), lambda x: x["half"]["u"])
+    lines = ranked.groupBy("line").agg(F.concat(corners, F.array(F.max_by("half.v", "rank"))).alias("at"))
+    ends = F.struct(F.element_at("at", 1), F.element_at("at", 2)) < F.struct(F.element_at("at", -1), F.element_at("at", -2))
+    return lines.where(ends).select(F.xxhash64("line").alias("line"), "at")
 
 
 def collect(phases: Mapping[str, DataFrame]) -> DataFrame:

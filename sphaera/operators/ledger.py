@@ -34,13 +34,13 @@ def news_scene(news: DataFrame, scenes: DataFrame) -> DataFrame:
     """news (item, seat, arrives_day), scenes (scene, seat, ord, day) -> item, seat, scene: the first scene of the seat (by ord) not before the news.
 
     A scene matters to some news only if all earlier ones were on earlier days, so scenes are first reduced to those that set a new latest day;
-    then each piece of news takes the next of them in one sort by day, no pairs."""
+    then each piece of news takes the next of them in one sort by day, from the last day on: a running frame, no pairs."""
     w = Window.partitionBy("seat").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     first = scenes.withColumn("__top", F.max("day").over(w)).where("__top IS NULL OR day > __top").select("seat", F.col("day").alias("__day"), F.struct("ord", "scene").alias("__s"))
     u = news.select("item", "seat", F.col("arrives_day").alias("__day"), F.lit(0).alias("__late"), F.lit(None).cast(first.schema["__s"].dataType).alias("__s"))
     u = u.unionByName(first.select(F.lit(None).cast(news.schema["item"].dataType).alias("item"), "seat", F.col("__day").cast(news.schema["arrives_day"].dataType).alias("__day"), F.lit(1).alias("__late"), "__s"))
-    ahead = Window.partitionBy("seat").orderBy("__day", "__late").rowsBetween(0, Window.unboundedFollowing)
-    return u.withColumn("__n", F.first("__s", ignorenulls=True).over(ahead)).where("__late = 0 AND __n IS NOT NULL").select("item", "seat", F.col("__n.scene").alias("scene"))
+    ahead = Window.partitionBy("seat").orderBy(F.desc("__day"), F.desc("__late")).rowsBetween(Window.unboundedPreceding, 0)
+    return u.withColumn("__n", F.last("__s", ignorenulls=True).over(ahead)).where("__late = 0 AND __n IS NOT NULL").select("item", "seat", F.col("__n.scene").alias("scene"))
 
 
 def chapters(entries: DataFrame, cast: DataFrame, viewer: str) -> DataFrame:

@@ -699,10 +699,14 @@ def jn_era_of(spark, d):
 @query("SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS errors FROM part")
 def flt_validate_spec(spark, d):
     """Specs with an unknown field, an operator that isn't there or a Gaussian without width, by part; all that is wrong with one is counted."""
-    sizes = [r[0] for r in read(spark, d, "part").select("p_size").distinct().limit(1000).collect()]  # p_size runs from 1 to 50
     spec = lambda n: {"hard": [{"field": "p_size" if n % 2 else "height", "op": "gt" if n % 3 else "near", "value": 1}], "soft": [{"field": "p_size", "fn": "gauss", "center": 1.0} | ({"width": 1.0} if n % 5 else {})]}
-    found = spark.createDataFrame([(n, len(filters.validate(spec(n), ["p_size"]))) for n in sizes], "p_size int, errors int")
-    return read(spark, d, "part").join(F.broadcast(found), "p_size").select("p_partkey", "errors")
+
+    def check(frames):
+        for f in frames:
+            yield f.assign(errors=[len(filters.validate(spec(n), ["p_size"])) for n in f["p_size"]])
+
+    found = read(spark, d, "part").select("p_size").distinct().mapInPandas(check, "p_size int, errors int")
+    return read(spark, d, "part").join(found, "p_size").select("p_partkey", "errors")
 
 
 @query("SELECT 'same rows' AS case_, count(*) AS n, true AS equal FROM orders UNION ALL SELECT 'each twice', 2 * count(*), false FROM orders UNION ALL SELECT 'one changed', count(*), false FROM orders")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import geo
 from .operators import borders, exports, fields, filters, graph, ledger, ranking, rivers, sky, stats, store, temporal
 from .operators import places as at
-from .queries import _FLOODZ, FREQ, LAT, LON, PLACES_SQL, RING_SQL, _store, places, query, r6, ring
+from .queries import ORACLES, _FLOODZ, FREQ, LAT, LON, PLACES_SQL, RING_SQL, _store, places, query, r6, ring
 from .sources import grid
 from .streaming import news as streams
 from .tables import cut, kept, read
@@ -484,11 +484,22 @@ def gr_border_segments(spark, d):
     return s.selectExpr("a", "b", "p.lon AS lon1", "p.lat AS lat1", "q.lon AS lon2", "q.lat AS lat2")
 
 
-@query()
+_SEGMENT_SQL = ORACLES["gr_border_segments"].split(" SELECT p.a, p.b,")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    f"{_SEGMENT_SQL}, seg AS (SELECT DISTINCT (p.lon, p.lat) AS p, (q.lon, q.lat) AS q FROM g p JOIN g q ON p.a = q.a AND p.b = q.b AND p.k = 1 AND q.k = 2 WHERE (p.lon, p.lat) <> (q.lon, q.lat)), "
+    "h AS (SELECT p AS u, q AS v FROM seg UNION SELECT q, p FROM seg), deg AS (SELECT u AS c, count(*) AS n FROM h GROUP BY u), "
+    "walk AS (SELECT u AS f0, u, v, [u] AS path FROM h UNION ALL SELECT w.f0, h.u, h.v, list_append(w.path, h.u) FROM walk w JOIN deg ON deg.c = w.v AND deg.n = 2 JOIN h ON h.u = w.v AND h.v <> w.u WHERE w.v <> w.f0), "
+    "whole AS (SELECT list_append(path, v) AS way FROM walk JOIN deg x ON x.c = f0 JOIN deg y ON y.c = v WHERE (x.n <> 2 AND (y.n <> 2 OR v = f0)) OR (x.n = 2 AND v = f0 AND list_sort(path)[1] = f0)), "
+    "one AS (SELECT way FROM whole WHERE (way[1], way[2]) < (way[-1], way[-2])) "
+    "SELECT way[1][1] AS lon1, way[1][2] AS lat1, way[2][1] AS lon2, way[2][2] AS lat2, i, way[i][1] AS lon, way[i][2] AS lat FROM (SELECT way, unnest(range(1, len(way) + 1)) AS i FROM one)"
+)
 def gr_border_polylines(spark, d):
-    """Lines of connected segments; tests hold them to the segments."""
+    """The corners of each line in order; a line is named by its first two."""
     s = borders.segments(_regions(spark), _near(spark), grid.cells(spark, FREQ).select("cell", "x", "y", "z"))
-    return borders.polylines(s).select("line", F.size("at").alias("n"), F.array_join(F.transform("at", lambda v: F.concat_ws(" ", v["lon"], v["lat"])), ", ").alias("text"))
+    lines = borders.polylines(s).select(F.element_at("at", 1).alias("a"), F.element_at("at", 2).alias("b"), F.posexplode("at").alias("i", "c"))
+    return lines.selectExpr("a.lon AS lon1", "a.lat AS lat1", "b.lon AS lon2", "b.lat AS lat2", "CAST(i + 1 AS BIGINT) AS i", "c.lon", "c.lat")
 
 
 @query(f"WITH {CELLS_SQL} SELECT cell FROM cc WHERE abs(z) > 0.9999999")

@@ -1,6 +1,7 @@
 """Properties of grids and operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,21 +267,70 @@ def test_steepest_descent_on_planes(spark):
         assert r.a0 == int((deg + 1e-9) // 45) % 8 or r.w0 < 1e-6 or r.w1 > 1 - 1e-6
 
 
-def test_border_lines_hold_all_segments_corners(spark):
+def lines_of(segments):
+    """Lines by walking, as a set of corner tuples."""
+    near = {}
+    for p, q in segments:
+        if p is not None and q is not None and p != q:
+            near.setdefault(p, set()).add(q)
+            near.setdefault(q, set()).add(p)
+    out, used = set(), set()
+    for ends in (True, False):
+        for p in sorted(near):
+            for q in sorted(near[p]):
+                if (len(near[p]) != 2) != ends or frozenset((p, q)) in used:
+                    continue
+                line = [p, q]
+                while len(near[line[-1]]) == 2 and line[-1] != p:
+                    line.append(next(x for x in near[line[-1]] if x != line[-2]))
+                used |= {frozenset(x) for x in zip(line, line[1:])}
+                out.add(min(tuple(line), tuple(line[::-1])))
+    return out
+
+
+RING = [(0, 0), (1, 0), (2, 1), (1, 2), (0, 2), (-1, 1)]
+CASES = {
+    "ring": list(zip(RING, RING[1:] + RING[:1])),
+    "fork": [((0, i), (0, i + 1)) for i in range(4)] + [((0, 0), (i + 1, -i)) for i in range(1)] + [((1, 0), (2, 0)), ((0, 0), (-1, 0)), ((-1, 0), (-2, -1))],
+    "eight": [((0, 0), (1, 1)), ((1, 1), (1, -1)), ((1, -1), (0, 0)), ((0, 0), (-1, 1)), ((-1, 1), (-1, -1)), ((-1, -1), (0, 0))],
+    "one": [((5, 5), (6, 5))],
+    "long": [((0, i), (0, i + 1)) for i in range(150)],
+    "two rings and a line": [((i, j), (i, (j + 1) % n)) for i, n in ((1, 3), (2, 64)) for j in range(n)] + [((9, j), (9, j + 1)) for j in range(7)],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_border_lines(spark, case):
+    from sphaera.operators import borders
+
+    rng = random.Random(case)
+    s = [tuple(rng.sample(x, 2)) for x in CASES[case] + CASES[case][:2]] + [((3, 3), (3, 3)), (None, (3, 3))]
+    corner = "struct<lon:double,lat:double>"
+    got = [tuple(map(tuple, r["at"])) for r in borders.polylines(spark.createDataFrame(s, f"p {corner}, q {corner}")).collect()]
+    assert len(got) == len(set(got)) and set(got) == lines_of(s)
+
+
+def test_border_lines_of_the_world(spark):
     from sphaera import world_queries as w
     from sphaera.operators import borders
 
-    s = borders.segments(w._regions(spark), w._near(spark), grid.cells(spark, w.FREQ).select("cell", "x", "y", "z")).collect()
-    lines = borders.polylines(spark.createDataFrame(s)).collect()
-    parts, seen = {}, {}
-    for r in s:
-        a, b = parts.setdefault(r.p, {r.p}), parts.setdefault(r.q, {r.q})
-        if a is not b:
-            a |= b
-            for x in b:
-                parts[x] = a
-    big = {frozenset(x) for x in parts.values() if len(x) >= 3}
-    assert {frozenset(tuple(v) for v in r["at"]) for r in lines} == {frozenset(tuple(v) for v in x) for x in big} and not seen
+    s = borders.segments(w._regions(spark), w._near(spark), grid.cells(spark, w.FREQ).select("cell", "x", "y", "z")).select("p", "q")
+    got = [tuple(map(tuple, r["at"])) for r in borders.polylines(s).collect()]
+    assert set(got) == lines_of([(tuple(r.p), tuple(r.q)) for r in s.collect()]) and len(got) == len(set(got))
+
+
+def test_news_take_the_first_scene_not_before_them(spark):
+    from sphaera.operators import ledger
+
+    rng = random.Random(4)
+    news = [(i, rng.choice(["a", "b", None]), rng.randint(0, 30)) for i in range(300)]
+    scenes = [(i, rng.choice(["a", "b"]), i * 7 % 41, rng.randint(0, 28)) for i in range(41)]
+    got = ledger.news_scene(spark.createDataFrame(news, "item long, seat string, arrives_day long"), spark.createDataFrame(scenes, "scene long, seat string, ord long, day long"))
+    want = []
+    for i, seat, day in news:
+        later = [(o, s) for s, t, o, d in scenes if t == seat and d >= day]
+        want += [(i, seat, min(later)[1])] if later else []
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_polygon_by_brute_force(spark):
