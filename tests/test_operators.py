@@ -305,7 +305,7 @@ def test_border_lines(spark, case):
 
     rng = random.Random(case)
     s = [tuple(rng.sample(x, 2)) for x in CASES[case] + CASES[case][:2]] + [((3, 3), (3, 3)), (None, (3, 3))]
-    corner = "struct<lon:double,lat:double>"
+    corner = "struct<lon:long,lat:long>"
     got = [tuple(map(tuple, r["at"])) for r in borders.polylines(spark.createDataFrame(s, f"p {corner}, q {corner}")).collect()]
     assert len(got) == len(set(got)) and set(got) == lines_of(s)
 
