@@ -93,6 +93,11 @@ class Steps:
         self.tables.append(stored(df, name))
         return self.tables[-1]
 
+    def forget(self, df: DataFrame) -> None:
+        """Delete a table of a step that no later one reads before the block's end."""
+        self.tables = [t for t in self.tables if t is not df]
+        forget(df)
+
     def __enter__(self) -> Steps:
         return self
 

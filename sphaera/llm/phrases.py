@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Steps, before_ranges, in_ranges, join_unique, read, stored, utf8
+from .common import Steps, before_ranges, in_ranges, join_unique, read, release, stored, utf8
 
 LEAST, MOST, LONGEST, SCALE, COVERED = 30, 2000, 4, 2_000_000, 80
 #: Words of a shard, and the bits of a word's number in it: three of them fit a 64-bit code.
@@ -245,20 +245,27 @@ def frequent(docs: DataFrame, steps: Steps, least: int = LEAST, shard: int = SHA
     shards = steps.stored(encode(docs, shard), "shards")
     own = shards.where("word IS NOT NULL").select("shard", "lang", "word", "code", "n")
     totals = steps.stored(own.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    n = totals.groupBy("lang").agg(F.sum("f").alias("n"))
+    n = steps.stored(totals.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     ranges = in_ranges(totals.where(F.col("f") >= least), F.col("lang"), F.col("word"))
     numbered = before_ranges(ranges, {"rows": F.count("*")})
     place = F.coalesce("__before_rows", F.lit(0)) + F.col("__i") + 1
     words = steps.stored(numbered.select(place.alias("id"), "lang", "word", "f").withColumn("key", _word_key(F.col("id"))), "dictionary")
     if words.count() >= 1 << 32:
         raise ValueError("more frequent words than a key has room for")
+    steps.forget(totals)
     parts = own.join(words, ["lang", "word"]).select("shard", "code", "key")
-    numbers, found = shards.where("numbers IS NOT NULL").select("shard", "n", "numbers"), []
+    numbers, found, counted = shards.where("numbers IS NOT NULL").select("shard", "n", "numbers"), [], None
     for m in range(2, LONGEST + 1):
         made = steps.stored(_made(numbers, parts, m), "made")
+        if counted is not None:
+            steps.forget(counted)
         counted = steps.stored(_counted(made, least), "counted")
+        steps.forget(made)
+        found.append(steps.stored(counted.where("first").select("key", F.lit(m).alias("words"), "f"), "found"))
         parts = counted.select("shard", "code", "key")
-        found.append(counted.where("first").select("key", F.lit(m).alias("words"), "f"))
+        release(docs.sparkSession)  # shuffle files of a level aren't read by the next one
+    steps.forget(counted)
+    steps.forget(shards)
     phrases = found[0]
     for x in found[1:]:
         phrases = phrases.unionByName(x)
