@@ -173,29 +173,96 @@ def meander(path: DataFrame, spacing_km: float, seed: int = 0, target_km: float
     return moved.select("river", (F.row_number().over(v) - 1).alias("ord"), *((F.col(c) / m).alias(c) for c in "xyz"))
 
 
-def downhill_two(pixels: DataFrame, w: int, h: int, dx: Column, dy: float) -> DataFrame:
+#: Steps (down, right) of the eight directions, counter-clockwise from east.
+STEPS = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
+
+
+def beyond(y: Column, x: Column, down: int, right: int, w: int, h: int) -> tuple[Column, Column]:
+    """The pixel one step away: longitudes wrap, and beyond a pole the way goes on across it, half way round in the row next to the pole's."""
+    row = y + down
+    over = (row < 0) | (row >= h)
+    return F.when(row < 0, 1).when(row >= h, h - 2).otherwise(row), F.pmod(x + right + F.when(over, w // 2).otherwise(0), F.lit(w))
+
+
+def _around(at: DataFrame, w: int, h: int, over_poles: bool) -> DataFrame:
+    """pixels (y, x, z) with z0 to z7 of the eight around each: each pixel is sent to those that have it beside them, and one grouping collects them."""
+    sent = [F.struct(F.col("y"), F.col("x"), F.lit(-1).alias("k"))]
+    for k, (down, right) in enumerate(STEPS):
+        sent.append(F.struct((F.col("y") - down).alias("y"), F.pmod(F.col("x") - right, F.lit(w)).alias("x"), F.lit(k).alias("k")))
+        if over_poles and down:
+            near, pole = (1, 0) if down < 0 else (h - 2, h - 1)
+            back = F.pmod(F.col("x") - right - w // 2, F.lit(w))
+            sent.append(F.when(F.col("y") == near, F.struct(F.lit(pole).cast("long").alias("y"), back.alias("x"), F.lit(k).alias("k"))))
+    rows = at.select("z", F.explode(F.array(*sent)).alias("t")).where("t IS NOT NULL AND t.y BETWEEN 0 AND " + str(h - 1))
+    pick = lambda k: F.max(F.when(F.col("t.k") == k, F.col("z")))
+    return rows.groupBy("t.y", "t.x").agg(F.max(F.col("t.k") == -1).alias("there"), pick(-1).alias("z"), *(pick(k).alias(f"z{k}") for k in range(8))).where("there").drop("there")
+
+
+def downhill_two(pixels: DataFrame, w: int, h: int, dx: Column, dy: float, over_poles: bool = False) -> DataFrame:
     """pixels (y, x, z), widths dx (a Column of y) and dy of a pixel in m -> y, x, angle, and a0, w0, a1, w1: the two directions (multiples of
     45 degrees counter-clockwise from east) that the steepest of eight triangular facets lies between, with shares; null where none falls.
 
-    Each facet has a cardinal and a diagonal neighbour; its slope is the gradient over the two, held within its two edges. Longitudes wrap, rows end at the poles."""
-    at = pixels.select("y", "x", "z")
-    around = at
-    for k, (ey, ex) in enumerate([(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]):
-        other = at.select((F.col("y") - ey).alias("y"), F.pmod(F.col("x") - ex, F.lit(w)).alias("x"), F.col("z").alias(f"z{k}"))
-        around = around.join(other, ["y", "x"], "left")
+    Each facet has a cardinal and a diagonal neighbour; its slope is the gradient over the two, held within its two edges. Longitudes wrap; rows end at the poles, or go on across them."""
+    around = _around(pixels.select(F.col("y").cast("long"), F.col("x").cast("long"), "z"), w, h, over_poles)
     facets = []
     for k in range(8):
         # The facet between direction k and k + 1: the cardinal one of them is even.
         near, far, along = (k, k + 1, 1) if k % 2 == 0 else (k + 1, k, -1)
-        near, far = near % 8, far % 8
-        d1, d2 = (dx, F.lit(dy)) if near % 4 == 0 else (F.lit(dy), dx)
-        z1, z2 = F.coalesce(F.col(f"z{near}"), F.col("z")), F.coalesce(F.col(f"z{far}"), F.col("z"))
-        s1, s2, widest = (F.col("z") - z1) / d1, (z1 - z2) / d2, F.atan2(d2, d1)
-        r = F.atan2(s2, s1)
-        slope = F.when(r < 0, s1).when(r > widest, (F.col("z") - z2) / F.sqrt(d1 * d1 + d2 * d2)).otherwise(F.sqrt(s1 * s1 + s2 * s2))
-        turn = F.least(widest, F.greatest(F.lit(0.0), r))
-        facets.append(F.struct(slope.alias("slope"), F.lit(-k).alias("first"), F.pmod((near if along > 0 or near else 8) * math.pi / 4 + along * turn, F.lit(2 * math.pi)).alias("angle")))
-    best = around.select("y", "x", F.array_max(F.array(*facets)).alias("b")).select("y", "x", F.when(F.col("b.slope") > 0, F.col("b.angle")).alias("angle"))
+        start = (near if along > 0 or near % 8 else 8) * math.pi / 4
+        ends = [F.coalesce(F.col(f"z{i % 8}"), F.col("z")).cast("double") for i in (near, far)]
+        facets.append(F.struct(*(c.alias(n) for c, n in zip(ends, ("z1", "z2"), strict=True)), F.lit(near % 4 == 0).alias("level"), F.lit(-k).alias("first"), F.lit(start).alias("start"), F.lit(along).alias("along")))
+    each = around.select("y", "x", "z", dx.alias("__dx"), F.explode(F.array(*facets)).alias("f")).select("y", "x", "z", "f.*", F.when(F.col("f.level"), F.col("__dx")).otherwise(dy).alias("d1"), F.when(F.col("f.level"), F.lit(dy)).otherwise(F.col("__dx")).alias("d2"))
+    each = each.withColumns({"s1": (F.col("z") - F.col("z1")) / F.col("d1"), "s2": (F.col("z1") - F.col("z2")) / F.col("d2"), "widest": F.atan2("d2", "d1")}).withColumn("r", F.atan2("s2", "s1"))
+    slope = F.when(F.col("r") < 0, F.col("s1")).when(F.col("r") > F.col("widest"), (F.col("z") - F.col("z2")) / F.sqrt(F.col("d1") * F.col("d1") + F.col("d2") * F.col("d2"))).otherwise(F.sqrt(F.col("s1") * F.col("s1") + F.col("s2") * F.col("s2")))
+    angle = F.pmod(F.col("start") + F.col("along") * F.least(F.col("widest"), F.greatest(F.lit(0.0), F.col("r"))), F.lit(2 * math.pi))
+    each = each.select("y", "x", slope.alias("slope"), "first", angle.alias("angle"))
+    best = each.groupBy("y", "x").agg(F.max(F.when(F.col("slope") > 0, F.struct("slope", "first", "angle"))).alias("b")).select("y", "x", F.col("b.angle").alias("angle"))
     k = F.least(F.lit(7), F.floor(F.col("angle") / (math.pi / 4)))
     t = F.col("angle") / (math.pi / 4) - k
     return best.select("y", "x", "angle", k.cast("int").alias("a0"), (1 - t).alias("w0"), ((k + 1) % 8).cast("int").alias("a1"), t.alias("w1"))
+
+
+def raster_edges(w: int, h: int, pixels: DataFrame) -> DataFrame:
+    """pixels (y, x) -> src, dst: the four beside each, in both directions, numbered y * w + x; across the poles too."""
+    ways = [F.struct(*(c.cast("long").alias(n) for c, n in zip(beyond(F.col("y"), F.col("x"), *STEPS[k], w, h), "ab", strict=True))) for k in (0, 2, 4, 6)]
+    one = pixels.select((F.col("y") * w + F.col("x")).cast("long").alias("src"), F.explode(F.array(*ways)).alias("t")).select("src", (F.col("t.a") * w + F.col("t.b")).alias("dst"))
+    return one.union(one.select("dst", "src")).where("src != dst").distinct()
+
+
+def shares_by_angle(two: DataFrame, w: int, h: int) -> DataFrame:
+    """downhill_two() -> src, dst, share: the two pixels that the angle lies between; a share below 0.0001 goes to the other one."""
+    part = lambda a, s: F.struct(F.col(a).alias("a"), F.when(F.col(s) > 1 - 1e-4, 1.0).when(F.col(s) < 1e-4, 0.0).otherwise(F.col(s)).alias("share"))
+    each = two.where("angle IS NOT NULL").select("y", "x", F.explode(F.array(part("a0", "w0"), part("a1", "w1"))).alias("p")).where("p.share > 0")
+    to_y, to_x = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for k, step in enumerate(STEPS):
+        a, b = beyond(F.col("y"), F.col("x"), *step, w, h)
+        to_y, to_x = F.when(F.col("p.a") == k, a).otherwise(to_y), F.when(F.col("p.a") == k, b).otherwise(to_x)
+    return each.select((F.col("y") * w + F.col("x")).cast("long").alias("src"), (to_y * w + to_x).cast("long").alias("dst"), F.col("p.share").alias("share"))
+
+
+def pixel_area(y: Column, w: int, h: int) -> Column:
+    """m2 of a pixel of row y."""
+    lat = lambda r: F.radians(90 - r * 180 / h)
+    return (geo.RADIUS_KM * 1000) ** 2 * (2 * math.pi / w) * (F.sin(lat(y)) - F.sin(lat(y + 1)))
+
+
+def drainage(pixels: DataFrame, w: int, h: int, dx: Column, dy: float, outlet: DataFrame, block: int = 0) -> DataFrame:
+    """pixels (y, x, z), outlet (node = y * w + x) -> node, fill, total: the area in m2 that drains to a pixel, itself included, when
+    hollows are filled and each pixel shares what it has between the two that its angle of steepest descent lies between.
+
+    Level pixels drain along the flood's way out. Where pixels aren't square an angle may point at one that is not lower: its share counts there and
+    goes no further. Outlets keep what they have. Pixels without z take no part."""
+    there = cut(pixels.where("z IS NOT NULL").select(F.col("y").cast("long"), F.col("x").cast("long"), (F.col("y") * w + F.col("x")).cast("long").alias("node"), "z"), "pixels")
+    near = raster_edges(w, h, there)
+    near = near.join(there.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    near = near.join(there.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+    fill = cut(graph.flood(there, near, outlet, block), "fill")
+    level = fill.select("node", F.floor(F.col("node") / w).alias("y"), F.pmod("node", F.lit(w)).alias("x"), F.col("fill").alias("z"))
+    dry = outlet.select(F.col("node").cast("long").alias("src")).distinct()
+    two = cut(shares_by_angle(downhill_two(level, w, h, dx, dy, True), w, h).join(dry, "src", "left_anti"), "shares")
+    named = two.join(fill.select(F.col("node").alias("src"), F.col("fill").alias("a")), "src").join(fill.select(F.col("node").alias("dst"), F.col("fill").alias("b")), "dst")
+    over = fill.join(two.select(F.col("src").alias("node")), "node", "left_anti").where("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("share"))
+    flows = named.where("b < a").select("src", "dst", "share").unionByName(over.join(dry, "src", "left_anti"))
+    total = graph.accumulate_shared(level.select("node", pixel_area(F.col("y"), w, h).alias("area")), flows, "area", block)
+    late = named.where("b >= a").join(total.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("total") * F.col("share")).alias("late"))
+    return fill.select("node", "fill").join(total, "node").join(late, "node", "left").select("node", "fill", (F.col("total") + F.coalesce("late", F.lit(0.0))).alias("total"))

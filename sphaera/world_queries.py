@@ -6,6 +6,8 @@ the cells' centres are worked out from the corners' weights again, and neighbour
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -456,6 +458,51 @@ def gr_dinf(spark, d):
     return rivers.downhill_two(p, 36, 18, 1e6 * F.cos(F.radians(90 - (F.col("y") + 0.5) * 10)), 1.1e6)
 
 
+_RASTER_SQL = (
+    "dim AS (SELECT h, 2 * h AS w FROM (SELECT CAST(floor(sqrt(count(*) / 2.0)) AS BIGINT) AS h FROM customer)), "
+    "px AS (SELECT p // w AS y, p % w AS x, p AS node, avg(z) AS z FROM (SELECT c_custkey % (w * h) AS p, c_acctbal AS z, w FROM customer, dim) GROUP BY ALL), "
+    "nbr AS (SELECT node, k, CASE WHEN y + r < 0 THEN 1 WHEN y + r >= h THEN h - 2 ELSE y + r END * w + (x + c + w + CASE WHEN y + r < 0 OR y + r >= h THEN w // 2 ELSE 0 END) % w AS other FROM px, dim, (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) v(k, r, c)), "
+    "e4 AS (SELECT node AS src, other AS dst FROM nbr WHERE k % 2 = 0 AND node <> other UNION SELECT other, node FROM nbr WHERE k % 2 = 0 AND node <> other)"
+)
+_FILL_SQL = _RASTER_SQL + (
+    ", o AS (SELECT node FROM px WHERE z <= 0), d(node, fill) USING KEY (node) AS (SELECT node, z FROM px WHERE z <= 0 UNION SELECT r.dst, min(greatest(d.fill, p.z)) FROM d JOIN e4 r ON d.node = r.src JOIN px p ON p.node = r.dst LEFT JOIN recurring.d k ON k.node = r.dst WHERE k.fill IS NULL OR greatest(d.fill, p.z) < k.fill GROUP BY r.dst), "
+    "e2 AS (SELECT src, dst, a.fill AS fa, b.fill AS fb FROM e4 JOIN d a ON a.node = src JOIN d b ON b.node = dst), lo AS (SELECT src AS node, arg_min(dst, row(fb, dst)) AS parent FROM e2 WHERE fb < fa AND src NOT IN (SELECT node FROM o) GROUP BY src), "
+    "lv(node, k) USING KEY (node) AS (SELECT node, 0 FROM o UNION SELECT node, 0 FROM lo UNION SELECT e2.dst, min(g.k + 1) FROM lv g JOIN e2 ON e2.src = g.node AND fa = fb LEFT JOIN recurring.lv q ON q.node = e2.dst WHERE q.k IS NULL OR g.k + 1 < q.k GROUP BY e2.dst), "
+    "fl AS (SELECT a.node, min(e2.src) AS parent FROM lv a JOIN e2 ON e2.dst = a.node AND fa = fb JOIN lv g ON g.node = e2.src AND g.k = a.k - 1 GROUP BY a.node)"
+)
+_FACETS = ", ".join(f"({k}, {k if k % 2 == 0 else (k + 1) % 8}, {k + 1 if k % 2 == 0 else k}, {(k if k % 2 == 0 else k + 1)}, {1 if k % 2 == 0 else -1})" for k in range(8))
+_DINF_SQL = _FILL_SQL + (
+    f", ar AS (SELECT node, y, x, d.fill AS z, 6371000.0 * cos(radians(90 - (y + 0.5) * 180 / h)) * 2 * pi() / w AS dx, 6371000.0 * pi() / h AS dy, power(6371.0, 2) * 2 * pi() / w * (sin(radians(90 - y * 180 / h::DOUBLE)) - sin(radians(90 - (y + 1) * 180 / h::DOUBLE))) AS km2 FROM px JOIN d USING (node), dim), "
+    f"fc AS (SELECT ar.node, f.k, turn0, side, ar.z, b.fill AS z1, c.fill AS z2, CASE WHEN n1 % 4 = 0 THEN dx ELSE dy END AS d1, CASE WHEN n1 % 4 = 0 THEN dy ELSE dx END AS d2 FROM ar, (VALUES {_FACETS}) f(k, n1, n2, turn0, side) JOIN nbr p ON p.k = n1 AND p.node = ar.node JOIN nbr q ON q.k = n2 AND q.node = ar.node JOIN d b ON b.node = p.other JOIN d c ON c.node = q.other), "
+    "fr AS (SELECT *, atan2((z1 - z2) / d2, (z - z1) / d1) AS r, atan2(d2, d1) AS top FROM fc), "
+    "fs AS (SELECT node, k, CASE WHEN r < 0 THEN (z - z1) / d1 WHEN r > top THEN (z - z2) / sqrt(d1 * d1 + d2 * d2) ELSE sqrt(power((z - z1) / d1, 2) + power((z1 - z2) / d2, 2)) END AS slope, (turn0 * pi() / 4 + side * least(top, greatest(0, r)) + 2 * pi()) % (2 * pi()) AS angle FROM fr), "
+    "bs AS (SELECT node, arg_max(angle, row(slope, -k)) AS angle FROM fs WHERE node NOT IN (SELECT node FROM o) GROUP BY node HAVING max(slope) > 0), "
+    "tw AS (SELECT node, least(7, floor(angle / (pi() / 4)))::INT AS k, angle / (pi() / 4) - least(7, floor(angle / (pi() / 4))) AS t FROM bs), "
+    "sh AS (SELECT t.node AS src, n.other AS dst, CASE WHEN part > 1 - 1e-4 THEN 1 ELSE part END AS share FROM (SELECT node, k, 1 - t AS part FROM tw UNION ALL SELECT node, (k + 1) % 8, t FROM tw) t JOIN nbr n ON n.node = t.node AND n.k = t.k WHERE part >= 1e-4), "
+    "nm AS (SELECT src, dst, share, b.fill < a.fill AS falls FROM sh JOIN d a ON a.node = src JOIN d b ON b.node = dst), "
+    "go AS (SELECT src, dst, sum(share) AS share FROM nm WHERE falls GROUP BY ALL UNION ALL SELECT d.node, coalesce(lo.parent, fl.parent), 1.0 FROM d LEFT JOIN lo USING (node) LEFT JOIN fl USING (node) WHERE d.node NOT IN (SELECT src FROM sh) AND d.node NOT IN (SELECT node FROM o) AND coalesce(lo.parent, fl.parent) IS NOT NULL), "
+    "wave(node, amount) AS (SELECT node, km2 FROM ar UNION ALL SELECT go.dst, sum(amount * share) FROM wave JOIN go ON go.src = wave.node GROUP BY go.dst), tot AS (SELECT node, sum(amount) AS km2 FROM wave GROUP BY node), "
+    "up AS (SELECT dst AS node, sum(km2 * share) AS late FROM nm JOIN tot ON tot.node = src WHERE NOT falls GROUP BY dst)"
+)
+
+
+def raster(spark, d) -> tuple[DataFrame, int, int]:
+    """A raster with a pixel for about each customer, as high as the mean of the balances that fall to it; its width and height."""
+    c = read(spark, d, "customer")
+    h = int((c.count() / 2) ** 0.5)
+    p = c.groupBy((F.col("c_custkey") % (2 * h * h)).alias("p")).agg(F.avg("c_acctbal").alias("z"))
+    return p.selectExpr(f"CAST(floor(p / {2 * h}) AS BIGINT) AS y", f"p % {2 * h} AS x", "p AS node", "z"), 2 * h, h
+
+
+@query(f"WITH RECURSIVE {_DINF_SQL} SELECT d.node, {r6('fill', 'fill')}, floor((km2 + coalesce(late, 0)) * 100 + 0.5) / 100 AS km2 FROM d JOIN tot USING (node) LEFT JOIN up USING (node)")
+def gr_accum_dinf(spark, d):
+    """Hollows are filled, each pixel shares what it drains between two, and the amounts are accumulated block by block."""
+    p, w, h = raster(spark, d)
+    lat = F.radians(90 - (F.col("y") + 0.5) * 180 / h)
+    out = rivers.drainage(p, w, h, 1000 * geo.RADIUS_KM * F.cos(lat) * 2 * math.pi / w, 1000 * geo.RADIUS_KM * math.pi / h, p.where("z <= 0").select("node"))
+    return out.selectExpr("node", r6("fill", "fill"), "floor(total / 1000000 * 100 + 0.5) / 100 AS km2")
+
+
 _REGION = "region AS (SELECT cell, CASE WHEN NOT ocean THEN cell // 60 END AS region FROM world)"
 _EDGE_SQL = f"WITH {WORLD_SQL}, {_REGION}, be AS (SELECT src AS a, dst AS b FROM nb JOIN region x ON x.cell = src JOIN region y ON y.cell = dst WHERE src < dst AND x.region <> y.region)"
 

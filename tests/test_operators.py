@@ -371,3 +371,65 @@ def test_notes_of_a_route(spark):
     df = spark.createDataFrame(rows, "source long, goal long, back long, run long, biome int, height double, river boolean, polity string, was string")
     assert places.notes(df, "horse").first().notes == ["through grassland (3 leagues)", "crosses a high pass at 2500 m", "fords or bridges 2 river reaches", "enters B", "enters C"]
     assert places.notes(df, "ship").first().notes == ["a sea voyage of 6 legs"]
+
+
+def flows_by_hand(values, edges):
+    """Totals by taking nodes in an order in which all that flows in comes first."""
+    above = {}
+    for u, v, _ in edges:
+        above.setdefault(v, set()).add(u)
+    total, left = dict(values), set(values) | {n for e in edges for n in e[:2]}
+    total = {n: total.get(n, 0.0) for n in left}
+    while left:
+        ready = {n for n in left if not above.get(n, set()) & left}
+        for n in ready:
+            for u, v, share in edges:
+                if u == n:
+                    total[v] += total[n] * share
+        left -= ready
+    return total
+
+
+def test_shared_flows_cross_blocks(spark):
+    rnd = random.Random(5)
+    nodes = [(i, float(i % 5)) for i in range(60)]
+    edges = [(i, j, rnd.choice([0.25, 0.5])) for i in range(60) for j in rnd.sample(range(60), 2) if i * 37 % 61 < j * 37 % 61]
+    edges += edges[:3]
+    want = flows_by_hand(dict(nodes), edges)
+    for block in (7, 1 << 14):
+        got = graph.accumulate_shared(spark.createDataFrame(nodes, "node long, v double"), spark.createDataFrame(edges, "src long, dst long, share double"), "v", block)
+        assert {r.node: round(r.total, 9) for r in got.collect()} == {n: round(x, 9) for n, x in want.items()}
+
+
+def test_shared_flows_go_on_through_many_blocks(spark):
+    n = 40
+    e = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS share")
+    got = graph.accumulate_shared(spark.range(n).selectExpr("id AS node", "1 AS v"), e, "v", 2)
+    assert {r.node: r.total for r in got.collect()} == {i: i + 1.0 for i in range(n)}
+
+
+def test_shared_flows_of_odd_rows(spark):
+    nodes = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None), (None, 7.0)], "node long, v double")
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 1, 0.5), (2, 9, None), (None, 2, 1.0), (3, 2, 1.0)], "src long, dst long, share double")
+    got = graph.accumulate_shared(nodes, edges, "v")
+    assert {r.node: r.total for r in got.collect()} == {1: 5.0, 2: 2.5, 3: 0.0}
+    assert graph.accumulate_shared(nodes.limit(0), edges.limit(0), "v").count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        graph.accumulate_shared(nodes, spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5)], "src long, dst long, share double"), "v")
+
+
+def test_drainage_of_a_cone_and_over_a_pole(spark):
+    from sphaera.operators import rivers
+
+    w, h = 12, 6
+    px = spark.range(w * h).selectExpr(f"CAST(floor(id / {w}) AS BIGINT) AS y", f"id % {w} AS x", "id AS node").selectExpr("*", "1000.0D + 50 * y AS z")
+    out = px.where("y = 0 AND x = 3").select("node")
+    got = {r.node: r for r in rivers.drainage(px, w, h, F.lit(1.0), 1.0, out).collect()}
+    area = {r.node: r.a for r in px.select("node", rivers.pixel_area(F.col("y"), w, h).alias("a")).collect()}
+    assert abs(sum(area.values()) - 4 * math.pi * 6371000**2) < 1e3
+    # Rows fall to the north; the first row is level but for the outlet's way across the pole and along it.
+    assert len(got) == w * h and all(got[n].total >= area[n] - 1e-6 for n in got)
+    assert abs(got[3].total - sum(area.values())) < 1e-3 * area[3]
+    assert abs(got[w * (h - 1) + 5].total - area[w * (h - 1) + 5]) < 1e-6
+    small = {r.node: round(r.total) for r in rivers.drainage(px, w, h, F.lit(1.0), 1.0, out, 9).collect()}
+    assert small == {n: round(r.total) for n, r in got.items()}
