@@ -6,6 +6,7 @@ events are entries of entities in time, conversations are scenes. Floating resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,18 @@ def r6(e: str, name: str) -> str:
 
 # --- the parts that tables play -------------------------------------------------------------------------------------------
 
-Z, T_, P = "CAST(cell * 7919 % 9000 AS DOUBLE) - 4000", "CAST(cell * 31 % 600 AS DOUBLE) / 10 - 20", "CAST(cell * 53 % 2500 AS DOUBLE)"
-#: SQL of the grid's cells with made-up heights, temperatures and rain, from the same closed forms.
-GRID_SQL = f"""g AS (SELECT {grid.first(FREQ)} + col AS cell, row, col FROM (SELECT row, unnest(range(0, {grid.width(FREQ)})) AS col FROM (SELECT range AS row FROM range(0, {3 * FREQ + 1}))))
-, w AS (SELECT cell, row, col, {Z} AS z, {T_} AS t, {P} AS p FROM g)"""
+#: Customers that fall to a cell make its height, temperature and rain.
+_LAYERS = ("CAST(coalesce(bal, 0) - 2500 AS DOUBLE) AS z", "CAST(coalesce(nation, 0) * 23 AS DOUBLE) / 10 - 20 AS t", "CAST(coalesce(turn, 0) AS DOUBLE) AS p")
+_FALLS = ("sum(CAST(floor(c_acctbal) AS BIGINT)) AS bal", "max(c_nationkey) AS nation", "sum(c_custkey * 53 % 2500) AS turn")
+#: SQL of the frequency of a grid with about half as many cells as there are customers, of its cells, and of their layers.
+FQ_SQL = "fq AS (SELECT CAST(floor(sqrt(count(*) / 20.0)) AS BIGINT) + 2 AS f FROM customer)"
+GRID_SQL = f"""{FQ_SQL}, g AS (SELECT {grid.first("f")} + col AS cell, row, col, f FROM (SELECT row, f, unnest(range(0, {grid.width("f")})) AS col FROM (SELECT f, unnest(range(0, 3 * f + 1)) AS row FROM fq)))
+, fell AS (SELECT c_custkey % (10 * f * f + 2) AS cell, {", ".join(_FALLS)} FROM customer, fq GROUP BY 1), w AS (SELECT cell, row, col, {", ".join(_LAYERS)} FROM g LEFT JOIN fell USING (cell))"""
+#: SQL of the size of a raster with about a pixel for each customer, and of its pixels.
+RASTER_SQL = (
+    "dim AS (SELECT h, 2 * h AS w FROM (SELECT CAST(floor(sqrt(count(*) / 2.0)) AS BIGINT) AS h FROM customer)), "
+    "px AS (SELECT p // w AS y, p % w AS x, p AS node, avg(z) AS z FROM (SELECT c_custkey % (w * h) AS p, c_acctbal AS z, w FROM customer, dim) GROUP BY ALL)"
+)
 LON, LAT = "CAST({0} * 137 % 36000 AS DOUBLE) / 100 - 180", "CAST({0} * 73 % 17000 AS DOUBLE) / 100 - 85"
 PLACES_SQL = f"places AS (SELECT c_custkey AS place, {LON.format('c_custkey')} AS lon, {LAT.format('c_custkey')} AS lat, CAST(floor(greatest(c_acctbal, 0)) AS BIGINT) AS score FROM customer)"
 RING_SQL = """n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s AS src, (s + k) % n AS dst, 1 + (s * 13 + k * 5) % 9 AS w FROM n, range(0, n) r(s), (VALUES (1), (7)) v(k)),
@@ -52,8 +61,22 @@ ENTRIES_SQL = """entries AS (SELECT user_id AS entity, event_type AS attr, value
   CASE WHEN event_id % 7 = 0 THEN CAST(epoch(date_trunc('day', ts)) / 86400 AS DOUBLE) + 30 END AS valid_to, event_id AS rev FROM events)"""
 
 
-def world(spark: SparkSession) -> DataFrame:
-    return grid.lattice(spark, FREQ).selectExpr("cell", "row", "col", f"{Z} AS z", f"{T_} AS t", f"{P} AS p")
+def frequency(spark: SparkSession, d: str) -> int:
+    return int(math.sqrt(read(spark, d, "customer").count() / 20)) + 2
+
+
+def world(spark: SparkSession, d: str) -> DataFrame:
+    f = frequency(spark, d)
+    fell = read(spark, d, "customer").groupBy((F.col("c_custkey") % (10 * f * f + 2)).alias("cell")).agg(*map(F.expr, _FALLS))
+    return grid.lattice(spark, f).join(fell, "cell", "left").selectExpr("cell", "row", "col", *_LAYERS)
+
+
+def raster(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """A raster as high at each pixel as the mean of the balances that fall to it; its width and height."""
+    c = read(spark, d, "customer")
+    h = int(math.sqrt(c.count() / 2))
+    p = c.groupBy((F.col("c_custkey") % (2 * h * h)).alias("p")).agg(F.avg("c_acctbal").alias("z"))
+    return p.selectExpr(f"CAST(floor(p / {2 * h}) AS BIGINT) AS y", f"p % {2 * h} AS x", "p AS node", "z"), 2 * h, h
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
@@ -74,33 +97,35 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 # --- sources --------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {GRID_SQL} SELECT cell, row, col, (row IN (0, {3 * FREQ}) OR (row IN ({FREQ}, {2 * FREQ}) AND col % {FREQ} = 0)) AS pentagon FROM g")
+@query(f"WITH {GRID_SQL} SELECT cell, row, col, (row IN (0, 3 * f) OR (row IN (f, 2 * f) AND col % f = 0)) AS pentagon FROM g")
 def src_grid_cells(spark, d):
-    return grid.cells(spark, FREQ).select("cell", "row", "col", "pentagon")
+    return grid.cells(spark, frequency(spark, d)).select("cell", "row", "col", "pentagon")
 
 
 
-@query(f"SELECT i AS idx, i // 36 AS y, i % 36 AS x, {r6('90 - (i // 36 + 0.5) * 10', 'lat')}, {r6('(i % 36 + 0.5) * 10 - 180', 'lon')} FROM range(0, 648) t(i)")
+@query(f"WITH {RASTER_SQL} SELECT i AS idx, i // w AS y, i % w AS x, {r6('90 - (i // w + 0.5) * 180 / h', 'lat')}, {r6('(i % w + 0.5) * 360 / w - 180', 'lon')} FROM (SELECT w, h, unnest(range(0, w * h)) AS i FROM dim)")
 def src_raster_pixels(spark, d):
-    return grid.pixels(spark, 36, 18).selectExpr("idx", "y", "x", r6("lat", "lat"), r6("lon", "lon"))
+    _, w, h = raster(spark, d)
+    return grid.pixels(spark, w, h).selectExpr("idx", "y", "x", r6("lat", "lat"), r6("lon", "lon"))
 
 
-@query(f"WITH f AS (SELECT i AS id, 1 - 2 * (i + 0.5) / 500 AS y, pi() * (3 - sqrt(5)) * i AS phi FROM range(0, 500) t(i)) SELECT id, {r6('cos(phi) * sqrt(1 - y * y)', 'x')}, {r6('y', 'y')}, {r6('sin(phi) * sqrt(1 - y * y)', 'z')} FROM f")
+@query(f"WITH f AS (SELECT i AS id, 1 - 2 * (i + 0.5) / n AS y, pi() * (3 - sqrt(5)) * i AS phi FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT count(*) AS n FROM customer))) SELECT id, {r6('cos(phi) * sqrt(1 - y * y)', 'x')}, {r6('y', 'y')}, {r6('sin(phi) * sqrt(1 - y * y)', 'z')} FROM f")
 def src_fibonacci_sphere(spark, d):
-    return grid.fibonacci_sphere(spark, 500).selectExpr("id", r6("x", "x"), r6("y", "y"), r6("z", "z"))
+    """A direction for each customer."""
+    return grid.fibonacci_sphere(spark, read(spark, d, "customer").count()).selectExpr("id", r6("x", "x"), r6("y", "y"), r6("z", "z"))
 
 
 # --- fields and filters -----------------------------------------------------------------------------------------------------
 
 
-def _two(spark):
-    w = world(spark)
-    return fields.Field(w.selectExpr("cell", "z AS v"), FREQ), fields.Field(w.selectExpr("cell", "p AS v"), FREQ)
+def _two(spark, d):
+    w, f = world(spark, d), frequency(spark, d)
+    return fields.Field(w.selectExpr("cell", "z AS v"), f), fields.Field(w.selectExpr("cell", "p AS v"), f)
 
 
 @query(f"WITH {GRID_SQL} SELECT op, cell, {r6('v', 'v')} FROM (SELECT 'add' AS op, cell, 2 * z + 0.5 * p AS v FROM w UNION ALL SELECT 'sub', cell, 2 * z - 0.5 * p FROM w UNION ALL SELECT 'mul', cell, 2 * z * 0.5 * p FROM w UNION ALL SELECT 'min', cell, least(2 * z, 0.5 * p) FROM w UNION ALL SELECT 'max', cell, greatest(2 * z, 0.5 * p) FROM w)")
 def fld_math(spark, d):
-    a, b = _two(spark)
+    a, b = _two(spark, d)
     out = None
     for op in ("add", "sub", "mul", "min", "max"):
         df = fields.math(op, a, b, 2.0, 0.5).df.selectExpr(f"'{op}' AS op", "cell", r6("v", "v"))
@@ -110,12 +135,12 @@ def fld_math(spark, d):
 
 @query(f"WITH {GRID_SQL} SELECT cell, {r6('z * 0.75 + p * 0.25', 'v')} FROM w")
 def fld_math_lerp(spark, d):
-    return fields.math("lerp", *_two(spark), 0.25).df.selectExpr("cell", r6("v", "v"))
+    return fields.math("lerp", *_two(spark, d), 0.25).df.selectExpr("cell", r6("v", "v"))
 
 
 @query(f"WITH {GRID_SQL}, s AS (SELECT cell, z, least(1, greatest(0, (z - 100) / 800 + 0.5)) AS t FROM w) SELECT cell, CASE WHEN z > 100 THEN 1.0::DOUBLE ELSE 0 END AS hard, {r6('t * t * (3 - 2 * t)', 'smooth')}, {r6('1 - t * t * (3 - 2 * t)', 'inverse')} FROM s")
 def fld_mask(spark, d):
-    a = _two(spark)[0]
+    a = _two(spark, d)[0]
     hard, smooth, inverse = (fields.mask(a, 100.0, s, i).df.withColumnRenamed("v", n) for s, i, n in ((0.0, False, "hard"), (800.0, False, "smooth"), (800.0, True, "inverse")))
     return hard.join(smooth, "cell").join(inverse, "cell").selectExpr("cell", "hard", r6("smooth", "smooth"), r6("inverse", "inverse"))
 
@@ -125,7 +150,7 @@ def fld_mask(spark, d):
     f"SELECT cell, {r6('CASE WHEN v > 0 AND v < 200 THEN v / 200 * (v / 200) * 200 WHEN v < 0 AND v > -300 THEN -(-v / 300) * (-v / 300) * 300 ELSE v END', 'v')} FROM a"
 )
 def fld_combine(spark, d):
-    w = world(spark)
+    w = world(spark, d)
     return w.select("cell", fields.combine(F.col("z") / 10, F.col("t"), F.col("p") / 2500 - 0.5).alias("v")).selectExpr("cell", r6("v", "v"))
 
 
@@ -134,7 +159,7 @@ _BIOME = "CASE WHEN z <= 0 THEN 0 WHEN t < -12 THEN 1 WHEN t < -2 THEN 2 WHEN z
 
 @query(f"WITH {GRID_SQL}, b AS (SELECT *, {_BIOME} AS biome FROM w) SELECT cell, biome, {r6('CASE WHEN biome IN (0, 1, 8) THEN 0 ELSE least(1, greatest(0, least(p / 1800, (t + 8) / 32))) END', 'vegetation')}, {r6('CASE WHEN z > 0 THEN greatest(0, p - 0.55 * least(1800, greatest(0, 45 * (t + 5)))) + 15 ELSE 0 END', 'runoff')} FROM b")
 def flt_biome(spark, d):
-    b = world(spark).withColumn("biome", F.expr(fields.biome_sql("z", "t", "p")))
+    b = world(spark, d).withColumn("biome", F.expr(fields.biome_sql("z", "t", "p")))
     b = b.withColumns({"veg": fields.vegetation(F.col("biome"), F.col("t"), F.col("p")), "run": fields.runoff(F.col("z"), F.col("t"), F.col("p"))})
     return b.selectExpr("cell", "biome", r6("veg", "vegetation"), r6("run", "runoff"))
 
@@ -158,9 +183,9 @@ def fld_slope_coast(spark, d):
     return fields.slope(c, e).join(fields.coast(c, e), "cell").selectExpr("cell", r6("slope", "slope"), "coast")
 
 
-@query(f"WITH px AS (SELECT i // 36 AS y, i % 36 AS x, CAST(i * 7 % 101 AS DOUBLE) AS v FROM range(0, 648) t(i)) SELECT y // 3 AS y, x // 3 AS x, {r6('avg(v)', 'v')} FROM px GROUP BY ALL")
+@query(f"WITH {RASTER_SQL} SELECT y // 3 AS y, x // 3 AS x, {r6('avg(z)', 'v')} FROM px GROUP BY ALL")
 def fld_downsample_avg(spark, d):
-    return fields.downsample(_pixels(spark), 3).selectExpr("y", "x", r6("v", "v"))
+    return fields.downsample(raster(spark, d)[0].withColumnRenamed("z", "v"), 3).selectExpr("y", "x", r6("v", "v"))
 
 
 def _pixels(spark):
@@ -288,7 +313,7 @@ def gr_travel_graph(spark, d):
 
 @query(f"WITH {GRID_SQL}, a AS (SELECT cell, CASE WHEN z > 100 THEN 1 ELSE 0 END * p AS v FROM w) SELECT cell, {r6('v * 0.5 + z * 0.5', 'v')} FROM a JOIN w USING (cell)")
 def q_graph_run(spark, d):
-    z, p = _two(spark)
+    z, p = _two(spark, d)
     spec = {
         "z": {"type": "source", "source": "z"},
         "p": {"type": "source", "source": "p"},
@@ -604,7 +629,7 @@ def _ramp_sql() -> str:
 @query(_ramp_sql())
 def sink_color_ramp(spark, d):
     z = F.when(F.col("cell") == 0, 9999).when(F.col("cell") == 1, -9999).otherwise(F.col("z"))
-    return world(spark).select("cell", exports.color_ramp(z).alias("c")).selectExpr("cell", "c.r AS r", "c.g AS g", "c.b AS b")
+    return world(spark, d).select("cell", exports.color_ramp(z).alias("c")).selectExpr("cell", "c.r AS r", "c.g AS g", "c.b AS b")
 
 
 @query(

@@ -19,18 +19,17 @@ WARP_ALPHA, WARP_BETA = 0.5372, -0.4637
 RADIUS_KM = 6371.0
 
 
-def width(f: int, row: str = "row") -> str:
-    """SQL: cells of a row."""
-    return f"(CASE WHEN {row} = 0 OR {row} = {3 * f} THEN 1 WHEN {row} < {f} THEN 5 * {row} WHEN {row} <= {2 * f} THEN {5 * f} ELSE 5 * ({3 * f} - {row}) END)"
+def width(f: int | str, row: str = "row") -> str:
+    """SQL: cells of a row; the frequency is a number or SQL."""
+    return f"(CASE WHEN {row} = 0 OR {row} = 3 * {f} THEN 1 WHEN {row} < {f} THEN 5 * {row} WHEN {row} <= 2 * {f} THEN 5 * {f} ELSE 5 * (3 * {f} - {row}) END)"
 
 
-def first(f: int, row: str = "row") -> str:
+def first(f: int | str, row: str = "row") -> str:
     """SQL: id of a row's first cell, the number of cells before it."""
-    n, top = 10 * f * f + 2, 1 + 5 * f * (f - 1) // 2
     return (
         f"(CASE WHEN {row} = 0 THEN 0 WHEN {row} <= {f} THEN CAST(1 + 5 * {row} * ({row} - 1) / 2 AS BIGINT)"
-        f" WHEN {row} <= {2 * f} THEN {top} + {5 * f} * ({row} - {f})"
-        f" ELSE CAST({n} - 1 - 5 * ({3 * f} - {row}) * ({3 * f} - {row} + 1) / 2 AS BIGINT) END)"
+        f" WHEN {row} <= 2 * {f} THEN CAST(1 + 5 * {f} * ({f} - 1) / 2 AS BIGINT) + 5 * {f} * ({row} - {f})"
+        f" ELSE CAST(10 * {f} * {f} + 1 - 5 * (3 * {f} - {row}) * (3 * {f} - {row} + 1) / 2 AS BIGINT) END)"
     )
 
 
