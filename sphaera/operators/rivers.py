@@ -217,7 +217,7 @@ def downhill_two(pixels: DataFrame, w: int, h: int, dx: Column, dy: float, over_
     angle = F.pmod(F.col("start") + F.col("along") * F.least(F.col("widest"), F.greatest(F.lit(0.0), F.col("r"))), F.lit(2 * math.pi))
     each = each.select("y", "x", slope.alias("slope"), "first", angle.alias("angle"))
     best = each.groupBy("y", "x").agg(F.max(F.when(F.col("slope") > 0, F.struct("slope", "first", "angle"))).alias("b")).select("y", "x", F.col("b.angle").alias("angle"))
-    k = F.least(F.lit(7), F.floor(F.col("angle") / (math.pi / 4)))
+    k = F.when(F.col("angle").isNotNull(), F.least(F.lit(7), F.floor(F.col("angle") / (math.pi / 4))))
     t = F.col("angle") / (math.pi / 4) - k
     return best.select("y", "x", "angle", k.cast("int").alias("a0"), (1 - t).alias("w0"), ((k + 1) % 8).cast("int").alias("a1"), t.alias("w1"))
 

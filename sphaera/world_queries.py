@@ -14,28 +14,39 @@ from pyspark.sql import functions as F
 from .functions import geo
 from .operators import borders, exports, fields, filters, graph, ledger, ranking, rivers, sky, stats, store, temporal
 from .operators import places as at
-from .queries import ORACLES, _FLOODZ, FREQ, LAT, LON, PLACES_SQL, RING_SQL, _store, places, query, r6, ring
+from .queries import GRID_SQL, ORACLES, RASTER_SQL, _FLOODZ, FREQ, LAT, LON, PLACES_SQL, RING_SQL, _store, frequency, places, query, r6, raster, ring
+from .queries import world as great_world
 from .sources import grid
 from .streaming import news as streams
 from .tables import cut, kept, read
 
 _F = FREQ
 _W = lambda *p: "[" + ", ".join(f"{{'k': {k}, 'w': {w}}}" for k, w in p) + "]"
-CELLS_SQL = (
-    "kk AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(grid._corners())) + ") t(k, kx, ky, kz)), "
-    f"c0 AS (SELECT {grid.first(_F)} + col AS cell, row, col, CASE WHEN {grid.width(_F)} = 1 THEN 1 ELSE {grid.width(_F)} // 5 END AS st FROM (SELECT row, unnest(range(0, {grid.width(_F)})) AS col FROM (SELECT range AS row FROM range(0, {3 * _F + 1})))), "
-    f"c1 AS (SELECT cell, row, col, CASE WHEN row <= {_F} THEN {_W(('0', f'{_F} - row'), ('1 + (col // st) % 5', 'row - col % st'), ('1 + (col // st + 1) % 5', 'col % st'))} "
-    f"WHEN row <= {2 * _F} AND row + col % st <= {2 * _F} THEN {_W(('1 + (col // st) % 5', f'{2 * _F} - row - col % st'), ('1 + (col // st + 1) % 5', 'col % st'), ('6 + (col // st) % 5', f'row - {_F}'))} "
-    f"WHEN row <= {2 * _F} THEN {_W(('1 + (col // st + 1) % 5', f'{2 * _F} - row'), ('6 + (col // st) % 5', f'{_F} - col % st'), ('6 + (col // st + 1) % 5', f'row + col % st - {2 * _F}'))} "
-    f"ELSE {_W(('11', f'row - {2 * _F}'), ('6 + (col // st) % 5', f'{3 * _F} - row - col % st'), ('6 + (col // st + 1) % 5', 'col % st'))} END AS w FROM c0), "
-    f"c2 AS (SELECT cell, u.k AS k, u.w / {float(_F)} AS t FROM (SELECT cell, unnest(w) AS u FROM c1) WHERE u.w > 0), "
-    f"c3 AS (SELECT cell, CASE WHEN count(*) = 3 THEN {grid.WARP_BETA} * product(t) ELSE 0 END AS j, count(*) = 1 AS pent FROM c2 GROUP BY cell), "
-    f"c4 AS (SELECT cell, pent, sum(q * kx) AS x, sum(q * ky) AS y, sum(q * kz) AS z FROM (SELECT cell, pent, k, t + {grid.WARP_ALPHA} * t * (1 - t) * (0.5 - t) + j AS q FROM c2 JOIN c3 USING (cell)) JOIN kk USING (k) GROUP BY cell, pent), "
-    "cc AS (SELECT cell, pent, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM c4)"
-)
-NB_SQL = CELLS_SQL + (
-    ", nb AS (SELECT src, dst, d FROM (SELECT a.cell AS src, b.cell AS dst, a.pent, a.x * b.x + a.y * b.y + a.z * b.z AS d, row_number() OVER (PARTITION BY a.cell ORDER BY a.x * b.x + a.y * b.y + a.z * b.z DESC) AS k FROM cc a JOIN cc b ON a.cell <> b.cell) WHERE k <= CASE WHEN pent THEN 5 ELSE 6 END)"
-)
+
+
+def _cells_sql(f: int | str) -> str:
+    """SQL of the cells' centres (cc) and weights (c2); the frequency is a number, or f for that of queries.FQ_SQL."""
+    fq = f"(SELECT {f} AS f)" if isinstance(f, int) else "fq"
+    return (
+        "kk AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(grid._corners())) + ") t(k, kx, ky, kz)), "
+        f"c0 AS (SELECT {grid.first('f')} + col AS cell, row, col, f, CASE WHEN {grid.width('f')} = 1 THEN 1 ELSE {grid.width('f')} // 5 END AS st FROM (SELECT row, f, unnest(range(0, {grid.width('f')})) AS col FROM (SELECT f, unnest(range(0, 3 * f + 1)) AS row FROM {fq}))), "
+        f"c1 AS (SELECT cell, row, col, f, CASE WHEN row <= f THEN {_W(('0', 'f - row'), ('1 + (col // st) % 5', 'row - col % st'), ('1 + (col // st + 1) % 5', 'col % st'))} "
+        f"WHEN row <= 2 * f AND row + col % st <= 2 * f THEN {_W(('1 + (col // st) % 5', '2 * f - row - col % st'), ('1 + (col // st + 1) % 5', 'col % st'), ('6 + (col // st) % 5', 'row - f'))} "
+        f"WHEN row <= 2 * f THEN {_W(('1 + (col // st + 1) % 5', '2 * f - row'), ('6 + (col // st) % 5', 'f - col % st'), ('6 + (col // st + 1) % 5', 'row + col % st - 2 * f'))} "
+        f"ELSE {_W(('11', 'row - 2 * f'), ('6 + (col // st) % 5', '3 * f - row - col % st'), ('6 + (col // st + 1) % 5', 'col % st'))} END AS w FROM c0), "
+        "c2 AS (SELECT cell, f, u.k AS k, u.w / f::DOUBLE AS t FROM (SELECT cell, f, unnest(w) AS u FROM c1) WHERE u.w > 0), "
+        f"c3 AS (SELECT cell, CASE WHEN count(*) = 3 THEN {grid.WARP_BETA} * product(t) ELSE 0 END AS j, count(*) = 1 AS pent FROM c2 GROUP BY cell), "
+        f"c4 AS (SELECT cell, pent, sum(q * kx) AS x, sum(q * ky) AS y, sum(q * kz) AS z FROM (SELECT cell, pent, k, t + {grid.WARP_ALPHA} * t * (1 - t) * (0.5 - t) + j AS q FROM c2 JOIN c3 USING (cell)) JOIN kk USING (k) GROUP BY cell, pent), "
+        "cc AS (SELECT cell, pent, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM c4)"
+    )
+
+
+_NEAR_SQL = ", nb AS (SELECT src, dst, d FROM (SELECT a.cell AS src, b.cell AS dst, a.pent, a.x * b.x + a.y * b.y + a.z * b.z AS d, row_number() OVER (PARTITION BY a.cell ORDER BY a.x * b.x + a.y * b.y + a.z * b.z DESC) AS k FROM cc a JOIN cc b ON a.cell <> b.cell) WHERE k <= CASE WHEN pent THEN 5 ELSE 6 END)"
+CELLS_SQL = _cells_sql(_F)
+NB_SQL = CELLS_SQL + _NEAR_SQL
+#: The same on the grid that grows with the customers, with the heights that they make (w).
+GREAT_CELLS_SQL = f"{GRID_SQL}, {_cells_sql('f')}"
+GREAT_NB_SQL = GREAT_CELLS_SQL + _NEAR_SQL
 _HEIGHT, _BIOME_, _POLITY, _CULTURE = "CAST(cell * 7919 % 9000 AS DOUBLE) - 4000", "1 + cell % 10", "CASE WHEN cell % 13 > 0 THEN concat('P', CAST({0} AS {1})) END", "concat('C', CAST({0} AS {1}))"
 
 
@@ -104,28 +115,28 @@ def _reach_sql(mode: str, want: str) -> str:
     )
 
 
-@query(f"WITH {NB_SQL} SELECT src, dst FROM nb")
+@query(f"WITH {GREAT_NB_SQL} SELECT src, dst FROM nb")
 def src_grid_adjacency(spark, d):
-    return grid.adjacency(spark, FREQ).select("src", "dst")
+    return grid.adjacency(spark, frequency(spark, d)).select("src", "dst")
 
 
-@query(f"WITH {CELLS_SQL} SELECT cell, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM cc")
+@query(f"WITH {GREAT_CELLS_SQL} SELECT cell, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM cc")
 def src_grid_centres(spark, d):
-    return grid.cells(spark, FREQ).selectExpr("cell", r6("x", "x"), r6("y", "y"), r6("z", "z"))
+    return grid.cells(spark, frequency(spark, d)).selectExpr("cell", r6("x", "x"), r6("y", "y"), r6("z", "z"))
 
 
 _TRI = "tri AS (SELECT a.cell AS a, b.cell AS b, c.cell AS c, a.x * (b.y * c.z - b.z * c.y) + a.y * (b.z * c.x - b.x * c.z) + a.z * (b.x * c.y - b.y * c.x) AS det, 1 + a.x * b.x + a.y * b.y + a.z * b.z + b.x * c.x + b.y * c.y + b.z * c.z + c.x * a.x + c.y * a.y + c.z * a.z AS den FROM nb n JOIN nb m ON n.dst = m.src AND n.src < n.dst AND m.src < m.dst JOIN nb o ON o.src = n.src AND o.dst = m.dst JOIN cc a ON a.cell = n.src JOIN cc b ON b.cell = n.dst JOIN cc c ON c.cell = m.dst)"
 _AREA_SQL = _TRI + ", area AS (SELECT cell, sum(2 * atan2(abs(det), den)) / 3 AS sr FROM (SELECT unnest([a, b, c]) AS cell, det, den FROM tri) GROUP BY cell)"
 
 
-@query(f"WITH {NB_SQL}, {_AREA_SQL} SELECT cell, {r6('sr', 'area_sr')} FROM area")
+@query(f"WITH {GREAT_NB_SQL}, {_AREA_SQL} SELECT cell, {r6('sr', 'area_sr')} FROM area")
 def src_grid_areas(spark, d):
-    return grid.areas(spark, FREQ).selectExpr("cell", r6("area_sr", "area_sr"))
+    return grid.areas(spark, frequency(spark, d)).selectExpr("cell", r6("area_sr", "area_sr"))
 
 
-@query(f"WITH {NB_SQL}, {_TRI} SELECT a, least(b, c) AS b, greatest(b, c) AS c FROM tri")
+@query(f"WITH {GREAT_NB_SQL}, {_TRI} SELECT a, least(b, c) AS b, greatest(b, c) AS c FROM tri")
 def sink_globe_mesh(spark, d):
-    return exports.mesh(grid.adjacency(spark, FREQ)).select("a", F.least("b", "c").alias("b"), F.greatest("b", "c").alias("c"))
+    return exports.mesh(grid.adjacency(spark, frequency(spark, d))).select("a", F.least("b", "c").alias("b"), F.greatest("b", "c").alias("c"))
 
 
 @query(f"WITH {PLACES_SQL}, {_dir_sql('p', 'places')}, {CELLS_SQL} SELECT place, arg_max(cell, px * x + py * y + pz * z) AS cell FROM p, cc GROUP BY place")
@@ -156,24 +167,26 @@ def fld_locate(spark, d):
 
 @query()
 def fld_resample(spark, d):
-    w = world(spark)
-    return fields.resample(fields.Field(w.select("cell", F.col("height").alias("v")), FREQ), 2 * FREQ).df
+    f = frequency(spark, d)
+    return fields.resample(fields.Field(great_world(spark, d).selectExpr("cell", "z AS v"), f), 2 * f).df
 
 
 @query()
 def sink_rasterize(spark, d):
-    w = world(spark)
-    return fields.rasterize(fields.Field(w.select("cell", F.col("height").alias("v")), FREQ), 72, 36)
+    f = frequency(spark, d)
+    return fields.rasterize(fields.Field(great_world(spark, d).selectExpr("cell", "z AS v"), f), 8 * f, 4 * f)
 
 
 _PX = "px AS (SELECT i // 36 AS y, i % 36 AS x, CAST(i * 7 % 101 AS DOUBLE) AS v FROM range(0, 648) t(i))"
 
 
-@query(f"WITH {_PX}, p AS (SELECT y, x, v, CASE WHEN y < 2 THEN 0.65 * (2 - y) / 2 WHEN y >= 16 THEN 0.65 * (2 - (17 - y)) / 2 ELSE 0 END AS s, CASE WHEN y >= 16 THEN 15 ELSE 2 END AS r FROM px) SELECT p.y, p.x, {r6('p.v * (1 - s) + 0.5 * (a.v + b.v) * s', 'v')} FROM p JOIN px a ON a.y = r AND a.x = p.x JOIN px b ON b.y = r AND b.x = (p.x + 18) % 36")
+@query(
+    f"WITH {RASTER_SQL}, sz AS (SELECT w, h, greatest(1, least(10, greatest(1, h // 8))) AS k FROM dim), p AS (SELECT y, x, z AS v, w, CASE WHEN y < k THEN 0.65 * (k - y) / k WHEN y >= h - k THEN 0.65 * (k - (h - 1 - y)) / k ELSE 0 END AS s, CASE WHEN y >= h - k THEN h - 1 - k ELSE k END AS r FROM px, sz) "
+    f"SELECT p.y, p.x, {r6('p.v * (1 - s) + 0.5 * (a.z + b.z) * s', 'v')} FROM p JOIN px a ON a.y = r AND a.x = p.x JOIN px b ON b.y = r AND b.x = (p.x + w // 2) % w"
+)
 def fld_polar_smooth(spark, d):
-    from .queries import _pixels
-
-    return fields.smooth_poles(_pixels(spark), 36, 18).selectExpr("y", "x", r6("v", "v"))
+    p, w, h = raster(spark, d)
+    return fields.smooth_poles(p.withColumnRenamed("z", "v"), w, h).selectExpr("y", "x", r6("v", "v"))
 
 
 @query(f"WITH RECURSIVE {TRAVEL_SQL}, {_TRIPS_SQL}, {_reach_sql('horse', 'false')} SELECT trip, days IS NOT NULL AS reachable, {r6('days', 'days')} FROM r_horse")
@@ -449,19 +462,8 @@ def gr_meander(spark, d):
     return rivers.meander(p, 4000.0, 5)
 
 
-@query()
-def gr_dinf(spark, d):
-    """Directions of steepest descent on a raster; tests hold them against planes of known slope."""
-    from .queries import _pixels
-
-    p = _pixels(spark).withColumnRenamed("v", "z")
-    return rivers.downhill_two(p, 36, 18, 1e6 * F.cos(F.radians(90 - (F.col("y") + 0.5) * 10)), 1.1e6)
-
-
-_RASTER_SQL = (
-    "dim AS (SELECT h, 2 * h AS w FROM (SELECT CAST(floor(sqrt(count(*) / 2.0)) AS BIGINT) AS h FROM customer)), "
-    "px AS (SELECT p // w AS y, p % w AS x, p AS node, avg(z) AS z FROM (SELECT c_custkey % (w * h) AS p, c_acctbal AS z, w FROM customer, dim) GROUP BY ALL), "
-    "nbr AS (SELECT node, k, CASE WHEN y + r < 0 THEN 1 WHEN y + r >= h THEN h - 2 ELSE y + r END * w + (x + c + w + CASE WHEN y + r < 0 OR y + r >= h THEN w // 2 ELSE 0 END) % w AS other FROM px, dim, (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) v(k, r, c)), "
+_RASTER_SQL = RASTER_SQL + (
+    ", nbr AS (SELECT node, k, CASE WHEN y + r < 0 THEN 1 WHEN y + r >= h THEN h - 2 ELSE y + r END * w + (x + c + w + CASE WHEN y + r < 0 OR y + r >= h THEN w // 2 ELSE 0 END) % w AS other FROM px, dim, (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) v(k, r, c)), "
     "e4 AS (SELECT node AS src, other AS dst FROM nbr WHERE k % 2 = 0 AND node <> other UNION SELECT other, node FROM nbr WHERE k % 2 = 0 AND node <> other)"
 )
 _FILL_SQL = _RASTER_SQL + (
@@ -471,14 +473,17 @@ _FILL_SQL = _RASTER_SQL + (
     "fl AS (SELECT a.node, min(e2.src) AS parent FROM lv a JOIN e2 ON e2.dst = a.node AND fa = fb JOIN lv g ON g.node = e2.src AND g.k = a.k - 1 GROUP BY a.node)"
 )
 _FACETS = ", ".join(f"({k}, {k if k % 2 == 0 else (k + 1) % 8}, {k + 1 if k % 2 == 0 else k}, {(k if k % 2 == 0 else k + 1)}, {1 if k % 2 == 0 else -1})" for k in range(8))
-_DINF_SQL = _FILL_SQL + (
-    f", ar AS (SELECT node, y, x, d.fill AS z, 6371000.0 * cos(radians(90 - (y + 0.5) * 180 / h)) * 2 * pi() / w AS dx, 6371000.0 * pi() / h AS dy, power(6371.0, 2) * 2 * pi() / w * (sin(radians(90 - y * 180 / h::DOUBLE)) - sin(radians(90 - (y + 1) * 180 / h::DOUBLE))) AS km2 FROM px JOIN d USING (node), dim), "
-    f"fc AS (SELECT ar.node, f.k, turn0, side, ar.z, b.fill AS z1, c.fill AS z2, CASE WHEN n1 % 4 = 0 THEN dx ELSE dy END AS d1, CASE WHEN n1 % 4 = 0 THEN dy ELSE dx END AS d2 FROM ar, (VALUES {_FACETS}) f(k, n1, n2, turn0, side) JOIN nbr p ON p.k = n1 AND p.node = ar.node JOIN nbr q ON q.k = n2 AND q.node = ar.node JOIN d b ON b.node = p.other JOIN d c ON c.node = q.other), "
+#: Directions of steepest descent of the heights in lay (node, z).
+_ANGLE_SQL = (
+    f", ar AS (SELECT node, y, x, lay.z, 6371000.0 * cos(radians(90 - (y + 0.5) * 180 / h)) * 2 * pi() / w AS dx, 6371000.0 * pi() / h AS dy, power(6371.0, 2) * 2 * pi() / w * (sin(radians(90 - y * 180 / h::DOUBLE)) - sin(radians(90 - (y + 1) * 180 / h::DOUBLE))) AS km2 FROM px JOIN lay USING (node), dim), "
+    f"fc AS (SELECT ar.node, f.k, turn0, side, ar.z, b.z AS z1, c.z AS z2, CASE WHEN n1 % 4 = 0 THEN dx ELSE dy END AS d1, CASE WHEN n1 % 4 = 0 THEN dy ELSE dx END AS d2 FROM ar, (VALUES {_FACETS}) f(k, n1, n2, turn0, side) JOIN nbr p ON p.k = n1 AND p.node = ar.node JOIN nbr q ON q.k = n2 AND q.node = ar.node JOIN lay b ON b.node = p.other JOIN lay c ON c.node = q.other), "
     "fr AS (SELECT *, atan2((z1 - z2) / d2, (z - z1) / d1) AS r, atan2(d2, d1) AS top FROM fc), "
-    "fs AS (SELECT node, k, CASE WHEN r < 0 THEN (z - z1) / d1 WHEN r > top THEN (z - z2) / sqrt(d1 * d1 + d2 * d2) ELSE sqrt(power((z - z1) / d1, 2) + power((z1 - z2) / d2, 2)) END AS slope, (turn0 * pi() / 4 + side * least(top, greatest(0, r)) + 2 * pi()) % (2 * pi()) AS angle FROM fr), "
-    "bs AS (SELECT node, arg_max(angle, row(slope, -k)) AS angle FROM fs WHERE node NOT IN (SELECT node FROM o) GROUP BY node HAVING max(slope) > 0), "
-    "tw AS (SELECT node, least(7, floor(angle / (pi() / 4)))::INT AS k, angle / (pi() / 4) - least(7, floor(angle / (pi() / 4))) AS t FROM bs), "
-    "sh AS (SELECT t.node AS src, n.other AS dst, CASE WHEN part > 1 - 1e-4 THEN 1 ELSE part END AS share FROM (SELECT node, k, 1 - t AS part FROM tw UNION ALL SELECT node, (k + 1) % 8, t FROM tw) t JOIN nbr n ON n.node = t.node AND n.k = t.k WHERE part >= 1e-4), "
+    "fs AS (SELECT node, k, CASE WHEN r < 0 THEN (z - z1) / d1 WHEN r > top THEN (z - z2) / sqrt(d1 * d1 + d2 * d2) ELSE sqrt(power((z - z1) / d1, 2) + power((z1 - z2) / d2, 2)) END AS slope, turn0 * pi() / 4 + side * least(top, greatest(0, r)) AS raw FROM fr), "
+    "bs AS (SELECT node, arg_max(CASE WHEN raw < 0 THEN (raw + 2 * pi()) % (2 * pi()) ELSE raw % (2 * pi()) END, row(slope, -k)) AS angle FROM fs GROUP BY node HAVING max(slope) > 0), "
+    "tw AS (SELECT node, least(7, floor(angle / (pi() / 4)))::INT AS k, angle / (pi() / 4) - least(7, floor(angle / (pi() / 4))) AS t, angle FROM bs)"
+)
+_DINF_SQL = _FILL_SQL + ", lay AS (SELECT node, fill AS z FROM d)" + _ANGLE_SQL + (
+    ", sh AS (SELECT t.node AS src, n.other AS dst, CASE WHEN part > 1 - 1e-4 THEN 1 ELSE part END AS share FROM (SELECT node, k, 1 - t AS part FROM tw UNION ALL SELECT node, (k + 1) % 8, t FROM tw) t JOIN nbr n ON n.node = t.node AND n.k = t.k WHERE part >= 1e-4 AND t.node NOT IN (SELECT node FROM o)), "
     "nm AS (SELECT src, dst, share, b.fill < a.fill AS falls FROM sh JOIN d a ON a.node = src JOIN d b ON b.node = dst), "
     "go AS (SELECT src, dst, sum(share) AS share FROM nm WHERE falls GROUP BY ALL UNION ALL SELECT d.node, coalesce(lo.parent, fl.parent), 1.0 FROM d LEFT JOIN lo USING (node) LEFT JOIN fl USING (node) WHERE d.node NOT IN (SELECT src FROM sh) AND d.node NOT IN (SELECT node FROM o) AND coalesce(lo.parent, fl.parent) IS NOT NULL), "
     "wave(node, amount) AS (SELECT node, km2 FROM ar UNION ALL SELECT go.dst, sum(amount * share) FROM wave JOIN go ON go.src = wave.node GROUP BY go.dst), tot AS (SELECT node, sum(amount) AS km2 FROM wave GROUP BY node), "
@@ -486,48 +491,69 @@ _DINF_SQL = _FILL_SQL + (
 )
 
 
-def raster(spark, d) -> tuple[DataFrame, int, int]:
-    """A raster with a pixel for about each customer, as high as the mean of the balances that fall to it; its width and height."""
-    c = read(spark, d, "customer")
-    h = int((c.count() / 2) ** 0.5)
-    p = c.groupBy((F.col("c_custkey") % (2 * h * h)).alias("p")).agg(F.avg("c_acctbal").alias("z"))
-    return p.selectExpr(f"CAST(floor(p / {2 * h}) AS BIGINT) AS y", f"p % {2 * h} AS x", "p AS node", "z"), 2 * h, h
+def _pixel_sizes(w: int, h: int) -> tuple:
+    """Width of a pixel by its row, and height, in m."""
+    return 1000 * geo.RADIUS_KM * F.cos(F.radians(90 - (F.col("y") + 0.5) * 180 / h)) * 2 * math.pi / w, 1000 * geo.RADIUS_KM * math.pi / h
+
+
+@query(f"WITH {_RASTER_SQL}, lay AS (SELECT node, z FROM px){_ANGLE_SQL} SELECT y, x, {r6('angle', 'angle')}, k AS a0, {r6('1 - t', 'w0')}, CAST((k + 1) % 8 AS INTEGER) AS a1, {r6('t', 'w1')} FROM px LEFT JOIN tw USING (node)")
+def gr_dinf(spark, d):
+    """Directions of steepest descent on a raster of a pixel for each customer."""
+    p, w, h = raster(spark, d)
+    out = rivers.downhill_two(p, w, h, *_pixel_sizes(w, h), True)
+    return out.selectExpr("y", "x", r6("angle", "angle"), "a0", r6("w0", "w0"), "a1", r6("w1", "w1"))
 
 
 @query(f"WITH RECURSIVE {_DINF_SQL} SELECT d.node, {r6('fill', 'fill')}, floor((km2 + coalesce(late, 0)) * 100 + 0.5) / 100 AS km2 FROM d JOIN tot USING (node) LEFT JOIN up USING (node)")
 def gr_accum_dinf(spark, d):
     """Hollows are filled, each pixel shares what it drains between two, and the amounts are accumulated block by block."""
     p, w, h = raster(spark, d)
-    lat = F.radians(90 - (F.col("y") + 0.5) * 180 / h)
-    out = rivers.drainage(p, w, h, 1000 * geo.RADIUS_KM * F.cos(lat) * 2 * math.pi / w, 1000 * geo.RADIUS_KM * math.pi / h, p.where("z <= 0").select("node"))
+    out = rivers.drainage(p, w, h, *_pixel_sizes(w, h), p.where("z <= 0").select("node"))
     return out.selectExpr("node", r6("fill", "fill"), "floor(total / 1000000 * 100 + 0.5) / 100 AS km2")
 
 
-_REGION = "region AS (SELECT cell, CASE WHEN NOT ocean THEN cell // 60 END AS region FROM world)"
-_EDGE_SQL = f"WITH {WORLD_SQL}, {_REGION}, be AS (SELECT src AS a, dst AS b FROM nb JOIN region x ON x.cell = src JOIN region y ON y.cell = dst WHERE src < dst AND x.region <> y.region)"
+_REGION = "region AS (SELECT cell, CASE WHEN lot % 4 > 0 THEN mix END AS region FROM cc LEFT JOIN (SELECT c_custkey % (2 * f * f + 1) AS five, sum(c_nationkey) % 25 AS mix, sum(CAST(floor(c_acctbal) AS BIGINT)) AS lot FROM customer, fq GROUP BY 1) ON five = cell // 5)"
+_EDGE_SQL = f"WITH {GREAT_NB_SQL}, {_REGION}, be AS (SELECT src AS a, dst AS b FROM nb JOIN region x ON x.cell = src JOIN region y ON y.cell = dst WHERE src < dst AND x.region <> y.region)"
 
 
 def _regions(spark) -> DataFrame:
     return world(spark).selectExpr("cell", "CASE WHEN NOT ocean THEN CAST(floor(cell / 60) AS BIGINT) END AS region")
 
 
+def realms(spark, d) -> DataFrame:
+    """cell, region: five cells in a row belong to the customers that fall to them, whose nations name their region; some are no one's."""
+    f = frequency(spark, d)
+    lot = F.sum(F.floor("c_acctbal")) % 4 > 0
+    by = read(spark, d, "customer").groupBy((F.col("c_custkey") % (2 * f * f + 1)).alias("five")).agg(F.when(lot, F.sum("c_nationkey") % 25).alias("region"))
+    return grid.lattice(spark, f).select("cell", F.floor(F.col("cell") / 5).alias("five")).join(by, "five", "left").select("cell", "region")
+
+
+def _segments(spark, d) -> DataFrame:
+    f = frequency(spark, d)
+    return borders.segments(realms(spark, d), _beside(spark, d), grid.cells(spark, f).select("cell", "x", "y", "z"))
+
+
+def _beside(spark, d) -> DataFrame:
+    return cut(grid.adjacency(spark, frequency(spark, d)).select("src", "dst"), "beside")
+
+
 @query(f"{_EDGE_SQL} SELECT a, b FROM be")
 def jn_border_edges(spark, d):
-    return borders.edges(_regions(spark), _near(spark))
+    return borders.edges(realms(spark, d), _beside(spark, d))
 
 
 @query(f"{_EDGE_SQL} SELECT a, b, n.dst AS c FROM be JOIN nb n ON n.src = a JOIN nb m ON m.src = b AND m.dst = n.dst")
 def jn_common_neighbours(spark, d):
-    e = _near(spark)
-    return borders.common_neighbours(borders.edges(_regions(spark), e), e)
+    e = _beside(spark, d)
+    return borders.common_neighbours(borders.edges(realms(spark, d), e), e)
 
 
 @query(
     f"{_EDGE_SQL}, cn AS (SELECT a, b, n.dst AS c, row_number() OVER (PARTITION BY a, b ORDER BY n.dst) AS k FROM be JOIN nb n ON n.src = a JOIN nb m ON m.src = b AND m.dst = n.dst), v AS (SELECT a, b, k, x.x + y.x + z.x AS x, x.y + y.y + z.y AS y, x.z + y.z + z.z AS z FROM cn JOIN cc x ON x.cell = a JOIN cc y ON y.cell = b JOIN cc z ON z.cell = c WHERE k <= 2), "
-    "g AS (SELECT a, b, k, floor(degrees(atan2(z, x)) * 1000 + 0.5) / 1000 AS lon, floor(degrees(asin(y / sqrt(x * x + y * y + z * z))) * 1000 + 0.5) / 1000 AS lat FROM v) SELECT p.a, p.b, p.lon AS lon1, p.lat AS lat1, q.lon AS lon2, q.lat AS lat2 FROM g p JOIN g q ON p.a = q.a AND p.b = q.b AND p.k = 1 AND q.k = 2"
+    "ends AS (SELECT a, b, k, floor(degrees(atan2(z, x)) * 1000 + 0.5) / 1000 AS lon, floor(degrees(asin(y / sqrt(x * x + y * y + z * z))) * 1000 + 0.5) / 1000 AS lat FROM v) SELECT p.a, p.b, p.lon AS lon1, p.lat AS lat1, q.lon AS lon2, q.lat AS lat2 FROM ends p JOIN ends q ON p.a = q.a AND p.b = q.b AND p.k = 1 AND q.k = 2"
 )
 def gr_border_segments(spark, d):
-    s = borders.segments(_regions(spark), _near(spark), grid.cells(spark, FREQ).select("cell", "x", "y", "z"))
+    s = _segments(spark, d)
     return s.selectExpr("a", "b", "p.lon AS lon1", "p.lat AS lat1", "q.lon AS lon2", "q.lat AS lat2")
 
 
@@ -535,7 +561,7 @@ _SEGMENT_SQL = ORACLES["gr_border_segments"].split(" SELECT p.a, p.b,")[0].repla
 
 
 @query(
-    f"{_SEGMENT_SQL}, seg AS (SELECT DISTINCT (p.lon, p.lat) AS p, (q.lon, q.lat) AS q FROM g p JOIN g q ON p.a = q.a AND p.b = q.b AND p.k = 1 AND q.k = 2 WHERE (p.lon, p.lat) <> (q.lon, q.lat)), "
+    f"{_SEGMENT_SQL}, seg AS (SELECT DISTINCT (p.lon, p.lat) AS p, (q.lon, q.lat) AS q FROM ends p JOIN ends q ON p.a = q.a AND p.b = q.b AND p.k = 1 AND q.k = 2 WHERE (p.lon, p.lat) <> (q.lon, q.lat)), "
     "h AS (SELECT p AS u, q AS v FROM seg UNION SELECT q, p FROM seg), deg AS (SELECT u AS c, count(*) AS n FROM h GROUP BY u), "
     "walk AS (SELECT u AS f0, u, v, [u] AS path FROM h UNION ALL SELECT w.f0, h.u, h.v, list_append(w.path, h.u) FROM walk w JOIN deg ON deg.c = w.v AND deg.n = 2 JOIN h ON h.u = w.v AND h.v <> w.u WHERE w.v <> w.f0), "
     "whole AS (SELECT list_append(path, v) AS way FROM walk JOIN deg x ON x.c = f0 JOIN deg y ON y.c = v WHERE (x.n <> 2 AND (y.n <> 2 OR v = f0)) OR (x.n = 2 AND v = f0 AND list_sort(path)[1] = f0)), "
@@ -544,28 +570,31 @@ _SEGMENT_SQL = ORACLES["gr_border_segments"].split(" SELECT p.a, p.b,")[0].repla
 )
 def gr_border_polylines(spark, d):
     """The corners of each line in order; a line is named by its first two."""
-    s = borders.segments(_regions(spark), _near(spark), grid.cells(spark, FREQ).select("cell", "x", "y", "z"))
+    s = _segments(spark, d)
     lines = borders.polylines(s).select(F.element_at("at", 1).alias("a"), F.element_at("at", 2).alias("b"), F.posexplode("at").alias("i", "c"))
     return lines.selectExpr("a.lon AS lon1", "a.lat AS lat1", "b.lon AS lon2", "b.lat AS lat2", "CAST(i + 1 AS BIGINT) AS i", "c.lon", "c.lat")
 
 
-@query(f"WITH {CELLS_SQL} SELECT cell FROM cc WHERE abs(z) > 0.9999999")
+@query(f"WITH {GREAT_CELLS_SQL} SELECT cell FROM cc WHERE abs(z) > 0.9999999")
 def set_poles(spark, d):
-    p = grid.placed(spark, FREQ)
-    return p.select("cell").join(exports.atlas(p, FREQ).select("cell"), "cell", "left_anti")
+    f = frequency(spark, d)
+    p = grid.placed(spark, f)
+    return p.select("cell").join(exports.atlas(p, f).select("cell"), "cell", "left_anti")
 
 
-@query(f"WITH {CELLS_SQL}, b AS (SELECT * FROM (VALUES {', '.join(f'({i}, {y}, {z}, {w})' for i, (_, y, z, w) in enumerate(exports.BLOCKS))}) t(block, ky, kz, kw)), s AS (SELECT cell, block, sum(CASE WHEN k IN (ky, kw) THEN t ELSE 0 END) * {_F} - 1 AS i, sum(CASE WHEN k IN (kz, kw) THEN t ELSE 0 END) * {_F} AS j, count_if(k NOT IN (ky, kz, kw) AND k NOT IN (0, 11) OR k = 0 AND block > 4 OR k = 11 AND block < 5) AS away FROM c2, b GROUP BY cell, block) SELECT cell, CAST(block AS BIGINT) AS block, CAST(round(i) AS BIGINT) AS i, CAST(round(j) AS BIGINT) AS j FROM s WHERE away = 0 AND round(i) BETWEEN 0 AND {_F - 1} AND round(j) BETWEEN 0 AND {_F - 1}")
+@query(f"WITH {GREAT_CELLS_SQL}, b AS (SELECT * FROM (VALUES {', '.join(f'({i}, {y}, {z}, {w})' for i, (_, y, z, w) in enumerate(exports.BLOCKS))}) t(block, ky, kz, kw)), s AS (SELECT cell, block, f, sum(CASE WHEN k IN (ky, kw) THEN t ELSE 0 END) * f - 1 AS i, sum(CASE WHEN k IN (kz, kw) THEN t ELSE 0 END) * f AS j, count_if(k NOT IN (ky, kz, kw) AND k NOT IN (0, 11) OR k = 0 AND block > 4 OR k = 11 AND block < 5) AS away FROM c2, b GROUP BY cell, block, f) SELECT cell, CAST(block AS BIGINT) AS block, CAST(round(i) AS BIGINT) AS i, CAST(round(j) AS BIGINT) AS j FROM s WHERE away = 0 AND round(i) BETWEEN 0 AND f - 1 AND round(j) BETWEEN 0 AND f - 1")
 def sink_atlas_pack(spark, d):
-    return exports.atlas(grid.placed(spark, FREQ), FREQ)
+    f = frequency(spark, d)
+    return exports.atlas(grid.placed(spark, f), f)
 
 
-@query(f"WITH {WORLD_SQL} SELECT cell, height AS v FROM world WHERE abs(z) < 0.9999999")
+@query(f"WITH {GREAT_CELLS_SQL} SELECT cell, w.z AS v FROM w JOIN cc USING (cell) WHERE abs(cc.z) < 0.9999999")
 def sink_atlas_unpack(spark, d):
     """Heights packed into an atlas and taken back out of it."""
-    p, w = grid.placed(spark, FREQ), world(spark)
-    packed = exports.atlas(p, FREQ).join(w.select("cell", "height"), "cell").select("block", "i", "j", F.col("height").alias("v"))
-    return exports.from_atlas(cut(packed, "atlas"), p, FREQ)
+    f = frequency(spark, d)
+    p = grid.placed(spark, f)
+    packed = exports.atlas(p, f).join(great_world(spark, d).select("cell", "z"), "cell").select("block", "i", "j", F.col("z").alias("v"))
+    return exports.from_atlas(cut(packed, "atlas"), p, f)
 
 
 # --- statistics and sets --------------------------------------------------------------------------------------------------------
@@ -581,9 +610,11 @@ def agg_corr(spark, d):
     return stats.correlation(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice").selectExpr(r6("r", "r"))
 
 
-@query(f"WITH {WORLD_SQL}, {_AREA_SQL}, m AS (SELECT sum(CASE WHEN NOT ocean THEN sr * x ELSE 0 END) AS x, sum(CASE WHEN NOT ocean THEN sr * y ELSE 0 END) AS y, sum(CASE WHEN NOT ocean THEN sr * z ELSE 0 END) AS z, sum(CASE WHEN NOT ocean THEN sr ELSE 0 END) / sum(sr) AS s FROM world JOIN area USING (cell)) SELECT {r6('x / sqrt(x * x + y * y + z * z)', 'x')}, {r6('y / sqrt(x * x + y * y + z * z)', 'y')}, {r6('z / sqrt(x * x + y * y + z * z)', 'z')}, {r6('s', 'share')} FROM m")
+@query(f"WITH {GREAT_NB_SQL}, {_AREA_SQL}, world AS (SELECT cc.*, w.z <= 0 AS ocean FROM cc JOIN w USING (cell)), m AS (SELECT sum(CASE WHEN NOT ocean THEN sr * x ELSE 0 END) AS x, sum(CASE WHEN NOT ocean THEN sr * y ELSE 0 END) AS y, sum(CASE WHEN NOT ocean THEN sr * z ELSE 0 END) AS z, sum(CASE WHEN NOT ocean THEN sr ELSE 0 END) / sum(sr) AS s FROM world JOIN area USING (cell)) SELECT {r6('x / sqrt(x * x + y * y + z * z)', 'x')}, {r6('y / sqrt(x * x + y * y + z * z)', 'y')}, {r6('z / sqrt(x * x + y * y + z * z)', 'z')}, {r6('s', 'share')} FROM m")
 def agg_crust_centroid(spark, d):
-    w = world(spark).join(grid.areas(spark, FREQ).withColumnRenamed("area_sr", "area"), "cell").withColumn("land", ~F.col("ocean"))
+    f = frequency(spark, d)
+    w = grid.cells(spark, f).select("cell", "x", "y", "z").join(grid.areas(spark, f).withColumnRenamed("area_sr", "area"), "cell")
+    w = w.join(great_world(spark, d).select("cell", (F.col("z") > 0).alias("land")), "cell")
     return stats.area_centroid(w).selectExpr(r6("x", "x"), r6("y", "y"), r6("z", "z"), r6("share", "share"))
 
 
@@ -814,10 +845,10 @@ def q_civ_phases(spark, d):
     return visits.where("n >= 2").selectExpr("o_custkey AS place", "n")
 
 
-@query(f"WITH {CELLS_SQL}, s AS (SELECT cell, 0.5 + 0.4 * z AS a, x AS b FROM cc) SELECT 'a' AS species, count_if(a > 0) AS hits FROM s UNION ALL SELECT 'b', count_if(b > 0.25) FROM s")
+@query(f"WITH {GRID_SQL}, s AS (SELECT 0.5 + 0.4 * z / 5000 AS a, t / 40 AS b FROM w) SELECT 'a' AS species, count_if(a > 0) AS hits FROM s UNION ALL SELECT 'b', count_if(b > 0.25) FROM s")
 def q_civ_spec_lint(spark, d):
     """How many cells suit each species of a spec, after the spec has been found sound."""
-    c = grid.cells(spark, FREQ).withColumn("one", F.lit(1.0))
+    c = great_world(spark, d).selectExpr("cell", "z / 5000 AS z", "t / 40 AS x").withColumn("one", F.lit(1.0))
     spec = {
         "a": {"soft": [{"field": "one", "fn": "linear", "weight": 0.5}, {"field": "z", "fn": "linear", "weight": 0.4}, {"field": "low", "fn": "linear", "weight": -0.4}]},
         "b": {"hard": [{"field": "x", "op": "gt", "value": 0.25}], "soft": [{"field": "one", "fn": "linear"}]},
