@@ -17,6 +17,7 @@ from .operators import places as at
 from .queries import GRID_SQL, ORACLES, RASTER_SQL, _FLOODZ, FREQ, LAT, LON, PLACES_SQL, RING_SQL, _store, frequency, places, query, r6, raster, ring
 from .queries import world as great_world
 from .sources import grid
+from .streaming import live
 from .streaming import news as streams
 from .tables import cut, kept, read
 
@@ -818,24 +819,49 @@ def ss_scene_state(spark, d):
 
 @query("WITH f AS (SELECT conv_id AS scene, turn AS entry, role AS viewer, text FROM conversations), e AS (SELECT conv_id AS scene, turn AS entry, max('edit ' || role) AS new FROM conversations WHERE turn % 4 = 1 GROUP BY ALL) SELECT scene, entry, viewer, coalesce(new, text) AS text FROM f LEFT JOIN e USING (scene, entry)")
 def ss_edit_propagation(spark, d):
-    c = read(spark, d, "conversations")
-    feed = c.selectExpr("conv_id AS scene", "turn AS entry", "role AS viewer", "text")
-    edits = c.where("turn % 4 = 1").selectExpr("conv_id AS scene", "turn AS entry", "concat('edit ', role) AS text", "concat('edit ', role) AS seq")
-    return streams.edited(feed, edits)
+    """Feeds and edits stream in; what each viewer shows in the end is what the last edit says."""
+    raw = spark.readStream.schema(read(spark, d, "conversations").schema).parquet(f"{d}/conversations*.parquet")
+    feed = raw.selectExpr("conv_id AS scene", "turn AS entry", "role AS viewer", "text")
+    edits = raw.where("turn % 4 = 1").selectExpr("conv_id AS scene", "turn AS entry", "concat('edit ', role) AS text", "turn AS seq")
+    return live.shown(streams.drain(live.corrections(feed, edits)))
+
+
+def _stream_of_events(spark, d) -> DataFrame:
+    raw = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_PAST = "past AS (SELECT floor(epoch_us(max(ts)) / 1000)::BIGINT * 1000 - {0} AS us FROM events)"
 
 
-@query("WITH l AS (SELECT user_id AS task, max(event_id) AS last, arg_max(event_type, event_id) AS type FROM events GROUP BY 1) SELECT task, CASE WHEN type = 'click' THEN 'done' WHEN type = 'error' THEN 'error' WHEN (SELECT max(event_id) FROM events) - last > 120 THEN 'idle' ELSE 'running' END AS state FROM l")
+@query(
+    f"WITH {_PAST.format(600_000_000)}, x AS (SELECT user_id AS task, epoch_us(ts) AS us, CASE WHEN event_id % 97 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'done' ELSE 'error' END END AS stop FROM events WHERE epoch_us(ts) <= (SELECT us FROM past)), "
+    "s AS (SELECT task, min(us) AS us FROM x WHERE stop IS NOT NULL GROUP BY task), y AS (SELECT x.*, lag(x.us) OVER (PARTITION BY task ORDER BY x.us) AS before, lead(x.us) OVER (PARTITION BY task ORDER BY x.us) AS after FROM x LEFT JOIN s USING (task) WHERE s.us IS NULL OR x.us <= s.us) "
+    "SELECT task, us, coalesce(stop, 'running') AS state FROM y WHERE stop IS NOT NULL OR before IS NULL OR us - before > 28800000000 "
+    "UNION ALL SELECT task, us + 28800000000, 'idle' FROM y WHERE stop IS NULL AND (after - us > 28800000000 OR after IS NULL AND us + 28800000000 <= (SELECT us FROM past))"
+)
 def ss_progress(spark, d):
-    e = read(spark, d, "events").selectExpr("user_id AS task", "event_id AS at", "CASE event_type WHEN 'click' THEN 'done' WHEN 'error' THEN 'error' ELSE 'progress' END AS type")
-    now = e.agg(F.max("at")).first()[0]
-    return streams.progress(e, now)
+    """Tasks run, turn idle after eight hours without a sign, wake and end, as far as the watermark has come."""
+    e = _stream_of_events(spark, d).selectExpr("user_id AS task", "ts AS at", "CASE WHEN event_id % 97 > 0 THEN 'progress' WHEN event_id % 2 = 0 THEN 'done' ELSE 'error' END AS type")
+    return streams.drain(live.task_states(e, 28800.0, "10 minutes"))
 
 
-@query("SELECT epoch_ms(ts) // 3600000 AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query(f"WITH {_PAST.format(600_000_000)} SELECT epoch_ms(ts) // 3600000 AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING (epoch_ms(any_value(ts)) // 3600000 + 1) * 3600000000 <= (SELECT us FROM past)")
 def ss_windows(spark, d):
-    """Counts per hour of all events, streamed as a table: windows over a stream put out those that the watermark has passed."""
-    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.counts_per_window(e).select(F.expr("CAST(floor(unix_timestamp(start) / 3600) AS BIGINT) AS hour"), "event_type", "n")
+    """Counts per hour of a stream, of the hours that the watermark has passed."""
+    w = streams.drain(streams.counts_per_window(_stream_of_events(spark, d)))
+    return w.select(F.expr("CAST(floor(unix_timestamp(start) / 3600) AS BIGINT) AS hour"), "event_type", "n")
+
+
+@query(
+    f"WITH {_PAST.format(3_600_000_000)}, s AS (SELECT user_id AS pair, epoch_us(ts) AS us, value AS apart FROM events WHERE value < 20), g AS (SELECT *, CASE WHEN us - lag(us) OVER w > 43200000000 THEN 1 ELSE 0 END AS fresh FROM s WINDOW w AS (PARTITION BY pair ORDER BY us)), "
+    "k AS (SELECT *, sum(fresh) OVER (PARTITION BY pair ORDER BY us) AS part FROM g) SELECT pair, min(us) AS first, max(us) AS last, count(*) AS n, min(apart) AS least, arg_min(us, row(apart, us)) AS closest FROM k GROUP BY pair, part HAVING max(us) + 43200000000 <= (SELECT us FROM past)"
+)
+def ss_conjunctions(spark, d):
+    """Passages of a stream of near samples: open until twelve hours go by without one."""
+    near = _stream_of_events(spark, d).where("value < 20").selectExpr("user_id AS pair", "ts AS at", "value AS apart")
+    p = streams.drain(live.passages(near, "12 hours"))
+    return p.selectExpr("pair", "unix_micros(first) AS first", "unix_micros(last) AS last", "n", "least", "unix_micros(closest) AS closest")
 
 
 @query("SELECT o_custkey AS place, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 2")
