@@ -100,18 +100,22 @@ def river_table(chain: DataFrame, cells: DataFrame) -> DataFrame:
     return chain.join(cells.select("node", "z", "accum", "ocean"), "node").withColumn("width_m", geo.river_width_m(F.col("accum")))
 
 
-def tributaries(cells: DataFrame, receivers: DataFrame, threshold: float, steps: int = 200) -> DataFrame:
-    """start, cells, discharge: cells that drain an eighth of the threshold or more, but aren't channels, and how many cells it is from there to
-    a channel along the receivers (three at least, both ends counted)."""
+def tributaries(cells: DataFrame, receivers: DataFrame, threshold: float, steps: int = 200, most: int | None = 400) -> DataFrame:
+    """cells (node, accum, ocean), receivers -> start, cells, discharge: ways of cells that drain more than an eighth of the threshold, but are no
+    channel, along the receivers to a channel (three cells at least, both ends counted; no more than `steps` on the way); the first `most` by what they drain.
+
+    The greatest start has its way first, ties to the smaller node, and another one that meets a way found before is none. So of all starts that come to a
+    channel through the same last cell only the greatest has a way: last cells are found by doubled pointers, and one grouping picks the starts.
+    A greatest start whose way is too short or too long still leaves none to the others."""
     c = cells.select("node", "accum", "ocean", channel(F.col("accum"), F.col("ocean"), threshold).alias("channel"))
-    down = receivers.join(c, "node").join(c.select(F.col("node").alias("receiver"), F.col("ocean").alias("to_sea"), F.col("channel").alias("to_channel")), "receiver")
-    tree = c.where("NOT channel AND NOT ocean").select("node").join(down.where("NOT to_sea").select("node", "receiver"), "node", "left").select("node", F.col("receiver").alias("parent"))
-    whole = tree.unionByName(c.where("channel").select("node", F.lit(None).cast("long").alias("parent")))
-    far = graph.roots(whole)
-    minor = c.where((F.col("accum") > threshold / 8) & (F.col("accum") <= threshold) & ~F.col("channel") & ~F.col("ocean")).select("node", "accum")
-    hit = far.join(c.where("channel").select(F.col("node").alias("root")), "root", "left_semi")
-    out = minor.join(hit, "node").where((F.col("depth") >= 2) & (F.col("depth") <= steps))
-    return out.select(F.col("node").alias("start"), (F.col("depth") + 1).alias("cells"), F.col("accum").alias("discharge"))
+    ends = c.select(F.col("node").alias("receiver"), F.col("ocean").alias("to_sea"), F.col("channel").alias("to_channel"))
+    down = cut(c.where("NOT channel AND NOT ocean").join(receivers, "node", "left").join(ends, "receiver", "left").select("node", "accum", "receiver", "to_sea", "to_channel"), "down")
+    last = graph.roots(down.select("node", F.when(~F.col("to_sea") & ~F.col("to_channel"), F.col("receiver")).alias("parent")))
+    minor = down.where((F.col("accum") > threshold / 8) & (F.col("accum") <= threshold)).select("node", "accum")
+    hit = last.join(minor, "node").join(down.where("to_channel").select(F.col("node").alias("root")), "root", "left_semi")
+    best = hit.groupBy("root").agg(F.max(F.struct("accum", -F.col("node"), "depth")).alias("b"))
+    out = best.select((-F.col("b.col2")).alias("start"), (F.col("b.depth") + 2).alias("cells"), F.col("b.accum").alias("discharge")).where((F.col("cells") >= 3) & (F.col("cells") <= steps + 1))
+    return out if most is None else out.orderBy(F.desc("discharge"), "start").limit(most)
 
 
 def beds(path: DataFrame, key: str, order: str, z: str, depth: Column) -> DataFrame:

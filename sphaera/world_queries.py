@@ -408,11 +408,6 @@ def top_rivers(spark, d):
     return t.groupBy("river").agg(F.max_by("accum", "ord").alias("q"), F.count("*").alias("cells")).selectExpr("CAST(river AS BIGINT) AS river", r6("q", "discharge"), "cells")
 
 
-@query(f"WITH RECURSIVE {_RIVER_SQL}, chn AS (SELECT node FROM node WHERE accum > 40 AND NOT ocean), st AS (SELECT rec.node, receiver FROM rec JOIN node a USING (node) JOIN node b ON b.node = receiver WHERE NOT a.ocean AND NOT b.ocean AND rec.node NOT IN (SELECT node FROM chn)), w(start, node, k) AS (SELECT node, node, 0 FROM node WHERE accum > 5 AND accum <= 40 AND NOT ocean UNION ALL SELECT start, receiver, k + 1 FROM w JOIN st USING (node)) SELECT start, CAST(max(k) + 1 AS BIGINT) AS cells FROM w GROUP BY start HAVING max(k) >= 2 AND arg_max(node, k) IN (SELECT node FROM chn)")
-def gr_tributaries(spark, d):
-    return rivers.tributaries(*_river_cells(spark, d), 40.0).selectExpr("start", "CAST(cells AS BIGINT) AS cells")
-
-
 @query(f"WITH RECURSIVE {RING_SQL}, low AS (SELECT s AS node, {_FLOODZ.format('s')} AS z FROM {_N} WHERE {_FLOODZ.format('s')} <= 400), e2 AS (SELECT src, dst FROM ring WHERE src IN (SELECT node FROM low) AND dst IN (SELECT node FROM low)), c(node, root) AS (SELECT node, node FROM low UNION SELECT e2.dst, c.root FROM c JOIN e2 ON c.node = e2.src), p AS (SELECT node, min(root) AS part FROM c GROUP BY node), b AS (SELECT part FROM p JOIN low USING (node) GROUP BY part ORDER BY count(*) DESC, min(z), part LIMIT 1) SELECT s AS node, coalesce(part = (SELECT part FROM b), false) AS ocean, coalesce(part <> (SELECT part FROM b), false) AS lake FROM {_N} LEFT JOIN p ON p.node = s")
 def gr_ocean_lake(spark, d):
     n = read(spark, d, "supplier").count()
@@ -513,6 +508,21 @@ def gr_accum_dinf(spark, d):
     return out.selectExpr("node", r6("fill", "fill"), "floor(total / 1000000 * 100 + 0.5) / 100 AS km2")
 
 
+@query(
+    f"WITH RECURSIVE {_RASTER_SQL}, node AS (SELECT node, z, CAST(node * 31 % 89 AS DOUBLE) AS accum, z < 0 AS ocean FROM px), rec AS (SELECT src AS node, arg_max(dst, row(x.z - y.z, -dst)) AS receiver FROM e4 JOIN node x ON x.node = src JOIN node y ON y.node = dst WHERE y.z < x.z GROUP BY src), "
+    "chn AS (SELECT node FROM node WHERE accum > 40 AND NOT ocean), st AS (SELECT rec.node, receiver FROM rec JOIN node a USING (node) JOIN node b ON b.node = receiver WHERE NOT a.ocean AND NOT b.ocean AND rec.node NOT IN (SELECT node FROM chn)), "
+    "rk AS (SELECT node AS start, accum, row_number() OVER (ORDER BY accum DESC, node) AS r FROM node WHERE accum > 5 AND accum <= 40 AND NOT ocean), w(start, node, k) AS (SELECT start, start, 0 FROM rk UNION ALL SELECT start, receiver, k + 1 FROM w JOIN st USING (node)), "
+    "own AS (SELECT node, min(r) AS first FROM w JOIN rk USING (start) WHERE node NOT IN (SELECT node FROM chn) GROUP BY node) "
+    "SELECT start, CAST(max(k) + 1 AS BIGINT) AS cells, any_value(accum) AS discharge FROM w JOIN rk USING (start) LEFT JOIN own USING (node) GROUP BY start HAVING max(k) >= 2 AND arg_max(node, k) IN (SELECT node FROM chn) AND bool_and(coalesce(first = r, true)) ORDER BY discharge DESC, start LIMIT 400"
+)
+def gr_tributaries(spark, d):
+    """Ways down a raster of the customers' balances. The first 400 are a report's limit, as the operator's default."""
+    p, w, h = raster(spark, d)
+    c = cut(p.selectExpr("y", "x", "node", "z", "CAST(node * 31 % 89 AS DOUBLE) AS accum", "z < 0 AS ocean"), "cells")
+    r = graph.receivers(c, rivers.raster_edges(w, h, c).withColumn("km", F.lit(1.0)))
+    return rivers.tributaries(c, r, 40.0).selectExpr("start", "CAST(cells AS BIGINT) AS cells", "discharge")
+
+
 _REGION = "region AS (SELECT cell, CASE WHEN lot % 4 > 0 THEN mix END AS region FROM cc LEFT JOIN (SELECT c_custkey % (2 * f * f + 1) AS five, sum(c_nationkey) % 25 AS mix, sum(CAST(floor(c_acctbal) AS BIGINT)) AS lot FROM customer, fq GROUP BY 1) ON five = cell // 5)"
 _EDGE_SQL = f"WITH {GREAT_NB_SQL}, {_REGION}, be AS (SELECT src AS a, dst AS b FROM nb JOIN region x ON x.cell = src JOIN region y ON y.cell = dst WHERE src < dst AND x.region <> y.region)"
 

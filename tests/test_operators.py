@@ -433,3 +433,30 @@ def test_drainage_of_a_cone_and_over_a_pole(spark):
     assert abs(got[w * (h - 1) + 5].total - area[w * (h - 1) + 5]) < 1e-6
     small = {r.node: round(r.total) for r in rivers.drainage(px, w, h, F.lit(1.0), 1.0, out, 9).collect()}
     assert small == {n: round(r.total) for n, r in got.items()}
+
+
+def test_tributaries_as_taken_one_by_one(spark):
+    from sphaera.operators import rivers
+
+    rng = random.Random(12)
+    n = 300
+    rec = {i: rng.randint(max(0, i - 12), i - 1) if i and rng.random() > 0.01 else None for i in range(n)}
+    accum = dict.fromkeys(range(n), 1.0)
+    for i in reversed(range(n)):
+        if rec[i] is not None:
+            accum[rec[i]] += accum[i]
+    accum = {i: x * rng.choice([0.2, 0.5, 1.0, 2.0]) for i, x in accum.items()}  # where drained areas only grow downwards, last cells are the greatest
+    ocean = {i: i in (4, 40) for i in range(n)}
+    for threshold, most in ((20.0, None), (20.0, 3), (60.0, 400)):
+        is_channel = {i: accum[i] > threshold and not ocean[i] for i in range(n)}
+        taken, want = set(), []
+        for start in sorted((i for i in range(n) if threshold / 8 < accum[i] <= threshold and not ocean[i]), key=lambda i: (-accum[i], i)):
+            way = [start]
+            while way[-1] not in taken and not is_channel[way[-1]] and rec[way[-1]] is not None and not ocean[rec[way[-1]]]:
+                way.append(rec[way[-1]])
+            if is_channel[way[-1]] and len(way) >= 3:
+                want.append((start, len(way), accum[start]))
+            taken |= set(way)
+        cells = spark.createDataFrame([(i, accum[i], ocean[i]) for i in range(n)], "node long, accum double, ocean boolean")
+        got = rivers.tributaries(cells, spark.createDataFrame(list(rec.items()), "node long, receiver long"), threshold, most=most).collect()
+        assert sorted(map(tuple, got)) == sorted(want[:most]) and want
