@@ -46,6 +46,23 @@ def capitals(rows: DataFrame, group: str, population: str, key: str, most: int =
     return own.orderBy(F.desc(population), key).limit(most)
 
 
+def hearths(rows: DataFrame, group: str, population: str, key: str, most: int = 4, apart: float = 25.0) -> DataFrame:
+    """rows (key, group, population, unit vectors px, py, pz) -> group, nth (from 1), key: of each group the most populous members, each at least `apart`
+    degrees from those before it: a sixth of the group's number, one at least and `most` at most. Ties go to the smaller key; rows with a null take no part.
+
+    A round finds the next one of all groups by a partial maximum and strikes what is too near it, so no task sees a whole group."""
+    whole = rows.select(F.col(group).alias("g"), F.col(population).alias("p"), F.col(key).alias("k"), "px", "py", "pz").na.drop()
+    size = whole.groupBy("g").agg(F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.count("*") / 6))).alias("quota"))
+    left, out = whole.join(size, "g"), None
+    for nth in range(1, most + 1):
+        first = left.where(F.col("quota") >= nth).groupBy("g").agg(F.max(F.struct("p", (-F.col("k")).alias("k"), "px", "py", "pz")).alias("h"))
+        first = cut(first.select("g", (-F.col("h.k")).alias("h"), F.col("h.px").alias("hx"), F.col("h.py").alias("hy"), F.col("h.pz").alias("hz")), "hearths")
+        left = left.join(first.drop("h"), "g").where(F.col("hx") * F.col("px") + F.col("hy") * F.col("py") + F.col("hz") * F.col("pz") < math.cos(math.radians(apart))).drop("hx", "hy", "hz")
+        own = first.select(F.col("g").alias(group), F.lit(nth).cast("long").alias("nth"), F.col("h").alias(key))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 #: Places of a list of trunk ends at most.
 ENDS = 100
 

@@ -523,6 +523,17 @@ def gr_tributaries(spark, d):
     return rivers.tributaries(c, r, 40.0).selectExpr("start", "CAST(cells AS BIGINT) AS cells", "discharge")
 
 
+@query(
+    f"WITH RECURSIVE {PLACES_SQL}, {_dir_sql('u', 'places')}, s AS (SELECT place, c_nationkey AS species, px, py, pz, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS i, greatest(1, least(4, count(*) OVER (PARTITION BY c_nationkey) // 6)) AS q FROM u JOIN customer ON c_custkey = place), "
+    "t(species, i, own) AS (SELECT species, i, [{'p': place, 'x': px, 'y': py, 'z': pz}] FROM s WHERE i = 1 UNION ALL SELECT s.species, s.i, CASE WHEN len(own) < s.q AND len(list_filter(own, lambda h: h.x * s.px + h.y * s.py + h.z * s.pz >= cos(radians(25)))) = 0 THEN list_append(own, {'p': s.place, 'x': s.px, 'y': s.py, 'z': s.pz}) ELSE own END FROM t JOIN s ON s.species = t.species AND s.i = t.i + 1) "
+    "SELECT species, nth, own[nth].p AS place FROM (SELECT species, own, unnest(range(1, len(own) + 1)) AS nth FROM (SELECT species, arg_max(own, i) AS own FROM t GROUP BY species))"
+)
+def win_culture_members(spark, d):
+    """Where the cultures of each nation begin: its richest customers, well apart."""
+    c = read(spark, d, "customer").selectExpr("c_custkey AS place", "CAST(c_nationkey AS BIGINT) AS species", "c_acctbal AS wealth")
+    return ranking.hearths(at.unit(places(spark, d)).join(c, "place"), "species", "wealth", "place")
+
+
 _REGION = "region AS (SELECT cell, CASE WHEN lot % 4 > 0 THEN mix END AS region FROM cc LEFT JOIN (SELECT c_custkey % (2 * f * f + 1) AS five, sum(c_nationkey) % 25 AS mix, sum(CAST(floor(c_acctbal) AS BIGINT)) AS lot FROM customer, fq GROUP BY 1) ON five = cell // 5)"
 _EDGE_SQL = f"WITH {GREAT_NB_SQL}, {_REGION}, be AS (SELECT src AS a, dst AS b FROM nb JOIN region x ON x.cell = src JOIN region y ON y.cell = dst WHERE src < dst AND x.region <> y.region)"
 

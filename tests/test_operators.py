@@ -460,3 +460,15 @@ def test_tributaries_as_taken_one_by_one(spark):
         cells = spark.createDataFrame([(i, accum[i], ocean[i]) for i in range(n)], "node long, accum double, ocean boolean")
         got = rivers.tributaries(cells, spark.createDataFrame(list(rec.items()), "node long, receiver long"), threshold, most=most).collect()
         assert sorted(map(tuple, got)) == sorted(want[:most]) and want
+
+
+def test_hearths_of_odd_groups(spark):
+    from sphaera.operators import ranking
+
+    far = [(i, "big", 5, *v) for i, v in enumerate([(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)] * 6)]
+    near = [(100 + i, "crowd", i, 1.0, 0.0, 0.0) for i in range(40)]
+    odd = [(200, "one", 1, 0.0, 0.0, 1.0), (201, None, 9, 0.0, 0.0, 1.0), (202, "one", None, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(far + near + odd, "place long, kind string, n long, px double, py double, pz double")
+    got = sorted(map(tuple, ranking.hearths(df, "kind", "n", "place").collect()))
+    assert got == [("big", 1, 0), ("big", 2, 1), ("big", 3, 2), ("crowd", 1, 139), ("one", 1, 200)]
+    assert ranking.hearths(df.limit(0), "kind", "n", "place").count() == 0
