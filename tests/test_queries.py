@@ -34,3 +34,17 @@ def test_spaced_places_are_found_behind_a_hot_place(spark):
     assert got == [0, 1000, 1001, 1002, 1003]
     assert ranking.spaced(df.limit(0), "score", "place", 12.0, 5).count() == 0
     assert ranking.spaced(df, "score", "place", 12.0, 20).count() == 9
+
+
+@pytest.mark.parametrize("name", ["jn_nearest_cell", "q_describe"])
+def test_places_between_two_cells_fall_to_the_greater(spark, tmp_path, name):
+    """On the equator cells of both sides are equally near to the last bit. SQL leaves such ties open: on one thread it finds the greater cell."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"COPY (SELECT unnest([8500, 59500, 110500, 314500, 17])::BIGINT AS c_custkey, 1.0::DOUBLE AS c_acctbal) TO '{tmp_path}/customer.parquet'")
+    c.execute(f"COPY (SELECT range AS s_suppkey FROM range(0, 40)) TO '{tmp_path}/supplier.parquet'")
+    for t in ("customer", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path))) == rows(c.execute(ORACLES[name]).fetchdf())
