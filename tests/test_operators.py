@@ -472,3 +472,20 @@ def test_hearths_of_odd_groups(spark):
     got = sorted(map(tuple, ranking.hearths(df, "kind", "n", "place").collect()))
     assert got == [("big", 1, 0), ("big", 2, 1), ("big", 3, 2), ("crowd", 1, 139), ("one", 1, 200)]
     assert ranking.hearths(df.limit(0), "kind", "n", "place").count() == 0
+
+
+def test_nearest_of_many_targets_meets_few_of_them(spark):
+    from sphaera.operators import places as at
+
+    targets = grid.fibonacci_sphere(spark, 20_000)
+    points = grid.fibonacci_sphere(spark, 300).selectExpr("id AS place", "x AS px", "z AS py", "y AS pz")
+    side = at.side_for(targets)
+    assert at.within(points, "place", targets, side, True).count() < 300 * 20
+    got = {r["place"]: (r["id"], round(r["chord2"], 9)) for r in at.nearest(points, "place", targets, side, many=True).collect()}
+    t = [(r["id"], r["x"], r["y"], r["z"]) for r in targets.collect()]
+    for p in points.collect()[::7]:
+        d, i = min((round((p["px"] - x) ** 2 + (p["py"] - y) ** 2 + (p["pz"] - z) ** 2, 9), i) for i, x, y, z in t)
+        assert got[p["place"]] == (i, d)
+    far = targets.where("id >= 19990")  # all near one pole: the cubes are doubled for the points that find none
+    assert at.nearest(points, "place", far, 0.05, many=True).count() == at.nearest(points, "place", far, 0.05).count() == 300
+    assert at.nearest(points, "place", targets.limit(0), at.side_for(targets.limit(0)), many=True).count() == 0
