@@ -101,8 +101,12 @@ def task_states(events: DataFrame, idle: float = 120.0, late: str = "10 seconds"
     return rows.groupBy("task").applyInPandasWithState(_watch(int(idle * 1_000_000)), "task long, us long, state string", "at array<bigint>, kinds array<string>, last bigint, now string", "append", "EventTimeTimeout")
 
 
-def passages(samples: DataFrame, step: str, late: str = "1 hour") -> DataFrame:
+def passages(samples: DataFrame, step: str, late: str = "1 hour", near: str | None = None) -> DataFrame:
     """A stream of samples (pair, at, apart) of pairs that are near each other -> pair, first, last, n, least, closest: a passage is open until no sample
-    has come within the step, and is put out when the watermark has passed that; closest is the time of the least distance, of equal ones the first."""
-    s = samples.withWatermark("at", late).groupBy("pair", F.session_window("at", step).alias("w"))
+    has come within the step, and is put out when the watermark has passed that; closest is the time of the least distance, of equal ones the first.
+
+    Samples may be of pairs that are far apart too: `near` (SQL over samples) tells the others, but time goes on by all samples."""
+    timed = samples.withWatermark("at", late)
+    # A filter that doesn't ask for the time is moved to before the watermark, which would then be of the near samples only.
+    s = (timed.where(F.when(F.col("at").isNotNull(), F.expr(near))) if near else timed).groupBy("pair", F.session_window("at", step).alias("w"))
     return s.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"), F.min(F.struct("apart", "at")).alias("m")).select("pair", "first", "last", "n", F.col("m.apart").alias("least"), F.col("m.at").alias("closest"))

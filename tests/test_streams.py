@@ -101,3 +101,22 @@ def test_passages_close_and_late_samples_are_dropped(spark, streamed):
     s = streamed([first, second, third, fourth], "pair long, at timestamp, apart double")
     got = sorted((r.pair, r.a, r.b, r.n, r.least, r.c) for r in drain(live.passages(s, "100 seconds", "60 seconds")).selectExpr("pair", "unix_micros(first) AS a", "unix_micros(last) AS b", "n", "least", "unix_micros(closest) AS c").collect())
     assert got == [(1, us(0), us(90), 3, 1.0, us(50)), (1, us(400), us(400), 1, 5.0, us(400)), (2, us(10), us(60), 2, 0.5, us(60)), (3, us(5000), us(5010), 2, 0.5, us(5010))]
+
+
+def test_time_goes_on_by_far_samples_too(spark, streamed):
+    rows = [(1, at(0), 3.0), (1, at(50), 1.0), (9, at(5000), 90.0)]  # the last one is far apart, and closes the passage
+    got = drain(live.passages(streamed([rows], "pair long, at timestamp, apart double"), "100 seconds", "60 seconds", "apart < 20")).collect()
+    assert [(r.pair, r.n, r.least) for r in got] == [(1, 2, 1.0)]
+
+
+def test_passages_of_events_equal_sql_where_the_last_events_are_far(spark, tmp_path):
+    import duckdb
+
+    from sphaera import world_queries
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE events AS SELECT * FROM (VALUES (1, TIMESTAMP '2024-05-01 00:00:00', 7, 'view', 5.0::DOUBLE), (2, TIMESTAMP '2024-05-01 01:00:00', 7, 'view', 4.0), (3, TIMESTAMP '2024-05-03 00:00:00', 8, 'view', 50.0)) v(event_id, ts, user_id, event_type, value)")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = c.execute(world_queries.ORACLES["ss_conjunctions"]).fetchall()
+    got = world_queries.ss_conjunctions(spark, str(tmp_path)).select("pair", "first", "last", "n", "least", "closest").collect()
+    assert len(want) == 1 and [tuple(r) for r in got] == want
