@@ -150,23 +150,24 @@ def meander(path: DataFrame, spacing_km: float, seed: int = 0, target_km: float
     w = Window.partitionBy("river").orderBy("ord")
     nxt = {f"{c}2": F.lead(c).over(w) for c in ("x", "y", "z", "width_m")}
     a = arc_length(path, "river", "ord").withColumns(nxt)
+    # The whole length is known of the stretches; a window over their parts would sort them once more.
+    a = a.withColumn("total", F.max("along").over(Window.partitionBy("river")))
     km = geo.RADIUS_KM * F.sqrt(sum(F.pow(F.col(f"{c}2") - F.col(c), F.lit(2)) for c in "xyz"))
     parts = F.greatest(F.lit(1), F.ceil(km / target)).cast("int")
     cut_ = a.withColumn("km", km).withColumn("k", F.when(F.col("x2").isNull(), 1).otherwise(parts)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     t = F.col("j") / F.col("k")
     mix = lambda c: F.when(F.col("x2").isNull(), F.col(c)).otherwise(F.col(c) * (1 - t) + F.col(f"{c}2") * t)
-    p = cut_.select("river", "ord", "j", *(mix(c).alias(c) for c in ("x", "y", "z", "width_m")), (F.col("along") + F.coalesce(F.col("km"), F.lit(0.0)) * t).alias("along"))
+    p = cut_.select("river", "ord", "j", "total", *(mix(c).alias(c) for c in ("x", "y", "z", "width_m")), (F.col("along") + F.coalesce(F.col("km"), F.lit(0.0)) * t).alias("along"))
     n = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    p = p.withColumn("n", n).select("river", "ord", "j", *((F.col(c) / F.col("n")).alias(c) for c in "xyz"), "width_m", "along")
+    p = p.withColumn("n", n).select("river", "ord", "j", "total", *((F.col(c) / F.col("n")).alias(c) for c in "xyz"), "width_m", "along")
     v = Window.partitionBy("river").orderBy("ord", "j")
-    total = F.max("along").over(Window.partitionBy("river"))
     push = F.lit(0.0)
     for octave in range(3):
         lam = F.least(F.lit(2.0 * spacing_km), F.greatest(F.lit(2.0), 11.0 * F.col("width_m") / 1000)) / (octave + 1)
         phase = F.pmod(F.xxhash64(F.lit(seed), F.col("river").cast("long"), F.lit(octave)), F.lit(1 << 53)) / float(1 << 53) * 2 * math.pi
         push = push + 0.12 * lam * F.sin(2 * math.pi * F.col("along") / lam + phase)
     taper = F.least(F.lit(1.0), F.least(F.col("along"), F.col("total") - F.col("along")) / (0.1 * F.col("total") + 1e-9))
-    q = p.withColumn("total", total).withColumn("push", push * F.pow(F.sin(taper * math.pi / 2), F.lit(2)))
+    q = p.select("river", "ord", "j", "x", "y", "z", (push * F.pow(F.sin(taper * math.pi / 2), F.lit(2))).alias("push"))
     q = q.withColumns({**{f"b{c}": F.lag(c).over(v) for c in "xyz"}, **{f"f{c}": F.lead(c).over(v) for c in "xyz"}})
     d = {c: F.col(f"f{c}") - F.col(f"b{c}") for c in "xyz"}
     side = {"x": F.col("y") * d["z"] - F.col("z") * d["y"], "y": F.col("z") * d["x"] - F.col("x") * d["z"], "z": F.col("x") * d["y"] - F.col("y") * d["x"]}

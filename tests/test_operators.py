@@ -489,3 +489,30 @@ def test_nearest_of_many_targets_meets_few_of_them(spark):
     far = targets.where("id >= 19990")  # all near one pole: the cubes are doubled for the points that find none
     assert at.nearest(points, "place", far, 0.05, many=True).count() == at.nearest(points, "place", far, 0.05).count() == 300
     assert at.nearest(points, "place", targets.limit(0), at.side_for(targets.limit(0)), many=True).count() == 0
+
+
+def test_each_cell_is_looked_from_once(spark, monkeypatch):
+    from sphaera.operators import places as at
+
+    world = grid.cells(spark, 2).select("cell", "x", "y", "z").withColumn("height", (F.col("cell") * 977 % 4000).cast("double"))
+    points = spark.createDataFrame([(i, 10 + i / 50, 20.0) for i in range(12)] + [(99, -120.0, -40.0)], "place long, lon double, lat double")
+    made = {}
+    monkeypatch.setattr(at, "cut", lambda df, name="step", cut=at.cut: made.setdefault(name, cut(df, name)) if name != "near" else cut(df, name))
+    seen = {r["place"]: tuple(r)[1:] for r in at.viewsheds(points, world, 2, rays=4, far=100.0).collect()}
+    stands = {r["place"]: r["stand"] for r in made["stands"].collect()}
+    assert made["rays"].count() == len(set(stands.values())) * 4 * 12 < 13 * 4 * 12
+    assert len(seen) == 13 and all(seen[a] == seen[b] for a in seen for b in seen if stands[a] == stands[b])
+
+
+def test_points_without_a_coordinate_are_not_located(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.6, 0.8), (2, None, None, None), (3, 0.0, 0.0, 1.0)], "place long, px double, py double, pz double")
+    got = fields.locate(points, "place", 4).groupBy("place").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).orderBy("place").collect()
+    assert [(r["place"], round(r["w"], 9)) for r in got] == [(1, 1.0), (3, 1.0)] and got[1]["n"] == 1
+
+
+def test_parts_of_meanders_are_sorted_once(spark):
+    from sphaera.operators import rivers
+
+    rows = [(r, i, 1.0, 0.1 * i, 0.05 * r, 30.0) for r in (1, 2) for i in range(5)]
+    plan = rivers.meander(spark.createDataFrame(rows, "river long, ord long, x double, y double, z double, width_m double"), 40.0, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Generate")].count("Sort [") == 1
