@@ -13,24 +13,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 
+#: Entries of a scene that are kept in one state are those whose numbers are alike but for so many last bits.
+TOGETHER = 6
+
+
 def _correct(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One entry: its last edit and the viewers who hold it. New viewers get the text as it stands, known ones a correction when an edit is later than the last."""
-    seq, text, viewers = state.get if state.exists else (None, None, [])
-    viewers, fresh, newer = list(viewers), {}, False
+    """Some entries of a scene: the last edit of each and the viewers who hold it. New viewers get the text as it stands, known ones a correction when an
+    edit is later than the last."""
+    entries, seqs, texts, held, viewers = state.get if state.exists else ([], [], [], [], [])
+    edits = {e: (n, t) for e, n, t in zip(entries, seqs, texts, strict=True)}
+    holders: dict[int, list[str]] = {}
+    for e, v in zip(held, viewers, strict=True):
+        holders.setdefault(e, []).append(v)
+    fresh: dict[int, dict] = {}
+    newer = set()
     for b in batches:
-        for viewer, own, n, edit in zip(b["viewer"], b["text"], b["seq"], b["edit"], strict=True):
+        for e, viewer, own, n, edit in zip(b["entry"].tolist(), b["viewer"], b["text"], b["seq"], b["edit"], strict=True):
             if not edit:
-                fresh[viewer] = own if isinstance(own, str) else None
-            elif isinstance(own, str) and not pd.isna(n) and (seq is None or (int(n), own) > (seq, text)):
-                seq, text, newer = int(n), own, True
-    rows = [(v, text, seq) for v in viewers if newer and v not in fresh]
-    rows += [(v, own if seq is None else text, seq) for v, own in fresh.items()]
-    state.update((seq, text, sorted({*viewers, *fresh})))
+                fresh.setdefault(e, {})[viewer] = own if isinstance(own, str) else None
+            elif isinstance(own, str) and not pd.isna(n) and (e not in edits or (int(n), own) > edits[e]):
+                edits[e] = (int(n), own)
+                newer.add(e)
+    rows = []
+    for e in {*fresh, *newer}:
+        (seq, text), known, new = edits.get(e, (None, None)), holders.get(e, []), fresh.get(e, {})
+        rows += [(e, v, text, seq) for v in known if e in newer and v not in new]
+        rows += [(e, v, own if seq is None else text, seq) for v, own in new.items()]
+        holders[e] = sorted({*known, *new})
+    have = [(e, v) for e, vs in holders.items() for v in vs]
+    state.update((list(edits), [n for n, _ in edits.values()], [t for _, t in edits.values()], [e for e, _ in have], [v for _, v in have]))
     if not rows:
         return
-    out = pd.DataFrame(rows, columns=["viewer", "text", "seq"]).astype({"viewer": object, "text": object})
+    out = pd.DataFrame(rows, columns=["entry", "viewer", "text", "seq"]).astype({"viewer": object, "text": object})
     out["seq"] = out["seq"].astype("Int64")
-    yield out.assign(scene=key[0], entry=key[1])[["scene", "entry", "viewer", "text", "seq"]]
+    yield out.assign(scene=key[0])[["scene", "entry", "viewer", "text", "seq"]]
 
 
 def corrections(feed: DataFrame, edits: DataFrame) -> DataFrame:
@@ -38,11 +54,12 @@ def corrections(feed: DataFrame, edits: DataFrame) -> DataFrame:
     text, seq: what a viewer has to show from then on; seq is that of the edit, null for the entry's own text.
 
     The edit of the greatest seq wins (on a tie the greater text); one without text or seq is none, and rows without scene, entry or viewer are left
-    out. An entry that comes to a viewer again is put out again. State is an entry's last edit and its viewers."""
+    out. An entry that comes to a viewer again is put out again. State is an entry's last edit and its viewers, that of up to 64 entries of a scene together: a call costs more than an entry."""
     keys = (F.col("scene").cast("long").alias("scene"), F.col("entry").cast("long").alias("entry"))
     own = feed.where("scene IS NOT NULL AND entry IS NOT NULL AND viewer IS NOT NULL").select(*keys, "viewer", "text", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("edit"))
     pen = edits.where("scene IS NOT NULL AND entry IS NOT NULL").select(*keys, F.lit(None).cast("string").alias("viewer"), "text", F.col("seq").cast("long").alias("seq"), F.lit(True).alias("edit"))
-    return own.unionByName(pen).groupBy("scene", "entry").applyInPandasWithState(_correct, "scene long, entry long, viewer string, text string, seq long", "seq long, text string, viewers array<string>", "append", "NoTimeout")
+    keyed = own.unionByName(pen).withColumn("part", F.shiftright("entry", TOGETHER)).groupBy("scene", "part")
+    return keyed.applyInPandasWithState(_correct, "scene long, entry long, viewer string, text string, seq long", "entries array<bigint>, seqs array<bigint>, texts array<string>, held array<bigint>, viewers array<string>", "append", "NoTimeout")
 
 
 def shown(corrected: DataFrame) -> DataFrame:

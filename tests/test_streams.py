@@ -120,3 +120,19 @@ def test_passages_of_events_equal_sql_where_the_last_events_are_far(spark, tmp_p
     want = c.execute(world_queries.ORACLES["ss_conjunctions"]).fetchall()
     got = world_queries.ss_conjunctions(spark, str(tmp_path)).select("pair", "first", "last", "n", "least", "closest").collect()
     assert len(want) == 1 and [tuple(r) for r in got] == want
+
+
+def test_entries_of_a_scene_share_one_state():
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    state, columns = State(), ["entry", "viewer", "text", "seq", "edit"]
+    call = lambda *r: [tuple(x) for d in live._correct((5, 0), iter([pd.DataFrame(r, columns=columns)]), state) for x in d[["scene", "entry", "viewer", "text"]].itertuples(index=False)]
+    assert sorted(call((1, "a", "one", None, False), (2, "a", "two", None, False), (2, "b", "two", None, False))) == [(5, 1, "a", "one"), (5, 2, "a", "two"), (5, 2, "b", "two")]
+    assert sorted(call((2, None, "new", 3, True))) == [(5, 2, "a", "new"), (5, 2, "b", "new")]
+    assert call((2, None, "old", 2, True)) == []
