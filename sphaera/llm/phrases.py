@@ -5,9 +5,10 @@ dictionary with its counts. Counts of equal words are added up over the shards;
 ids of its own words only, so no task holds the dictionary of the corpus. All other words break their pieces.
 
 Then phrases grow level by level, two to LONGEST words. A shard numbers the frequent shorter phrases that it holds, makes the pairs that overlap, sorts
-the packed pairs by radix and counts runs; each different phrase becomes one key of 16 bytes (four ids, big-endian). The keys of all shards are
-range-partitioned and sorted, runs of equal keys are added up, and the shards learn which of their phrases are frequent. A phrase whose
-parts aren't frequent is never made, which loses nothing, as no phrase comes more often than its parts.
+the packed pairs by radix and counts runs; each different phrase becomes one key of 16 bytes (four ids, big-endian). A shard cuts its keys into ranges
+of their mixed bits, a row of arrays for each range; rows of a range meet in a task, which sorts the keys by radix, adds up runs of equal ones
+and tells the shards which of their phrases are frequent. A phrase whose parts aren't frequent is never made, which loses nothing, as no
+phrase comes more often than its parts.
 
 A shard may end anywhere: the next one begins with up to LONGEST - 1 words of it, and phrases that lie within this lead aren't counted again.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Steps, before_ranges, in_ranges, join_unique, read, release, stored, utf8
@@ -34,6 +35,9 @@ SLICE = 1 << 22
 _BREAK = b"\xff"
 _SIGNS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + 10 * _BREAK + b" ")
 KEY = 4 * LONGEST
+_LAST = np.uint64((1 << BITS) - 1)
+#: Keys are dealt to 2^BUCKETS buckets, which are counted in lots of about LOT rows.
+BUCKETS, LOT = 13, 1 << 19
 
 
 class _Shard:
@@ -132,29 +136,37 @@ def runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[start], np.diff(np.append(start, len(codes)))
 
 
-def _binary(keys: np.ndarray) -> pa.Array:
-    """Rows of ids as a binary column of KEY bytes a row."""
-    n, keys = len(keys), keys.astype(">u4")  # joined arrays are of the machine's byte order
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, KEY * (n + 1), KEY, dtype=np.int32)), pa.py_buffer(keys.tobytes())])
+def _keys(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    """Four ids in two numbers as a binary column of KEY bytes a row."""
+    n, rows = len(high), np.stack([high, low], 1).astype(">u8")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, KEY * (n + 1), KEY, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
 
 
-def _keys(column: pa.Array) -> np.ndarray:
-    """A binary column of KEY bytes a row as ids (row, word)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
-    first = 0 if not len(column) else np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]
-    return np.frombuffer(column.buffers()[2] or b"", np.uint8, KEY * len(column), first).view(">u4").reshape(-1, LONGEST)
+def _cells(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Values as a binary column whose rows begin at the places `start`."""
+    ends = (np.append(start, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
 
 
-def pairs(numbers: np.ndarray, lead: int, words: int, codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, codes and counts in a shard of the phrases of `words` words whose two parts without the last and without the first word are
-    among the frequent ones (codes and their keys)."""
-    order = radix_order(codes)
-    codes, keys = codes[order], keys[order]
+def _values(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of _cells(), and how many a row has."""
+    values, sizes = [], []
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(x):
+            at = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset).astype(np.int64)
+            size = np.dtype(kind).itemsize
+            sizes.append(np.diff(at) // size)
+            values.append(np.frombuffer(x.buffers()[2] or b"", np.uint8, at[-1] - at[0], at[0]).view(kind))
+    return np.concatenate([np.empty(0, kind), *values]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+
+def pairs(numbers: np.ndarray, lead: int, words: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the phrases of `words` words in a shard whose two parts without the last and without the first word are among the frequent ones
+    (codes, in order): the codes of both parts and the counts."""
     numbers = numbers.astype(np.uint64)
     size = len(numbers) - words + 2  # places of the parts
     if size < 2 or not len(codes):
-        return np.empty((0, LONGEST), ">u4"), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     part = np.zeros(size, np.uint64)
     for i in range(words - 1):
         part = part << np.uint64(BITS) | numbers[i : i + size]
@@ -167,68 +179,170 @@ def pairs(numbers: np.ndarray, lead: int, words: int, codes: np.ndarray, keys: n
     # Those within the lead were counted in the shard before; longer ones are still made of them here.
     again = packed[: max(0, lead - words + 1)][both[: max(0, lead - words + 1)]]
     np.subtract.at(n, np.searchsorted(pair, again), 1)
-    a, b = (pair // base).astype(np.int64), (pair % base).astype(np.int64)
-    whole = keys[a].copy()
-    whole[:, words - 1] = keys[b, words - 2]
-    last = codes[b] & np.uint64((1 << BITS) - 1)
-    return whole, codes[a] << np.uint64(BITS) | last, n
+    return codes[(pair // base).astype(np.int64)], codes[(pair % base).astype(np.int64)], n
+
+
+PACKED = "bucket int, shard long, high binary, low binary, code binary, n binary"
+
+
+def _pack(shard: int, high: np.ndarray, low: np.ndarray | None, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Phrases of a shard by the bucket of their key, a row for each: keys that are equal meet in a bucket. Pairs have no second half."""
+    mixed = high * np.uint64(0x9E3779B97F4A7C15)
+    if low is not None:
+        mixed ^= low * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+    bucket = (mixed >> np.uint64(64 - BUCKETS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    columns = [
+        pa.array(bucket[start].astype(np.int32)),
+        pa.array(np.full(len(start), shard, np.int64)),
+        _cells(high[order], start),
+        pa.nulls(len(start), pa.binary()) if low is None else _cells(low[order], start),
+        _cells(code[order], start),
+        _cells(n[order].astype(np.int64), start),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "high", "low", "code", "n"])
+
+
+def _made(shards: DataFrame, parts: DataFrame | None, words: int) -> DataFrame:
+    """shards (shard, lead, numbers, ids) and the codes of their frequent phrases of a word less (shard, codes; none: words) -> PACKED, the phrases of
+    `words` words."""
+
+    def phrases(shard: pa.Table, codes: np.ndarray) -> pa.Table:
+        numbers, ids = (np.frombuffer(shard.column(c)[0].as_buffer(), np.uint32) for c in ("numbers", "ids"))
+        one, two, n = pairs(numbers, shard.column("lead")[0].as_py(), words, codes)
+        last = two & _LAST
+        key = np.zeros((LONGEST, len(one)), np.uint64)
+        for i in range(words - 1):
+            key[i] = ids[(one >> np.uint64(BITS * (words - 2 - i)) & _LAST).astype(np.int64)]
+        key[words - 1] = ids[last.astype(np.int64)]
+        half = np.uint64(32)
+        low = None if words == 2 else key[2] << half | key[3]
+        # A code of LONGEST words doesn't fit and isn't needed.
+        code = one << np.uint64(BITS) | last if words < LONGEST else np.zeros(len(one), np.uint64)
+        return pa.Table.from_batches([_pack(shard.column("shard")[0].as_py(), key[0] << half | key[1], low, code, n)])
+
+    def of_words(shard: pa.Table) -> pa.Table:
+        return phrases(shard, np.flatnonzero(np.frombuffer(shard.column("ids")[0].as_buffer(), np.uint32)).astype(np.uint64))
+
+    def of_phrases(shard: pa.Table, codes: pa.Table) -> pa.Table:
+        if not shard.num_rows or not codes.num_rows:
+            return pa.Table.from_batches([_pack(0, *(np.empty(0, np.uint64) for _ in range(4)))])
+        found = _values(codes.column("codes"), np.uint64)[0]
+        return phrases(shard, found[radix_order(found)])
+
+    if parts is None:
+        return shards.groupBy("shard").applyInArrow(of_words, PACKED)
+    return shards.groupBy("shard").cogroup(parts.select(F.col("shard").alias("of"), "codes").groupBy("of")).applyInArrow(of_phrases, PACKED)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """PACKED sorted by bucket -> lots of some buckets each: shard, code, high, low, f, first of the rows whose keys come `least` times or more, by shard."""
+
+    def count(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        t = pa.Table.from_batches(rows)
+        high, sizes = _values(t.column("high"), np.uint64)
+        low, code, n = _values(t.column("low"), np.uint64)[0], _values(t.column("code"), np.uint64)[0], _values(t.column("n"), np.int64)[0]
+        order = radix_order(low) if len(low) else np.arange(len(high))
+        order = order[radix_order(high[order])]
+        low = low if len(low) else np.zeros(len(high), np.uint64)
+        a, b = high[order], low[order]
+        start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        f = np.add.reduceat(n[order], start)
+        often = f >= least
+        on = order[np.repeat(often, np.diff(np.append(start, len(order))))]
+        first = np.zeros(len(high), bool)
+        first[order[start[often]]] = True
+        f = np.repeat(f[often], np.diff(np.append(start, len(order)))[often])
+        shard = np.repeat(t.column("shard").to_numpy(), sizes)[on]
+        by = radix_order(shard.astype(np.uint64))
+        on = on[by]
+        return shard[by], code[on], high[on], low[on], f[by], first[on]
+
+    held, size, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = b.column(0).to_numpy()
+        before = np.append(0, np.cumsum(_values(b.column(b.schema.get_field_index("code")), np.uint64)[1]))
+        at = 0
+        for edge in np.flatnonzero(np.append(bucket[0] != last, bucket[1:] != bucket[:-1])).tolist():
+            if size + before[edge] - before[at] >= LOT:
+                yield count([*held, b.slice(at, edge - at)])
+                held, size, at = [], 0, edge
+        held.append(b.slice(at))
+        size, last = size + int(before[-1] - before[at]), bucket[-1]
+    if held:
+        yield count(held)
+
+
+def _buckets(packed: DataFrame) -> DataFrame:
+    return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def _made(shards: DataFrame, parts: DataFrame, words: int) -> DataFrame:
-    """shards (shard, n, numbers) and their frequent phrases of a word less (shard, code, key) -> key, shard, code, n of the phrases of `words` words."""
+def _counted(made: DataFrame, least: int) -> DataFrame:
+    """made (key, shard, code, n) -> the same rows with f, the sum of n over their key, if that is `least` or more; first: one row of each key."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"key": pa.array([], pa.binary()), "shard": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        numbers = np.frombuffer(left.column("numbers")[0].as_buffer(), np.uint32)
-        codes = right.column("code").to_numpy().astype(np.uint64)
-        key, code, n = pairs(numbers, left.column("n")[0].as_py(), words, codes, _keys(right.column("key")))
-        # A code of LONGEST words doesn't fit and isn't needed.
-        code = code.astype(np.int64) if words < LONGEST else np.zeros(len(code), np.int64)
-        return pa.table({"key": _binary(key), "shard": np.full(len(n), left.column("shard")[0].as_py()), "code": code, "n": n.astype(np.int64)})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = _values(b.column(0), np.dtype(">u8"))[0].astype(np.uint64).reshape(-1, 2)
+            shard, code, n = (b.column(i).to_numpy() for i in (1, 2, 3))
+            for x in np.unique(shard):
+                own = shard == x
+                yield _pack(x, key[own, 0], key[own, 1], code[own].astype(np.uint64), n[own])
 
-    parts = parts.select(F.col("shard").alias("of"), "code", "key")
-    return shards.groupBy("shard").cogroup(parts.groupBy("of")).applyInArrow(run, "key binary, shard long, code long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, code, high, low, f, first in _sums(batches, least):
+            columns = [_keys(high, low), pa.array(f), pa.array(shard), pa.array(code.astype(np.int64)), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "f", "shard", "code", "first"])
 
+    packed = made.select("key", "shard", "code", "n").mapInArrow(pack, PACKED)
+    return _buckets(packed).mapInArrow(run, "key binary, f long, shard long, code long, first boolean")
 
-def _counted(made: DataFrame, least: int) -> DataFrame:
-    """made (a table: key, shard, code, n) -> the same rows with f, the sum of n over their key, if that is `least` or more; first: one row of each key.
 
-    Keys are range-partitioned and sorted, so all rows of a key come one after another in one task: as many as there are shards, at most."""
+def _often(packed: DataFrame, least: int) -> DataFrame:
+    """PACKED -> rows of a shard and lot: shard, codes of the phrases that come `least` times or more, and keys and f of those that this row is the
+    first to hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows of the last run, which may go on
-
-        def count(rows: list[tuple], done: bool) -> tuple[list[tuple], pa.RecordBatch | None]:
-            key, shard, code, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-            end = len(key) if done else int(start[-1])
-            rest = [(key[end:], shard[end:], code[end:], n[end:])]
-            start = start[start < end]
-            if not len(start):
-                return rest, None
-            f = np.add.reduceat(n[:end], start)
-            size = np.diff(np.append(start, end))
-            on = np.repeat(f >= least, size)
-            first = np.zeros(end, bool)
-            first[start] = True
-            columns = [_binary(key[:end][on]), pa.array(np.repeat(f, size)[on]), pa.array(shard[:end][on]), pa.array(code[:end][on]), pa.array(first[on])]
-            return rest, pa.RecordBatch.from_arrays(columns, names=["key", "f", "shard", "code", "first"])
+        for shard, code, high, low, f, first in _sums(batches, least):
+            start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, np.int64)
+            firsts = np.append(0, np.cumsum(first))[start]
+            keys = np.stack([high[first], low[first]], 1).astype(">u8")
+            bytes_ = _cells(keys.reshape(-1), firsts * 2)
+            columns = [pa.array(shard[start]), _cells(code, start), bytes_, _cells(f[first], firsts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "codes", "keys", "f"])
+
+    return _buckets(packed).mapInArrow(run, "shard long, codes binary, keys binary, f binary")
+
+
+def _found(often: DataFrame) -> DataFrame:
+    """key, f of each phrase of _often()."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                held.append((_keys(b.column(0)), *(b.column(i).to_numpy() for i in (1, 2, 3))))
-                # A run over many batches is joined once it ends.
-                if len(held) == 1 or (held[0][0][0] != held[-1][0][-1]).any():
-                    held, out = count(held, False)
-                    if out is not None:
-                        yield out
-        if held:
-            _, out = count(held, True)
-            if out is not None:
-                yield out
+            key = _values(b.column(0), np.dtype(">u8"))[0].reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([_keys(key[:, 0], key[:, 1]), pa.array(_values(b.column(1), np.int64)[0])], names=["key", "f"])
+
+    return often.select("keys", "f").mapInArrow(run, "key binary, f long")
 
-    return made.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key binary, f long, shard long, code long, first boolean")
+
+def _with_ids(numbers: DataFrame, own: DataFrame) -> DataFrame:
+    """numbers (shard, n, numbers) and the frequent words of shards (of, code, id) -> a row for each shard: shard, lead, numbers, and ids, by a word's
+    number (0: not frequent)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = left.column("numbers")[0].as_py() if left.num_rows else b""
+        held = np.frombuffer(numbers, np.uint32)
+        ids = np.zeros(int(held.max()) + 1 if len(held) else 0, np.uint32)
+        if left.num_rows:
+            ids[right.column("code").to_numpy()] = right.column("id").to_numpy()
+        columns = [left.column("shard"), left.column("n"), left.column("numbers"), pa.array([ids.tobytes()] * left.num_rows, pa.binary())]
+        return pa.table(columns, names=["shard", "lead", "numbers", "ids"])
+
+    return numbers.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(run, "shard long, lead long, numbers binary, ids binary")
 
 
 def _word_key(i: Column) -> Column:
@@ -253,52 +367,69 @@ def frequent(docs: DataFrame, steps: Steps, least: int = LEAST, shard: int = SHA
     if words.count() >= 1 << 32:
         raise ValueError("more frequent words than a key has room for")
     steps.forget(totals)
-    parts = own.join(words, ["lang", "word"]).select("shard", "code", "key")
-    numbers, found, counted = shards.where("numbers IS NOT NULL").select("shard", "n", "numbers"), [], None
+    known = own.join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
+    coded = steps.stored(_with_ids(shards.where("numbers IS NOT NULL").select("shard", "n", "numbers"), known), "coded")
+    steps.forget(shards)
+    found, often = [], None
     for m in range(2, LONGEST + 1):
-        made = steps.stored(_made(numbers, parts, m), "made")
-        if counted is not None:
-            steps.forget(counted)
-        counted = steps.stored(_counted(made, least), "counted")
-        steps.forget(made)
-        found.append(steps.stored(counted.where("first").select("key", F.lit(m).alias("words"), "f"), "found"))
-        parts = counted.select("shard", "code", "key")
+        made, before = _made(coded, often, m), often
+        often = steps.stored(_often(made, least), "often")
+        if before is not None:
+            steps.forget(before)
+        found.append(steps.stored(_found(often).select("key", F.lit(m).alias("words"), "f"), "found"))
         release(docs.sparkSession)  # shuffle files of a level aren't read by the next one
-    steps.forget(counted)
-    steps.forget(shards)
+    steps.forget(often)
+    steps.forget(coded)
     phrases = found[0]
     for x in found[1:]:
         phrases = phrases.unionByName(x)
     return words, phrases, n
 
 
-def scored(words: DataFrame, phrases: DataFrame, covered: int = COVERED) -> DataFrame:
-    """key, words, a, l, r, score, lang of the phrases that no longer one covers, by their lowest-scoring cut."""
-    # Parts of longer phrases: the greatest count of a phrase around each.
-    spans = F.expr("flatten(transform(sequence(2, words - 1), m -> transform(sequence(0, words - m), s -> struct(s, m))))")
-    inner = phrases.where("words > 2").select("key", "f", F.explode(spans).alias("x")).select(_part(F.col("key"), F.col("x.s"), F.col("x.m")).alias("key"), "f")
-    around = inner.groupBy("key").agg(F.max("f").alias("around"))
-    left = phrases.withColumnRenamed("f", "a").join(around, "key", "left").where(f"around IS NULL OR 100 * around < {covered} * a").drop("around")
-    cuts = left.select("key", "words", "a", F.explode(F.expr("sequence(1, words - 1)")).alias("k"))
-    cuts = cuts.withColumns({"one": _part(F.col("key"), F.lit(0), F.col("k")), "two": _part(F.col("key"), F.col("k"), F.col("words") - F.col("k"))})
-    parts = words.select("key", "f", "lang").unionByName(phrases.where(f"words < {LONGEST}").select("key", "f", F.lit(None).cast("string").alias("lang")))
+def _cut(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (key, words, a, k) with the lang, l, r and score of their cut after k words."""
+    cuts = rows.withColumns({"one": _part(F.col("key"), F.lit(0), F.col("k")), "two": _part(F.col("key"), F.col("k"), F.col("words") - F.col("k"))})
     cuts = join_unique(cuts, parts.select(F.col("key").alias("one"), F.col("f").alias("l"), "lang"), "one")
     cuts = join_unique(cuts, parts.select(F.col("key").alias("two"), F.col("f").alias("r")), "two")
     # Decimals are exact where the product passes 64 bits.
     score = F.expr(f"CAST(a AS DECIMAL(20, 0)) * {SCALE} div CAST(l + r AS DECIMAL(20, 0))")
-    lowest = cuts.withColumn("score", score).groupBy("key", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"), F.max("lang").alias("lang"))
-    return lowest.select("key", "words", "a", "x.l", "x.r", "x.score", "lang")
+    return cuts.withColumn("score", score).select("key", "words", "a", "lang", "score", "k", "l", "r")
+
+
+def scored(words: DataFrame, phrases: DataFrame, covered: int = COVERED, most: int | None = None) -> DataFrame:
+    """key, words, a, l, r, score, lang of the phrases that no longer one covers, by their lowest-scoring cut; with `most`, of those at least that can
+    be among the first `most` of their lang.
+
+    The cut after the first word comes first. It is the only one of pairs, and no phrase scores more than by it: longer ones that are below `most`
+    pairs of their lang by it need no other cut."""
+    # A phrase's parts of a word less: those that are shorter lie in one of them, which comes at least as often.
+    longer = phrases.where("words > 2")
+    inner = longer.select(_part(F.col("key"), F.lit(0), F.col("words") - 1).alias("key"), "f").unionByName(longer.select(_part(F.col("key"), F.lit(1), F.col("words") - 1).alias("key"), "f"))
+    around = inner.groupBy("key").agg(F.max("f").alias("around"))
+    left = phrases.withColumnRenamed("f", "a").join(around, "key", "left").where(f"around IS NULL OR 100 * around < {covered} * a").drop("around")
+    parts = words.select("key", "f", "lang").unionByName(phrases.where(f"words < {LONGEST}").select("key", "f", F.lit(None).cast("string").alias("lang")))
+    with Steps() as steps:
+        first = steps.stored(_cut(left.withColumn("k", F.lit(1)), parts), "first")
+        if most is not None:
+            near = Window.partitionBy("lang").orderBy(F.desc("score"))
+            best = first.where("words = 2").withColumn("near", F.row_number().over(near)).where(f"near <= {most}")
+            least = best.groupBy("lang").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(f"n = {most}").select("lang", "least")
+            first = first.join(F.broadcast(least), "lang", "left").where("least IS NULL OR score >= least").drop("least").select(first.columns)
+        more = first.where("words > 2").select("key", "words", "a", F.explode(F.expr("sequence(2, words - 1)")).alias("k"))
+        cuts = first.unionByName(_cut(more, parts))
+        lowest = cuts.groupBy("key", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"), F.max("lang").alias("lang"))
+        return stored(lowest.select("key", "words", "a", "x.l", "x.r", "x.score", "lang"), "scored")
 
 
 def top_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST, covered: int = COVERED, shard: int = SHARD) -> DataFrame:
     """docs (lang, text) -> the first `most` phrases of each lang: lang, rank, phrase, a, l, r, n, score."""
-    from pyspark.sql import Window
-
     with Steps() as steps:
         words, phrases, n = frequent(docs, steps, least, shard)
         # Ties at the end are kept until their words are known.
         near = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-        top = scored(words, phrases, covered).withColumn("near", F.rank().over(near)).where(f"near <= {most}")
+        rated = scored(words, phrases, covered, most)
+        steps.tables.append(rated)
+        top = rated.withColumn("near", F.rank().over(near)).where(f"near <= {most}")
         at = F.explode(F.expr("sequence(0, words - 1)"))
         spelt = top.select("*", at.alias("i")).withColumn("id", F.conv(F.hex(F.substring("key", F.col("i") * 4 + 1, F.lit(4))), 16, 10).cast("long"))
         spelt = spelt.join(words.select("id", F.col("word").cast("string").alias("word")), "id")

@@ -157,6 +157,46 @@ def test_scores_beyond_64_bits(spark):
     assert phrases.scored(word, pair).first().score == 2_000_000 * 3999999999999999 // 8000000000000000
 
 
+def test_longer_phrases_below_the_best_pairs_are_cut_once(spark):
+    """All but those that can't be among the first `most` are scored as without it."""
+    df = spark.createDataFrame(some_docs(4, 200), "lang string, text string")
+    with phrases.Steps() as steps:
+        words, found, _ = phrases.frequent(df, steps, 6)
+        whole = {bytes(r.key): tuple(r) for r in phrases.scored(words, found).collect()}
+        some = {bytes(r.key): tuple(r) for r in phrases.scored(words, found, most=3).collect()}
+    assert some.items() <= whole.items() and len(some) < len(whole)
+    for lang in {r[6] for r in whole.values()}:
+        scores = sorted((r[5] for r in whole.values() if r[6] == lang), reverse=True)
+        least = scores[min(3, len(scores)) - 1]
+        assert all(k in some for k, r in whole.items() if r[6] == lang and r[5] >= least)
+
+
+@pytest.mark.parametrize("lot,long", [(1, True), (7, False), (1 << 19, True)])
+def test_packed_keys_are_added_up_in_lots(monkeypatch, lot, long):
+    """A shard's keys go as arrays, a row for each bucket; lots of any size give the same sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "LOT", lot)
+    rng, made, want = np.random.default_rng(lot), [], {}
+    for shard in range(5):
+        key = np.unique(rng.integers(0, 60, (300, 2)), axis=0).astype(np.uint64)
+        n = rng.integers(0, 4, len(key))
+        made.append(phrases._pack(shard, key[:, 0], key[:, 1] if long else None, np.arange(len(key), dtype=np.uint64), n))
+        assert made[-1].num_rows <= len(key)
+        for k, x, i in zip(map(tuple, key.tolist()), n.tolist(), range(len(key)), strict=True):
+            want.setdefault(k if long else (k[0], 0), []).append((shard, i, x))
+    rows_ = pa.Table.from_batches(made).sort_by("bucket")
+    want = {k: (sum(x for _, _, x in v), sorted(v[:2] for v in v)) for k, v in want.items()}
+    got, firsts = {}, {}
+    for shard, code, high, low, f, first in phrases._sums(iter(rows_.to_batches(max_chunksize=3)), 4):
+        assert (np.diff(shard) >= 0).all()
+        for s, c, k, x, one in zip(shard.tolist(), code.tolist(), zip(high.tolist(), low.tolist(), strict=True), f.tolist(), first.tolist(), strict=True):
+            got.setdefault(k, (x, []))[1].append((s, c))
+            firsts[k] = firsts.get(k, 0) + one
+    assert {k: (x, sorted(v)) for k, (x, v) in got.items()} == {k: v for k, v in want.items() if v[0] >= 4} and set(firsts.values()) == {1}
+
+
 def test_phrases_odd_rows(odd, empty):  # noqa: F811
     got = sorted(map(tuple, phrases.top_phrases(odd, 2).collect()))
     want = mined([(r.lang, r.text) for r in odd.select("lang", F.when(F.length("text") < 1000, F.col("text")).alias("text")).collect()], 2)
