@@ -8,11 +8,12 @@ to other blocks is shuffled. The rounds are as many as blocks are crossed, not e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,29 @@ BLOCK = 1 << 14
 CHUNK = 1 << 18
 
 
-def _block(node: str, size: int):
-    return F.floor(F.col(node) / size).alias("block")
+#: So many ids in a row are a block; or a function of a column of ids gives the block of each.
+Blocks = int | Callable[[Column], Column]
+
+
+def _block(node: str, block: Blocks) -> Column:
+    return (block(F.col(node)) if callable(block) else F.floor(F.col(node) / block)).alias("block")
+
+
+def tiles(w: int, size: int = 0) -> Blocks:
+    """Squares of about `size` pixels as the blocks of a raster whose pixels are y * w + x: flows cross the sides of squares less often than those of as
+    many pixels in rows, which are the thinner the wider the raster is."""
+    side = max(1, math.isqrt(size or BLOCK))
+    return lambda node: F.floor(F.floor(node / w) / side) * -(-w // side) + F.floor(F.pmod(node, F.lit(w)) / side)
+
+
+def _bundled(edges: DataFrame) -> DataFrame:
+    """edges (block, src, dst, ...) -> block, edges: a few rows for each block with arrays of its edges, which rounds shuffle instead of the edges."""
+    return edges.groupBy("block", F.pmod("src", F.lit(16))).agg(F.collect_list(F.struct(*(c for c in edges.columns if c != "block"))).alias("edges")).select("block", "edges")
+
+
+def _unbundled(edges: pa.Table) -> Iterator[tuple]:
+    for rows in edges.column("edges").chunks:
+        yield from zip(*(c.to_pylist() for c in rows.flatten().flatten()), strict=True)
 
 
 def _settle(limit: float | None, worst: bool, carry: bool):
@@ -33,7 +55,7 @@ def _settle(limit: float | None, worst: bool, carry: bool):
 
     def run(reached: pa.Table, edges: pa.Table) -> pa.Table:
         out: dict[int, list[tuple]] = {}
-        for u, v, w in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True):
+        for u, v, w in _unbundled(edges):
             out.setdefault(u, []).append((v, w))
         best: dict[int, tuple] = {}
         fresh: dict[int, tuple] = {}
@@ -68,13 +90,14 @@ def _before(x: tuple, y: tuple) -> bool:
     return x[0] < y[0] or (x[0] == y[0] and y[1] is not None and (x[1] is None or x[1] < y[1]))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, limit: float | None = None, worst: bool = False, carry: bool = False, block: int = 0) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, limit: float | None = None, worst: bool = False, carry: bool = False, block: Blocks = 0) -> DataFrame:
     """edges (src, dst, w), seeds (layer, node, cost, tag) -> layer, node, cost, tag: the least cost at which a layer reaches a node.
 
     Along an edge costs add up, or with `worst` the greatest w counts. The tag is the node before, or with `carry` that of the seed; of equal costs the smaller tag wins. Layers don't meet."""
     block = block or BLOCK
-    edges = cut(edges.select("src", "dst", "w", _block("src", block), F.floor(F.col("dst") / block).alias("to")), "edges")
-    inner, crossing = edges.where("block = to"), edges.where("block != to")
+    edges = cut(edges.select("src", "dst", "w", _block("src", block), _block("dst", block).alias("to")), "edges")
+    inner, crossing = cut(_bundled(edges.where("block = to").drop("to")), "inner"), cut(edges.where("block != to").select("src", "dst", "w"), "crossing")
+    drop(edges)
     kind = edges.schema["w"].dataType
     seeds = seeds.select(F.col("layer").cast("long"), F.col("node").cast("long"), F.col("cost").cast(kind), F.col("tag").cast("long"))
     least = F.min(F.struct("cost", F.coalesce("tag", F.lit(-(1 << 63))).alias("t"), "tag")).alias("x")
@@ -86,7 +109,7 @@ def spread(edges: DataFrame, seeds: DataFrame, limit: float | None = None, worst
         if best is not None:
             fresh = fresh.unionByName(best.withColumn("block", _block("node", block)).join(places, ["layer", "block"], "left_semi").drop("block").withColumn("old", F.lit(True)))
         reached = fresh.withColumn("block", _block("node", block))
-        here = inner.join(places, "block").select("layer", "block", "src", "dst", "w")
+        here = inner.join(places, "block").select("layer", "block", "edges")
         moved = cut(reached.groupBy("layer", "block").cogroup(here.groupBy("layer", "block")).applyInArrow(_settle(limit, worst, carry), schema), "moved")
         drop(places)
         drop(offers)
@@ -107,12 +130,12 @@ def spread(edges: DataFrame, seeds: DataFrame, limit: float | None = None, worst
         if moved is not best:
             drop(moved)
         if not offers.limit(1).count():
-            drop(offers)
-            drop(edges)
+            for old in (offers, inner, crossing):
+                drop(old)
             return best
 
 
-def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, block: int = 0) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, block: Blocks = 0) -> DataFrame:
     """edges (src, dst, w >= 0), sources (source, node) -> source, node, dist, prev: least costs from each source and the node before.
 
     With `limit`, costs above it are not followed. Ties in cost go to the smaller previous node."""
@@ -120,7 +143,7 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, b
     return spread(edges, seeds, limit, block=block).toDF("source", "node", "dist", "prev")
 
 
-def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None, block: int = 0) -> DataFrame:
+def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None, block: Blocks = 0) -> DataFrame:
     """node, source, dist: the source (with columns source, node and, if there is one, start: the cost that it begins with) that
     reaches a node at the least cost, ties to the smaller source.
 
@@ -130,7 +153,7 @@ def territories(edges: DataFrame, sources: DataFrame, limit: float | None = None
     return spread(edges, seeds, limit, carry=True, block=block).select("node", F.col("cost").alias("dist"), F.col("tag").alias("source"))
 
 
-def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame, block: int = 0) -> DataFrame:
+def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame, block: Blocks = 0) -> DataFrame:
     """nodes (node, z), edges (src, dst), outlets (node) -> node, fill, parent: the level to which water stands before it runs to an
     outlet, and where it goes: to the lowest neighbour (of equal ones the smallest), or over level water towards the nearest way down; null at outlets.
 
@@ -139,10 +162,11 @@ def flood(nodes: DataFrame, edges: DataFrame, outlets: DataFrame, block: int = 0
     at = edges.select("src", "dst").join(z.withColumnRenamed("node", "dst"), "dst").withColumnRenamed("z", "w")
     seeds = ends.join(z, "node").select(F.lit(0).alias("layer"), "node", F.col("z").alias("cost"), F.lit(None).cast("long").alias("tag"))
     fill = spread(at, seeds, worst=True, block=block).select("node", F.col("cost").alias("fill"))
-    near = edges.select("src", "dst").join(fill.toDF("src", "a"), "src").join(fill.toDF("dst", "b"), "dst").where("b <= a")
-    down = near.where("b < a").groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.struct("b", "dst")).alias("parent")).join(ends, "node", "left_anti")
+    near = cut(edges.select("src", "dst").join(fill.toDF("src", "a"), "src").join(fill.toDF("dst", "b"), "dst").where("b <= a"), "near")
+    down = cut(near.where("b < a").groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.struct("b", "dst")).alias("parent")).join(ends, "node", "left_anti"), "down")
     starts = down.select("node").union(ends).select(F.lit(0).alias("layer"), "node", F.lit(0).alias("cost"), F.lit(None).cast("long").alias("tag"))
     level = spread(near.where("a = b").select("src", "dst", F.lit(1).cast("long").alias("w")), starts, block=block).select("node", F.col("tag").alias("over"))
+    drop(near)
     return fill.join(down, "node", "left").join(level, "node", "left").select("node", "fill", F.coalesce("parent", "over").alias("parent"))
 
 
@@ -160,7 +184,7 @@ def _walk(walkers: pa.Table, steps: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.bool_(),), strict=True)], names=["source", "goal", "back", "node", "left"])
 
 
-def path(reached: DataFrame, goals: DataFrame, block: int = 0) -> DataFrame:
+def path(reached: DataFrame, goals: DataFrame, block: Blocks = 0) -> DataFrame:
     """reached (source, node, prev) of shortest(), goals (source, node) -> source, goal, back, node: the path from each goal back to its
     source. Paths are followed through a block at once; a goal that isn't reached has none."""
     block = block or BLOCK
@@ -325,7 +349,7 @@ def _peel(held: pa.Table, edges: pa.Table) -> pa.Table:
         if over:
             done.add(node)
     out: dict[int, list[tuple]] = {}
-    for u, v, share in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "share")), strict=True):
+    for u, v, share in _unbundled(edges):
         out.setdefault(u, []).append((v, share))
     ready = sorted((n for n, k in open_.items() if k == 0 and n not in done), reverse=True)
     settled: dict[int, float] = {}
@@ -343,7 +367,7 @@ def _peel(held: pa.Table, edges: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "amount", "open", "done"])
 
 
-def accumulate_shared(nodes: DataFrame, edges: DataFrame, value: str, block: int = 0) -> DataFrame:
+def accumulate_shared(nodes: DataFrame, edges: DataFrame, value: str, block: Blocks = 0) -> DataFrame:
     """nodes (node, value), edges (src, dst, share) without cycles -> node, total: what a node has and what flows to it from all above.
 
     Nodes are peeled in the order of the flow: each has a counter of flows that are open, a block settles all that is complete within
@@ -355,8 +379,8 @@ def accumulate_shared(nodes: DataFrame, edges: DataFrame, value: str, block: int
     block = block or BLOCK
     spark = edges.sparkSession
     whole = edges.where("src != dst AND share IS NOT NULL").groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.sum(F.col("share").cast("double")).alias("share"))
-    flows = cut(whole.select("src", "dst", "share", _block("src", block), F.floor(F.col("dst") / block).alias("to")), "flows")
-    inner, crossing = flows.where("block = to"), flows.where("block != to")
+    flows = cut(whole.select("src", "dst", "share", _block("src", block), _block("dst", block).alias("to")), "flows")
+    inner, crossing = cut(_bundled(flows.where("block = to").drop("to")), "inner"), cut(flows.where("block != to").select("src", "dst", "share"), "crossing")
     none, no = F.lit(0).cast("long"), F.lit(False)
     own = nodes.where("node IS NOT NULL").select(F.col("node").cast("long"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("amount"), none.alias("open"))
     ends = flows.select(F.col("src").alias("node"), F.lit(0.0).alias("amount"), none.alias("open")).unionByName(flows.select(F.col("dst").alias("node"), F.lit(0.0).alias("amount"), F.lit(1).cast("long").alias("open")))
@@ -385,7 +409,7 @@ def accumulate_shared(nodes: DataFrame, edges: DataFrame, value: str, block: int
                 drop(old)
             log, results = [short], [ended]
     total = cut(read_all(results).where("done").select("node", F.col("amount").alias("total")), "total")
-    for old in {x._cut_at: x for x in [flows, *log, *results]}.values():
+    for old in {x._cut_at: x for x in [flows, inner, crossing, *log, *results]}.values():
         drop(old)
     if total.count() != expected:
         raise ValueError("the flow runs in a cycle")

@@ -256,12 +256,14 @@ def drainage(pixels: DataFrame, w: int, h: int, dx: Column, dy: float, outlet: D
     hollows are filled and each pixel shares what it has between the two that its angle of steepest descent lies between.
 
     Level pixels drain along the flood's way out. Where pixels aren't square an angle may point at one that is not lower: its share counts there and
-    goes no further. Outlets keep what they have. Pixels without z take no part."""
+    goes no further. Outlets keep what they have. Pixels without z take no part. Blocks are squares of `block` pixels."""
     there = cut(pixels.where("z IS NOT NULL").select(F.col("y").cast("long"), F.col("x").cast("long"), (F.col("y") * w + F.col("x")).cast("long").alias("node"), "z"), "pixels")
     near = raster_edges(w, h, there)
     near = near.join(there.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
-    near = near.join(there.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+    near = cut(near.join(there.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"), "near")
+    block = graph.tiles(w, block)
     fill = cut(graph.flood(there, near, outlet, block), "fill")
+    drop(near)
     level = fill.select("node", F.floor(F.col("node") / w).alias("y"), F.pmod("node", F.lit(w)).alias("x"), F.col("fill").alias("z"))
     dry = outlet.select(F.col("node").cast("long").alias("src")).distinct()
     two = cut(shares_by_angle(downhill_two(level, w, h, dx, dy, True), w, h).join(dry, "src", "left_anti"), "shares")

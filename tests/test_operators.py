@@ -418,6 +418,23 @@ def test_shared_flows_of_odd_rows(spark):
         graph.accumulate_shared(nodes, spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5)], "src long, dst long, share double"), "v")
 
 
+def test_tiles_are_squares_and_flows_cross_few(spark, monkeypatch):
+    """A block is as high as it is wide, however wide the raster is: a way down 40 rows crosses 5 tiles of 8 x 8 pixels, but 40 rows that are cut in parts."""
+    from sphaera.operators import rivers
+
+    w, h = 80, 40
+    tile = spark.range(w * h).select(F.col("id"), graph.tiles(w, 64)(F.col("id")).alias("t"))
+    at = tile.groupBy("t").agg(F.count("*").alias("n"), F.countDistinct(F.floor(F.col("id") / w)).alias("y"), F.countDistinct(F.col("id") % w).alias("x")).collect()
+    assert len(at) == 50 and all((r.n, r.y, r.x) == (64, 8, 8) for r in at)
+    assert {r.t for r in spark.range(7 * 5).select(graph.tiles(7, 9)(F.col("id")).alias("t")).collect()} == set(range(6))
+    made, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="step": made.append(name) or cut(df, name))
+    px = spark.range(w * h).selectExpr(f"CAST(floor(id / {w}) AS BIGINT) AS y", f"id % {w} AS x", "id AS node").selectExpr("*", "5000.0D - 50 * y + x % 2 AS z")
+    got = rivers.drainage(px, w, h, F.lit(1.0), 1.0, px.where(f"y = {h - 1}").select("node"), 64)
+    assert got.count() == w * h and abs(got.where(f"node >= {w * (h - 1)}").agg(F.sum("total")).first()[0] / (4 * math.pi * 6371000.0**2) - 1) < 1e-6
+    assert made.count("peeled") < 12 and made.count("moved") < 16
+
+
 def test_drainage_of_a_cone_and_over_a_pole(spark):
     from sphaera.operators import rivers
 
