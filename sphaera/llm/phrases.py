@@ -7,8 +7,11 @@ ids of its own words only, so no task holds the dictionary of the corpus. All ot
 Then phrases grow level by level, two to LONGEST words. A shard numbers the frequent shorter phrases that it holds, makes the pairs that overlap, sorts
 the packed pairs by radix and counts runs; each different phrase becomes one key of 16 bytes (four ids, big-endian). A shard cuts its keys into ranges
 of their mixed bits, a row of arrays for each range; rows of a range meet in a task, which sorts the keys by radix, adds up runs of equal ones
-and tells the shards which of their phrases are frequent. A phrase whose parts aren't frequent is never made, which loses nothing, as no
-phrase comes more often than its parts.
+and tells the shards which of their phrases are frequent, and how often they come. A phrase whose parts aren't frequent is never made, which loses
+nothing, as no phrase comes more often than its parts.
+
+So a shard that holds a phrase knows the counts of all its parts, and the first one to hold it scores it, with no join. It also says which
+phrases that one covers. Both go by ranges of mixed keys once more: a task drops what is covered and puts out the best of each lang.
 
 A shard may end anywhere: the next one begins with up to LONGEST - 1 words of it, and phrases that lie within this lead aren't counted again.
 
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,8 @@ _BREAK = b"\xff"
 _SIGNS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + 10 * _BREAK + b" ")
 KEY = 4 * LONGEST
 _LAST = np.uint64((1 << BITS) - 1)
-#: Keys are dealt to 2^BUCKETS buckets, which are counted in lots of about LOT rows.
-BUCKETS, LOT = 13, 1 << 19
+#: Keys are dealt to 2^BUCKETS buckets, which are counted in lots of about LOT rows; scored ones, which are fewer, to 2^SCORED_BUCKETS.
+BUCKETS, SCORED_BUCKETS, LOT = 13, 10, 1 << 19
 
 
 class _Shard:
@@ -63,11 +67,13 @@ class _Shard:
         self.size += len(numbers)
 
     def rows(self, shard: int) -> pa.RecordBatch:
-        """The shard's words with their counts, and in a row of its own the numbers."""
+        """The shard's words with their counts, and in a row of its own the numbers, its langs and which of them a number's word is of."""
         numbers = np.concatenate([np.empty(0, np.uint32), *self.numbers])
         counts = np.bincount(numbers[self.lead :], minlength=len(self.words) + 1)[1:]
         n = len(self.words)
         lang, word = zip(*self.words, strict=True) if n else ((), ())
+        which = pa.array(lang, pa.string()).dictionary_encode()
+        of = np.append(0, which.indices.to_numpy()).astype(np.uint32)
         columns = [
             pa.array(np.full(n + 1, shard)),
             pa.array([*lang, None], pa.string()),
@@ -75,8 +81,10 @@ class _Shard:
             pa.array(np.append(np.arange(1, n + 1), 0).astype(np.int64)),
             pa.array(np.append(counts, self.lead).astype(np.int64)),
             pa.array([None] * n + [numbers.tobytes()], pa.binary()),
+            pa.array([None] * n + [which.dictionary.to_pylist()], pa.list_(pa.string())),
+            pa.array([None] * n + [of.tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "word", "code", "n", "numbers"])
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "word", "code", "n", "numbers", "langs", "lang_of"])
 
 
 def _slices(text: bytes) -> Iterator[list[bytes]]:
@@ -94,7 +102,8 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
 
 
 def encode(docs: DataFrame, shard: int) -> DataFrame:
-    """docs (lang, text) -> a row for each shard and word: shard, lang, word, code (its number), n; and one for each shard with its numbers and in n its lead."""
+    """docs (lang, text) -> a row for each shard and word: shard, lang, word, code (its number), n; and one for each shard with its
+    numbers, langs (a list), lang_of (places in it by a word's number), and in n its lead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,7 +126,7 @@ def encode(docs: DataFrame, shard: int) -> DataFrame:
         if held.size > held.lead:
             yield held.rows(first + made)
 
-    return docs.select(F.coalesce("lang", F.lit("und")), "text").mapInArrow(run, "shard long, lang string, word binary, code long, n long, numbers binary")
+    return docs.select(F.coalesce("lang", F.lit("und")), "text").mapInArrow(run, "shard long, lang string, word binary, code long, n long, numbers binary, langs array<string>, lang_of binary")
 
 
 def radix_order(codes: np.ndarray) -> np.ndarray:
@@ -182,16 +191,20 @@ def pairs(numbers: np.ndarray, lead: int, words: int, codes: np.ndarray) -> tupl
     return codes[(pair // base).astype(np.int64)], codes[(pair % base).astype(np.int64)], n
 
 
+def _bucket(high: np.ndarray, low: np.ndarray | None, bits: int) -> np.ndarray:
+    mixed = high * np.uint64(0x9E3779B97F4A7C15)
+    if low is not None:
+        mixed ^= low * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).astype(np.uint16)
+
+
 PACKED = "bucket int, shard long, high binary, low binary, code binary, n binary"
 
 
 def _pack(shard: int, high: np.ndarray, low: np.ndarray | None, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Phrases of a shard by the bucket of their key, a row for each: keys that are equal meet in a bucket. Pairs have no second half."""
-    mixed = high * np.uint64(0x9E3779B97F4A7C15)
-    if low is not None:
-        mixed ^= low * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-    bucket = (mixed >> np.uint64(64 - BUCKETS)).astype(np.uint16)
+    bucket = _bucket(high, low, BUCKETS)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
@@ -207,10 +220,10 @@ def _pack(shard: int, high: np.ndarray, low: np.ndarray | None, code: np.ndarray
 
 
 def _made(shards: DataFrame, parts: DataFrame | None, words: int) -> DataFrame:
-    """shards (shard, lead, numbers, ids) and the codes of their frequent phrases of a word less (shard, codes; none: words) -> PACKED, the phrases of
+    """shards (shard, lead, numbers, ids; a row for each) and the codes of their frequent phrases of a word less (shard, codes; none: words) -> PACKED, the phrases of
     `words` words."""
 
-    def phrases(shard: pa.Table, codes: np.ndarray) -> pa.Table:
+    def phrases(shard: pa.Table | pa.RecordBatch, codes: np.ndarray) -> pa.RecordBatch:
         numbers, ids = (np.frombuffer(shard.column(c)[0].as_buffer(), np.uint32) for c in ("numbers", "ids"))
         one, two, n = pairs(numbers, shard.column("lead")[0].as_py(), words, codes)
         last = two & _LAST
@@ -222,27 +235,49 @@ def _made(shards: DataFrame, parts: DataFrame | None, words: int) -> DataFrame:
         low = None if words == 2 else key[2] << half | key[3]
         # A code of LONGEST words doesn't fit and isn't needed.
         code = one << np.uint64(BITS) | last if words < LONGEST else np.zeros(len(one), np.uint64)
-        return pa.Table.from_batches([_pack(shard.column("shard")[0].as_py(), key[0] << half | key[1], low, code, n)])
+        return _pack(shard.column("shard")[0].as_py(), key[0] << half | key[1], low, code, n)
 
-    def of_words(shard: pa.Table) -> pa.Table:
-        return phrases(shard, np.flatnonzero(np.frombuffer(shard.column("ids")[0].as_buffer(), np.uint32)).astype(np.uint64))
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                shard = b.slice(i, 1)
+                yield phrases(shard, np.flatnonzero(np.frombuffer(shard.column("ids")[0].as_buffer(), np.uint32)).astype(np.uint64))
 
     def of_phrases(shard: pa.Table, codes: pa.Table) -> pa.Table:
         if not shard.num_rows or not codes.num_rows:
             return pa.Table.from_batches([_pack(0, *(np.empty(0, np.uint64) for _ in range(4)))])
         found = _values(codes.column("codes"), np.uint64)[0]
-        return phrases(shard, found[radix_order(found)])
+        return pa.Table.from_batches([phrases(shard, found[radix_order(found)])])
 
+    shards = shards.select("shard", "lead", "numbers", "ids")
     if parts is None:
-        return shards.groupBy("shard").applyInArrow(of_words, PACKED)
+        return shards.mapInArrow(of_words, PACKED)
     return shards.groupBy("shard").cogroup(parts.select(F.col("shard").alias("of"), "codes").groupBy("of")).applyInArrow(of_phrases, PACKED)
 
 
+def _lots(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.Table]:
+    """Rows sorted by bucket in lots of whole buckets, of about LOT values in the column `sized`."""
+    held, size, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = b.column(0).to_numpy()
+        before = np.append(0, np.cumsum(_values(b.column(b.schema.get_field_index(sized)), np.uint64)[1]))
+        at = 0
+        for edge in np.flatnonzero(np.append(bucket[0] != last, bucket[1:] != bucket[:-1])).tolist():
+            if size + before[edge] - before[at] >= LOT:
+                yield pa.Table.from_batches([*held, b.slice(at, edge - at)])
+                held, size, at = [], 0, edge
+        held.append(b.slice(at))
+        size, last = size + int(before[-1] - before[at]), bucket[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, ...]]:
     """PACKED sorted by bucket -> lots of some buckets each: shard, code, high, low, f, first of the rows whose keys come `least` times or more, by shard."""
 
-    def count(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-        t = pa.Table.from_batches(rows)
+    def count(t: pa.Table) -> tuple[np.ndarray, ...]:
         high, sizes = _values(t.column("high"), np.uint64)
         low, code, n = _values(t.column("low"), np.uint64)[0], _values(t.column("code"), np.uint64)[0], _values(t.column("n"), np.int64)[0]
         order = radix_order(low) if len(low) else np.arange(len(high))
@@ -261,21 +296,7 @@ def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.nd
         on = on[by]
         return shard[by], code[on], high[on], low[on], f[by], first[on]
 
-    held, size, last = [], 0, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        bucket = b.column(0).to_numpy()
-        before = np.append(0, np.cumsum(_values(b.column(b.schema.get_field_index("code")), np.uint64)[1]))
-        at = 0
-        for edge in np.flatnonzero(np.append(bucket[0] != last, bucket[1:] != bucket[:-1])).tolist():
-            if size + before[edge] - before[at] >= LOT:
-                yield count([*held, b.slice(at, edge - at)])
-                held, size, at = [], 0, edge
-        held.append(b.slice(at))
-        size, last = size + int(before[-1] - before[at]), bucket[-1]
-    if held:
-        yield count(held)
+    yield from map(count, _lots(batches, "code"))
 
 
 def _buckets(packed: DataFrame) -> DataFrame:
@@ -303,8 +324,8 @@ def _counted(made: DataFrame, least: int) -> DataFrame:
 
 
 def _often(packed: DataFrame, least: int) -> DataFrame:
-    """PACKED -> rows of a shard and lot: shard, codes of the phrases that come `least` times or more, and keys and f of those that this row is the
-    first to hold."""
+    """PACKED -> rows of a shard and lot: shard, codes and counts of the phrases that come `least` times or more, and keys and f of those that this row
+    is the first to hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, code, high, low, f, first in _sums(batches, least):
@@ -312,10 +333,10 @@ def _often(packed: DataFrame, least: int) -> DataFrame:
             firsts = np.append(0, np.cumsum(first))[start]
             keys = np.stack([high[first], low[first]], 1).astype(">u8")
             bytes_ = _cells(keys.reshape(-1), firsts * 2)
-            columns = [pa.array(shard[start]), _cells(code, start), bytes_, _cells(f[first], firsts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "codes", "keys", "f"])
+            columns = [pa.array(shard[start]), _cells(code, start), _cells(f, start), bytes_, _cells(f[first], firsts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "codes", "counts", "keys", "f"])
 
-    return _buckets(packed).mapInArrow(run, "shard long, codes binary, keys binary, f binary")
+    return _buckets(packed).mapInArrow(run, "shard long, codes binary, counts binary, keys binary, f binary")
 
 
 def _found(often: DataFrame) -> DataFrame:
@@ -330,19 +351,131 @@ def _found(often: DataFrame) -> DataFrame:
 
 
 def _with_ids(numbers: DataFrame, own: DataFrame) -> DataFrame:
-    """numbers (shard, n, numbers) and the frequent words of shards (of, code, id) -> a row for each shard: shard, lead, numbers, and ids, by a word's
-    number (0: not frequent)."""
+    """numbers (shard, n, numbers, langs, lang_of) and the frequent words of shards (of, code, id, f) -> a row for each shard: shard, lead, numbers, langs,
+    lang_of, and ids and counts, by a word's number (0: not frequent)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = left.column("numbers")[0].as_py() if left.num_rows else b""
         held = np.frombuffer(numbers, np.uint32)
         ids = np.zeros(int(held.max()) + 1 if len(held) else 0, np.uint32)
+        counts = np.zeros(len(ids), np.int64)
         if left.num_rows:
-            ids[right.column("code").to_numpy()] = right.column("id").to_numpy()
-        columns = [left.column("shard"), left.column("n"), left.column("numbers"), pa.array([ids.tobytes()] * left.num_rows, pa.binary())]
-        return pa.table(columns, names=["shard", "lead", "numbers", "ids"])
+            code = right.column("code").to_numpy()
+            ids[code], counts[code] = right.column("id").to_numpy(), right.column("f").to_numpy()
+        columns = [left.column(c) for c in ("shard", "n", "numbers", "langs", "lang_of")] + [pa.array([x.tobytes()] * left.num_rows, pa.binary()) for x in (ids, counts)]
+        return pa.table(columns, names=["shard", "lead", "numbers", "langs", "lang_of", "ids", "counts"])
+
+    schema = "shard long, lead long, numbers binary, langs array<string>, lang_of binary, ids binary, counts binary"
+    return numbers.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(run, schema)
+
+
+def _score(a: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """SCALE * a // both in two steps: exact up to 2^63 / 2000 occurrences."""
+    whole, rest = np.divmod(a * (SCALE // 1000), both)
+    return whole * 1000 + rest * 1000 // both
+
+
+RATED = "bucket int, lang string, high binary, low binary, a binary, l binary, r binary"
+
+
+def _rated(coded: DataFrame, often: list[DataFrame], covered: int) -> DataFrame:
+    """RATED, a row for each shard, lang and bucket: the phrases of _often() with the counts of their lowest-scoring cut, from the shard that is the first to
+    hold them; and without a lang (a, l and r are 0) those that one of them covers."""
+
+    def run(shard: pa.Table, parts: pa.Table) -> pa.Table:
+        rows = []
+        if shard.num_rows and parts.num_rows:
+            ids, of = (np.frombuffer(shard.column(c)[0].as_buffer(), np.uint32) for c in ("ids", "lang_of"))
+            by_id = np.argsort(ids, kind="stable")
+            tables = {1: (np.arange(len(ids)), np.frombuffer(shard.column("counts")[0].as_buffer(), np.int64))}
+
+            def count(number: np.ndarray) -> np.ndarray:
+                code = np.zeros(len(number), np.uint64)
+                for i in range(number.shape[1]):
+                    code = code << np.uint64(BITS) | number[:, i].astype(np.uint64)
+                codes, counts = tables[number.shape[1]]
+                return counts[np.searchsorted(codes, code)]
+
+            def put(lang: np.ndarray, key: np.ndarray, *counts: np.ndarray) -> None:
+                key = np.pad(key, ((0, 0), (0, LONGEST - key.shape[1]))).astype(np.uint64)
+                rows.append((lang, *(key[:, i] << np.uint64(32) | key[:, i + 1] for i in (0, 2)), *counts))
+
+            for m in range(2, LONGEST + 1):
+                level = parts.filter(pc.equal(parts.column("words"), m))
+                if m < LONGEST:  # no phrase is a part of the longest ones'
+                    codes, counts = _values(level.column("codes"), np.uint64)[0], _values(level.column("counts"), np.int64)[0]
+                    order = radix_order(codes)
+                    tables[m] = codes[order], counts[order]
+                key = _values(level.column("keys"), np.dtype(">u4"))[0].astype(np.uint32).reshape(-1, LONGEST)[:, :m]
+                a = _values(level.column("f"), np.int64)[0]
+                number = by_id[np.searchsorted(ids, key, sorter=by_id)]
+                least = left = right = None
+                for k in range(1, m):
+                    l, r = count(number[:, :k]), count(number[:, k:])  # noqa: E741
+                    score = _score(a, l + r)
+                    if least is None:
+                        least, left, right = score, l, r
+                    lower = score < least
+                    least, left, right = np.where(lower, score, least), np.where(lower, l, left), np.where(lower, r, right)
+                put(of[number[:, 0]].astype(np.int64), key, a, left, right)
+                # A phrase's parts of a word less: those that are shorter lie in one of them, which comes at least as often.
+                for i in (0, 1) if m > 2 else ():
+                    hit = 100 * a >= covered * count(number[:, i : i + m - 1])
+                    none = np.zeros(np.count_nonzero(hit), np.int64)
+                    put(none - 1, key[hit, i : i + m - 1], none, none, none)
+        lang, high, low, a, l, r = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64), *np.empty((2, 0), np.uint64), *np.empty((3, 0), np.int64))  # noqa: E741
+        bucket = _bucket(high, low, SCORED_BUCKETS)
+        order = np.lexsort((bucket, lang))
+        lang, bucket = lang[order], bucket[order]
+        start = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]))) if len(lang) else np.empty(0, np.int64)
+        names = [*(shard.column("langs")[0].as_py() if len(lang) else ()), None]  # -1 is the last
+        columns = [pa.array(bucket[start].astype(np.int32)), pa.array([names[i] for i in lang[start]], pa.string()), *(_cells(x[order], start) for x in (high, low, a, l, r))]
+        return pa.table(columns, names=["bucket", "lang", "high", "low", "a", "l", "r"])
+
+    parts = None
+    for m, x in enumerate(often, 2):
+        codes = [F.col(c) if m < LONGEST else F.lit(None).cast("binary").alias(c) for c in ("codes", "counts")]
+        x = x.select(F.col("shard").alias("of"), F.lit(m).alias("words"), *codes, "keys", "f")
+        parts = x if parts is None else parts.unionByName(x)
+    return coded.select("shard", "langs", "lang_of", "ids", "counts").groupBy("shard").cogroup(parts.groupBy("of")).applyInArrow(run, RATED)
+
+
+def _best(rated: DataFrame, most: int) -> DataFrame:
+    """_rated() -> key, lang, a, l, r, score of the phrases that none covers: of each task the first `most` of a lang by score and a, with ties."""
+
+    def best(lang: np.ndarray, score: np.ndarray, a: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-a, -score, lang))
+        lang, score, a = lang[order], score[order], a[order]
+        start = np.flatnonzero(np.append(True, lang[1:] != lang[:-1])) if len(lang) else np.empty(0, np.int64)
+        size = np.diff(np.append(start, len(lang)))
+        last = np.repeat(start + np.minimum(size, most) - 1, size)
+        return order[(score > score[last]) | (score == score[last]) & (a >= a[last])]
+
+    def left(t: pa.Table, names: dict[str | None, int]) -> tuple[np.ndarray, ...]:
+        high, sizes = _values(t.column("high"), np.uint64)
+        low, a, l, r = (_values(t.column(c), k)[0] for c, k in (("low", np.uint64), ("a", np.int64), ("l", np.int64), ("r", np.int64)))  # noqa: E741
+        lang = np.repeat(np.array([names.setdefault(x, len(names)) for x in t.column("lang").to_pylist()], np.int64), sizes)
+        order = radix_order(low)
+        order = order[radix_order(high[order])]
+        x, y = high[order], low[order]
+        start = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        free = np.minimum.reduceat(a[order], start) > 0
+        on = order[np.repeat(free, np.diff(np.append(start, len(order))))]
+        return lang[on], _score(a[on], l[on] + r[on]), a[on], l[on], r[on], high[on], low[on]
 
-    return numbers.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(run, "shard long, lead long, numbers binary, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = {}, None
+        for lot in _lots(batches, "a"):
+            new = left(lot, names)
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            on = best(*held[:3])
+            held = tuple(x[on] for x in held)
+        if held is not None:
+            lang, score, a, l, r, high, low = held  # noqa: E741
+            columns = [_keys(high, low), pa.array(list(names), pa.string()).take(pa.array(lang)), *map(pa.array, (a, l, r, score))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "a", "l", "r", "score"])
+
+    return _buckets(rated).mapInArrow(run, "key binary, lang string, a long, l long, r long, score long")
 
 
 def _word_key(i: Column) -> Column:
@@ -354,11 +487,12 @@ def _part(key: Column, start: Column, words: Column) -> Column:
     return F.rpad(F.substring(key, start * 4 + 1, words * 4), KEY, F.unhex(F.lit("00")))
 
 
-def frequent(docs: DataFrame, steps: Steps, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (id, key, lang, word, f), phrases (key, words, f) that come `least` times or more, and totals (lang, n) of all words."""
+def _levels(docs: DataFrame, steps: Steps, least: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Frequent words (id, key, lang, word, f), totals (lang, n) of all words, the shards of _with_ids() and _often() of the phrases of 2 to LONGEST words."""
     shards = steps.stored(encode(docs, shard), "shards")
     own = shards.where("word IS NOT NULL").select("shard", "lang", "word", "code", "n")
     totals = steps.stored(own.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    release(docs.sparkSession)  # shuffle files of a step aren't read by the next one
     n = steps.stored(totals.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     ranges = in_ranges(totals.where(F.col("f") >= least), F.col("lang"), F.col("word"))
     numbered = before_ranges(ranges, {"rows": F.count("*")})
@@ -367,22 +501,25 @@ def frequent(docs: DataFrame, steps: Steps, least: int = LEAST, shard: int = SHA
     if words.count() >= 1 << 32:
         raise ValueError("more frequent words than a key has room for")
     steps.forget(totals)
-    known = own.join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
-    coded = steps.stored(_with_ids(shards.where("numbers IS NOT NULL").select("shard", "n", "numbers"), known), "coded")
+    known = own.join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id", "f")
+    coded = steps.stored(_with_ids(shards.where("numbers IS NOT NULL").select("shard", "n", "numbers", "langs", "lang_of"), known), "coded")
     steps.forget(shards)
-    found, often = [], None
+    release(docs.sparkSession)
+    often = []
     for m in range(2, LONGEST + 1):
-        made, before = _made(coded, often, m), often
-        often = steps.stored(_often(made, least), "often")
-        if before is not None:
-            steps.forget(before)
-        found.append(steps.stored(_found(often).select("key", F.lit(m).alias("words"), "f"), "found"))
-        release(docs.sparkSession)  # shuffle files of a level aren't read by the next one
-    steps.forget(often)
-    steps.forget(coded)
-    phrases = found[0]
-    for x in found[1:]:
-        phrases = phrases.unionByName(x)
+        often.append(steps.stored(_often(_made(coded, often[-1] if often else None, m), least), "often"))
+        release(docs.sparkSession)
+    return words, n, coded, often
+
+
+def frequent(docs: DataFrame, steps: Steps, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words (id, key, lang, word, f), phrases (key, words, f) that come `least` times or more, and totals (lang, n) of all words, as rows; top_phrases()
+    needs no such rows."""
+    words, n, _, often = _levels(docs, steps, least, shard)
+    phrases = None
+    for m, x in enumerate(often, 2):
+        x = _found(x).select("key", F.lit(m).alias("words"), "f")
+        phrases = x if phrases is None else phrases.unionByName(x)
     return words, phrases, n
 
 
@@ -397,8 +534,8 @@ def _cut(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def scored(words: DataFrame, phrases: DataFrame, covered: int = COVERED, most: int | None = None) -> DataFrame:
-    """key, words, a, l, r, score, lang of the phrases that no longer one covers, by their lowest-scoring cut; with `most`, of those at least that can
-    be among the first `most` of their lang.
+    """key, words, a, l, r, score, lang of the phrases of frequent() that no longer one covers, by their lowest-scoring cut; with `most`, of those at
+    least that can be among the first `most` of their lang. It joins rows, for those who want all phrases; top_phrases() has them scored in the shards.
 
     The cut after the first word comes first. It is the only one of pairs, and no phrase scores more than by it: longer ones that are below `most`
     pairs of their lang by it need no other cut."""
@@ -424,12 +561,18 @@ def scored(words: DataFrame, phrases: DataFrame, covered: int = COVERED, most: i
 def top_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST, covered: int = COVERED, shard: int = SHARD) -> DataFrame:
     """docs (lang, text) -> the first `most` phrases of each lang: lang, rank, phrase, a, l, r, n, score."""
     with Steps() as steps:
-        words, phrases, n = frequent(docs, steps, least, shard)
+        words, n, coded, often = _levels(docs, steps, least, shard)
+        rated = steps.stored(_best(_rated(coded, often, covered), most), "rated")
+        # What can't be among the first by counts of ranges of scores, of which a lang has about a thousand, goes before the window.
+        step = F.floor(F.sqrt("score"))
+        counts = rated.groupBy("lang", step.alias("step")).agg(F.count("*").alias("rows"))
+        above = F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc("step")))
+        reached = counts.withColumn("above", above).where(f"above >= {most}").groupBy("lang").agg(F.max("step").alias("least"))
+        can = rated.join(F.broadcast(reached), "lang", "left").where(F.col("least").isNull() | (step >= F.col("least")))
         # Ties at the end are kept until their words are known.
         near = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-        rated = scored(words, phrases, covered, most)
-        steps.tables.append(rated)
-        top = rated.withColumn("near", F.rank().over(near)).where(f"near <= {most}")
+        top = can.withColumn("words", F.expr(" + ".join(f"int(substring(key, {4 * i + 1}, 4) <> unhex('00000000'))" for i in range(LONGEST))))
+        top = top.withColumn("near", F.rank().over(near)).where(f"near <= {most}")
         at = F.explode(F.expr("sequence(0, words - 1)"))
         spelt = top.select("*", at.alias("i")).withColumn("id", F.conv(F.hex(F.substring("key", F.col("i") * 4 + 1, F.lit(4))), 16, 10).cast("long"))
         spelt = spelt.join(words.select("id", F.col("word").cast("string").alias("word")), "id")

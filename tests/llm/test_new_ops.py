@@ -171,6 +171,49 @@ def test_longer_phrases_below_the_best_pairs_are_cut_once(spark):
         assert all(k in some for k, r in whole.items() if r[6] == lang and r[5] >= least)
 
 
+def test_phrases_are_scored_without_a_row_for_each(spark, monkeypatch):
+    """Tables of the steps after the dictionary have rows of arrays, and at the end the best of each task only; they hold what rows and joins give."""
+    from sphaera.llm import common
+
+    sizes, put = {}, common.stored
+
+    def told(df, name):
+        out = put(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", told)
+    monkeypatch.setattr(phrases, "stored", told)
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(5)
+    df = spark.createDataFrame([("en", " ".join(rng.choice(words) for _ in range(300))) for _ in range(200)], "lang string, text string").coalesce(2)
+    got = sorted((r.phrase, r.a, r.l, r.r, r.score) for r in phrases.top_phrases(df, 6, 5).collect())
+    assert {k: n for k, n in sizes.items() if k not in ("shards", "words", "ranges", "dictionary") and n > 200} == {}
+    monkeypatch.undo()
+    with phrases.Steps() as steps:
+        words, found, _ = phrases.frequent(df, steps, 6)
+        assert found.count() > 1600
+        rows_ = phrases.scored(words, found).orderBy(F.desc("score"), F.desc("a")).limit(6).collect()
+        word = {r.id: r.word.decode() for r in words.collect()}
+    spelt = [(" ".join(word[int.from_bytes(r.key[i : i + 4], "big")] for i in range(0, 4 * r.words, 4)), r.a, r.l, r.r, r.score) for r in rows_]
+    assert spelt[4][4] > spelt[5][4] and got == sorted(spelt[:5])
+
+
+def test_pairs_are_made_where_shards_lie(spark):
+    """A shard is one row: its pairs need no shuffle of it."""
+    coded = spark.sql("SELECT 0L AS shard, 0L AS lead, CAST('' AS BINARY) AS numbers, CAST('' AS BINARY) AS ids")
+    plan = phrases._made(coded, None, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Arrow" in plan
+
+
+def test_scores_in_two_steps_are_exact():
+    import numpy as np
+
+    a = np.array([30, 31, 4_000_000_000_000_000, 3_999_999_999_999_999])
+    both = np.array([60, 1_000_003, 8_000_000_000_000_001, 7_999_999_999_999_999])
+    assert phrases._score(a, both).tolist() == [SCALE * x // y for x, y in zip(a.tolist(), both.tolist(), strict=True)]
+
+
 @pytest.mark.parametrize("lot,long", [(1, True), (7, False), (1 << 19, True)])
 def test_packed_keys_are_added_up_in_lots(monkeypatch, lot, long):
     """A shard's keys go as arrays, a row for each bucket; lots of any size give the same sums."""
