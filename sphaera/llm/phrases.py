@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, before_ranges, in_ranges, join_unique, read, release, stored, utf8
+from .common import Steps, before_ranges, in_ranges, join_unique, read, stored, tidy, utf8
 
 LEAST, MOST, LONGEST, SCALE, COVERED = 30, 2000, 4, 2_000_000, 80
 #: Words of a shard, and the bits of a word's number in it: three of them fit a 64-bit code.
@@ -492,7 +492,6 @@ def _levels(docs: DataFrame, steps: Steps, least: int, shard: int) -> tuple[Data
     shards = steps.stored(encode(docs, shard), "shards")
     own = shards.where("word IS NOT NULL").select("shard", "lang", "word", "code", "n")
     totals = steps.stored(own.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    release(docs.sparkSession)  # shuffle files of a step aren't read by the next one
     n = steps.stored(totals.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     ranges = in_ranges(totals.where(F.col("f") >= least), F.col("lang"), F.col("word"))
     numbered = before_ranges(ranges, {"rows": F.count("*")})
@@ -504,18 +503,17 @@ def _levels(docs: DataFrame, steps: Steps, least: int, shard: int) -> tuple[Data
     known = own.join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id", "f")
     coded = steps.stored(_with_ids(shards.where("numbers IS NOT NULL").select("shard", "n", "numbers", "langs", "lang_of"), known), "coded")
     steps.forget(shards)
-    release(docs.sparkSession)
     often = []
     for m in range(2, LONGEST + 1):
         often.append(steps.stored(_often(_made(coded, often[-1] if often else None, m), least), "often"))
-        release(docs.sparkSession)
     return words, n, coded, often
 
 
 def frequent(docs: DataFrame, steps: Steps, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (id, key, lang, word, f), phrases (key, words, f) that come `least` times or more, and totals (lang, n) of all words, as rows; top_phrases()
     needs no such rows."""
-    words, n, _, often = _levels(docs, steps, least, shard)
+    with tidy(docs.sparkSession):
+        words, n, _, often = _levels(docs, steps, least, shard)
     phrases = None
     for m, x in enumerate(often, 2):
         x = _found(x).select("key", F.lit(m).alias("words"), "f")
@@ -560,7 +558,7 @@ def scored(words: DataFrame, phrases: DataFrame, covered: int = COVERED, most: i
 
 def top_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST, covered: int = COVERED, shard: int = SHARD) -> DataFrame:
     """docs (lang, text) -> the first `most` phrases of each lang: lang, rank, phrase, a, l, r, n, score."""
-    with Steps() as steps:
+    with Steps() as steps, tidy(docs.sparkSession):
         words, n, coded, often = _levels(docs, steps, least, shard)
         rated = steps.stored(_best(_rated(coded, often, covered), most), "rated")
         # What can't be among the first by counts of ranges of scores, of which a lang has about a thousand, goes before the window.

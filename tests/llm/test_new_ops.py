@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from conftest import rows
@@ -206,6 +207,23 @@ def test_pairs_are_made_where_shards_lie(spark):
     assert "Exchange" not in plan and "Arrow" in plan
 
 
+def test_shuffle_files_of_steps_go_when_they_end(spark):
+    """The next step doesn't find those of the one before on the disk, and a session's setting stays as it was."""
+    disk, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def held():
+        found = disk.getAllBlocks()
+        return {x for x in (found.apply(i).name() for i in range(found.size())) if x.startswith("shuffle_")}
+
+    setting = spark.conf.get(key)
+    df, before = spark.createDataFrame(some_docs(6), "lang string, text string"), held()
+    assert len(phrases.top_phrases(df, 6, 40).collect()) > 20 and spark.conf.get(key) == setting
+    for _ in range(20):  # they are deleted in the background
+        if held() - before:
+            time.sleep(0.25)
+    assert held() <= before
+
+
 def test_scores_in_two_steps_are_exact():
     import numpy as np
 
