@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +47,33 @@ _SCRATCH: dict[str, dict] = {}
 def scratch(operator: str) -> dict:
     """What tasks of an operator keep from one to the next in a Python worker. Workers go from one operator to another: what others
     have kept is let go."""
-    for other in [k for k in _SCRATCH if k != operator]:
+    others = [k for k in _SCRATCH if k != operator]
+    for other in others:
         del _SCRATCH[other]
+    if others:
+        give_back()
     return _SCRATCH.setdefault(operator, {})
 
 
+def give_back() -> None:
+    """Hand to the system what this Python worker has freed. Arrow's pool and malloc keep it otherwise, and over the steps of a job it adds
+    up, while the executor's heap grows as well."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, with give_back() at the end of each task."""
+
+    @wraps(run)
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return then
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. Where it is unset a new one is set on a single machine; a cluster has to name one."""
     have = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

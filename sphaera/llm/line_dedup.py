@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Steps, dense, read, release, scratch, sparse, stored, tree_sum, utf8
+from .common import Steps, dense, give_back, read, release, scratch, sparse, stored, tidied, tree_sum, utf8
 
 #: The similarity asked for, as a fraction.
 THRESHOLD = (4, 5)
@@ -136,7 +136,7 @@ def rarity(docs: DataFrame, view: View = bytes) -> tuple[np.ndarray, int]:
         return pa.table({"part": t.column("part")[:1], "payload": pa.array([sparse(sums)], pa.binary())})
 
     with Steps() as steps:
-        parts = steps.stored(docs.select("text").mapInArrow(run, "part int, task int, payload binary"), "counts")
+        parts = steps.stored(docs.select("text").mapInArrow(tidied(run), "part int, task int, payload binary"), "counts")
         out = tree_sum(parts, add, finish=_classes, schema="part int, classes binary, n long").toArrow().sort_by("part")
     if not out.num_rows:
         return np.zeros(TABLE, np.uint8), 0
@@ -270,7 +270,7 @@ def _blocks(docs: DataFrame, rare: np.ndarray, blocks: int, threshold: tuple[int
                     posted, lined, count = [], [], 0
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, block int, n int, payload binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "kind int, block int, n int, payload binary")
 
 
 def _parity(s: _Sets) -> np.ndarray:
@@ -359,7 +359,11 @@ def _matcher(threshold: tuple[int, int], first: tuple[int, int]):
         own = code[rows].astype(np.int64)
         return pa.concat_tables([pairs, alone(_MEMBERS, c["sa"][rows], doc[rows], line[rows], np.where(stopped[rows], own, -1 - own), n[rows].astype(np.int32), parity[rows].view(np.int64))])
 
-    return lambda t: pa.concat_tables([copies(t), match(t)])
+    def both(t: pa.Table) -> pa.Table:
+        give_back()  # what the block before took
+        return pa.concat_tables([copies(t), match(t)])
+
+    return both
 
 
 def _filter(values: DataFrame) -> np.ndarray:
@@ -424,7 +428,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, whole: bool, view: View) -> Data
                 bits = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(long_, 16, 0))).astype(np.int32)), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([pa.array(s.signature(0)), pa.array(s.size.astype(np.int32)), words, bits], names=["sa", "n", "words", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sa long, n int, words array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "sa long, n int, words array<long>, bits array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int], view: View, steps: Steps) -> DataFrame:
@@ -503,7 +507,7 @@ def _by_row(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(s.line), pa.array(s.signature(0))], names=["__row", "d", "l", "s"])
 
     schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("d", docs.schema["__doc"].dataType), T.StructField("l", T.IntegerType()), T.StructField("s", T.LongType())])
-    lines = docs.select("__row", "__doc", "__text").mapInArrow(run, schema)
+    lines = docs.select("__row", "__doc", "__text").mapInArrow(tidied(run), schema)
     here = lines.join(gone, F.col("d").eqNullSafe(gone["doc_id"]) & (F.col("l") == gone["line"]) & (F.col("s") == gone["sa"]), "left_semi")
     return here.groupBy("__row").agg(F.array_sort(F.collect_set("l")).alias("__lines"))
 
@@ -548,7 +552,7 @@ def drop_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
                 out[chars_at] = pa.array([None if t is None else len(t) for t in kept], pa.int64()).cast(b.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidied(run), schema).toDF(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

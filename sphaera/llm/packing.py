@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, scratch, stored, utf8
+from .common import give_back, read, scratch, stored, tidied, utf8
 
 #: A shard has about so many pieces at most, and so many tokens (four bytes each where pieces carry their ids).
 CAPACITY, END, SHARD, SHARD_TOKENS = 4096, 1, 30_000, 24_000_000
 #: Words that a worker keeps the ids of, some 200 bytes each.
 CACHE, SEEN = 600_000, 1 << 22
+#: Rows whose pieces a worker makes and puts out at once.
+ROWS = 250
 _TAIL = re.compile(rb"(.*[0-9a-z])([.,;:!?%$&*#|]+)", re.DOTALL)
 
 
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             row, out = [], []
             for i, text in enumerate(utf8(b.column(1))):
                 ids = _ids(text, words)
@@ -100,9 +102,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                     out.append((p, at // 4, len(cut) // 4, zlib.crc32(cut), cut))
             p, start, length, crc, cut = zip(*out, strict=True) if out else ((),) * 5
             columns = [b.column(0).take(pa.array(row, pa.int32())), pa.array(p, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(cut, pa.binary())] if with_ids else []), names=[f.name for f in fields])
+            made = pa.RecordBatch.from_arrays(columns + ([pa.array(cut, pa.binary())] if with_ids else []), names=[f.name for f in fields])
+            del row, out, p, start, length, crc, cut, columns
+            yield made
+            if with_ids:
+                give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), T.StructType(fields))
 
 
 def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -132,27 +138,37 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
     return sequence, offset
 
 
+def placed(held: list[pa.RecordBatch], capacity: int, first: int) -> Iterator[pa.RecordBatch]:
+    """The batches of a shard, one by one, with sequence_id (from `first`) and offset; they leave `held` as they go, and rows keep their order."""
+    length = np.concatenate([b.column("length").to_numpy() for b in held])
+    order = np.argsort(-length, kind="stable")
+    sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+    sequence[order], offset[order] = place(length[order], capacity)
+    at = 0
+    held.reverse()
+    while held:
+        b = held.pop()
+        own = slice(at, at := at + b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence[own] + first), pa.array(offset[own])], names=[*b.schema.names, "sequence_id", "offset"])
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """items (any columns, `length` among them) with sequence_id and offset."""
+    """items (any columns, `length` among them) with sequence_id and offset. A task holds its shard once and puts it out batch by batch."""
     schema = T.StructType([*(f for f in items.schema if f.name not in ("sequence_id", "offset")), T.StructField("sequence_id", T.LongType(), False), T.StructField("offset", T.LongType(), False)])
     names = [f.name for f in schema][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        if "ids" in names:
+            scratch("shards")  # the worker's words make room for token ids
         held = [b for b in batches if b.num_rows]
         if held:
-            table = pa.Table.from_batches(held)
-            length = table.column("length").to_numpy()
-            order = np.argsort(-length, kind="stable")
-            sequence, offset = place(length[order], capacity)
-            table = table.take(pa.array(order))
-            first = TaskContext.get().partitionId() << 32
-            yield from table.append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset)).to_batches()
+            yield from placed(held, capacity, TaskContext.get().partitionId() << 32)
 
     n, tokens = items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     shards = max(1, -(-n // shard), -(-tokens // SHARD_TOKENS))
-    return items.select(*names).repartition(shards).mapInArrow(run, schema)
+    return items.select(*names).repartition(shards).mapInArrow(tidied(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, read, scratch, utf8
+from .common import WORD, read, scratch, tidied, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_stutter")
 SYMBOLS, SPACE, WINDOW = b"#*$%&|<>", b" \t\n\v\f\r", 8
@@ -97,7 +97,7 @@ def measure(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
             rows = np.array([_measure(t) for t in utf8(b.column(text_at))], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:text_at], *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], names=[*keep, *MEASURES])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def bit(rule: str) -> int:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Steps, join_unique, read, stored, utf8
+from .common import Steps, join_unique, read, stored, tidied, utf8
 from .graphs import components
 from .line_dedup import repeated
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: Sequence[str] =
             fp = np.array([_fingerprint(t, shingle) for t in utf8(b.column(len(carry)))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(fp)], names=[*carry, "fp"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def counts(fp: Column) -> Column:

@@ -486,6 +486,46 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_a_shard_is_held_once_and_goes_out_batch_by_batch():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 4096, (6, 500))
+    want, at = packing.place(np.sort(lengths.ravel())[::-1])
+    held = [pa.RecordBatch.from_pydict({"doc_id": list(range(k * 500, k * 500 + 500)), "length": pa.array(n), "ids": [b"i" * (4 * x) for x in n.tolist()]}) for k, n in enumerate(lengths)]
+    before, one = pa.total_allocated_bytes(), max(b.nbytes for b in held)
+    used, ids, sums = [], [], Counter()
+    for k, b in enumerate(packing.placed(held, 4096, 7 << 32)):
+        used.append(pa.total_allocated_bytes() - before)
+        assert len(held) == 5 - k and b.column("length").to_pylist() == lengths[k].tolist() == [len(x) // 4 for x in b.column("ids").to_pylist()]
+        ids += b.column("doc_id").to_pylist()
+        for s, n in zip(b.column("sequence_id").to_pylist(), b.column("length").to_pylist(), strict=True):
+            sums[s - (7 << 32)] += n
+    assert ids == list(range(3000)) and max(used) < one  # no second copy of the shard, nor of much of it
+    assert sums == {s: int(np.sort(lengths.ravel())[::-1][want == s].sum()) for s in set(want.tolist())} and max(sums.values()) <= 4096
+
+
+def test_workers_give_back_what_they_freed():
+    from sphaera.llm import common
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    stays = []
+
+    def run(batches):
+        for b in batches:
+            blocks = [np.ones(60_000, np.uint8) for _ in range(5000)]  # 300 MB below the size that malloc maps
+            stays.append(blocks[-1])  # what is above keeps malloc from trimming by itself
+            del blocks
+            yield b
+
+    at = resident()
+    assert list(common.tidied(run)(iter([1, 2]))) == [1, 2] and common.tidied(run).__name__ == "run"
+    assert resident() - at < 100
+
+
 def test_packing_of_ties_and_shards_by_tokens(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 10_000)
     df = spark.createDataFrame([(i // 2, "the cat sat") for i in range(60)] + [(99, "word " * 9000)], "doc_id long, text string")
