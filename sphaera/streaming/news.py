@@ -82,9 +82,9 @@ def feed(entries: DataFrame, cast: DataFrame) -> DataFrame:
     return out.where((F.col("layer") != "inner") | (F.col("seat") == F.col("viewer")))
 
 
-def counts_per_window(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Native extra: counts per event type and window of a stream, with a watermark for late rows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "w.end", "event_type", "n")
+def counts_per_window(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", start: str = "0 seconds") -> DataFrame:
+    """Native extra: counts per event type and window of a stream, with a watermark for late rows; windows begin at `start` after whole ones since 1970."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window, startTime=start).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "w.end", "event_type", "n")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:

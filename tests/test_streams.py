@@ -136,3 +136,22 @@ def test_entries_of_a_scene_share_one_state():
     assert sorted(call((1, "a", "one", None, False), (2, "a", "two", None, False), (2, "b", "two", None, False))) == [(5, 1, "a", "one"), (5, 2, "a", "two"), (5, 2, "b", "two")]
     assert sorted(call((2, None, "new", 3, True))) == [(5, 2, "a", "new"), (5, 2, "b", "new")]
     assert call((2, None, "old", 2, True)) == []
+
+
+def test_last_half_millisecond_of_an_hour_counts_to_the_next_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from sphaera import world_queries
+
+    c = duckdb.connect()
+    times = ("00:59:59.999499", "00:59:59.999500", "00:59:59.999999", "01:00:00", "01:59:59.9997", "02:59:59.9994", "03:09:59.9999", "04:10:00")
+    for last in ("04:59:59", "05:10:00", "05:09:59.9995"):  # hours end that the watermark has passed, to the microsecond
+        rows = ", ".join(f"({i}, TIMESTAMP '2024-05-01 {t}', 7, {'NULL' if i == 3 else repr('view')}, 5.0::DOUBLE)" for i, t in enumerate((*times, last)))
+        c.execute(f"CREATE OR REPLACE TABLE events AS SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value)")
+        folder = tmp_path / last.replace(":", "-")
+        folder.mkdir()
+        c.execute(f"COPY events TO '{folder}/events.parquet'")
+        want = c.execute(world_queries.ORACLES["ss_windows"]).fetchall()
+        got = world_queries.ss_windows(spark, str(folder)).select("hour", "event_type", "n")
+        assert got.schema["hour"].dataType.simpleString() == "bigint"
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
