@@ -533,3 +533,17 @@ def test_parts_of_meanders_are_sorted_once(spark):
     rows = [(r, i, 1.0, 0.1 * i, 0.05 * r, 30.0) for r in (1, 2) for i in range(5)]
     plan = rivers.meander(spark.createDataFrame(rows, "river long, ord long, x double, y double, z double, width_m double"), 40.0, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.index("Generate")].count("Sort [") == 1
+
+
+def test_copied_targets_of_many_points_are_not_broadcast(spark):
+    """Spark takes 27 copies of a table for as small as the table: they would be gathered on the driver."""
+    from sphaera.operators import places
+
+    points = grid.fibonacci_sphere(spark, 400).toDF("key", "px", "py", "pz")
+    towns = grid.fibonacci_sphere(spark, 90).toDF("id", "x", "y", "z").selectExpr("named_struct('town', id, 'name', concat('T', id)) AS id", "x", "y", "z")
+    plan = places.within(points, "key", towns, 0.3, many=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {r.key: r for r in places.nearest(points, "key", towns, 0.1, many=True).select("key", "id.*", "chord2").collect()}
+    p, t = points.toPandas(), towns.select("id.town", "x", "y", "z").toPandas()
+    far = ((p[["px", "py", "pz"]].to_numpy()[:, None] - t[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(axis=2)
+    assert len(got) == 400 and all(abs(far[i].min() - got[k].chord2) < 2e-9 and got[k].name == f"T{got[k].town}" for i, k in enumerate(p["key"]))
